@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm import bpe, langid, mtree, near_dup, quality, token_counts, token_files, toxicity
+from skerry.llm import bpe, langid, mixing, mtree, near_dup, oracles, quality, token_counts, token_files, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,18 +44,28 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"), carry=False)
+    return mixed.select("row.doc_id", "source", "tokens", "epoch", "block", "place")
+
+
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = warc.derivatives(warc.responses(_table(spark, sf_dir, "pages")), "page_id")
+    return made.select("page_id", "record_type", "record_id", "refers_to", "target_uri", "source_digest", "block_digest", "content_length")
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.fit(docs)).select("doc_id", _held_out(4, 2).alias("held_out"), "lang_pred", "score")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_near_dup, op3_bpe, op4_quality, op5_token_counts, op6_token_files, op8_top_k, op10_language)}
+    return {f.__name__: f for f in (op1_toxicity, op2_near_dup, op3_bpe, op4_quality, op5_token_counts, op6_token_files, op7_mixing, op8_top_k, op9_warc, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_mixing": oracles.OP7_MIXING, "op9_warc": oracles.op9_warc()}
