@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from skerry.plans import statistics
+
 
 def queries() -> dict:
-    return {}
+    return {**statistics.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**statistics.SQL}
