@@ -107,7 +107,7 @@ def pcoa(distances: DataFrame, axes: int = 3) -> DataFrame:
         positive = values[values > 0].sum() or 1.0
         return pd.DataFrame([(n, k + 1, float(vectors[r, o] * max(values[o], 0) ** 0.5), float(max(values[o], 0) / positive)) for k, o in enumerate(order) for r, n in enumerate(names)], columns=["sample", "axis", "coordinate", "explained"])
 
-    return distances.select(F.col("a").cast("string"), F.col("b").cast("string"), "distance").groupBy(F.lit(0)).applyInPandas(run, "sample string, axis int, coordinate double, explained double")  # one dense matrix
+    return distances.select(F.col("a").cast("string"), F.col("b").cast("string"), "distance", F.lit(0).alias("_all")).groupBy("_all").applyInPandas(run, "sample string, axis int, coordinate double, explained double")  # one dense matrix
 
 
 def rarefaction(counts: DataFrame, points: int = 20) -> DataFrame:

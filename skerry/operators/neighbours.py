@@ -34,29 +34,38 @@ def knn_edges(pairs: DataFrame, k: int, mutual: bool = False) -> DataFrame:
     return (edges.where("sides = 2") if mutual else edges).drop("sides")
 
 
-def components_by_k(pairs: DataFrame, k_min: int, k_max: int, mutual: bool = False, rounds: int = 64) -> DataFrame:
-    """(k, node, label): least node of each node's component, for every k at once.
-
-    An edge of rank r is in the graphs of all k >= r.  Labels spread along edges, then jump to their label's label, until nothing changes.
+def least_labels(nodes: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least node of each node's component: labels spread along all edges at once, then jump to their label's label."""
+    at = np.arange(len(nodes))
+    while True:
+        old = at.copy()
+        low = np.minimum(at[i], at[j])
+        np.minimum.at(at, i, low)
+        np.minimum.at(at, j, low)
+        at = np.minimum(at, at[at])
+        if (at == old).all():
+            return nodes[at]
+
+
+def components_by_k(pairs: DataFrame, k_min: int, k_max: int, mutual: bool = False) -> DataFrame:
+    """(k, node, label): least node of each node's component, for every k at once, in parallel over k.
+
+    An edge of rank r is in the graphs of all k >= r.  ``pairs`` already holds all pairs of a bounded
+    set of nodes, so one k's graph, at most k_max edges a node, fits in a task.
     """
-    spark = pairs.sparkSession
     near = ranked_neighbours(pairs).where(F.col("rank") <= k_max)
     need = (F.max if mutual else F.min)("rank")
     edges = near.groupBy(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(need.alias("from"), F.count("*").alias("sides"))
     edges = (edges.where("sides = 2") if mutual else edges).select("i", "j", F.explode(F.sequence(F.greatest(F.col("from"), F.lit(k_min)), F.lit(k_max))).alias("k"))
-    links = edges.select("k", "i", "j").unionByName(edges.select("k", F.col("j").alias("i"), F.col("i").alias("j"))).persist()
-    nodes = both_ways(pairs).select(F.col("i").alias("node")).distinct()
-    labels = nodes.crossJoin(spark.range(k_min, k_max + 1).select(F.col("id").cast("int").alias("k"))).select("k", "node", F.col("node").alias("label")).persist()
-    for _ in range(rounds):
-        spread = links.join(labels, (links["k"] == labels["k"]) & (links["j"] == labels["node"])).select(links["k"], links["i"].alias("node"), "label")
-        low = labels.unionByName(spread).groupBy("k", "node").agg(F.min("label").alias("label"))
-        up = low.select(F.col("k").alias("_k"), F.col("node").alias("_n"), F.col("label").alias("_up"))
-        moved = low.join(up, (F.col("k") == F.col("_k")) & (F.col("label") == F.col("_n"))).select("k", "node", F.least("label", "_up").alias("label")).persist()
-        changed = moved.join(labels.withColumnRenamed("label", "old"), ["k", "node"]).where("label <> old").limit(1).count()
-        labels = moved
-        if not changed:
-            break
-    return labels
+    nodes = both_ways(pairs).select("i").distinct().select("i", F.col("i").alias("j"), F.explode(F.sequence(F.lit(k_min), F.lit(k_max))).alias("k"))
+    kind = dict(pairs.dtypes)["i"]
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        names = np.unique(pdf[["i", "j"]].to_numpy())
+        labels = least_labels(names, np.searchsorted(names, pdf["i"]), np.searchsorted(names, pdf["j"]))
+        return pd.DataFrame({"k": key[0], "node": names, "label": labels})
+
+    return edges.unionByName(nodes).groupBy("k").applyInPandas(run, f"k int, node {kind}, label {kind}")
 
 
 def component_sweep(pairs: DataFrame, k_min: int = 3, k_max: int = 40, mutual: bool = False) -> DataFrame:

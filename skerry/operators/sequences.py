@@ -53,8 +53,8 @@ def codons(s: Column, frame: int = 1) -> Column:
     """Codons of a frame 1, 2, 3 (or -1, -2, -3 on the other strand)."""
     strand = s if frame > 0 else reverse_complement(s)
     skip = abs(frame) - 1
-    n = F.floor((F.length(strand) - skip) / 3).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(strand, i * 3 + skip + 1, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    # one pass over the text; a substring for each codon would walk the string from its start every time
+    return F.regexp_extract_all(F.substring(strand, skip + 1, 1 << 30), F.lit("(?s)..."), 0)
 
 
 def translate(df: DataFrame, sequence: str, frame: int = 1, to_stop: bool = False, to: str = "protein") -> DataFrame:
@@ -86,21 +86,21 @@ def orfs(df: DataFrame, sequence: str, key: str, least: int = 30) -> DataFrame:
     skip = F.abs("frame") - 1
     a, b = F.col("first") * 3 + skip + 1, F.col("last") * 3 + skip + 3
     forward = F.col("frame") > 0
-    return found.select(key, "frame", F.when(forward, a).otherwise(F.col("length") - b + 1).alias("start"), F.when(forward, b).otherwise(F.col("length") - a + 1).alias("end"), "amino_acids")
+    return found.select(key, "frame", F.when(forward, a).otherwise(F.col("length") - b + 1).alias("first_base"), F.when(forward, b).otherwise(F.col("length") - a + 1).alias("last_base"), "amino_acids")
 
 
 def coverage(intervals: DataFrame, key: str) -> DataFrame:
-    """Bases that the union of (start, end) intervals covers, per key."""
-    w = Window.partitionBy(key).orderBy("start", "end")
-    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.greatest(F.lit(0), F.col("end") - F.greatest(F.col("start") - 1, F.coalesce(before, F.lit(0))))
+    """Bases that the union of (first_base, last_base) intervals covers, per key."""
+    w = Window.partitionBy(key).orderBy("first_base", "last_base")
+    before = F.max("last_base").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.greatest(F.lit(0), F.col("last_base") - F.greatest(F.col("first_base") - 1, F.coalesce(before, F.lit(0))))
     return intervals.withColumn("_new", new).groupBy(key).agg(F.sum("_new").alias("covered"))
 
 
 def kmers(df: DataFrame, sequence: str, by: list[str], k: int = 4, canonical: bool = False) -> DataFrame:
     """Overlapping k-mer counts; canonical ones fold a k-mer and its reverse complement into the lesser."""
-    n = F.length(sequence) - k
-    parts = F.when(n >= 0, F.transform(F.sequence(F.lit(0), n), lambda i: F.substring(F.col(sequence), i + 1, F.lit(k))))
+    # k passes, each over every k-th position
+    parts = F.concat(*(F.regexp_extract_all(F.substring(F.col(sequence), o + 1, 1 << 30), F.lit(f"(?s).{{{k}}}"), 0) for o in range(k)))
     rows = df.select(*by, F.explode(parts).alias("kmer"))
     if canonical:
         rows = rows.withColumn("kmer", F.least("kmer", reverse_complement(F.col("kmer"))))

@@ -171,10 +171,11 @@ def extinction(spark: SparkSession, P0_values: tuple[int, ...] = (1, 2, 5, 10),
     """Simulated share of runs that lose their phages for each P0, with Wilson's interval and the branching-process theory."""
     from skerry.operators.lab import wilson
 
-    settings = {"burst": 50, "adsorption": 1e-3, "S0": 200, "decay": 0.05} | p
+    settings = {"burst": 50, "adsorption": 1e-3, "S0": 200, "decay": 0.05}
+    settings |= {k: p.pop(k) for k in list(p) if k in settings}
     parts = None
     for P0 in P0_values:  # a few settings, each of many runs
-        found = gillespie(spark, runs, P0=P0, growth=0.0, **settings).agg(F.count("*").alias("runs"), F.count_if(F.col("phages_extinct") & (F.col("cells") > 0)).alias("extinct")).select(F.lit(P0).alias("P0"), "runs", "extinct", F.lit(extinction_theory(P0=P0, **settings)).alias("theory"))
+        found = gillespie(spark, runs, P0=P0, growth=0.0, **settings, **p).agg(F.count("*").alias("runs"), F.count_if(F.col("phages_extinct") & (F.col("cells") > 0)).alias("extinct")).select(F.lit(P0).alias("P0"), "runs", "extinct", F.lit(extinction_theory(P0=P0, **settings)).alias("theory"))
         parts = found if parts is None else parts.unionByName(found)
     low, high = wilson(F.col("extinct"), F.col("runs"))
     return parts.withColumn("low", low).withColumn("high", high)

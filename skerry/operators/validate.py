@@ -1,4 +1,4 @@
-"""Table validation: all cells as text, unpivoted to (row_num, column, raw), rules as projections."""
+"""Table validation: all cells as text, unpivoted to (row_num, column_name, raw), rules as projections."""
 
 from __future__ import annotations
 
@@ -47,18 +47,18 @@ def as_number(raw: Column) -> Column:
 
 
 def cells(df: DataFrame, key: str) -> DataFrame:
-    """(row_num, column, raw): ``key`` must be a dense row number from 0; row numbers in reports count the header and start at 2."""
+    """(row_num, column_name, raw): ``key`` must be a dense row number from 0; row numbers in reports count the header and start at 2."""
     others = [c for c in df.columns if c != key]
-    pairs = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("raw")) for c in others))
+    pairs = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("raw")) for c in others))
     return df.select((F.col(key) + 2).cast("long").alias("row_num"), F.explode(pairs).alias("x")).select("row_num", "x.*")
 
 
 def validate(df: DataFrame, key: str, rules: list[Rule], least_rows: int = 3) -> DataFrame:
-    """Issues (severity, row_num, column, rule): block, warn or info.  The table is valid without a block."""
+    """Issues (severity, row_num, column_name, rule): block, warn or info.  The table is valid without a block."""
     spark = df.sparkSession
-    schema = "column string, kind string, required boolean, least double, most double, allowed array<string>"
-    known = spark.createDataFrame([(r.name, r.kind, r.required, r.least, r.most, list(r.allowed) if r.allowed else None) for r in rules], schema)
-    c = cells(df, key).join(F.broadcast(known), "column").withColumn("value", as_number(F.col("raw"))).withColumn("missing", is_missing(F.col("raw")))
+    schema = "column_name string, kind string, required boolean, least double, most double, allowed array<string>"
+    known = spark.createDataFrame([(r.name, r.kind, r.required, *(None if x is None else float(x) for x in (r.least, r.most)), list(r.allowed) if r.allowed else None) for r in rules], schema)
+    c = cells(df, key).join(F.broadcast(known), "column_name").withColumn("value", as_number(F.col("raw"))).withColumn("missing", is_missing(F.col("raw")))
     numeric, v = F.col("kind").isin("number", "integer"), F.col("value")
     found = [
         (F.col("missing") & F.col("required"), "warn", "missing_value"),
@@ -69,15 +69,15 @@ def validate(df: DataFrame, key: str, rules: list[Rule], least_rows: int = 3) ->
         (~F.col("missing") & F.col("allowed").isNotNull() & ~F.array_contains("allowed", F.trim("raw")), "warn", "not_allowed"),
     ]
     issues = F.filter(F.array(*(F.when(F.coalesce(test & ~(F.col("missing") & F.lit(name != "missing_value")), F.lit(False)), F.struct(F.lit(s).alias("severity"), F.lit(name).alias("rule"))) for test, s, name in found)), lambda x: x.isNotNull())
-    rows = c.select("row_num", "column", F.explode(issues).alias("x")).select("x.severity", "row_num", "column", "x.rule")
+    rows = c.select("row_num", "column_name", F.explode(issues).alias("x")).select("x.severity", "row_num", "column_name", "x.rule")
     none = F.lit(None).cast("long")
     there = [x for x in df.columns if x != key]
     lacking, extra = [r.name for r in rules if r.required and r.name not in there], [x for x in there if x not in {r.name for r in rules}]
     whole = [("block", x, "missing_column") for x in lacking] + [("info", x, "extra_column") for x in extra]
     if whole:
-        rows = rows.unionByName(spark.createDataFrame(whole, "severity string, column string, rule string").withColumn("row_num", none).select("severity", "row_num", "column", "rule"))
-    few = df.agg(F.count("*").alias("n")).where(F.col("n") < least_rows).select(F.lit("warn").alias("severity"), none.alias("row_num"), F.lit(None).cast("string").alias("column"), F.lit("too_few_rows").alias("rule"))
-    copies = duplicates(df, key).select(F.lit("warn").alias("severity"), "row_num", F.lit(None).cast("string").alias("column"), F.lit("duplicate_row").alias("rule"))
+        rows = rows.unionByName(spark.createDataFrame(whole, "severity string, column_name string, rule string").withColumn("row_num", none).select("severity", "row_num", "column_name", "rule"))
+    few = df.agg(F.count("*").alias("n")).where(F.col("n") < least_rows).select(F.lit("warn").alias("severity"), none.alias("row_num"), F.lit(None).cast("string").alias("column_name"), F.lit("too_few_rows").alias("rule"))
+    copies = duplicates(df, key).select(F.lit("warn").alias("severity"), "row_num", F.lit(None).cast("string").alias("column_name"), F.lit("duplicate_row").alias("rule"))
     return rows.unionByName(few).unionByName(copies)
 
 
@@ -100,15 +100,15 @@ def infer(df: DataFrame, key: str) -> DataFrame:
     """Per column: kind (integer, number, category or text), observed range, distinct values, allowed values up to 12, share missing."""
     c = cells(df, key).withColumn("raw", F.trim("raw")).withColumn("missing", is_missing(F.col("raw")))
     c = c.withColumn("value", F.when(~F.col("missing"), as_number(F.col("raw"))))
-    per = c.groupBy("column", F.when(~F.col("missing"), F.col("raw")).alias("v")).agg(F.count("*").alias("n"), F.max("value").alias("value"))
-    s = per.groupBy("column").agg(
+    per = c.groupBy("column_name", F.when(~F.col("missing"), F.col("raw")).alias("v")).agg(F.count("*").alias("n"), F.max("value").alias("value"))
+    s = per.groupBy("column_name").agg(
         F.sum("n").alias("rows"), F.sum(F.when(F.col("v").isNotNull(), F.col("n")).otherwise(0)).alias("present"), F.sum(F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0)).alias("numeric"),
-        F.sum(F.when(F.abs(F.col("value") - F.round("value")) <= 1e-9, F.col("n")).otherwise(0)).alias("whole"), F.min("value").alias("minimum"), F.max("value").alias("maximum"), F.count("v").alias("distinct"),
+        F.sum(F.when(F.abs(F.col("value") - F.round("value")) <= 1e-9, F.col("n")).otherwise(0)).alias("whole"), F.min("value").alias("minimum"), F.max("value").alias("maximum"), F.count("v").alias("n_distinct"),
     )
     numeric = (F.col("present") > 0) & (F.col("numeric") == F.col("present"))
-    category = F.col("distinct") <= F.greatest(F.lit(2), F.floor(F.col("rows") / 3))
+    category = F.col("n_distinct") <= F.greatest(F.lit(2), F.floor(F.col("rows") / 3))
     kind = F.when(numeric & (F.col("whole") == F.col("present")), "integer").when(numeric, "number").when(category, "category").otherwise("text")
-    return s.select("column", kind.alias("kind"), F.when(numeric, F.col("minimum")).alias("minimum"), F.when(numeric, F.col("maximum")).alias("maximum"), "distinct", (F.col("rows") - F.col("present")).alias("missing"))
+    return s.select("column_name", kind.alias("kind"), F.when(numeric, F.col("minimum")).alias("minimum"), F.when(numeric, F.col("maximum")).alias("maximum"), "n_distinct", (F.col("rows") - F.col("present")).alias("missing"))
 
 
 def suggest_template(columns: list[str]) -> str | None:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from skerry.plans import statistics
+from skerry.plans import biology, statistics, texts
 
 
 def queries() -> dict:
-    return {**statistics.QUERIES}
+    return {**statistics.QUERIES, **biology.QUERIES, **texts.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**statistics.SQL}
+    return {**statistics.SQL, **biology.SQL, **texts.SQL}

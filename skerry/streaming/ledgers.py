@@ -15,7 +15,7 @@ def windowed(events: DataFrame, time: str, group: str, value: str, width: str =
 def sessions(events: DataFrame, time: str, key: str, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """Sessions of each key: start, end and events."""
     rows = events.withWatermark(time, late) if events.isStreaming else events
-    return rows.groupBy(F.session_window(time, gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+    return rows.groupBy(F.session_window(time, gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
 
 
 def running_tests(transcripts: DataFrame) -> DataFrame:
