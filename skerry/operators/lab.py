@@ -1,7 +1,5 @@
 """Bench arithmetic over rows of a DataFrame."""
 
-from __future__ import annotations
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,10 +23,14 @@ def wilson(successes: Column, n: Column, z: float = 1.96) -> tuple[Column, Colum
     return middle - reach, middle + reach
 
 
-@F.pandas_udf("struct<low:double,high:double>")
-def poisson_interval(counts: pd.Series) -> pd.DataFrame:
-    """Exact interval of Poisson counts, one row a plate."""
-    return pd.DataFrame([special.poisson_interval(int(c)) for c in counts], columns=["low", "high"])
+def poisson_interval(counts: Column) -> Column:
+    """Exact interval (low, high) of Poisson counts, one row a plate."""
+
+    @F.pandas_udf("struct<low:double,high:double>")
+    def run(c: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([special.poisson_interval(int(x)) for x in c], columns=["low", "high"])
+
+    return run(counts)
 
 
 def titre(df: DataFrame, count: str, dilution: str, volume: str) -> DataFrame:

@@ -64,14 +64,13 @@ def bca_interval(rows: DataFrame, found: DataFrame, value: str, name: str = "mea
 def jackknife(rows: DataFrame, value: str, name: str = "mean") -> DataFrame:
     """Each observation's statistic without it, and its influence.  Mean and sd have closed forms; others leave rows out by a join."""
     if name in ("mean", "sd"):
-        s = rows.agg(F.count("*").alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("v"))
+        s = rows.agg(F.count("*").alias("_n"), F.avg(value).alias("_m"), F.var_pop(value).alias("_var"))
         joined = rows.join(F.broadcast(s))  # one row
-        n, x = F.col("n").cast("double"), F.col(value)
-        mean = F.col("m") + (F.col("m") - x) / (n - 1)
-        left = F.col("v") * n - (x - F.col("m")) ** 2 * n / (n - 1)
-        out = mean if name == "mean" else F.sqrt(F.greatest(left, F.lit(0.0)) / (n - 2))
-        whole = F.col("m") if name == "mean" else F.sqrt(F.col("v") * n / (n - 1))
-        return joined.where("n > 2").select("idx", value, out.alias("left_out"), (whole - out).alias("influence"))
+        n, x, m = F.col("_n").cast("double"), F.col(value), F.col("_m")
+        left = F.col("_var") * n - (x - m) ** 2 * n / (n - 1)
+        out = m + (m - x) / (n - 1) if name == "mean" else F.sqrt(F.greatest(left, F.lit(0.0)) / (n - 2))
+        whole = m if name == "mean" else F.sqrt(F.col("_var") * n / (n - 1))
+        return joined.where("_n > 2").select("idx", value, out.alias("left_out"), (whole - out).alias("influence"))
     other = rows.select(F.col("idx").alias("_i"), F.col(value).alias("_v"))
     out = rows.select("idx", value).join(other, F.col("idx") != F.col("_i")).groupBy("idx", value).agg(statistic(name, "_v").alias("left_out"))
     whole = rows.agg(statistic(name, value).alias("whole"))

@@ -47,17 +47,17 @@ def theil_sen(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
 
 
 def mann_kendall(df: DataFrame, order: str, value: str, by: list[str]) -> DataFrame:
-    """S over the rows' order, its tie-corrected variance, the continuity-corrected z, and tau-b."""
+    """S (score) over the rows' order, its tie-corrected variance, the continuity-corrected z, and tau-b."""
     rows = finite(df, value).select(*by, F.col(order).alias("_o"), F.col(value).alias("_v"))
     a, b = rows.withColumnsRenamed({"_o": "_o1", "_v": "_v1"}), rows.withColumnsRenamed({"_o": "_o2", "_v": "_v2"})
-    s = a.join(b, by).where("_o1 < _o2").groupBy(*by).agg(F.sum(F.signum(F.col("_v2") - F.col("_v1"))).alias("s"))
+    s = a.join(b, by).where("_o1 < _o2").groupBy(*by).agg(F.sum(F.signum(F.col("_v2") - F.col("_v1"))).alias("score"))
     tied = rows.groupBy(*by, "_v").agg(F.count("*").cast("double").alias("t"))
     ties = tied.groupBy(*by).agg(F.sum("t").alias("n"), F.sum(F.col("t") * (F.col("t") - 1) * (2 * F.col("t") + 5)).alias("term"), F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("pairs"))
     n = F.col("n")
     j = s.join(ties, by).withColumn("variance", (n * (n - 1) * (2 * n + 5) - F.col("term")) / 18)
-    z = F.when(F.col("s") > 0, F.col("s") - 1).when(F.col("s") < 0, F.col("s") + 1).otherwise(0.0)
+    z = F.when(F.col("score") > 0, F.col("score") - 1).when(F.col("score") < 0, F.col("score") + 1).otherwise(0.0)
     all_pairs = n * (n - 1) / 2
-    return j.select(*by, n.cast("long").alias("n"), "s", "variance", ratio(z, F.sqrt("variance"), 0.0).alias("z"), ratio(F.col("s"), F.sqrt((all_pairs - F.col("pairs")) * all_pairs), 0.0).alias("tau_b"))
+    return j.select(*by, n.cast("long").alias("n"), "score", "variance", ratio(z, F.sqrt("variance"), 0.0).alias("z"), ratio(F.col("score"), F.sqrt((all_pairs - F.col("pairs")) * all_pairs), 0.0).alias("tau_b"))
 
 
 def growth(df: DataFrame, time: str, density: str, by: list[str]) -> DataFrame:

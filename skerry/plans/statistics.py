@@ -148,7 +148,7 @@ def theil_sen_hourly(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_HOURLY}, s AS (SELECT a.event_type, CAST(sum(sign(b.v - a.v)) AS DOUBLE) AS s FROM x a JOIN x b ON a.event_type = b.event_type AND a.t < b.t GROUP BY 1),
   c AS (SELECT event_type, v, CAST(count(*) AS DOUBLE) AS t FROM x GROUP BY 1, 2), q AS (SELECT event_type, sum(t) AS n, sum(t * (t - 1) * (2 * t + 5)) AS term, sum(t * (t - 1) / 2) AS p FROM c GROUP BY 1),
   j AS (SELECT *, (n * (n - 1) * (2 * n + 5) - term) / 18 AS variance FROM s JOIN q USING (event_type))
-  SELECT event_type, CAST(n AS BIGINT) AS n, s, round(variance, 6) AS variance, round(CASE WHEN s > 0 THEN s - 1 WHEN s < 0 THEN s + 1 ELSE 0 END / sqrt(variance), 6) AS z, round(s / sqrt((n * (n - 1) / 2 - p) * (n * (n - 1) / 2)), 6) AS tau_b FROM j""")
+  SELECT event_type, CAST(n AS BIGINT) AS n, s AS score, round(variance, 6) AS variance, round(CASE WHEN s > 0 THEN s - 1 WHEN s < 0 THEN s + 1 ELSE 0 END / sqrt(variance), 6) AS z, round(s / sqrt((n * (n - 1) / 2 - p) * (n * (n - 1) / 2)), 6) AS tau_b FROM j""")
 def mann_kendall_hourly(spark: SparkSession, d: str) -> DataFrame:
     return rounded(series.mann_kendall(_daily(spark, d), "t", "v", ["event_type"]))
 
