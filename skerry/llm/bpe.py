@@ -4,12 +4,11 @@ Defined cases: a null or empty text has no ids and decodes to the empty text; re
 repeated results; a null id is carried; other columns are ignored.
 """
 
-from __future__ import annotations
-
 import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,10 +56,8 @@ def decode(rows: DataFrame, path: str | None = None, ids_column: str = "ids", to
     """``rows`` with the text that its ids stand for in column ``to``; null ids give null."""
 
     @F.pandas_udf("string")
-    def run(ids: "pd.Series") -> "pd.Series":  # noqa: F821
-        import pandas as pd
-
+    def run(ids: pd.Series) -> pd.Series:
         bpe = byte_bpe.load(byte_bpe.resolve(path))
-        return pd.Series([None if x is None else bpe.decode(x.tolist()) for x in ids], dtype=object)
+        return pd.Series([None if x is None else bpe.decode(list(x)) for x in ids], dtype=object)
 
     return rows.withColumn(to, run(ids_column))

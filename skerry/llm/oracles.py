@@ -37,7 +37,7 @@ def op9_warc() -> str:
         text = f"regexp_replace({text}, '{pattern}', {to}, 'g')"
     for entity, shown in ENTITIES.items():
         text = f"replace({text}, '{entity}', '{shown.replace(chr(39), chr(39) * 2)}')"
-    text = f"trim(regexp_replace(regexp_replace({text}, '[ \\t\\r]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'), ' ')"
+    text = f"regexp_replace(regexp_replace(regexp_replace({text}, '[ \\t\\r]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'), '\\A[ \\n]+|[ \\n]+\\z', '', 'g')"
     return f"""
 WITH r AS (SELECT page_id, url AS target_uri, coalesce(html, '') AS payload, md5(concat_ws('|', 'response', CAST(page_id AS VARCHAR), url)) AS h FROM pages),
 s AS (SELECT *, {_ID.format(h='h')} AS refers_to, {_SHA.format(x='payload')} AS source_digest,

@@ -47,7 +47,7 @@ def plain_text(html: Column) -> Column:
     for entity, shown in ENTITIES.items():
         text = F.replace(text, F.lit(entity), F.lit(shown))
     text = F.regexp_replace(text, "[ \\t\\r]+", " ")
-    return F.trim(F.regexp_replace(text, " ?\\n[ \\n]*", "\n"))
+    return F.regexp_replace(F.regexp_replace(text, " ?\\n[ \\n]*", "\n"), r"\A[ \n]+|[ \n]+\z", "")
 
 
 def responses(pages: DataFrame) -> DataFrame:
