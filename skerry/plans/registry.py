@@ -10,6 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from skerry.operators import curves, diversity, groups, lab, neighbours, resample, sequences, series, simulate, validate
+from skerry.plans.compare import compare_groups
 
 
 @dataclass(frozen=True)
@@ -28,7 +29,7 @@ TOOLS = {
     t.name: t
     for t in (
         Tool("describe", "statistics", 5, 12, groups.describe, ("df", "group", "value"), ("by",)),
-        Tool("compare_groups", "statistics", 7, 12, lambda **a: __import__("skerry.plans.compare", fromlist=["x"]).compare_groups(**a), ("df", "group", "value"), ("by", "alpha", "prefer_robust"), True),
+        Tool("compare_groups", "statistics", 7, 12, compare_groups, ("df", "group", "value"), ("by", "alpha", "prefer_robust"), True),
         Tool("shuffle_test", "statistics", 7, 12, resample.shuffle_test, ("rows", "group", "value", "a", "b", "replicates"), ("seed", "name"), True),
         Tool("correlate", "statistics", 8, 12, series.line, ("df", "x", "y"), (), True),
         Tool("contingency", "statistics", 8, 12, groups.chi_square, ("df", "row", "column"), (), True),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.operators import groups, resample, series
+from skerry.operators import groups, resample, robust, series
 from skerry.plans.compare import compare_groups, post_hoc
 from skerry.sources.tables import load
 
@@ -229,3 +229,37 @@ def compare_groups_by_priority(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def post_hoc_segments(spark: SparkSession, d: str) -> DataFrame:
     return post_hoc(load(spark, d, "customer"), "c_mktsegment", "c_acctbal")
+
+
+def _two(spark: SparkSession, d: str) -> DataFrame:
+    return resample.indexed(load(spark, d, "supplier"), "s_suppkey", "s_nationkey", "s_acctbal").withColumn("g", F.when(F.col("s_nationkey") < 12, "low").otherwise("high"))
+
+
+@query(f"""WITH s AS (SELECT CASE WHEN s_nationkey < 12 THEN 'low' ELSE 'high' END AS g, row_number() OVER (PARTITION BY s_nationkey < 12 ORDER BY s_suppkey) - 1 AS slot, count(*) OVER (PARTITION BY s_nationkey < 12) AS size, s_acctbal AS v FROM supplier),
+  d AS (SELECT r.range AS r, g, CAST(concat('0x', substr(md5(concat_ws('|', '20260901', CAST(r.range AS VARCHAR), g, CAST(slot AS VARCHAR))), 1, 8)) AS BIGINT) % size AS slot FROM s, range(300) r),
+  x AS (SELECT r, d.g, count(*) AS n, avg(v) AS m, var_samp(v) AS v FROM d JOIN s USING (g, slot) GROUP BY 1, 2),
+  y AS (SELECT a.r, a.n + b.n - 2 AS f, (a.m - b.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2)) AS d FROM x a JOIN x b ON a.r = b.r AND a.g = 'low' AND b.g = 'high'), z AS (SELECT d * (1 - 3.0 / (4 * f - 1)) AS g FROM y)
+  SELECT round(quantile_cont(g, 0.025), 6) AS low, round(quantile_cont(g, 0.975), 6) AS high, round(stddev_samp(g), 6) AS se, round(avg(g), 6) AS mean FROM z""")
+def effect_interval_supplier(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(robust.effect_interval(_two(spark, d), "g", "s_acctbal", "low", "high", 300))
+
+
+@query()
+def stability_supplier(spark: SparkSession, d: str) -> DataFrame:
+    return robust.stability(_two(spark, d), "g", "s_acctbal", 100)
+
+
+@query()
+def one_sample_supplier(spark: SparkSession, d: str) -> DataFrame:
+    return robust.one_sample(_sample(spark, d), "s_acctbal", 4500.0, 200)
+
+
+@query("""WITH e AS (SELECT min(value) AS a, max(value) AS b FROM events), x AS (SELECT CAST(least(39, floor((value - a) / (b - a) * 40)) AS INTEGER) AS bin, a, b FROM events, e)
+  SELECT bin, round(a + bin * (b - a) / 40, 6) AS from_value, count(*) AS n FROM x GROUP BY bin, a, b""")
+def histogram_events(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(robust.histogram(load(spark, d, "events"), "value"))
+
+
+@query("SELECT l_orderkey, series, value FROM (SELECT l_orderkey, 'l_discount' AS series, l_discount AS value FROM lineitem UNION ALL SELECT l_orderkey, 'l_tax', l_tax FROM lineitem)")
+def long_series_lines(spark: SparkSession, d: str) -> DataFrame:
+    return robust.long_series(load(spark, d, "lineitem"), "l_orderkey", "l_discount", "l_tax")
