@@ -28,7 +28,8 @@ import regex
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A text that holds one of these isn't cut at blanks: white space in runs, or of other kinds (fixed value of Unicode).
 _UNEVEN = ("  ", " \n", "\n ", "\n\n", *map(chr, (9, 11, 12, 13, 28, 29, 30, 31, 133, 160, 5760, 6158, *range(8192, 8204), 8232, 8233, 8239, 8287, 12288, 65279)))
-MAX_PIECES = 600_000
+#: Entries of a table; the tables of ``ByteBPE`` are smaller, as they share a worker with other stages of a pipeline.
+MAX_PIECES, MAX_OWN_PIECES = 600_000, 200_000
 
 
 def byte_symbols() -> list[str]:
@@ -69,9 +70,9 @@ def packed(ids: Iterable[int]) -> bytes:
 class PieceEncoder:
     """Packed ids of whole texts from those of pieces; ``encode_piece`` gives those of one cut-out piece."""
 
-    def __init__(self, encode_piece: Callable[[str], bytes], encode_whole: Callable[[str], bytes], added: list[str]):
-        self.after_blank = Pieces(lambda piece: encode_piece(" " + piece))
-        self.at_start = Pieces(encode_piece)
+    def __init__(self, encode_piece: Callable[[str], bytes], encode_whole: Callable[[str], bytes], added: list[str], limit: int = MAX_PIECES):
+        self.after_blank = Pieces(lambda piece: encode_piece(" " + piece), limit)
+        self.at_start = Pieces(encode_piece, limit)
         self.line_feed = encode_piece("\n")
         self.encode_whole, self.refused = encode_whole, (*_UNEVEN, *added)
 
@@ -109,9 +110,9 @@ class ByteBPE:
         self.strings |= {i: s.encode() for s, i in self.added.items()}
         self.pattern = regex.compile(PATTERN)
         self.split_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.tokens = Pieces(lambda token: packed(self.merge(token.encode("utf-8", "replace"))))
+        self.tokens = Pieces(lambda token: packed(self.merge(token.encode("utf-8", "replace"))), MAX_OWN_PIECES)
         self.numbers = {i: str(i) for i in self.strings}
-        self.pieces = PieceEncoder(self.encode_piece, self.encode_whole, list(self.added))
+        self.pieces = PieceEncoder(self.encode_piece, self.encode_whole, list(self.added), MAX_OWN_PIECES)
         self.encode = self.pieces.encode
 
     def merge(self, raw: bytes) -> list[int]:

@@ -12,7 +12,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 
 U64 = np.uint64
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 SHINGLE_WORDS = 5
 
 _rng = np.random.default_rng(20240229)
