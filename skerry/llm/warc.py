@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skerry.llm.quality import let
+
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DATE = "2024-01-01T00:00:00Z"
 #: Markup that starts a new line of plain text (fixed value).
@@ -25,10 +27,13 @@ ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'"
 
 def digest(block: Column) -> Column:
     """``sha1:`` and the SHA-1 in base 32."""
-    hexes = F.sha1(F.encode(block, "UTF-8"))
-    five = lambda i: F.conv(F.substring(hexes, (F.floor(i / 4) * 5 + 1).cast("int"), F.lit(5)), 16, 10).cast("int")
-    digit = lambda i: F.substring(F.lit(BASE32), F.try_mod(F.floor(five(i) / F.pow(F.lit(2.0), 15 - 5 * (i % 4))).cast("int"), F.lit(32)) + 1, F.lit(1))
-    return F.concat(F.lit("sha1:"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), digit), ""))
+    def base32(hexes: Column) -> Column:
+        five = lambda i: F.conv(F.substring(hexes, (F.floor(i / 4) * 5 + 1).cast("int"), F.lit(5)), 16, 10).cast("int")
+        digit = lambda i: F.substring(F.lit(BASE32), F.try_mod(F.floor(five(i) / F.pow(F.lit(2.0), 15 - 5 * (i % 4))).cast("int"), F.lit(32)) + 1, F.lit(1))
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), digit), "")
+
+    # bound once: the lambda over digits would hash the block for each of them
+    return F.concat(F.lit("sha1:"), let(F.sha1(F.encode(block, "UTF-8")), base32))
 
 
 def record_id(*parts: Column) -> Column:
