@@ -6,15 +6,19 @@ in an order of its own (from another place on, round the ring) and sorts all cla
 that share a tree's first 3 values are a region.  Candidates come in three steps:
 
 1. each class with the least class of each of its regions;
-2. longest-common-prefix neighbours: in each tree's sorted order, each class with the classes just
-   before it in its region, if they are in another component so far;
-3. what steps 1 and 2 may leave in regions beyond the neighbour window: all pairs of different components,
-   in the region itself, or, where it is large, at the depth that its size calls for.
+2. longest-common-prefix neighbours: in each tree's sorted order of the regions beyond the window, each
+   class with the likest of the classes just before it, if they are in another component so far;
+3. all pairs of different components in every region.  A large region is dealt into blocks, a component
+   that fills a block into blocks of its own; two blocks meet in one task, which compares signatures and
+   then full sets and gives only links.  Blocks of one component don't meet.
+
+Steps 1 and 2 save comparisons; step 3 alone decides what is found.
 
 Two sets with a similarity of 0.75 share no region in any tree with a probability of 2e-6.  Pairs
 whose signatures differ too much for 0.75 (4.5 standard deviations) are left out; every other pair
 is confirmed on its full sets, read from the texts again.  Components grow after each step, and a
-pair within one component is never compared, so large groups cost about one comparison a class.
+pair within one component is never compared, so large groups cost about one comparison a class.  What
+lies beside a large group in its regions is compared with the whole group: that is its size times theirs.
 
 Defined cases: a null or empty text, or one of blanks, has an empty set and is its own component;
 fewer than 5 words are one shingle; rows with the same doc_id are one document; a row with a null
@@ -41,7 +45,9 @@ PERCENT = 75
 LEAST_EQUAL = int(VALUES * (0.75 - 4.5 * (0.75 * 0.25 / VALUES) ** 0.5))
 NEIGHBOURS = 8
 SMALL_REGION = 64
-DEEPER = (6, 12)
+#: Classes and shingles of a block; two blocks are in one task.
+BLOCK_ROWS, BLOCK_SHINGLES = 4096, 1 << 20
+TILE = 32
 MAX_BROADCAST_IDS = 4_000_000
 
 _rng = np.random.default_rng(19970501)
@@ -119,9 +125,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([batch.column(0).slice(first, len(raws)), pa.array([s.astype("<u8").tobytes() for s in words.shingle_sets(raws)], pa.binary())], names=["doc_id", "set"])
 
 
-def _like_rows(window: int):
-    """Over rows (region, rep, component, signature) in order: pairs of a row and one of the ``window`` before it that share
-    the region, are in different components, and whose signatures allow the similarity."""
+def _like_rows(window: int, likest: bool = False):
+    """Over rows (region, rep, component, signature) in order: pairs of a row and one of the ``window`` before it (or the
+    ``likest`` of them) that share the region, are in different components, and whose signatures allow the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = [*[np.empty(0, np.int64)] * 3, np.empty((0, VALUES), ">u4")]
@@ -130,17 +136,106 @@ def _like_rows(window: int):
             signs = np.frombuffer(b"".join(batch.column(3).to_pylist()), ">u4").reshape(-1, VALUES)
             region, rep, part, sign = (np.concatenate([old, new]) for old, new in zip(last, (*(batch.column(k).to_numpy() for k in range(3)), signs)))
             found = []
+            most, other = np.full(len(rep), LEAST_EQUAL - 1), np.full(len(rep), -1)
             for step in range(1, window + 1):
                 i = np.arange(max(held, step), len(rep))
                 i = i[(region[i] == region[i - step]) & (part[i] != part[i - step])]
-                i = i[(sign[i] == sign[i - step]).sum(axis=1) >= LEAST_EQUAL]
+                equal = (sign[i] == sign[i - step]).sum(axis=1)
+                if likest:
+                    more = equal > most[i]
+                    most[i[more]], other[i[more]] = equal[more], i[more] - step
+                    continue
+                i = i[equal >= LEAST_EQUAL]
                 found.append((np.minimum(rep[i], rep[i - step]), np.maximum(rep[i], rep[i - step])))
+            i = np.flatnonzero(other >= 0)
+            found.append((np.minimum(rep[i], rep[other[i]]), np.maximum(rep[i], rep[other[i]])))
             yield pa.record_batch([pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], names=["a", "b"])
             last = [x[-window:] for x in (region, rep, part, sign)]
 
     return run
 
 
+def _meeting(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """A meeting of two blocks (or of one with itself): its rows, the second block's last; components; the second
+    block's places; and, tile by tile, the places of pairs of different components whose signatures allow the similarity.
+
+    Classes that share regions in several trees are a pair in the first of these trees only.
+    """
+    table = table.sort_by([("side", "ascending"), ("rep", "ascending")]).combine_chunks()
+    part, side, tree = (table.column(k).to_numpy() for k in ("component", "side", "tree"))
+    sign = np.frombuffer(b"".join(table.column("sig").to_pylist()), ">u4").reshape(-1, VALUES).astype(np.uint32)
+    by_value = np.ascontiguousarray(sign.T)
+    alone = table.column("x")[0].as_py() == table.column("y")[0].as_py()
+    left = np.flatnonzero(side == 0)
+    right = left if alone else np.flatnonzero(side == 1)
+
+    def tiles() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for first in range(0, len(left), TILE):
+            i = left[first : first + TILE]
+            equal = np.zeros((len(i), len(right)), np.uint8)
+            for values in by_value:
+                equal += values[i][:, None] == values[right][None]
+            ok = (equal >= LEAST_EQUAL) & (part[i][:, None] != part[right][None])
+            if alone:
+                ok &= i[:, None] < right[None]
+            p, q = np.nonzero(ok)
+            p, q = i[p], right[q]
+            if len(p):
+                shared = (sign[p] == sign[q]).reshape(-1, TREES, FIRST).all(axis=2)
+                here = shared[np.arange(len(p)), tree[p]] & (shared.argmax(axis=1) == tree[p])
+                yield p[here], q[here]
+
+    return table, part, right, tiles()
+
+
+def _met(table: pa.Table) -> pa.Table:
+    """The rows of a meeting that have a pair to confirm."""
+    table, part, _, tiles = _meeting(table)
+    paired = np.zeros(len(part), bool)
+    for p, q in tiles:
+        paired[p] = paired[q] = True
+    return table.filter(pa.array(paired)).drop_columns(["sig"])
+
+
+def _met_links(table: pa.Table) -> pa.Table:
+    """Links by full sets that join the components of a meeting, no more than it takes."""
+    table, part, right, tiles = _meeting(table)
+    rep = table.column("rep").to_numpy()
+    sets = [np.frombuffer(x, "<u8") for x in table.column("set").to_pylist()]
+    sizes = np.array([len(s) for s in sets], np.int64)
+    at = np.concatenate(([0], np.cumsum(sizes)))
+    values, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(values), np.int32)
+    up = {int(c): int(c) for c in part}
+
+    def root(c: int) -> int:
+        while up[c] != c:
+            up[c] = c = up[up[c]]
+        return c
+
+    found = []
+    for p, q in tiles:
+        for i in np.unique(p):
+            own, others = root(int(part[i])), q[p == i]
+            open_ = np.array([root(int(c)) != own for c in part[others]], bool)
+            others = others[open_]
+            if not len(others):
+                continue
+            mark[codes[at[i] : at[i + 1]]] = 1
+            if len(others) <= 8:
+                common = np.array([mark[codes[at[j] : at[j + 1]]].sum() for j in others])
+            else:  # the second block's rows stand together, and none is empty
+                counted = np.add.reduceat(mark[codes[at[right[0]] : at[right[-1] + 1]]], at[right] - at[right[0]])
+                common = counted[others - right[0]]
+            mark[codes[at[i] : at[i + 1]]] = 0
+            for j in others[100 * common >= PERCENT * (sizes[i] + sizes[others] - common)]:
+                a, b = root(int(part[i])), root(int(part[j]))
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+                    found.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+    return pa.table({k: pa.array([int(f[n]) for f in found], pa.int64()) for n, k in enumerate("ab")})
+
+
 class Forest:
     """Classes, their regions in every tree, and the components so far."""
 
@@ -174,9 +269,9 @@ class Forest:
         left, right = (sets.select(F.col("doc_id").alias(k), F.col("set").alias(f"set_{k}")) for k in "ab")
         return alike.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirm, "a long, b long")
 
-    def link(self, pairs: DataFrame) -> None:
-        """Confirm pairs and merge the components that they join."""
-        links = stage(self.confirmed(pairs), "links")
+    def link(self, links: DataFrame) -> None:
+        """Merge the components that confirmed pairs join."""
+        links = stage(links, "links")
         if self.component is not None:
             for k in "ab":
                 names = self.component.select(F.col("node").alias(k), F.col("root").alias("to"))
@@ -193,42 +288,54 @@ class Forest:
         self.component = stage(moved.unionByName(added), "components")
 
     def neighbours(self) -> DataFrame:
-        """Pairs of different components and like signatures that stand near each other in some tree's order, within a region."""
+        """Pairs of different components and like signatures that stand near each other in some tree's order, within a region beyond the window."""
         order = _prefix(F.col("tree"), VALUES)
-        placed = self.placed().join(self.classes.select("rep", "sig"), "rep").select("tree", order.alias("order"), "region", "rep", "component")
+        placed = self.placed().where(F.col("size") > NEIGHBOURS + 1).join(self.classes.select("rep", "sig"), "rep").select("tree", order.alias("order"), "region", "rep", "component")
         ordered = placed.repartitionByRange("tree", "order").sortWithinPartitions("tree", "order", "rep")
-
-        return ordered.select("region", "rep", "component", "order").mapInArrow(_like_rows(NEIGHBOURS), "a long, b long").distinct()
+        # pairs over the border of two ranges are left to the last step
+        return ordered.select("region", "rep", "component", "order").mapInArrow(_like_rows(NEIGHBOURS, likest=True), "a long, b long").distinct()
 
     def remaining(self) -> DataFrame:
-        """All pairs of different components in the regions that are larger than the neighbour window.
-
-        A region of more than ``SMALL_REGION`` classes is divided by more of its tree's values.
-        """
-        rows = self.placed().where(F.col("size") > NEIGHBOURS + 1).select("tree", "rep", "component", "region", "size")
-        rows = rows.join(self.classes.select("rep", "sig"), "rep")
-        small = rows.where(F.col("size") <= SMALL_REGION).select("region", "rep", "component", "sig")
-        large = rows.where(F.col("size") > SMALL_REGION)
-        for depth in DEEPER:
-            large = large.withColumn("region", F.xxhash64("tree", _prefix(F.col("tree"), depth)))
-            sizes = large.groupBy("region").agg(F.count("*").alias("now"))
-            sized = large.join(sizes, "region")
-            small = small.unionByName(sized.where(F.col("now") <= SMALL_REGION).select("region", "rep", "component", "sig"))
-            large = sized.where(F.col("now") > SMALL_REGION).drop("now")
+        """Links between all different components of every region."""
+        rows = stage(self.placed().select("tree", "region", "size", "rep", "component"), "mixed")
+        small = rows.where(F.col("size") <= SMALL_REGION).join(self.classes.select("rep", "sig"), "rep")
         # a small region is in one task as a whole, so the scan sees all of its pairs
         within = small.repartition("region").sortWithinPartitions("region", "rep").select("region", "rep", "component", "sig")
-        pairs = within.mapInArrow(_like_rows(SMALL_REGION - 1), "a long, b long")
-        x = large.select("region", F.col("rep").alias("a"), F.col("component").alias("of_a"))
-        y = large.select("region", F.col("rep").alias("b"), F.col("component").alias("of_b"))
-        crowded = x.join(y, "region").where("a < b and of_a <> of_b").select("a", "b")
-        return pairs.unionByName(crowded).distinct()
+        pairs = within.mapInArrow(_like_rows(SMALL_REGION - 1), "a long, b long").distinct()
+        large = rows.where(F.col("size") > SMALL_REGION).drop("size")
+        return self.confirmed(pairs).unionByName(self.crowded(large))
+
+    def crowded(self, large: DataFrame) -> DataFrame:
+        """Links between all different components of large regions, block by block."""
+        needed = F.ceil(F.greatest(F.col("n") / BLOCK_ROWS, F.col("load") / BLOCK_SHINGLES))
+        weighed = large.join(self.classes.select("rep", "n_shingles"), "rep")
+        shares = stage(weighed.groupBy("region", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("load")), "shares").withColumn("blocks", needed)
+        own = shares.where("blocks > 1").select("region", "component", F.col("blocks").alias("own"))
+        rest = shares.where("blocks <= 1").groupBy("region").agg(F.sum("n").alias("n"), F.sum("load").alias("load")).select("region", needed.alias("rest"))
+        dealt = large.join(bounded(own, MAX_BROADCAST_IDS), ["region", "component"], "left").join(bounded(rest, MAX_BROADCAST_IDS), "region", "left")
+        block = F.concat_ws(":", F.when(F.col("own").isNotNull(), F.col("component")), F.pmod(F.xxhash64("rep"), F.coalesce("own", "rest")))
+        dealt = stage(dealt.select("region", "tree", "rep", "component", F.when(F.col("own").isNotNull(), F.col("component")).alias("of"), block.alias("block")), "blocks")
+        blocks = stage(dealt.select("region", "of", "block").distinct(), "block-names")
+        x, y = (blocks.select("region", F.col("of").alias(f"of_{k}"), F.col("block").alias(k)) for k in "xy")
+        meetings = stage(x.join(y, "region").where("x <= y and (of_x is null or of_y is null or of_x <> of_y)").select("region", "x", "y"), "meetings")
+        rows = dealt.select("region", "tree", "rep", "component", "block")
+        first = rows.join(meetings.withColumn("block", F.col("x")), ["region", "block"]).withColumn("side", F.lit(0))
+        second = rows.join(meetings.where("x <> y").withColumn("block", F.col("y")), ["region", "block"]).withColumn("side", F.lit(1))
+        held = "region long, x string, y string, side int, tree int, rep long, component long"
+        names = ["region", "x", "y", "side", "tree", "rep", "component"]
+        seen = first.unionByName(second).join(self.classes.select("rep", "sig"), "rep").select(*names, "sig")
+        met = stage(seen.groupBy("region", "x", "y").applyInArrow(_met, held), "met").distinct()
+        ids = met.select(F.col("rep").alias("doc_id")).distinct()
+        sets = self.docs.join(bounded(ids, MAX_BROADCAST_IDS), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, set binary").where("length(set) > 0").dropDuplicates()
+        full = met.join(self.classes.select("rep", "sig"), "rep").join(sets.withColumnRenamed("doc_id", "rep"), "rep").select(*names, "sig", "set")
+        return full.groupBy("region", "x", "y").applyInArrow(_met_links, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` (first of its component)."""
     forest = Forest(docs)
-    forest.link(forest.places.where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct())
-    forest.link(forest.neighbours())
+    forest.link(forest.confirmed(forest.places.where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()))
+    forest.link(forest.confirmed(forest.neighbours()))
     forest.link(forest.remaining())
     named = forest.classes.select("hi", "lo", "n_shingles", "rep")
     if forest.component is not None:

@@ -160,6 +160,36 @@ def test_large_group_of_near_copies(spark):
     assert got == {i: c for i, (_, c) in brute_components(texts).items()}
 
 
+def test_near_duplicates_in_a_star_of_edits(spark, monkeypatch):
+    """Edits that are like their hub alone, a hub that is not the least of them, and edits just too far from it."""
+    r = random.Random(11)
+    hub = [f"w{r.randrange(10**9)}" for _ in range(354)]
+
+    def edit(changes):
+        w = list(hub)
+        for i in r.sample(range(6, 342, 6), changes):
+            w[i] = f"x{r.randrange(10**9)}"
+        return " ".join(w)
+
+    texts = [edit(9) for _ in range(1200)] + [edit(11) for _ in range(60)] + [" ".join(hub)]
+    sets = words.shingle_sets([t.encode() for t in texts])
+    values, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    sizes = np.array([len(s) for s in sets])
+    at = np.concatenate(([0], np.cumsum(sizes)))
+    want = list(range(len(texts)))
+    for i in range(len(texts)):
+        common = np.add.reduceat(np.isin(np.arange(len(values)), codes[at[i] : at[i + 1]])[codes].astype(int), at[:-1])
+        for j in np.flatnonzero(100 * common >= 75 * (sizes[i] + sizes - common)):
+            if want[i] != want[j]:
+                low, high = sorted((want[i], want[j]))
+                want = [low if c == high else c for c in want]
+    assert want[-1] == 0 and len(set(want)) == 61
+    for rows in (4096, 100):
+        monkeypatch.setattr(near_dup, "BLOCK_ROWS", rows, raising=False)
+        got = {x["doc_id"]: x["component_id"] for x in near_dup.near_duplicates(documents(spark, texts)).collect()}
+        assert got == dict(enumerate(want))
+
+
 def test_near_duplicates_odd_rows(spark):
     rows = [(None, "a b c d e f", "en", "s", 1), (7, "a b c d e f", "en", "s", 1), (7, "a b c d e f", "en", "s", 1), (3, None, None, None, None)]
     got = sorted(((x["doc_id"], x["component_id"], x["kept"]) for x in near_dup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
