@@ -13,8 +13,9 @@ from skerry.functions import exact
 from skerry.functions.columns import finite
 from skerry.operators import groups
 
-#: A permutation test enumerates or shuffles the values; above this many, rank sums stand in for it.
+#: Up to this many values a data set's permutation test is one task; with more, blocks of values are shuffled in tasks of their own.
 MAX_PERMUTED = 400
+SHUFFLES, BLOCK_VALUES, SEED = 9_999, 4096, 20260901
 FLOOR = 3
 
 
@@ -44,6 +45,49 @@ def _permutations(df: DataFrame, group: str, value: str, by: Sequence[str]) -> D
     return rows.groupBy(*by).applyInPandas(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in by), "p_permutation double"]))
 
 
+def _dealt_permutations(df: DataFrame, group: str, value: str, by: Sequence[str]) -> DataFrame:
+    """Permutation p of two-group data sets of any size: the same test, from SHUFFLES uniform splits.
+
+    Values are dealt into blocks by hash.  How many of a split's first group come from each block is one hypergeometric
+    draw, and which ones is a shuffle within the block, so that only sums leave a block.
+    """
+    rows = finite(df, value).select(*by, F.col(group).cast("string").alias("_g"), F.col(value).cast("double").alias("_v"))
+    keys = ", ".join(f"`{k}` {t}" for k, t in rows.dtypes if k in by)
+    one = rows.groupBy(*by, "_g").agg(F.count("*").alias("_n"), F.sum("_v").alias("_s"))
+    panel = one.groupBy(*by).agg(
+        F.min_by("_n", "_g").alias("_n_a"), F.max_by("_n", "_g").alias("_n_b"), F.min_by("_s", "_g").alias("_s_a"), F.max_by("_s", "_g").alias("_s_b"), F.ceil(F.sum("_n") / BLOCK_VALUES).alias("_blocks")
+    ).persist()
+    values = rows.groupBy(*by, "_v").agg(F.count("*").alias("_times")).join(panel.select(*by, "_blocks"), list(by)).withColumn("_block", F.pmod(F.xxhash64("_v"), F.col("_blocks"))).drop("_blocks")
+    sizes = values.groupBy(*by, "_block").agg(F.sum("_times").alias("_size")).join(panel.select(*by, "_n_a"), list(by))
+    shuffles, seed = SHUFFLES, SEED
+
+    def deal(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_block")
+        taken = np.random.default_rng(seed).multivariate_hypergeometric(pdf["_size"].to_numpy(), int(pdf["_n_a"].iloc[0]), size=shuffles, method="marginals")
+        return pd.DataFrame([(*key, b, taken[:, i].astype("<i8").tobytes()) for i, b in enumerate(pdf["_block"])], columns=[*by, "_block", "_taken"])
+
+    def shuffle(key: tuple, held: pd.DataFrame, taken: pd.DataFrame) -> pd.DataFrame:
+        held, rng = held.sort_values("_v"), np.random.default_rng([seed, int(key[-1])])
+        v, times = held["_v"].to_numpy(), held["_times"].to_numpy()
+        k = np.frombuffer(taken["_taken"].iloc[0], "<i8")
+        if times.sum() > 4 * BLOCK_VALUES:  # many equal values: how often each is taken
+            sums = [rng.multivariate_hypergeometric(times, int(n), method="marginals") @ v for n in k]
+        else:
+            pool = np.repeat(v, times)
+            sums = [rng.permutation(pool)[:n].sum() for n in k]
+        found = pd.DataFrame({"_replicate": np.arange(shuffles), "_part": np.asarray(sums, float)})
+        return found.assign(**dict(zip(by, key[:-1])))[[*by, "_replicate", "_part"]]
+
+    dealt = sizes.groupBy(*by).applyInPandas(deal, f"{keys}, _block long, _taken binary")
+    parts = values.groupBy(*by, "_block").cogroup(dealt.groupBy(*by, "_block")).applyInPandas(shuffle, f"{keys}, _replicate long, _part double")
+    null = parts.groupBy(*by, "_replicate").agg(F.sum("_part").alias("_s")).join(panel, list(by))
+    difference = F.col("_s") / F.col("_n_a") - (F.col("_s_a") + F.col("_s_b") - F.col("_s")) / F.col("_n_b")
+    observed = F.col("_s_a") / F.col("_n_a") - F.col("_s_b") / F.col("_n_b")
+    slack = 1e-12 * F.greatest(F.lit(1.0), F.abs(observed))
+    tails = null.groupBy(*by).agg(F.count_if(difference <= observed + slack).alias("_low"), F.count_if(difference >= observed - slack).alias("_high"))
+    return tails.select(*by, F.least(F.lit(1.0), 2 * (F.least("_low", "_high") + 1) / F.lit(shuffles + 1.0)).alias("p_permutation"))
+
+
 def compare_groups(df: DataFrame, group: str, value: str, by: Sequence[str] = (), alpha: float = 0.05, prefer_robust: bool = False) -> DataFrame:
     """Per data set: groups, least size, route, statistic, p, effect size; fewer than 2 groups or 3 values are refused with a reason.
 
@@ -61,33 +105,31 @@ def compare_groups(df: DataFrame, group: str, value: str, by: Sequence[str] = ()
     doubtful = F.lit(prefer_robust) | (F.col("least_n") < 10) | F.coalesce(F.col("p_normal") <= alpha, F.lit(False))
     unequal = F.coalesce(F.col("p_variance") <= alpha, F.lit(False))
     two = F.col("k") == 2
-    permuted = F.when(F.col("total") <= MAX_PERMUTED, "permutation").otherwise("mannwhitney")
-    route = F.when(F.col("k") < 2, None).when(F.col("least_n") < FLOOR, None).when(two & doubtful, permuted).when(two & unequal, "welch").when(two, "ttest_ind").when(doubtful, "kruskal").when(unequal & (F.col("least_variance") > 0), "alexandergovern").otherwise("anova")
+    route = F.when(F.col("k") < 2, None).when(F.col("least_n") < FLOOR, None).when(two & doubtful, "permutation").when(two & unequal, "welch").when(two, "ttest_ind").when(doubtful, "kruskal").when(unequal & (F.col("least_variance") > 0), "alexandergovern").otherwise("anova")
     panel = panel.withColumn("route", route).withColumn("reason", F.when(F.col("k") < 2, "fewer than 2 groups").when(F.col("least_n") < FLOOR, f"a group has fewer than {FLOOR} values"))
 
     t = groups.t_tests(df, group, value, keys)
     f = groups.anova(df, group, value, keys)
     h = groups.kruskal(df, group, value, keys)
-    routes = panel.select(*keys, "route")
-    pick = lambda table, name: table.join(routes.where(F.col("route") == name).drop("route"), keys, "left_semi")
-    ranks = groups.pairs(groups.mid_ranks(df, group, value, keys), keys)
-    u = ranks.select(*keys, (F.col("a_rank_sum") - F.col("a_n") * (F.col("a_n") + 1) / 2.0).alias("statistic"), "a_n", "b_n", F.col("a_tie_term").alias("tie_term"))
+    routes = panel.select(*keys, "route", "total")
+    pick = lambda table, name: table.join(routes.where(F.col("route") == name).select(*keys), keys, "left_semi")
     govern = pick(s, "alexandergovern").groupBy(*keys).agg(F.collect_list("n").alias("n"), F.collect_list("mean").alias("m"), F.collect_list("variance").alias("v"))
 
     @F.pandas_udf("struct<statistic:double,p_value:double>")
     def alexander(n: pd.Series, m: pd.Series, v: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([exact.alexander_govern(np.asarray(a, float), np.asarray(b), np.asarray(c)) for a, b, c in zip(n, m, v)], columns=["statistic", "p_value"])
 
-    rows = df.join(routes.where("route = 'permutation'").drop("route"), keys, "left_semi")
+    permuted = routes.where("route = 'permutation'")
+    at_once, dealt = (df.join(permuted.where(size).select(*keys), keys, "left_semi") for size in (F.col("total") <= MAX_PERMUTED, F.col("total") > MAX_PERMUTED))
+    p_values = _permutations(at_once, group, value, keys).unionByName(_dealt_permutations(dealt, group, value, keys))
     difference = groups.effects(df, group, value, keys).select(*keys, "difference")
     tests = [
         groups.with_p(pick(t, "ttest_ind"), "t", "t", "df").select(*keys, F.col("t").alias("statistic"), "p_value"),
         groups.with_p(pick(t, "welch"), "t", "welch_t", "welch_df").select(*keys, F.col("welch_t").alias("statistic"), "p_value"),
         groups.with_p(pick(f, "anova"), "f", "f", "df_between", "df_within").select(*keys, F.col("f").alias("statistic"), "p_value"),
         groups.with_p(pick(h, "kruskal"), "chi2", "h", "df").select(*keys, F.col("h").alias("statistic"), "p_value"),
-        groups.with_p(pick(u, "mannwhitney"), "mann_whitney", "statistic", "a_n", "b_n", "tie_term").select(*keys, "statistic", "p_value"),
         govern.withColumn("x", alexander("n", "m", "v")).select(*keys, "x.statistic", "x.p_value"),
-        _permutations(rows, group, value, keys).join(difference, keys).select(*keys, F.col("difference").alias("statistic"), F.col("p_permutation").alias("p_value")),
+        p_values.join(difference, keys).select(*keys, F.col("difference").alias("statistic"), F.col("p_permutation").alias("p_value")),
     ]
     found = tests[0]
     for test in tests[1:]:

@@ -51,6 +51,25 @@ def test_routes_and_refusals(spark):
     assert got["equal"]["p_value"] < 1e-6 and got["small"]["p_value"] == pytest.approx(2 / 70)
 
 
+def test_permutation_route_at_every_size(spark):
+    """The mean difference is permuted beyond one task's values too: p agrees with shuffles of the whole."""
+    from skerry.functions import exact
+
+    r = np.random.default_rng(8)
+    sets = {
+        "even": {"a": r.exponential(1, 300), "b": r.exponential(1.12, 300)}, "ties": {"a": r.poisson(0.5, 30000) ** 2, "b": r.poisson(0.502, 9000) ** 2},
+        "large": {"a": r.exponential(1, 9000), "b": r.exponential(1.02, 4000)}, "under": {"a": r.exponential(1, 200), "b": r.exponential(1.2, 200)},
+    }
+    df = spark.createDataFrame([(s, g, float(v)) for s, gs in sets.items() for g, vs in gs.items() for v in vs], "s string, g string, v double")
+    got = {x["s"]: x for x in compare.compare_groups(df, "g", "v", ["s"], prefer_robust=True).collect()}
+    for s, parts in sets.items():
+        want = exact.permutation_p(np.asarray(parts["a"], float), np.asarray(parts["b"], float), limit=1999)[0]
+        assert got[s]["route"] == "permutation" and got[s]["statistic"] == pytest.approx(np.mean(parts["a"]) - np.mean(parts["b"]))
+        assert got[s]["p_value"] == pytest.approx(want, abs=0.06)
+    again = compare.compare_groups(df.repartition(7).where("s = 'even'"), "g", "v", prefer_robust=True).first()
+    assert again["p_value"] == got["even"]["p_value"]
+
+
 def test_ledger_counts_every_test(spark):
     rows = [(f"t{i}", i, "compare", "d", None, None, 0.02, 0.1, 30 - i, None, None, 1.0) for i in range(4)] + [("t9", 9, "compare", "d", None, None, 0.01, 0.1, 5, "failed", None, 1.0)]
     store = spark.createDataFrame(rows, governance.TRANSCRIPT)
