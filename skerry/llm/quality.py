@@ -3,20 +3,23 @@
 Base counts over words ``[^\\x20\\x09-\\x0D]+`` of the whole text decide ``base_failed``.  The
 verdict on the rest compares two histograms of the document with those of each reference language
 by Jensen-Shannon distance (square root of the divergence in bits): character classes, and common
-words (each of the language's function words, and all others together).  A reference is the sum over
-the documents of that language that pass the base rules.  A document is kept if some language is
+words (each of the language's function words, and all others together).  Every ``lang`` value has a
+reference, the sum over the documents of that language that pass the base rules; beside the four
+languages with a fixed list of function words, a language's list is its most frequent words in those
+documents.  A document is compared with the four and with its own language, and kept if one is
 near in both; a histogram over few characters or words is noise, so shorter documents are not judged
 by it.
 
-Defined cases: a null or empty text has no words and fails the base rules; a language without
-reference is compared with all references (the nearest counts, whatever ``lang`` says); without any
+Defined cases: a null or empty text has no words and fails the base rules; a null or
+blank ``lang`` is compared with all references (the nearest counts); a language without reference has no
+verdict of its own, and the base rules decide; without any
 reference there is no verdict and the base rules decide; repeated rows are judged alike, a null id
 is carried, other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skerry.llm.shared import stage
@@ -28,6 +31,8 @@ COMMON_WORDS = {
     "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an er hat aus bei sie nach wird".split(),
     "es": "de la que el en y a los del se las por un para con no una su al lo como más pero sus le ya o este sí porque".split(),
 }
+#: Words in the list of any other language.
+LEARNT_WORDS = 40
 SYMBOLS = "[#*$%&|<>]"
 #: Character classes that are counted, beside white space and all others (regular expressions of what is no member).
 CLASSES = {"lower": r"[^\p{Ll}]+", "upper": r"[^\p{Lu}]+", "digit": r"[^\p{Nd}]+", "point": r"[^.,;:!?'\"()-]+", "symbol": r"[^#*$%&|<>]+"}
@@ -58,9 +63,9 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) < 4, 0).otherwise(let(F.sort_array(windows), marked))
 
 
-def histogram(words: Column) -> Column:
+def histogram(words: Column, lists: dict[str, list[str]]) -> Column:
     """(word, count) of the words that are common in some language, case aside."""
-    known = sorted({w for ws in COMMON_WORDS.values() for w in ws})
+    known = sorted({w for ws in lists.values() for w in ws})
     # only short words can be common, so that the rest isn't lower-cased
     short = F.filter(words, lambda w: F.length(w) <= max(map(len, known)))
     found = F.sort_array(F.filter(F.transform(short, F.lower), lambda w: w.isin(known)))
@@ -73,13 +78,13 @@ def histogram(words: Column) -> Column:
     return let(found, lambda s: F.when(F.size(s) == 0, none).otherwise(runs(s)))
 
 
-def features(docs: DataFrame, *carried: str) -> DataFrame:
+def features(docs: DataFrame, *carried: str, lists: dict[str, list[str]] = COMMON_WORDS) -> DataFrame:
     """Base counts and histograms of every whole text, beside the ``carried`` columns."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     count = lambda pattern: F.length(F.regexp_replace(F.col("t"), pattern, "")).cast("long")
     lines = F.filter(F.split("t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     of_words = lambda w: F.struct(
-        F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), repeated_words(w).cast("long").alias("n_repeat_words"), histogram(w).alias("common")
+        F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), repeated_words(w).cast("long").alias("n_repeat_words"), histogram(w, lists).alias("common")
     )
     base = docs.select(*carried, text.alias("t"))
     got = base.select(
@@ -100,17 +105,32 @@ def char_counts() -> Column:
     return F.array(*(F.col(k) for k in CLASSES), space, F.greatest(rest, F.lit(0)))
 
 
-def references(found: DataFrame) -> dict[str, tuple[list[float], dict[str, float]]]:
+def word_lists(docs: DataFrame) -> dict[str, list[str]]:
+    """The common words of every language of (text, lang): fixed ones, else the most frequent in documents that pass the base rules."""
+    others = docs.where(F.col("lang").isNotNull() & ~F.col("lang").isin(list(COMMON_WORDS)))
+    if others.isEmpty():
+        return COMMON_WORDS
+    good = features(others, "lang", "text").where(~F.col("base_failed"))
+    counted = good.select("lang", F.explode(F.transform(split_words(F.col("text").cast("string")), F.lower)).alias("word")).groupBy("lang", "word").count()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))
+    found: dict[str, list[str]] = {}
+    # at most LEARNT_WORDS rows a language
+    for r in counted.withColumn("rank", rank).where(F.col("rank") <= LEARNT_WORDS).collect():
+        found.setdefault(r["lang"], []).append(r["word"])
+    return {**COMMON_WORDS, **found}
+
+
+def references(found: DataFrame, lists: dict[str, list[str]]) -> dict[str, tuple[list[float], dict[str, float]]]:
     """Per language its class shares, and the shares of its common words; sums over all documents that pass the base rules."""
-    good = found.where(~F.col("base_failed") & F.col("lang").isin(list(COMMON_WORDS)))
+    good = found.where(~F.col("base_failed") & F.col("lang").isin(list(lists)))
     n = len(CLASSES) + 2
     chars = good.groupBy("lang").agg(F.sum("n_words").alias("n_words"), *(F.sum(F.get(char_counts(), F.lit(i))).alias(f"c{i}") for i in range(n)))
     common = good.select("lang", F.explode("common").alias("x")).groupBy("lang", "x.word").agg(F.sum("x.n").alias("n"))
-    # at most one row a language, and one a language and word of COMMON_WORDS
+    # at most one row a language, and one a language and word of its list or of another
     counted = {r["lang"]: r for r in chars.collect()}
     shares: dict[str, dict[str, float]] = {k: {} for k in counted}
     for r in common.collect():
-        if r["word"] in COMMON_WORDS[r["lang"]]:
+        if r["word"] in lists[r["lang"]]:
             shares[r["lang"]][r["word"]] = r["n"] / counted[r["lang"]]["n_words"]
     return {k: ([r[f"c{i}"] / max(1, sum(r[f"c{j}"] for j in range(n))) for i in range(n)], shares[k]) for k, r in sorted(counted.items())}
 
@@ -121,23 +141,21 @@ def part(p: Column, q: Column) -> Column:
     return half(p, q) + half(q, p)
 
 
-def distances(reference: tuple[list[float], dict[str, float]]) -> Column:
-    """Struct of the distances of a document's two histograms to a language's."""
-    shares, words = reference
+def distances(reference: Column) -> Column:
+    """Struct of the distances of a document's two histograms to a language's (lang, shares, words, listed)."""
     total = F.greatest(F.col("n_all"), F.lit(1)).cast("double")
-    chars = sum((part(F.get(char_counts(), F.lit(i)) / total, F.lit(q)) for i, q in enumerate(shares)), F.lit(0.0))
+    chars = sum((part(F.get(char_counts(), F.lit(i)) / total, F.get(reference["shares"], F.lit(i))) for i in range(len(CLASSES) + 2)), F.lit(0.0))
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    known = F.create_map(*(F.lit(x) for kv in words.items() for x in kv)) if words else F.create_map().cast("map<string,double>")
-    own = F.filter("common", lambda e: e["word"].isin(list(words) or [""]))
+    own = F.filter("common", lambda e: F.map_contains_key(reference["words"], e["word"]))
     start = F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("p"), F.lit(0.0).alias("q"))
 
     def add(a: Column, e: Column) -> Column:
-        p, q = e["n"] / n, F.element_at(known, e["word"])
+        p, q = e["n"] / n, F.element_at(reference["words"], e["word"])
         return F.struct((a["d"] + part(p, q)).alias("d"), (a["p"] + p).alias("p"), (a["q"] + q).alias("q"))
 
-    listed = sum(words.values())
+    listed = reference["listed"]
     # words of the list that the document lacks add half their share; the last bucket holds all other words
-    finish = lambda a: a["d"] + F.greatest(F.lit(listed) - a["q"], F.lit(0.0)) / 2 + part(F.greatest(1 - a["p"], F.lit(0.0)), F.lit(max(0.0, 1 - listed)))
+    finish = lambda a: a["d"] + F.greatest(listed - a["q"], F.lit(0.0)) / 2 + part(F.greatest(1 - a["p"], F.lit(0.0)), F.greatest(1 - listed, F.lit(0.0)))
     root = lambda x: F.sqrt(F.greatest(x, F.lit(0.0)))
     return F.struct(root(chars).alias("chars"), root(F.aggregate(own, start, add, finish)).alias("words"))
 
@@ -145,12 +163,18 @@ def distances(reference: tuple[list[float], dict[str, float]]) -> Column:
 def judge(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """Every document's base counts, ``base_failed``, distances to the nearest language, and ``kept``."""
     lang = docs["lang"].cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    found = stage(features(docs.select(F.col(id_column), F.col("text"), lang.alias("lang")), id_column, "lang"), "quality")
-    known = references(found)
+    rows = docs.select(F.col(id_column), F.col("text"), F.when(F.trim(lang) != "", lang).alias("lang"))
+    lists = word_lists(rows)
+    found = stage(features(rows, id_column, "lang", lists=lists), "quality")
+    known = references(found, lists)
     base = [id_column, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     if not known:
         return found.select(*base, F.lit(None).cast("string").alias("nearest"), F.lit(None).cast("double").alias("char_distance"), F.lit(None).cast("double").alias("word_distance"), (~F.col("base_failed")).alias("kept"))
-    options = F.array(*(F.struct((distances(r)["chars"] + distances(r)["words"]).alias("sum"), F.lit(k).alias("lang"), distances(r).alias("d")) for k, r in known.items()))
+    table = lambda words: F.create_map(*(F.lit(x) for kv in words.items() for x in kv)) if words else F.create_map().cast("map<string,double>")
+    # one literal row a language
+    array = F.array(*(F.struct(F.lit(k).alias("lang"), F.array(*map(F.lit, shares)).alias("shares"), table(words).alias("words"), F.lit(float(sum(words.values()))).alias("listed")) for k, (shares, words) in known.items()))
+    asked = F.filter(array, lambda r: F.col("lang").isNull() | (r["lang"] == F.col("lang")) | (r["lang"].isin(list(COMMON_WORDS)) & F.col("lang").isin(list(known))))
+    options = F.transform(asked, lambda r: let(distances(r), lambda d: F.struct((d["chars"] + d["words"]).alias("sum"), r["lang"].alias("lang"), d.alias("d"))))
     judged = found.withColumn("best", F.array_min(options))
     far = ((F.col("n_all") >= MIN_CHARS) & (F.col("best.d.chars") > MAX_CHAR_DISTANCE)) | ((F.col("n_words") >= MIN_WORDS) & (F.col("best.d.words") > MAX_WORD_DISTANCE))
-    return judged.select(*base, F.col("best.lang").alias("nearest"), F.col("best.d.chars").alias("char_distance"), F.col("best.d.words").alias("word_distance"), (~F.col("base_failed") & ~far).alias("kept"))
+    return judged.select(*base, F.col("best.lang").alias("nearest"), F.col("best.d.chars").alias("char_distance"), F.col("best.d.words").alias("word_distance"), (~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).alias("kept"))

@@ -223,6 +223,28 @@ def test_quality_distance_rejects_odd_characters(spark):
     assert all(got[i] for i in range(30)) and not any(got[i] for i in range(30, 34))
 
 
+def test_quality_of_any_language(spark):
+    """Clean documents in scripts beyond the four languages stay; junk under the same labels goes."""
+    r = random.Random(9)
+    scripts = {"ru": "абвгдежзиклмнопрстуф", "zh": "的一是不了人我在有他这中大来上国和说们时", "en": "abcdefghijklmnopqrst"}
+    rows, clean = [], set()
+    for lang, letters in scripts.items():
+        make = lambda k: ["".join(r.choice(letters) for _ in range(r.randint(2, 5))) for _ in range(k)]  # noqa: B023, E731
+        common, other = quality.COMMON_WORDS.get(lang) or make(20), make(300)
+        for k in range(31):
+            w = [r.choice(common) if r.random() < 0.4 else r.choice(other) for _ in range(300)]
+            if k < 30:
+                clean.add(len(rows))
+            else:
+                w = [f"{x}&&&%%%###" for x in w]
+            rows.append((len(rows), " ".join(w), lang, "s", 1))
+    clean.add(len(rows))
+    rows += [(len(rows), rows[0][1], None, "s", 1), (len(rows) + 1, rows[30][1], " ", "s", 1), (len(rows) + 2, rows[30][1][:100], "few", "s", 1)]
+    got = {x["doc_id"]: x for x in quality.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {i for i, x in got.items() if x["kept"]} == clean and len(got) == len(rows)
+    assert {got[i]["nearest"] for i in range(30)} == {"ru"} and got[93]["nearest"] == "ru"
+
+
 def test_quality_without_references(spark):
     docs = documents(spark, invented(3)).drop("lang")
     assert quality.judge(docs).where("kept").count() == 3 and quality.judge(docs.limit(0)).count() == 0
