@@ -6,19 +6,21 @@ in an order of its own (from another place on, round the ring) and sorts all cla
 that share a tree's first 3 values are a region.  Candidates come in three steps:
 
 1. each class with the least class of each of its regions;
-2. longest-common-prefix neighbours: in each tree's sorted order of the regions beyond the window, each
+2. longest-common-prefix neighbours, in rounds: in each tree's sorted order of the regions beyond the window, each
    class with the likest of the classes just before it, if they are in another component so far;
-3. all pairs of different components in every region.  A large region is dealt into blocks, a component
-   that fills a block into blocks of its own; two blocks meet in one task, which compares signatures and
-   then full sets and gives only links.  Blocks of one component don't meet.
+3. what is left, at a depth that fits the region: all pairs of different components of a region of at most 64
+   classes; the classes of more crowded regions, where a signature says little, go to an inverted index of their
+   rare shingles (prefix filter), which holds every pair of the similarity and few others.
 
-Steps 1 and 2 save comparisons; step 3 alone decides what is found.
+Steps 1 and 2 save comparisons; step 3 alone decides what is found.  A list of the index whose sets are all in one
+component is dropped; a long one is dealt into blocks, a component that fills a block into blocks of its own, which
+don't meet.  Candidates therefore are pairs of different components that share a rare shingle: those near the
+threshold and seldom others.
 
 Two sets with a similarity of 0.75 share no region in any tree with a probability of 2e-6.  Pairs
 whose signatures differ too much for 0.75 (4.5 standard deviations) are left out; every other pair
 is confirmed on its full sets, read from the texts again.  Components grow after each step, and a
-pair within one component is never compared, so large groups cost about one comparison a class.  What
-lies beside a large group in its regions is compared with the whole group: that is its size times theirs.
+pair within one component is never compared, so large groups cost about one comparison a class.
 
 Defined cases: a null or empty text, or one of blanks, has an empty set and is its own component;
 fewer than 5 words are one shingle; rows with the same doc_id are one document; a row with a null
@@ -45,9 +47,12 @@ PERCENT = 75
 LEAST_EQUAL = int(VALUES * (0.75 - 4.5 * (0.75 * 0.25 / VALUES) ** 0.5))
 NEIGHBOURS = 8
 SMALL_REGION = 64
-#: Classes and shingles of a block; two blocks are in one task.
-BLOCK_ROWS, BLOCK_SHINGLES = 4096, 1 << 20
+ROUNDS = 3
+#: Rows of a block; two blocks are in one task.
+BLOCK_ROWS = 4096
 TILE = 32
+#: Shingles are counted in so many buckets to put the rare ones first; any order finds all pairs.
+BUCKET_BITS = 20
 MAX_BROADCAST_IDS = 4_000_000
 
 _rng = np.random.default_rng(19970501)
@@ -155,85 +160,84 @@ def _like_rows(window: int, likest: bool = False):
     return run
 
 
-def _meeting(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]:
-    """A meeting of two blocks (or of one with itself): its rows, the second block's last; components; the second
-    block's places; and, tile by tile, the places of pairs of different components whose signatures allow the similarity.
+def _bucket(shingles: np.ndarray) -> np.ndarray:
+    return (words.mix(shingles) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
-    Classes that share regions in several trees are a pair in the first of these trees only.
-    """
-    table = table.sort_by([("side", "ascending"), ("rep", "ascending")]).combine_chunks()
-    part, side, tree = (table.column(k).to_numpy() for k in ("component", "side", "tree"))
-    sign = np.frombuffer(b"".join(table.column("sig").to_pylist()), ">u4").reshape(-1, VALUES).astype(np.uint32)
-    by_value = np.ascontiguousarray(sign.T)
-    alone = table.column("x")[0].as_py() == table.column("y")[0].as_py()
-    left = np.flatnonzero(side == 0)
-    right = left if alone else np.flatnonzero(side == 1)
 
-    def tiles() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for first in range(0, len(left), TILE):
-            i = left[first : first + TILE]
-            equal = np.zeros((len(i), len(right)), np.uint8)
-            for values in by_value:
-                equal += values[i][:, None] == values[right][None]
-            ok = (equal >= LEAST_EQUAL) & (part[i][:, None] != part[right][None])
-            if alone:
-                ok &= i[:, None] < right[None]
-            p, q = np.nonzero(ok)
-            p, q = i[p], right[q]
-            if len(p):
-                shared = (sign[p] == sign[q]).reshape(-1, TREES, FIRST).all(axis=2)
-                here = shared[np.arange(len(p)), tree[p]] & (shared.argmax(axis=1) == tree[p])
-                yield p[here], q[here]
-
-    return table, part, right, tiles()
+def _loads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many sets hold a shingle of each bucket."""
+    for batch in batches:
+        sets = [np.frombuffer(x, "<u8") for x in batch.column(0).to_pylist()]
+        if sets:
+            bucket, n = np.unique(_bucket(np.concatenate(sets)), return_counts=True)
+            yield pa.record_batch([pa.array(bucket.astype(np.int32)), pa.array(n)], names=["bucket", "n"])
 
 
-def _met(table: pa.Table) -> pa.Table:
-    """The rows of a meeting that have a pair to confirm."""
-    table, part, _, tiles = _meeting(table)
-    paired = np.zeros(len(part), bool)
-    for p, q in tiles:
-        paired[p] = paired[q] = True
-    return table.filter(pa.array(paired)).drop_columns(["sig"])
-
-
-def _met_links(table: pa.Table) -> pa.Table:
-    """Links by full sets that join the components of a meeting, no more than it takes."""
-    table, part, right, tiles = _meeting(table)
-    rep = table.column("rep").to_numpy()
-    sets = [np.frombuffer(x, "<u8") for x in table.column("set").to_pylist()]
-    sizes = np.array([len(s) for s in sets], np.int64)
-    at = np.concatenate(([0], np.cumsum(sizes)))
-    values, codes = np.unique(np.concatenate(sets), return_inverse=True)
-    mark = np.zeros(len(values), np.int32)
-    up = {int(c): int(c) for c in part}
-
-    def root(c: int) -> int:
-        while up[c] != c:
-            up[c] = c = up[up[c]]
-        return c
+def _prefixes(load):
+    """The first shingles of each set, the rare ones first, as many as a set as long as it or shorter must share one of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            reps, parts, found = batch.column(0).to_numpy(), batch.column(1).to_numpy(), []
+            for i, x in enumerate(batch.column(2).to_pylist()):
+                x = np.frombuffer(x, "<u8")
+                order = np.lexsort((x, load.value[_bucket(x)]))
+                k = len(x) - -(-PERCENT * len(x) // 100) + 1
+                found.append((x[order[:k]].view(np.int64), np.full(k, reps[i]), np.full(k, parts[i]), np.full(k, len(x), np.int32), np.arange(k, dtype=np.int32)))
+            if found:
+                yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*found)], names=["shingle", "rep", "component", "n", "place"])
+
+    return run
+
 
+def _possible(part, n, place, i, j) -> np.ndarray:
+    """Whether rows i and j of one shingle's list can be a link: different components, and sizes and places that leave room
+    for enough common shingles, this one being the first; the shorter set has it among its own first shingles."""
+    shorter = np.where(n[i] <= n[j], i, j)
+    least = -(-PERCENT * (n[i] + n[j]) // (100 + PERCENT))
+    room = np.minimum(n[i] - place[i], n[j] - place[j])
+    own = n[shorter] - -(-2 * PERCENT * n[shorter] // (100 + PERCENT)) + 1
+    return (part[i] != part[j]) & (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j])) & (room >= least) & (place[shorter] < own)
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Possible pairs of short lists: rows (shingle, rep, component, n, place) in order of the shingle."""
+    last = [np.empty(0, np.int64)] * 5
+    for batch in batches:
+        held = len(last[0])
+        shingle, rep, part, n, place = (np.concatenate([old, new.to_numpy().astype(np.int64)]) for old, new in zip(last, batch.columns))
+        pairs = []
+        for step in range(1, SMALL_REGION):
+            i = np.arange(max(held, step), len(rep))
+            i = i[shingle[i] == shingle[i - step]]
+            if not len(i):
+                break
+            i = i[_possible(part, n, place, i, i - step)]
+            pairs.append(np.stack([np.minimum(rep[i], rep[i - step]), np.maximum(rep[i], rep[i - step])], axis=1))
+        found = np.unique(np.concatenate([*pairs, np.empty((0, 2), np.int64)]), axis=0)
+        yield pa.record_batch([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+        last = [x[-SMALL_REGION:] for x in (shingle, rep, part, n, place)]
+
+
+def _met(table: pa.Table) -> pa.Table:
+    """Possible pairs of like signatures between two blocks of a long list (or within one block)."""
+    side = table.column("side").to_numpy()
+    rep, part, n, place = (table.column(k).to_numpy().astype(np.int64) for k in ("rep", "component", "n", "place"))
+    sign = np.frombuffer(b"".join(table.column("sig").to_pylist()), ">u4").reshape(-1, VALUES).astype(np.uint32)
+    alone = table.column("x")[0].as_py() == table.column("y")[0].as_py()
+    left = np.flatnonzero(side == 0)
+    right = left if alone else np.flatnonzero(side == 1)
     found = []
-    for p, q in tiles:
-        for i in np.unique(p):
-            own, others = root(int(part[i])), q[p == i]
-            open_ = np.array([root(int(c)) != own for c in part[others]], bool)
-            others = others[open_]
-            if not len(others):
-                continue
-            mark[codes[at[i] : at[i + 1]]] = 1
-            if len(others) <= 8:
-                common = np.array([mark[codes[at[j] : at[j + 1]]].sum() for j in others])
-            else:  # the second block's rows stand together, and none is empty
-                counted = np.add.reduceat(mark[codes[at[right[0]] : at[right[-1] + 1]]], at[right] - at[right[0]])
-                common = counted[others - right[0]]
-            mark[codes[at[i] : at[i + 1]]] = 0
-            for j in others[100 * common >= PERCENT * (sizes[i] + sizes[others] - common)]:
-                a, b = root(int(part[i])), root(int(part[j]))
-                if a != b:
-                    up[max(a, b)] = min(a, b)
-                    found.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
-    return pa.table({k: pa.array([int(f[n]) for f in found], pa.int64()) for n, k in enumerate("ab")})
+    for first in range(0, len(left), TILE):
+        p, q = (x.ravel() for x in np.meshgrid(left[first : first + TILE], right, indexing="ij"))
+        if alone:
+            p, q = p[p < q], q[p < q]
+        ok = _possible(part, n, place, p, q)
+        p, q = p[ok], q[ok]
+        ok = (sign[p] == sign[q]).sum(axis=1) >= LEAST_EQUAL
+        found.append(np.stack([np.minimum(rep[p[ok]], rep[q[ok]]), np.maximum(rep[p[ok]], rep[q[ok]])], axis=1))
+    found = np.unique(np.concatenate([*found, np.empty((0, 2), np.int64)]), axis=0)
+    return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
 
 
 class Forest:
@@ -269,23 +273,22 @@ class Forest:
         left, right = (sets.select(F.col("doc_id").alias(k), F.col("set").alias(f"set_{k}")) for k in "ab")
         return alike.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirm, "a long, b long")
 
-    def link(self, links: DataFrame) -> None:
-        """Merge the components that confirmed pairs join."""
+    def link(self, links: DataFrame) -> bool:
+        """Merge the components that confirmed pairs join; whether there were any."""
         links = stage(links, "links")
         if self.component is not None:
             for k in "ab":
                 names = self.component.select(F.col("node").alias(k), F.col("root").alias("to"))
                 links = links.join(names, k, "left").withColumn(k, F.coalesce("to", k)).drop("to")
         merged = contract(links)
-        if merged is None:
-            return
-        if self.component is None:
-            self.component = merged
-            return
+        if merged is None or self.component is None:
+            self.component = self.component if merged is None else merged
+            return merged is not None
         further = merged.select(F.col("node").alias("root"), F.col("root").alias("top"))
         moved = self.component.join(further, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
         added = merged.join(self.component.select("node"), "node", "left_anti")
         self.component = stage(moved.unionByName(added), "components")
+        return True
 
     def neighbours(self) -> DataFrame:
         """Pairs of different components and like signatures that stand near each other in some tree's order, within a region beyond the window."""
@@ -301,41 +304,60 @@ class Forest:
         small = rows.where(F.col("size") <= SMALL_REGION).join(self.classes.select("rep", "sig"), "rep")
         # a small region is in one task as a whole, so the scan sees all of its pairs
         within = small.repartition("region").sortWithinPartitions("region", "rep").select("region", "rep", "component", "sig")
-        pairs = within.mapInArrow(_like_rows(SMALL_REGION - 1), "a long, b long").distinct()
-        large = rows.where(F.col("size") > SMALL_REGION).drop("size")
-        return self.confirmed(pairs).unionByName(self.crowded(large))
+        pairs = within.mapInArrow(_like_rows(SMALL_REGION - 1), "a long, b long")
+        return self.confirmed(pairs.unionByName(self.crowded(rows.where(F.col("size") > SMALL_REGION))).distinct())
 
     def crowded(self, large: DataFrame) -> DataFrame:
-        """Links between all different components of large regions, block by block."""
-        needed = F.ceil(F.greatest(F.col("n") / BLOCK_ROWS, F.col("load") / BLOCK_SHINGLES))
-        weighed = large.join(self.classes.select("rep", "n_shingles"), "rep")
-        shares = stage(weighed.groupBy("region", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("load")), "shares").withColumn("blocks", needed)
-        own = shares.where("blocks > 1").select("region", "component", F.col("blocks").alias("own"))
-        rest = shares.where("blocks <= 1").groupBy("region").agg(F.sum("n").alias("n"), F.sum("load").alias("load")).select("region", needed.alias("rest"))
-        dealt = large.join(bounded(own, MAX_BROADCAST_IDS), ["region", "component"], "left").join(bounded(rest, MAX_BROADCAST_IDS), "region", "left")
-        block = F.concat_ws(":", F.when(F.col("own").isNotNull(), F.col("component")), F.pmod(F.xxhash64("rep"), F.coalesce("own", "rest")))
-        dealt = stage(dealt.select("region", "tree", "rep", "component", F.when(F.col("own").isNotNull(), F.col("component")).alias("of"), block.alias("block")), "blocks")
-        blocks = stage(dealt.select("region", "of", "block").distinct(), "block-names")
-        x, y = (blocks.select("region", F.col("of").alias(f"of_{k}"), F.col("block").alias(k)) for k in "xy")
-        meetings = stage(x.join(y, "region").where("x <= y and (of_x is null or of_y is null or of_x <> of_y)").select("region", "x", "y"), "meetings")
-        rows = dealt.select("region", "tree", "rep", "component", "block")
-        first = rows.join(meetings.withColumn("block", F.col("x")), ["region", "block"]).withColumn("side", F.lit(0))
-        second = rows.join(meetings.where("x <> y").withColumn("block", F.col("y")), ["region", "block"]).withColumn("side", F.lit(1))
-        held = "region long, x string, y string, side int, tree int, rep long, component long"
-        names = ["region", "x", "y", "side", "tree", "rep", "component"]
+        """Possible pairs of different components among the classes of large regions, by an inverted index of rare shingles.
+
+        Two sets of the similarity share one of their first shingles in any common order (prefix filter); in the order from
+        rare to frequent these are seldom shared by others.  Lists of one component are left out.
+        """
+        spark = self.docs.sparkSession
+        members = stage(large.select("rep", "component").distinct(), "crowded")
+        held = self.docs.join(bounded(members.select(F.col("rep").alias("doc_id")), MAX_BROADCAST_IDS), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, set binary")
+        sets = stage(members.join(held.where("length(set) > 0").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep"), "rep"), "crowded-sets")
+        got = sets.select("set").mapInArrow(_loads, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most 2 ** BUCKET_BITS rows
+        load = np.zeros(1 << BUCKET_BITS, np.int64)
+        load[got["bucket"].to_numpy()] = got["n"].to_numpy()
+        rows = sets.select("rep", "component", "set").mapInArrow(_prefixes(spark.sparkContext.broadcast(load)), "shingle long, rep long, component long, n int, place int")
+        rows = stage(rows, "prefixes")
+        own = F.col("n") - F.ceil(2 * PERCENT * F.col("n") / (100.0 + PERCENT)) + 1
+        lists = rows.groupBy("shingle").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.max((F.col("place") < own).cast("int")).alias("first"))
+        mixed = stage(lists.where("low <> high and first = 1").select("shingle", "size"), "lists")
+        rows = rows.join(mixed, "shingle")
+        short = rows.where(F.col("size") <= SMALL_REGION).repartition("shingle").sortWithinPartitions("shingle").select("shingle", "rep", "component", "n", "place")
+        return short.mapInArrow(_listed, "a long, b long").unionByName(self.long_lists(rows.where(F.col("size") > SMALL_REGION).drop("size"))).distinct()
+
+    def long_lists(self, rows: DataFrame) -> DataFrame:
+        """Possible pairs of long lists, block by block; a component that fills a block has blocks of its own, which don't meet."""
+        rows = stage(rows, "long-lists")
+        needed = F.ceil(F.col("rows") / BLOCK_ROWS)
+        shares = stage(rows.groupBy("shingle", "component").agg(F.count("*").alias("rows")), "shares").withColumn("blocks", needed)
+        own = shares.where("blocks > 1").select("shingle", "component", F.col("blocks").alias("own"))
+        rest = shares.where("blocks <= 1").groupBy("shingle").agg(F.sum("rows").alias("rows")).select("shingle", needed.alias("rest"))
+        dealt = rows.join(bounded(own, MAX_BROADCAST_IDS), ["shingle", "component"], "left").join(bounded(rest, MAX_BROADCAST_IDS), "shingle", "left")
+        of = F.when(F.col("own").isNotNull(), F.col("component"))
+        block = F.concat_ws(":", of, F.pmod(F.xxhash64("rep"), F.coalesce("own", "rest")))
+        dealt = stage(dealt.select("shingle", "rep", "component", "n", "place", of.alias("of"), block.alias("block")), "blocks")
+        blocks = stage(dealt.select("shingle", "of", "block").distinct(), "block-names")
+        x, y = (blocks.select("shingle", F.col("of").alias(f"of_{k}"), F.col("block").alias(k)) for k in "xy")
+        meetings = stage(x.join(y, "shingle").where("x <= y and (of_x is null or of_y is null or of_x <> of_y)").select("shingle", "x", "y"), "meetings")
+        rows = dealt.drop("of")
+        first = rows.join(meetings.withColumn("block", F.col("x")), ["shingle", "block"]).withColumn("side", F.lit(0))
+        second = rows.join(meetings.where("x <> y").withColumn("block", F.col("y")), ["shingle", "block"]).withColumn("side", F.lit(1))
+        names = ["shingle", "x", "y", "side", "rep", "component", "n", "place"]
         seen = first.unionByName(second).join(self.classes.select("rep", "sig"), "rep").select(*names, "sig")
-        met = stage(seen.groupBy("region", "x", "y").applyInArrow(_met, held), "met").distinct()
-        ids = met.select(F.col("rep").alias("doc_id")).distinct()
-        sets = self.docs.join(bounded(ids, MAX_BROADCAST_IDS), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, set binary").where("length(set) > 0").dropDuplicates()
-        full = met.join(self.classes.select("rep", "sig"), "rep").join(sets.withColumnRenamed("doc_id", "rep"), "rep").select(*names, "sig", "set")
-        return full.groupBy("region", "x", "y").applyInArrow(_met_links, "a long, b long")
+        return seen.groupBy("shingle", "x", "y").applyInArrow(_met, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` (first of its component)."""
     forest = Forest(docs)
     forest.link(forest.confirmed(forest.places.where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()))
-    forest.link(forest.confirmed(forest.neighbours()))
+    for _ in range(ROUNDS):
+        if not forest.link(forest.confirmed(forest.neighbours())):
+            break
     forest.link(forest.remaining())
     named = forest.classes.select("hi", "lo", "n_shingles", "rep")
     if forest.component is not None:

@@ -328,3 +328,19 @@ def test_warc_records(spark, tmp_path):
     back = {r["record_id"]: r for r in warc.read(spark, str(tmp_path / "warc")).collect()}
     for r in rows.values():
         assert back[r["record_id"]]["block"] == r["block"] and back[r["record_id"]]["refers_to"] == r["refers_to"] and back[r["record_id"]]["target_uri"] == r["target_uri"]
+
+
+def test_near_duplicates_among_texts_with_a_common_frame(spark):
+    """Unrelated texts share most of their words (similarity 0.70); planted pairs are just above the threshold."""
+    r = random.Random(5)
+    frame = [f"f{i}" for i in range(330)]
+    texts = []
+    for i in range(700):
+        own = [f"o{i}x{k}" for k in range(70)]
+        texts.append(" ".join(frame + own))
+        if i % 10 == 0:  # its own words but for the last 18: 0.776
+            texts.append(" ".join(frame + own[:52] + [f"p{i}x{k}" for k in range(18)]))
+    r.shuffle(texts)
+    truth = {i: c for i, (_, c) in brute_components(texts).items()}
+    forest_pairs = {x["doc_id"]: x["component_id"] for x in near_dup.near_duplicates(documents(spark, texts)).collect()}
+    assert forest_pairs == truth and sum(i != c for i, c in truth.items()) == 70
