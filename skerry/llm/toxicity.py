@@ -1,27 +1,32 @@
-"""Toxicity: two class-conditional Kneser-Ney models, compared by length-normalised log-likelihood.
-
-An expression is a run of letters (ASCII letters without case, and all bytes above 127).  The model
-spells it in steps, stem by stem: its first 4 bytes, its first 6, the whole of it.  For a class c,
-a step x after the stem h has
-
-    P_c(x | h) = (max(n_c(x) - D_c, 0) + D_c * kids_c(h) * P(x | h)) / n_c(h)
-
-with n_c the class's counts, kids_c(h) the number of different continuations of h in the class, and
-P(x | h) the *shared* backoff: continuation counts (how many different stems stand before x, by
-linear counting over 63 classes of stems: exact pairs would shuffle every bigram) over both classes.  A rare expression so has nearly the shared probability in either class and says
-little.  The discount is D for the toxic class and is scaled to the size of the ordinary one, so
-that both classes discount the same share.  An expression's evidence is the log ratio of its two
-probabilities; a document has the mean evidence (the difference of its length-normalised
-log-likelihoods) and the length-normalised sums of evidence beyond three margins.  A logistic curve
-over them, fitted on labelled rows that the counts left out, gives the score.
-
-Counts live in ``2**bits`` buckets per step, so the model has a fixed size whatever the corpus;
-they are gathered by Spark from every labelled training row, and grow with it.
-
-Defined cases: a null or empty text, or one without letters, has no evidence and gets the curve's
-value at zero; without labelled rows of both classes every score is 0.0; repeated rows are scored
-alike; rows with a null id are scored and count as training rows of no label; other columns are
-ignored.
+"""Toxicity: class-conditional Kneser-Ney models, compared by length-normalised log-likelihood.
+
+An expression w is a run of letters (ASCII letters without case, and all bytes above 127); its stem s is
+its first 4 characters, its history the stem of the expression before it (or a mark at the text's start).  As in
+Kneser-Ney's lower orders, everything is counted in different histories: N_c(w) of the histories that
+documents of class c have before w, N(w) of those that either class has.  So what one text repeats, or copies
+of it, count once.  With D the discount, and sums over w without an argument,
+
+    P_c(w) = max(N_c(w) - D, 0) / N_c  +  L_c * R_c(s) * N(w) / N(s)
+    R_c(s) = max(N_c(s) - D, 0) / N_c  +  M_c * N(s) / (N + 1)
+
+where L_c and M_c are what the discounts have left over, and N(.) is the backoff that both classes share: a rare
+expression has nearly the same probability in either class and says little.  What no document has shares
+1 / (N + 1), so that probabilities sum to 1.
+
+Most expressions of a toxic document are ordinary: its model takes the share ``TOXIC_SHARE`` of them from the
+toxic class and the others from the ordinary one.  A text's log-likelihoods under the two models, divided by
+its expressions, are compared; a logistic curve over their difference alone, fitted on labelled rows that the
+counts left out (on the counted ones if those are of one class), gives the score.
+
+Counts are distinct (expression, history) pairs by groupBy, from every labelled training row; expressions and
+stems are told apart by 64-bit hashes, histories by 32 bits.  The
+model keeps expressions of more than D histories in a class; others need no entry, as their probabilities' ratio
+doesn't depend on them.  Up to ``MAX_BROADCAST_WORDS`` entries it is broadcast; with more, the expressions of all
+texts are joined with it, with the same result.
+
+Defined cases: a null or empty text, or one without letters, has difference 0 and gets the curve's value there;
+without labelled rows of both classes every score is 0.0; repeated rows are scored alike; rows with a null
+id are scored and count as training rows of no label; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,208 +42,211 @@ from pyspark.sql import functions as F
 from skerry.llm import words
 from skerry.llm.shared import bounded, stage
 
-STEMS = (4, 6, None)
-BITS = 19
-DISCOUNT = 5.0
-MARGINS = (1.0, 2.0, 3.0)
+STEM_CHARACTERS = 4
+DISCOUNT = 1.5
+TOXIC_SHARE = 0.001
 #: Labelled rows that are broadcast; with more, Spark shuffles both sides.
-MAX_BROADCAST_LABELS = 4_000_000
+MAX_BROADCAST_LABELS = 1_000_000
+#: Entries of the model that are broadcast, 48 bytes each.
+MAX_BROADCAST_WORDS = 1_000_000
 
 _SPACE = np.ones(256, bool)
 _SPACE[65:91] = _SPACE[97:123] = _SPACE[128:] = False
+_FIRST = (np.arange(256) & 0xC0) != 0x80  # bytes that begin a character
 
 
-def expressions(raws: Sequence[bytes], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of every expression's stems (one row per step) and where each text's expressions begin."""
+def expressions(raws: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all expressions in order: hashes of the word, its stem and the stem before (0 at a start); and where each text's begin."""
     joined = np.frombuffer(b"\n".join(raws) + b"\n", np.uint8)
     ends_at = np.cumsum(np.fromiter((len(r) + 1 for r in raws), np.int64, len(raws)))
     edge = np.diff(_SPACE[joined].view(np.int8), prepend=np.int8(1))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge[1:] == 1) + 1
     total, down = words.running_hash(joined)
-    rows = []
-    for step, size in enumerate(STEMS):
-        to = ends if size is None else np.minimum(starts + size, ends)
-        mixed = words.mix((total[to] - total[starts]) * down[starts] + (to - starts).astype(np.uint64) + np.uint64(step << 32))
-        rows.append((mixed >> np.uint64(64 - bits)).astype(np.int64))
-    return np.stack(rows), np.concatenate(([0], np.searchsorted(starts, ends_at)))
+    characters = np.flatnonzero(_FIRST[joined])
+    after = np.searchsorted(characters, starts) + STEM_CHARACTERS
+    cut = np.minimum(characters[np.minimum(after, len(characters) - 1)], ends)
+    word, stem = (words.mix((total[to] - total[starts]) * down[starts] + (to - starts).astype(np.uint64)).view(np.int64) for to in (ends, cut))
+    at = np.concatenate(([0], np.searchsorted(starts, ends_at)))
+    before = np.zeros(len(stem), np.int32)
+    before[1:] = stem[:-1].astype(np.int32)
+    before[at[:-1][np.diff(at) > 0]] = 0
+    return word, stem, before, at
 
 
 @dataclass
 class KneserNey:
-    """Counts of one fit: arrays of (step, class, bucket); class 1 is the toxic one."""
-
-    counts: np.ndarray
-    kids: np.ndarray
-    before: np.ndarray
-    discount: float = DISCOUNT
-
-    def __post_init__(self) -> None:
-        size = self.counts[0].sum(axis=1)
-        self.cut = (self.discount * size / max(size[1], 1.0)).astype(np.float32)
-        shared = self.before + np.float32(0.5)
-        self.shared = np.log(shared / shared.sum(axis=1, keepdims=True))
-        first = []
-        for c in (0, 1):
-            left = np.maximum(self.counts[0, c] - self.cut[c], 0)
-            first.append(left / max(size[c], 1) + (1 - left.sum() / max(size[c], 1)) * np.exp(self.shared[0]))
-        self.first = np.log(first[1] / first[0]).astype(np.float32)
-
-    def evidence(self, units: np.ndarray) -> np.ndarray:
-        """Log ratio of the toxic to the ordinary probability of each expression."""
-        found = self.first[units[0]].astype(np.float64)
-        for step in range(1, len(STEMS)):
-            stem, x = units[step - 1], units[step]
-            backoff = np.minimum(np.exp(self.shared[step][x] - self.shared[step - 1][stem]), 1.0)
-            logs = []
-            for c in (0, 1):
-                n_stem = self.counts[step - 1, c][stem]
-                n_x = np.minimum(self.counts[step, c][x], n_stem)
-                spread = np.minimum(self.cut[c] * self.kids[step - 1, c][stem], n_stem)
-                p = (np.maximum(n_x - self.cut[c], 0) + spread * backoff) / np.maximum(n_stem, 1)
-                logs.append(np.log(np.maximum(np.where(n_stem > 0, p, backoff), 1e-9)))
-            found += logs[1] - logs[0]
-        return found
-
-    def features(self, raws: Sequence[bytes], bits: int = BITS) -> np.ndarray:
-        """Per text: mean evidence, and evidence beyond each margin over the square root of the length."""
-        units, at = expressions(raws, bits)
-        size = np.maximum(np.diff(at), 1)
-        if not units.shape[1]:
-            return np.zeros((len(raws), 1 + len(MARGINS)))
-        e = self.evidence(units)
-        found = []
-        for x, scale in [(e, size), *((np.maximum(e - m, 0), np.sqrt(size)) for m in MARGINS)]:
-            total = np.concatenate(([0.0], np.cumsum(x)))
-            found.append((total[at[1:]] - total[at[:-1]]) / scale)
-        return np.stack(found, axis=1)
+    """Entries of words (sorted by hash) and stems, each with a row per class (0 ordinary, 1 toxic)."""
+
+    words: np.ndarray
+    mass: np.ndarray  # max(N_c(w) - D, 0) / N_c
+    within: np.ndarray  # N(w) / N(s)
+    stems: np.ndarray
+    stem_p: np.ndarray  # R_c(s)
+    left: np.ndarray  # L_c
+    stem_left: np.ndarray  # M_c
+
+    def ratio(self, word: np.ndarray, stem: np.ndarray) -> np.ndarray:
+        """The toxic class's probability of each expression over the ordinary one's."""
+        entry = _find(self.words, word, np.vstack([self.mass, self.within]), [0.0, 0.0, 1.0])
+        p = entry[:, :2] + self.left * _find(self.stems, stem, self.stem_p, self.stem_left) * entry[:, 2:]
+        return p[:, 1] / p[:, 0]
+
+    def differences(self, raws: Sequence[bytes]) -> np.ndarray:
+        """Per text: log-likelihood an expression under the toxic document's model less that under the ordinary one."""
+        word, stem, _, at = expressions(raws)
+        total = np.concatenate(([0.0], np.cumsum(np.log1p(TOXIC_SHARE * (self.ratio(word, stem) - 1)))))
+        return (total[at[1:]] - total[at[:-1]]) / np.maximum(np.diff(at), 1)
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray, values: np.ndarray, otherwise) -> np.ndarray:
+    """Columns of ``values`` at the keys wanted, one row each; ``otherwise`` where there is no such key."""
+    at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
+    if not len(keys):
+        return np.tile(np.asarray(otherwise, float), (len(wanted), 1))
+    return np.where((keys[at] == wanted)[:, None], values[:, at].T, np.asarray(otherwise, float))
 
 
 @dataclass
 class Model:
-    """A fitted scorer: the language models and the logistic curve over their features."""
+    """The language models, as a broadcast ``language`` or as tables of entries, and the curve over their difference."""
 
-    language: KneserNey
+    language: KneserNey | None
+    tables: tuple[DataFrame, DataFrame, np.ndarray, np.ndarray]
     weights: np.ndarray
 
-    def score(self, raws: Sequence[bytes]) -> np.ndarray:
-        z = curve_inputs(self.language.features(raws)) @ self.weights
-        return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
+    def curve(self, difference: np.ndarray) -> np.ndarray:
+        return 1.0 / (1.0 + np.exp(-np.clip(self.weights[0] + self.weights[1] * difference / TOXIC_SHARE, -30, 30)))
 
 
-def curve_inputs(f: np.ndarray) -> np.ndarray:
-    return np.column_stack([np.ones(len(f)), f])
-
-
-def fit_curve(features: np.ndarray, labels: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
-    """Weights of a logistic curve by Newton steps with a small ridge."""
-    x, y = curve_inputs(features), labels.astype(float)
-    w = np.zeros(x.shape[1])
-    penalty = ridge * len(x) * np.diag([0.0] + [1e-2] * (x.shape[1] - 1)) + 1e-9 * np.eye(x.shape[1])
-    for _ in range(50):
+def fit_curve(difference: np.ndarray, labels: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
+    """Level and slope of a logistic curve, by Newton steps with a small ridge on the slope."""
+    x, y = np.column_stack([np.ones(len(difference)), difference / TOXIC_SHARE]), labels.astype(float)
+    w, penalty = np.zeros(2), np.diag([1e-9, ridge])
+    for _ in range(100):
         p = 1.0 / (1.0 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ w)
-        w += step
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty + 1e-9 * np.eye(2), x.T @ (y - p) - penalty @ w)
+        w += step * min(1.0, 5.0 / max(np.abs(step).max(), 1e-12))
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
-def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(step, stem bucket, bucket) with both classes' counts and a bit per class of preceding expression."""
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Different (word, stem, before) of a run of texts, and the classes (bits) that have them."""
     for batch in batches:
-        toxic = np.asarray(batch.column(1).to_pylist(), np.int8)
+        bits = 1 << np.asarray(batch.column(1).to_pylist(), np.int64)
         for first, raws in words.chunks(batch.column(0).to_pylist()):
-            units, at = expressions(raws)
-            if not units.shape[1]:
+            word, stem, before, at = expressions(raws)
+            if not len(word):
                 continue
-            label = np.repeat(toxic[first : first + len(raws)], np.diff(at))
-            context = np.zeros(units.shape[1], np.int64)
-            context[1:] = units[0, :-1] % 63
-            context[at[:-1][np.diff(at) > 0]] = 0
-            bit = np.left_shift(np.int64(1), context)
-            for step in range(len(STEMS)):
-                stem = units[step - 1] if step else np.zeros_like(units[0])
-                key = stem << BITS | units[step]
-                order = np.argsort(key)
-                key = key[order]
-                cut = np.flatnonzero(np.diff(key, prepend=-1))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(cut), step, np.int32)),
-                        pa.array(key[cut]),
-                        pa.array(np.add.reduceat((label[order] == 0).astype(np.int64), cut)),
-                        pa.array(np.add.reduceat((label[order] == 1).astype(np.int64), cut)),
-                        pa.array(np.bitwise_or.reduceat(bit[order], cut)),
-                    ],
-                    names=["step", "key", "ordinary", "toxic", "mask"],
-                )
+            bit = np.repeat(bits[first : first + len(raws)], np.diff(at))
+            order = np.lexsort((before, word))
+            word, stem, before, bit = word[order], stem[order], before[order], bit[order]
+            cut = np.flatnonzero(np.concatenate(([True], (word[1:] != word[:-1]) | (before[1:] != before[:-1]))))
+            yield pa.record_batch([pa.array(word[cut]), pa.array(stem[cut]), pa.array(before[cut]), pa.array(np.bitwise_or.reduceat(bit, cut))], names=["word", "stem", "before", "classes"])
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """(word, stem, ordinary, toxic, shared): different histories of every expression of (text, label) rows."""
+    pairs = rows.select("text", "label").mapInArrow(_contexts, "word long, stem long, before int, classes long")
+    pairs = pairs.groupBy("word", "stem", "before").agg(F.bit_or("classes").alias("classes"))
+    of = lambda c: F.count_if(F.col("classes").bitwiseAND(1 << c) > 0)
+    return pairs.groupBy("word", "stem").agg(of(0).alias("ordinary"), of(1).alias("toxic"), F.count("*").alias("shared"))
+
+
+def entries(counts: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray, np.ndarray] | None:
+    """Tables of words and stems that the model needs, and what each class's discounts leave; None without both classes."""
+    cut = lambda c: F.least(F.col(c), F.lit(DISCOUNT))
+    stems = stage(counts.groupBy("stem").agg(*(F.sum(c).alias(c) for c in ("ordinary", "toxic", "shared"))), "toxic-stems")
+    of_words = counts.agg(*(F.sum(c) for c in ("ordinary", "toxic", "shared")), *(F.sum(cut(c)) for c in ("ordinary", "toxic"))).first()
+    of_stems = stems.agg(*(F.sum(cut(c)) for c in ("ordinary", "toxic"))).first()
+    if not of_words[0] or not of_words[1]:
+        return None
+    total, everything = np.array(of_words[:2], float), float(of_words[2])
+    left, stem_left = np.array(of_words[3:5], float) / total, np.array(of_stems, float) / total
+    mass = [F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / float(t) for c, t in zip(("ordinary", "toxic"), total)]
+    kept = (F.col("ordinary") > DISCOUNT) | (F.col("toxic") > DISCOUNT)
+    share = F.col("shared") / (everything + 1)
+    stem_rows = stems.where(kept).select("stem", *((m + float(x) * share).alias(f"r_{c}") for m, x, c in zip(mass, stem_left, "ot")))
+    word_rows = counts.where(kept).join(stems.select("stem", F.col("shared").alias("_all")), "stem").select("word", *(m.alias(f"m_{c}") for m, c in zip(mass, "ot")), (F.col("shared") / F.col("_all")).alias("within"))
+    return stage(word_rows, "toxic-words"), stage(stem_rows, "toxic-stem-rows"), left, stem_left
+
+
+def gathered(tables) -> KneserNey | None:
+    """The model as arrays, if it is small enough to be broadcast."""
+    word_rows, stem_rows, left, stem_left = tables
+    if word_rows.count() + stem_rows.count() > MAX_BROADCAST_WORDS:
+        return None
+    w, s = word_rows.toPandas().sort_values("word"), stem_rows.toPandas().sort_values("stem")
+    return KneserNey(w["word"].to_numpy(), w[["m_o", "m_t"]].to_numpy().T.copy(), w["within"].to_numpy(), s["stem"].to_numpy(), s[["r_o", "r_t"]].to_numpy().T.copy(), left, stem_left)
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Different expressions of each text with their number."""
+    for batch in batches:
+        for first, raws in words.chunks(batch.column(2).to_pylist()):
+            word, stem, _, at = expressions(raws)
+            owner = np.repeat(np.arange(len(raws)), np.diff(at))
+            order = np.lexsort((word, owner))
+            word, stem, owner = word[order], stem[order], owner[order]
+            cut = np.flatnonzero(np.concatenate(([True], (word[1:] != word[:-1]) | (owner[1:] != owner[:-1])))) if len(word) else np.empty(0, np.int64)
+            n = np.diff(np.append(cut, len(word)))
+            row = pa.array(owner[cut] + first)
+            yield pa.record_batch([batch.column(0).take(row), batch.column(1).take(row), pa.array(word[cut]), pa.array(stem[cut]), pa.array(n)], names=["key", "digest", "word", "stem", "n"])
+
+
+def differences(docs: DataFrame, tables, language: KneserNey | None, *carried: str) -> DataFrame:
+    """``carried`` columns and ``difference`` of every row's text."""
+    if language is not None:
+        shared = docs.sparkSession.sparkContext.broadcast(language)
+        kinds = dict(docs.dtypes)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for first, raws in words.chunks(batch.column(len(carried)).to_pylist()):
+                    yield pa.record_batch([*(batch.column(k).slice(first, len(raws)) for k in range(len(carried))), pa.array(shared.value.differences(raws))], names=[*carried, "difference"])
+
+        return docs.select(*carried, "text").mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in carried), "difference double"]))
+    word_rows, stem_rows, left, stem_left = tables
+    rows = docs.select(*carried, F.xxhash64("text").alias("_digest"), "text")
+    tokens = rows.select(F.col(carried[0]).cast("long").alias("key"), F.col("_digest").alias("digest"), "text").mapInArrow(_tokens, "key long, digest long, word long, stem long, n long")
+    p = [F.coalesce(f"m_{c}", F.lit(0.0)) + float(a) * F.coalesce(f"r_{c}", F.lit(float(b))) * F.coalesce("within", F.lit(1.0)) for c, a, b in zip("ot", left, stem_left)]
+    found = tokens.join(word_rows, "word", "left").join(stem_rows, "stem", "left").withColumn("e", F.log1p(TOXIC_SHARE * (p[1] / p[0] - 1)))
+    sums = found.groupBy("key", "digest").agg((F.sum(F.col("n") * F.col("e")) / F.sum("n")).alias("_difference"))
+    match = F.col(carried[0]).eqNullSafe(F.col("key")) & (F.col("_digest") == F.col("digest"))
+    return rows.drop("text").join(sums, match, "left").select(*carried, F.coalesce("_difference", F.lit(0.0)).alias("difference"))
 
 
 def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Text, label and fold of the rows that may be learnt from (fold 0 is held out)."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     known = known.withColumn("fold", F.crc32(F.col("doc_id").cast("string")) % 5).where("fold <> 0")
-    return docs.select("doc_id", "text").join(bounded(known, MAX_BROADCAST_LABELS), "doc_id")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(bounded(known, MAX_BROADCAST_LABELS), "doc_id")
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_curve_rows: int = 20_000) -> Model | None:
-    """Count over every labelled row of folds 1 to 3, fit the curve on at most about ``max_curve_rows`` of fold 4."""
+    """Count over every labelled row of folds 1 to 3, fit the curve on at most ``max_curve_rows`` rows of fold 4."""
     rows = _labelled(docs, labels)
-    n = 1 << BITS
-    found = (
-        rows.where("fold <> 4")
-        .select("text", "label")
-        .mapInArrow(_partial_counts, "step int, key long, ordinary long, toxic long, mask long")
-        .groupBy("step", "key")
-        .agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"), F.bit_or("mask").alias("mask"))
-    )
-    found = stage(found, "toxic-counts")
-    by_bucket = found.groupBy("step", (F.col("key") % n).cast("int").alias("at")).agg(
-        F.sum("ordinary").cast("float").alias("ordinary"), F.sum("toxic").cast("float").alias("toxic"), F.bit_count(F.bit_or("mask")).cast("int").alias("before")
-    )
-    by_stem = found.where("step > 0").groupBy("step", F.shiftright("key", BITS).cast("int").alias("at")).agg(
-        F.count_if(F.col("ordinary") > 0).cast("float").alias("ordinary"), F.count_if(F.col("toxic") > 0).cast("float").alias("toxic")
-    )
-    counts, kids = np.zeros((len(STEMS), 2, n), np.float32), np.zeros((len(STEMS), 2, n), np.float32)
-    before = np.zeros((len(STEMS), n), np.float32)
-    got = by_bucket.toPandas()
-    step, at = got["step"].to_numpy(), got["at"].to_numpy()
-    counts[step, 0, at], counts[step, 1, at] = got["ordinary"], got["toxic"]
-    before[step, at] = -63 * np.log1p(-np.minimum(got["before"].to_numpy(), 62.5) / 63)
-    got = by_stem.toPandas()
-    step, at = got["step"].to_numpy(), got["at"].to_numpy()
-    kids[step - 1, 0, at], kids[step - 1, 1, at] = got["ordinary"], got["toxic"]
-    if not counts[0, 0].any() or not counts[0, 1].any():
+    tables = entries(stage(counted(rows.where("fold <> 4")), "toxic-counts"))
+    if tables is None:
         return None
-    language = KneserNey(counts, kids, before)
-    shared = docs.sparkSession.sparkContext.broadcast(language)
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, raws in words.chunks(batch.column(0).to_pylist()):
-                f = shared.value.features(raws)
-                yield pa.RecordBatch.from_arrays([pa.array(f[:, k]) for k in range(f.shape[1])] + [batch.column(1).slice(first, len(raws))], names=[*"abcd"[: f.shape[1]], "label"])
-
-    held = rows.where("fold = 4").select("doc_id", "text", "label")
+    language = gathered(tables)
     share = max_curve_rows / max(1, labels.where("doc_id is not null").count() / 5)
-    if share < 1:
-        held = held.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    curve = held.select("text", "label").mapInArrow(features, "a double, b double, c double, d double, label int").toPandas()
-    y = curve["label"].to_numpy()
-    if y.min(initial=1) == y.max(initial=0):
-        return None
-    return Model(language, fit_curve(curve[["a", "b", "c", "d"]].to_numpy(), y))
+    for fold in ("fold = 4", "fold <> 4"):
+        held = rows.where(fold)
+        if share < 1:
+            held = held.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+        curve = differences(held, tables, language, "doc_id", "label").orderBy(F.xxhash64("doc_id"), "difference").limit(max_curve_rows).toPandas()
+        y = curve["label"].to_numpy()
+        if len(y) and y.min() != y.max():
+            return Model(language, tables, fit_curve(curve["difference"].to_numpy(), y))
+    return None
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """``doc_id`` and ``score`` (0 to 1, higher: toxic is likelier) of every whole text."""
     if model is None:
         return docs.select("doc_id", F.lit(0.0).alias("score"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, raws in words.chunks(batch.column(1).to_pylist()):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(raws)), pa.array(shared.value.score(raws))], names=["doc_id", "score"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scored, "doc_id long, score double")
+    typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    z = F.lit(float(model.weights[0])) + F.lit(float(model.weights[1])) * F.col("difference") / TOXIC_SHARE
+    return differences(typed, model.tables, model.language, "doc_id").select("doc_id", (1.0 / (1.0 + F.exp(-F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0))))).alias("score"))

@@ -1,6 +1,7 @@
 """Operators on texts: brute force, round trips and defined edge cases."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -277,7 +278,82 @@ def test_toxicity_labels_of_held_out_rows_change_nothing(spark):
     known = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
     flipped = known.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     a, b = (toxicity.fit(docs, k) for k in (known, flipped))
-    assert (a.weights == b.weights).all() and (a.language.counts == b.language.counts).all()
+    assert (a.weights == b.weights).all() and (a.language.mass == b.language.mass).all() and (a.language.words == b.language.words).all()
+
+
+def labelled_rows(n=300):
+    r, rows = random.Random(4), []
+    for i, t in enumerate(invented(n, size=60)):
+        w = t.split(" ")
+        for _ in range(4 * (i % 4 == 0)):
+            w.insert(r.randrange(len(w)), r.choice(["zogscum", "zoglout", "Zogtrash", "d\u00e4mlich"]))
+        rows.append((i, " ".join(w), int(i % 4 == 0)))
+    return rows
+
+
+def brute_kneser_ney(rows):
+    """Probabilities of every expression under either class, from dictionaries of histories."""
+    had, d, stem = {}, toxicity.DISCOUNT, lambda w: w.decode()[:4]
+    for i, text, label in rows:
+        if zlib.crc32(str(i).encode()) % 5 in (1, 2, 3):
+            before = b""
+            for w in re.findall(rb"[a-z\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), text.encode())):
+                had.setdefault(w, set()).add((before, label))
+                before = stem(w)
+    n = {w: ([len({b for b, x in s if x == c}) for c in (0, 1)], len({b for b, _ in s})) for w, s in had.items()}
+    stems = {}
+    for w, (own, shared) in n.items():
+        t = stems.setdefault(stem(w), [[0, 0], 0])
+        t[0], t[1] = [a + b for a, b in zip(t[0], own)], t[1] + shared
+    total, everything = [sum(own[c] for own, _ in n.values()) for c in (0, 1)], sum(s for _, s in n.values())
+    left = [sum(min(own[c], d) for own, _ in n.values()) / total[c] for c in (0, 1)]
+    stem_left = [sum(min(own[c], d) for own, _ in stems.values()) / total[c] for c in (0, 1)]
+
+    def r(s, c):
+        own, shared = stems.get(s, ([0, 0], 1))
+        return max(own[c] - d, 0) / total[c] + stem_left[c] * shared / (everything + 1)
+
+    def p(w, c):
+        own, shared = n.get(w, ([0, 0], 1))
+        return max(own[c] - d, 0) / total[c] + left[c] * r(stem(w), c) * shared / stems.get(stem(w), (0, 1))[1]
+
+    return n, p, r
+
+
+def test_toxicity_equals_brute_force_kneser_ney(spark, monkeypatch):
+    rows = labelled_rows()
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(700, "zogscum anner unheard zogmore"), (701, "")], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int"))
+    seen, p, r = brute_kneser_ney(rows)
+    for c in (0, 1):  # all that was seen, and one expression that was not
+        everything = sum(shared for _, shared in seen.values())
+        assert abs(sum(p(w, c) for w in seen) + float(model.language.left[c] * model.language.stem_left[c]) / (everything + 1) - 1) < 1e-9
+
+    def difference(text):
+        found = re.findall(rb"[a-z\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), text.encode()))
+        return sum(math.log(1 - toxicity.TOXIC_SHARE + toxicity.TOXIC_SHARE * p(w, 1) / p(w, 0)) for w in found) / max(1, len(found))
+
+    expected = {x["doc_id"]: difference(x["text"]) for x in docs.collect()}
+    got = {x["doc_id"]: x["difference"] for x in toxicity.differences(docs, model.tables, model.language, "doc_id").collect()}
+    joined = {x["doc_id"]: x["difference"] for x in toxicity.differences(docs, model.tables, None, "doc_id").collect()}
+    assert got.keys() == expected.keys() == joined.keys()
+    assert all(abs(got[i] - expected[i]) < 1e-9 and abs(joined[i] - expected[i]) < 1e-9 for i in expected)
+    monkeypatch.setattr(toxicity, "MAX_BROADCAST_WORDS", -1)
+    large = toxicity.fit(docs, spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int"))
+    assert large.language is None and np.allclose(large.weights, model.weights)
+
+
+def test_toxicity_odd_rows(spark):
+    rows = labelled_rows(120)
+    labels = spark.createDataFrame([(i, x) for i, _, x in rows] + [(None, 1), (5, None)], "doc_id long, toxic int").withColumn("text", F.lit("clash"))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(None, "zogscum zoglout"), (None, None), (800, "an th " * 50_000 + "zogscum"), (801, "12 34 !"), (0, rows[0][1])], "doc_id long, text string").withColumn("label", F.lit(1))
+    model = toxicity.fit(docs, labels)
+    got = [(x["doc_id"], x["score"]) for x in toxicity.score(docs, model).collect()]
+    assert len(got) == 125 and all(0 <= s <= 1 for _, s in got)
+    assert len({s for i, s in got if i == 0}) == 1 and sum(i == 0 for i, _ in got) == 2
+    by = dict(x for x in got if x[0] is not None)
+    assert by[801] == next(s for i, s in got if i is None and s == by[801]) and by[800] < 0.5
+    assert toxicity.score(docs.limit(0), model).count() == 0 and toxicity.fit(docs.limit(0), labels) is None
 
 
 def test_language(spark):
