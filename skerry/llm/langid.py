@@ -8,7 +8,7 @@ byte; its probabilities are the windows' means, weighted by their bytes.
 Training takes windows of a bounded sample of labelled rows: about ``per_language`` documents a
 language, chosen by a hash of the id, ``windows_each`` windows of each.  The model has a fixed size.
 
-Defined cases: a null text or one without a letter is ``und`` with score 0.0; without labelled rows
+Defined cases: a null text or one without a letter (Unicode category L) is ``und`` with score 0.0; without labelled rows
 every text is ``und``; rows with a null or empty language teach nothing; a null id is scored and
 teaches nothing; ties go to the language first in order; repeated rows are scored alike; other
 columns are ignored.
@@ -16,14 +16,14 @@ columns are ignored.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skerry.llm.shared import bounded
@@ -33,7 +33,7 @@ WIDTHS = (2, 3, 4)
 EMBED, FILTERS = 8, 16
 OVERLAP = max(WIDTHS) - 1
 PAD = 32
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BLOCK = 1024
@@ -182,7 +182,10 @@ def fit(docs: DataFrame, held_out_remainder: int = 2, modulus: int = 4, per_lang
                         break
             yield pa.record_batch([pa.array(langs, pa.string()), pa.array(found, pa.binary())], names=["lang", "window"])
 
-    got = chosen.select("doc_id", "text", "lang").mapInArrow(sample, "lang string, window binary").toPandas().sort_values(["lang", "window"])
+    sampled = chosen.select("doc_id", "text", "lang").mapInArrow(sample, "lang string, window binary")
+    # the share bounds the rows of unique ids; the rank also bounds rows that share one id
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("window"), "window"))
+    got = sampled.withColumn("place", place).where(F.col("place") <= 2 * per_language * windows_each).drop("place").toPandas().sort_values(["lang", "window"])
     if got.empty:
         return None
     labels = sorted(set(got["lang"]))

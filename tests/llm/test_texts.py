@@ -369,6 +369,18 @@ def test_language(spark):
     assert langid.fit(docs.limit(0)) is None and langid.predict(docs.limit(0), None).count() == 0
 
 
+def test_language_letters_and_odd_rows(spark):
+    """Letters are category L: digits, fractions and Roman numerals of Unicode are none; ids may repeat, texts be long."""
+    rows = [(i, ("an er th " if i % 2 else "qué ñi lo ") * r, "xx" if i % 2 else "yy") for i, r in enumerate([3, 40] * 30)]
+    marks = ["² ½ 12", "Ⅷ", "٣", "①", "_", "漢", "İ"]
+    rows += [(500 + i, t, "xx") for i, t in enumerate(marks)] + [(None, "an er", "xx"), (0, rows[0][1], "yy"), (700, "qué ñi " * 100_000, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("window", F.lit("clash"))
+    got = [(x["doc_id"], x["lang_pred"], x["score"]) for x in langid.predict(docs, langid.fit(docs, steps=120)).collect()]
+    by = {i: (k, s) for i, k, s in got}
+    assert len(got) == len(rows) and [by[500 + i][0] == "und" for i in range(len(marks))] == [True] * 5 + [False] * 2
+    assert by[500] == ("und", 0.0) and by[700][0] == "yy" and len({x for x in got if x[0] == 0}) == 1
+
+
 def test_windows_cover_every_byte():
     for size in (0, 1, 255, 256, 257, 253 * 3 + 3, 2000):
         raw = bytes(i % 26 + 97 for i in range(size))
