@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from skerry.llm import mixing, mtree
@@ -12,10 +13,10 @@ from tests.llm.test_texts import SCHEMA, documents, invented
 
 
 def brute_top(rows, k=5, modulus=50):
-    whole = {i: [math.floor(256 * x) for x in v] for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    whole = [(i, tuple(math.floor(256 * x) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     found = []
-    for q in (i for i in whole if i % modulus == 0):
-        scores = sorted((-sum(a * b for a, b in zip(whole[q], whole[i])), i) for i in whole if i != q)[:k]
+    for q, v in sorted({x for x in whole if x[0] % modulus == 0}):
+        scores = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in whole if i != q)[:k]
         found += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores)]
     return sorted(found)
 
@@ -40,16 +41,47 @@ def test_top_k_few_rows(spark):
         assert searched(spark, rows) == brute_top(rows)
 
 
-def test_pages_skip_by_triangle_inequality():
+def test_top_k_of_large_numbers(spark):
+    """Scores beyond 32 and beyond 53 bits are exact; those beyond 64 are refused."""
+    rows = [(0, [1e7, 0.0]), (1, [1.0, 0.0]), (2, [-3e6, 5.5]), (50, [2e9 / 256, 3.0]), (3, [2e9 / 256, 3.0 + 1 / 256]), (4, [1e9 / 256, 7.0])]
+    df = lambda r: spark.createDataFrame(r, "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in mtree.top_k(df(rows), query_modulus=50, scale=256).collect())
+    assert got == brute_top(rows) and any(s > 2**53 for *_, s in got)
+    r = np.random.default_rng(8)
+    wide = [(i, [float(x) for x in r.integers(-4_000_000, 4_000_000, 3)]) for i in range(400)]
+    got = sorted((x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in mtree.top_k(df(wide)).collect())
+    assert got == brute_top(wide)
+    with pytest.raises(Exception, match="64 bits"):
+        mtree.top_k(df([(0, [1e15]), (1, [1e15])])).collect()
+
+
+def test_top_k_of_repeated_rows(spark, monkeypatch):
+    """Equal query rows are one query; its own id is no answer, however often it is there."""
+    monkeypatch.setattr(mtree, "SHARD_ROWS", 50)
+    monkeypatch.setattr(mtree, "QUERY_BLOCK", 3)
+    same = [0.25, -0.5, 0.125]
+    rows = [(50, same)] * 8 + [(7, same)] * 3 + [(i, [0.01 * (i % 13), 0.02 * (i % 7), -0.3]) for i in range(100, 400)]
+    expected = brute_top(rows)
+    assert searched(spark, rows) == expected and [r for r in expected if r[0] == 50][:3] == [(50, 1 + i, 7, 64 * 64 + 128 * 128 + 32 * 32) for i in range(3)]
+
+
+def test_nodes_hold_true_bounds():
     r = np.random.default_rng(1)
-    v = np.floor(256 * r.normal(0, 0.2, (300, 6)))
+    v = np.floor(256 * r.normal(0, 0.2, (3000, 6))).astype(np.int64)
     top = float((v * v).sum(axis=1).max())
-    pages = mtree.pages_of(0, np.arange(300), v, top)
     lifted = np.column_stack([v, np.sqrt(top - (v * v).sum(axis=1))])
-    for p in pages.itertuples():
-        ids, route, d = np.frombuffer(p.ids, "<i8"), np.frombuffer(p.route), np.frombuffer(p.from_route)
-        assert np.allclose(np.sqrt(((lifted[ids] - route) ** 2).sum(axis=1)), d) and d.max() <= p.radius + 1e-9
-    assert sorted(np.concatenate([np.frombuffer(x, "<i8") for x in pages["ids"]])) == list(range(300))
+    root, inner, held = lifted[0], {}, []
+    for _, k, route, radius, to_parent, ids, vectors, from_route in mtree.nodes_of(0, np.arange(3000), v, root, top):
+        route = np.frombuffer(route)
+        if ids is None:
+            inner[k] = (route, radius)
+            assert np.isclose(to_parent, np.linalg.norm(route - root))
+            continue
+        ids, d = np.frombuffer(ids, "<i8"), np.frombuffer(from_route)
+        assert np.allclose(np.sqrt(((lifted[ids] - route) ** 2).sum(axis=1)), d) and d.max() <= radius + 1e-9
+        assert np.isclose(to_parent, np.linalg.norm(route - inner[k][0])) and np.linalg.norm(lifted[ids] - inner[k][0], axis=1).max() <= inner[k][1] + 1e-9
+        held.append(ids)
+    assert sorted(np.concatenate(held)) == list(range(3000)) and len(inner) > 1
 
 
 def mixed(spark, docs, **options):
