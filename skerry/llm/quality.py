@@ -3,18 +3,15 @@
 Base counts over words ``[^\\x20\\x09-\\x0D]+`` of the whole text decide ``base_failed``.  The
 verdict on the rest compares two histograms of the document with those of each reference language
 by Jensen-Shannon distance (square root of the divergence in bits): character classes, and common
-words (each of the language's function words, and all others together).  Every ``lang`` value has a
-reference, the sum over the documents of that language that pass the base rules; beside the four
-languages with a fixed list of function words, a language's list is its most frequent words in those
-documents.  A document is compared with the four and with its own language, and kept if one is
-near in both; a histogram over few characters or words is noise, so shorter documents are not judged
-by it.
-
-Defined cases: a null or empty text has no words and fails the base rules; a null or
-blank ``lang`` is compared with all references (the nearest counts); a language without reference has no
-verdict of its own, and the base rules decide; without any
-reference there is no verdict and the base rules decide; repeated rows are judged alike, a null id
-is carried, other columns are ignored.
+words (the words of each language's list, and all others together).  Every ``lang`` value of the table is a
+reference language.  Its list are the ``LISTED`` words that most of its documents of at least 50 words hold; its
+histograms are sums over its documents that pass the base rules.  A document is kept if some language is near in
+both; a histogram over few characters or words is noise, so shorter documents are not judged by it.
+
+Defined cases: a null or empty text has no words and fails the base rules; a null or blank ``lang`` makes no
+reference; without any reference there is no verdict and the base rules decide; ties of listed words go to the
+first in order, ties of languages to the first name; repeated rows are judged alike, a null id is carried, other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,15 +21,9 @@ from pyspark.sql import functions as F
 
 from skerry.llm.shared import stage
 
-# Common function words of four languages.
-COMMON_WORDS = {
-    "en": "the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which".split(),
-    "fr": "de la le et les des en un une du que qui dans pour par sur au il elle ne se pas plus ce sont avec est son ou aux".split(),
-    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an er hat aus bei sie nach wird".split(),
-    "es": "de la que el en y a los del se las por un para con no una su al lo como más pero sus le ya o este sí porque".split(),
-}
-#: Words in the list of any other language.
-LEARNT_WORDS = 40
+#: Words of a language's list.
+LISTED = 40
+MIN_LISTING_WORDS = 50
 SYMBOLS = "[#*$%&|<>]"
 #: Character classes that are counted, beside white space and all others (regular expressions of what is no member).
 CLASSES = {"lower": r"[^\p{Ll}]+", "upper": r"[^\p{Lu}]+", "digit": r"[^\p{Nd}]+", "point": r"[^.,;:!?'\"()-]+", "symbol": r"[^#*$%&|<>]+"}
@@ -66,8 +57,10 @@ def repeated_words(words: Column) -> Column:
 def histogram(words: Column, lists: dict[str, list[str]]) -> Column:
     """(word, count) of the words that are common in some language, case aside."""
     known = sorted({w for ws in lists.values() for w in ws})
-    # only short words can be common, so that the rest isn't lower-cased
-    short = F.filter(words, lambda w: F.length(w) <= max(map(len, known)))
+    if not known:
+        return F.array().cast("array<struct<word:string,n:int>>")
+    # only words of such lengths can be common, so that the rest isn't lower-cased; case can change a length by one or two
+    short = F.filter(words, lambda w: F.length(w) <= max(map(len, known)) + 2)
     found = F.sort_array(F.filter(F.transform(short, F.lower), lambda w: w.isin(known)))
 
     def runs(s: Column) -> Column:
@@ -78,7 +71,7 @@ def histogram(words: Column, lists: dict[str, list[str]]) -> Column:
     return let(found, lambda s: F.when(F.size(s) == 0, none).otherwise(runs(s)))
 
 
-def features(docs: DataFrame, *carried: str, lists: dict[str, list[str]] = COMMON_WORDS) -> DataFrame:
+def features(docs: DataFrame, *carried: str, lists: dict[str, list[str]]) -> DataFrame:
     """Base counts and histograms of every whole text, beside the ``carried`` columns."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     count = lambda pattern: F.length(F.regexp_replace(F.col("t"), pattern, "")).cast("long")
@@ -106,18 +99,15 @@ def char_counts() -> Column:
 
 
 def word_lists(docs: DataFrame) -> dict[str, list[str]]:
-    """The common words of every language of (text, lang): fixed ones, else the most frequent in documents that pass the base rules."""
-    others = docs.where(F.col("lang").isNotNull() & ~F.col("lang").isin(list(COMMON_WORDS)))
-    if others.isEmpty():
-        return COMMON_WORDS
-    good = features(others, "lang", "text").where(~F.col("base_failed"))
-    counted = good.select("lang", F.explode(F.transform(split_words(F.col("text").cast("string")), F.lower)).alias("word")).groupBy("lang", "word").count()
+    """The common words of every language of (text, lang): those that most of its documents hold."""
+    lowered = F.when(F.size("w") >= MIN_LISTING_WORDS, F.array_distinct(F.transform("w", F.lower)))
+    words = docs.where("lang is not null").select("lang", split_words(F.col("text").cast("string")).alias("w")).select("lang", F.explode(lowered).alias("word"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))
     found: dict[str, list[str]] = {}
-    # at most LEARNT_WORDS rows a language
-    for r in counted.withColumn("rank", rank).where(F.col("rank") <= LEARNT_WORDS).collect():
+    # at most LISTED rows a language
+    for r in words.groupBy("lang", "word").count().withColumn("rank", rank).where(F.col("rank") <= LISTED).collect():
         found.setdefault(r["lang"], []).append(r["word"])
-    return {**COMMON_WORDS, **found}
+    return found
 
 
 def references(found: DataFrame, lists: dict[str, list[str]]) -> dict[str, tuple[list[float], dict[str, float]]]:
@@ -172,8 +162,7 @@ def judge(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
         return found.select(*base, F.lit(None).cast("string").alias("nearest"), F.lit(None).cast("double").alias("char_distance"), F.lit(None).cast("double").alias("word_distance"), (~F.col("base_failed")).alias("kept"))
     table = lambda words: F.create_map(*(F.lit(x) for kv in words.items() for x in kv)) if words else F.create_map().cast("map<string,double>")
     # one literal row a language
-    array = F.array(*(F.struct(F.lit(k).alias("lang"), F.array(*map(F.lit, shares)).alias("shares"), table(words).alias("words"), F.lit(float(sum(words.values()))).alias("listed")) for k, (shares, words) in known.items()))
-    asked = F.filter(array, lambda r: F.col("lang").isNull() | (r["lang"] == F.col("lang")) | (r["lang"].isin(list(COMMON_WORDS)) & F.col("lang").isin(list(known))))
+    asked = F.array(*(F.struct(F.lit(k).alias("lang"), F.array(*map(F.lit, shares)).alias("shares"), table(words).alias("words"), F.lit(float(sum(words.values()))).alias("listed")) for k, (shares, words) in known.items()))
     options = F.transform(asked, lambda r: let(distances(r), lambda d: F.struct((d["chars"] + d["words"]).alias("sum"), r["lang"].alias("lang"), d.alias("d"))))
     judged = found.withColumn("best", F.array_min(options))
     far = ((F.col("n_all") >= MIN_CHARS) & (F.col("best.d.chars") > MAX_CHAR_DISTANCE)) | ((F.col("n_words") >= MIN_WORDS) & (F.col("best.d.words") > MAX_WORD_DISTANCE))

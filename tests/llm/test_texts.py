@@ -5,6 +5,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -202,7 +203,8 @@ def brute_quality(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
     windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
-    covered = {i + k for i, x in enumerate(windows) if windows.count(x) > 1 for k in range(3)}
+    seen = Counter(windows)
+    covered = {i + k for i, x in enumerate(windows) if seen[x] > 1 for k in range(3)}
     failed = len(w) < 50 or 100 * len(covered) > 50 * len(w)
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered), failed
 
@@ -216,7 +218,7 @@ def test_quality_base_equals_brute_force(spark):
 
 
 def test_quality_distance_rejects_odd_characters(spark):
-    common, other = quality.COMMON_WORDS["en"], [w for t in invented(8) for w in t.split()]
+    common, other = "the of and to in a is that for it as was with be by on not he his but".split(), [w for t in invented(8) for w in t.split()]
     r = random.Random(2)
     clean = [" ".join(r.choice(common) if r.random() < 0.4 else r.choice(other) for _ in range(300)) for _ in range(30)]
     junk = [" ".join(f"{r.choice(other)}&&&%%%" for _ in range(300)) for _ in range(3)] + [" ".join(r.choice(other).upper() + "!!" for _ in range(300))]
@@ -231,7 +233,7 @@ def test_quality_of_any_language(spark):
     rows, clean = [], set()
     for lang, letters in scripts.items():
         make = lambda k: ["".join(r.choice(letters) for _ in range(r.randint(2, 5))) for _ in range(k)]  # noqa: B023, E731
-        common, other = quality.COMMON_WORDS.get(lang) or make(20), make(300)
+        common, other = make(20), make(300)
         for k in range(31):
             w = [r.choice(common) if r.random() < 0.4 else r.choice(other) for _ in range(300)]
             if k < 30:
@@ -246,6 +248,66 @@ def test_quality_of_any_language(spark):
     assert {got[i]["nearest"] for i in range(30)} == {"ru"} and got[93]["nearest"] == "ru"
 
 
+def brute_distances(rows):
+    """Distances to the nearest reference and the verdict, from plain counters."""
+    classes = [str.islower, str.isupper, str.isdecimal, lambda c: c in ".,;:!?'\"()-", lambda c: c in "#*$%&|<>"]
+
+    def chars(t):
+        n = [sum(f(c) for c in t) for f in classes] + [sum(c in " \t\n\x0b\x0c\r" for c in t)]
+        return [*n, len(t) - sum(n)]
+
+    words = {i: [w for w in re.split(r"[ \t\n\x0b\x0c\r]", t or "") if w] for i, t, _ in rows}
+    failed = {i: len(w) < 50 or 100 * brute_quality(t)[4] > 50 * len(w) for (i, t, _), w in zip(rows, words.values())}
+    held, lists, reference = {}, {}, {}
+    for i, _, lang in rows:
+        if lang and len(words[i]) >= 50:
+            held.setdefault(lang, Counter()).update({w.lower() for w in words[i]})
+    for lang, counts in held.items():
+        lists[lang] = sorted(counts, key=lambda w: (-counts[w], w))[: quality.LISTED]
+    for lang, listed in lists.items():
+        own = [(i, t) for i, t, k in rows if k == lang and not failed[i]]
+        if own:
+            n = [sum(x) for x in zip(*(chars(t) for _, t in own))]
+            total, c = sum(len(words[i]) for i, _ in own), Counter(w.lower() for i, _ in own for w in words[i])
+            reference[lang] = [x / sum(n) for x in n], {w: c[w] / total for w in listed if c[w]}
+
+    def distance(p, q):
+        part = lambda x, y: x * math.log2(2 * x / (x + y)) / 2 if x > 0 else 0.0
+        return math.sqrt(max(0.0, sum(part(x, y) + part(y, x) for x, y in zip(p, q))))
+
+    found = {}
+    for i, t, _ in rows:
+        t, w = t or "", words[i]
+        best = None
+        for lang in sorted(reference):
+            shares, listed = reference[lang]
+            c = Counter(x.lower() for x in w)
+            p, q = [c[x] / max(1, len(w)) for x in listed], list(listed.values())
+            d = distance([x / max(1, len(t)) for x in chars(t)], shares), distance([*p, max(0, 1 - sum(p))], [*q, max(0, 1 - sum(q))])
+            best = min(best or (9, "", ()), (sum(d), lang, d))
+        far = (len(t) >= quality.MIN_CHARS and best[2][0] > quality.MAX_CHAR_DISTANCE) or (len(w) >= quality.MIN_WORDS and best[2][1] > quality.MAX_WORD_DISTANCE)
+        found[i] = (best[1], *best[2], not failed[i] and not far)
+    return found
+
+
+def test_quality_distances_equal_brute_force(spark):
+    r, rows = random.Random(12), []
+    for lang, letters in (("xx", "abcdefg"), ("yy", "ghijklmnop"), (None, "abcdxyz")):
+        common = ["".join(r.choice(letters) for _ in range(r.randint(1, 3))) for _ in range(12)]
+        for k in range(12):
+            w = [r.choice(common) if r.random() < 0.5 else "".join(r.choice(letters) for _ in range(r.randint(2, 7))) for _ in range(r.choice([20, 60, 160, 400]))]
+            w = [x.upper() + "!!" for x in w] if k == 10 else [f"{x}##%%&&" for x in w] if k == 11 else [x.title() + "." if r.random() < 0.1 else x for x in w]
+            rows.append((len(rows), " ".join(w), lang))
+    rows += [(900, None, "xx"), (901, "", "yy"), (902, rows[3][1], "xx"), (903, rows[3][1], "xx"), (904, "ä 1 2 " * 20_000, None)]
+    got = {x["doc_id"]: x for x in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    expected = brute_distances(rows)
+    assert got.keys() == expected.keys()
+    for i, (nearest, chars, common, kept) in expected.items():
+        assert (got[i]["nearest"], got[i]["kept"]) == (nearest, kept), i
+        assert abs(got[i]["char_distance"] - chars) < 1e-9 and abs(got[i]["word_distance"] - common) < 1e-9, i
+    assert {k for *_, k in expected.values()} == {True, False}
+
+
 def test_quality_without_references(spark):
     docs = documents(spark, invented(3)).drop("lang")
     assert quality.judge(docs).where("kept").count() == 3 and quality.judge(docs.limit(0)).count() == 0
