@@ -199,17 +199,19 @@ def fit(docs: DataFrame, held_out_remainder: int = 2, modulus: int = 4, per_lang
     return model
 
 
-def predict(docs: DataFrame, model: ByteCNN | None) -> DataFrame:
-    """``doc_id``, ``lang_pred`` and ``score`` (the language's probability) of every whole text."""
+def predict(docs: DataFrame, model: ByteCNN | None, *carried: str) -> DataFrame:
+    """``doc_id``, the ``carried`` columns, ``lang_pred`` and ``score`` (the language's probability) of every whole text."""
+    typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carried, F.col("text").cast("string").alias("text"))
     if model is None:
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return typed.select("doc_id", *carried, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    kinds = ", ".join(f"`{c}` {k}" for c, k in typed.dtypes[:-1])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         tables = net.pair_tables()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(1 + len(carried)).to_pylist()
             has = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
             label, score = ["und"] * len(texts), np.zeros(len(texts))
             a = 0
@@ -225,6 +227,6 @@ def predict(docs: DataFrame, model: ByteCNN | None) -> DataFrame:
                 for k, i in enumerate(has[a:b]):
                     label[i], score[i] = net.labels[int(total[k].argmax())], float(total[k].max())
                 a = b
-            yield pa.record_batch([batch.column(0), pa.array(label, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
+            yield pa.record_batch([*batch.columns[:-1], pa.array(label, pa.string()), pa.array(score)], names=["doc_id", *carried, "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return typed.mapInArrow(run, f"{kinds}, lang_pred string, score double")

@@ -8,17 +8,20 @@ running through that order as often as needed, the last run ends where the quota
 place in its quota gives its block, so that every block holds each source at its weight; within a
 block copies are permuted by hash.
 
-Running sums have two levels: a source's order is cut into 256 ranges of the hash, whose totals are
-summed first, so that no source meets in one task.
+Running sums have two levels: a source's order is cut into ranges of the hash, about ``RANGE_ROWS`` rows of the
+whole table each and 256 at least, whose totals are summed first, so that no source meets in one task.
 
 Defined cases: null or empty texts have 0 tokens and are taken while the quota isn't full; a null
-source is a source of its own; equal ids share their place in the order, ties by token count;
+source is a source of its own; equal ids share their place in the order, ties by token count; a null id has its
+place by a hash of the row;
 sources without tokens get no quota; an empty table gives no rows; clashing column names are kept
 apart, the row travels as one struct.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +29,7 @@ from skerry.llm.quality import let
 from skerry.llm.shared import bounded
 
 STEPS = 50
-BUCKET_BITS = 8
+RANGE_ROWS, LEAST_BITS, MOST_BITS = 10_000, 8, 24
 HASH_BITS = 60
 MAX_BROADCAST_SUMS = 1_000_000
 
@@ -84,8 +87,10 @@ def mix(docs: DataFrame, target_entropy: float | None = 0.95, max_repeats: float
         raise ValueError("give a target entropy or a repetition limit")
     size = estimated_tokens(F.col("text")) if tokens is None else tokens
     row = F.struct(*(F.col(c) for c in (docs.columns if carry else [id_column]))).alias("row")
-    base = docs.select(row, F.col(source_column).cast("string").alias("source"), size.alias("tokens"), hashed(F.lit(str(seed)), F.col(id_column).cast("string")).alias("h"))
-    base = base.withColumn("bucket", F.shiftright("h", HASH_BITS - BUCKET_BITS).cast("int"))
+    name = F.coalesce(F.col(id_column).cast("string"), F.concat(F.lit("row "), F.xxhash64(*docs.columns).cast("string")))
+    bits = min(max(LEAST_BITS, math.ceil(math.log2(max(1, docs.count()) / RANGE_ROWS))), MOST_BITS)
+    base = docs.select(row, F.col(source_column).cast("string").alias("source"), size.alias("tokens"), hashed(F.lit(str(seed)), name).alias("h"), name.alias("name"))
+    base = base.withColumn("bucket", F.shiftright("h", HASH_BITS - bits).cast("int"))
     sums = base.groupBy("source", "bucket").agg(F.sum("tokens").alias("in_bucket"))
     before = F.sum("in_bucket").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("in_bucket")
     sources = weights(sums.groupBy("source").agg(F.sum("in_bucket").alias("held")), target_entropy, max_repeats, budget)
@@ -98,6 +103,6 @@ def mix(docs: DataFrame, target_entropy: float | None = 0.95, max_repeats: float
     copies = placed.withColumn("epoch", F.explode(runs)).withColumn("at", F.col("epoch") * F.col("held") + F.col("start"))
     blocks = F.ceil(F.col("budget") / float(block_tokens))
     copies = copies.withColumn("block", F.floor(F.col("at").cast("double") / F.col("quota").cast("double") * blocks).cast("long"))
-    copies = copies.withColumn("drawn", hashed(F.lit(str(seed + 1)), F.col("epoch").cast("string"), F.col(f"row.{id_column}").cast("string")))
+    copies = copies.withColumn("drawn", hashed(F.lit(str(seed + 1)), F.col("epoch").cast("string"), F.col("name")))
     place = F.row_number().over(Window.partitionBy("block").orderBy("drawn", F.col(f"row.{id_column}"), "source", "at")).cast("long")
     return copies.withColumn("place", place).select("row", "source", "tokens", "epoch", "block", "place")

@@ -53,7 +53,7 @@ BLOCK_ROWS = 4096
 TILE = 32
 #: Shingles are counted in so many buckets to put the rare ones first; any order finds all pairs.
 BUCKET_BITS = 20
-MAX_BROADCAST_IDS = 4_000_000
+MAX_BROADCAST_IDS = 1_000_000
 
 _rng = np.random.default_rng(19970501)
 _A = _rng.integers(1, 2**63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -150,14 +150,14 @@ def distances(reference: Column) -> Column:
     return F.struct(root(chars).alias("chars"), root(F.aggregate(own, start, add, finish)).alias("words"))
 
 
-def judge(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
+def judge(docs: DataFrame, id_column: str = "doc_id", *carried: str) -> DataFrame:
     """Every document's base counts, ``base_failed``, distances to the nearest language, and ``kept``."""
     lang = docs["lang"].cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    rows = docs.select(F.col(id_column), F.col("text"), F.when(F.trim(lang) != "", lang).alias("lang"))
+    rows = docs.select(F.col(id_column), *carried, F.col("text"), F.when(F.trim(lang) != "", lang).alias("lang"))
     lists = word_lists(rows)
-    found = stage(features(rows, id_column, "lang", lists=lists), "quality")
+    found = stage(features(rows, id_column, *carried, "lang", lists=lists), "quality")
     known = references(found, lists)
-    base = [id_column, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    base = [id_column, *carried, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     if not known:
         return found.select(*base, F.lit(None).cast("string").alias("nearest"), F.lit(None).cast("double").alias("char_distance"), F.lit(None).cast("double").alias("word_distance"), (~F.col("base_failed")).alias("kept"))
     table = lambda words: F.create_map(*(F.lit(x) for kv in words.items() for x in kv)) if words else F.create_map().cast("map<string,double>")

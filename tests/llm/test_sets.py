@@ -122,6 +122,17 @@ def test_mixture_odd_rows(spark):
     assert len(mixed(spark, documents(spark, invented(5)).withColumn("source", F.lit("one")))) == 5
 
 
+def test_mixture_of_null_ids_and_long_texts(spark, monkeypatch):
+    """Null ids are drawn by their rows, a long text is taken whole, and the number of ranges changes nothing."""
+    rows = [(None, f"{i} " * 40, "en", "a", i) for i in range(200)] + [(i, "y" * 50, "en", "b", 1) for i in range(20)] + [(99, "z " * 200_000, "en", "b", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    pick = lambda: sorted((str(r["doc_id"]), r["n_chars"], r["epoch"], r["block"], r["place"]) for r in mixing.mix(docs, block_tokens=20_000).select("row.doc_id", "row.n_chars", "epoch", "block", "place").collect())
+    first = pick()
+    assert len({n for i, n, *_ in first if i == "None"}) > 150
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 0.01)
+    assert pick() == first
+
+
 def test_contract_long_chain_and_stars(spark):
     edges = [(i, i + 1) for i in range(100)] + [(1000, 1000 + i) for i in range(1, 50)] + [(5, 5), (2001, 2000)]
     random.Random(2).shuffle(edges)
@@ -150,6 +161,29 @@ def test_pipeline_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
 
 
+def test_pipeline_of_null_and_repeated_ids(spark, tmp_path):
+    """Decisions are a row's own: null ids stay, rows of one id keep their own verdicts, one of equal rows stays."""
+    import corpus_pipeline
+
+    r = random.Random(3)
+    vocabulary = [w for t in invented(10) for w in t.split()]
+    common = "the of and to in a is that for it as was with be by on not he his but".split()
+    texts = [" ".join(r.choice(common) if r.random() < 0.4 else r.choice(vocabulary) for _ in range(200)) for _ in range(40)]
+    rows = [(i, t, "en", "s", 1, "x") for i, t in enumerate(texts)]
+    rows += [(None, "the " + texts[0][::-1], "en", "s", 1, "x"), (None, texts[1], "en", "s", 1, "x"), (2, "too short", "en", "s", 1, "x"), (3, texts[3], "en", "s", 1, "x"), (4, " ".join(reversed(texts[5].split())), "en", "s", 1, "x")]
+    docs = spark.createDataFrame(rows, SCHEMA + ", label string")
+    kept = []
+    for name, step in corpus_pipeline.STAGES[:3]:
+        docs = step(spark, docs, str(tmp_path))
+        assert docs.columns == [*(c.split()[0] for c in SCHEMA.split(", ")), "label"]
+        docs.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        kept.append(sorted((str(x["doc_id"]), x["text"]) for x in docs.collect()))
+    whole = sorted((str(i), t) for i, t, *_ in rows if t != "too short")
+    assert kept[0] == kept[1] == whole
+    assert kept[2] == sorted({(i, t) for i, t in whole if (i, t) != ("None", texts[1])})
+
+
 def test_pipeline_of_an_empty_table(spark, tmp_path):
     import corpus_pipeline
 
