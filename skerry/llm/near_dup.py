@@ -49,7 +49,7 @@ NEIGHBOURS = 8
 SMALL_REGION = 64
 ROUNDS = 3
 #: Rows of a block; two blocks are in one task.
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 1024
 TILE = 32
 #: Shingles are counted in so many buckets to put the rare ones first; any order finds all pairs.
 BUCKET_BITS = 20
