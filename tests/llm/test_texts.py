@@ -261,14 +261,14 @@ def brute_distances(rows):
     held, lists, reference = {}, {}, {}
     for i, _, lang in rows:
         if lang and len(words[i]) >= 50:
-            held.setdefault(lang, Counter()).update({w.lower() for w in words[i]})
+            held.setdefault(lang, Counter()).update(set(words[i]))
     for lang, counts in held.items():
         lists[lang] = sorted(counts, key=lambda w: (-counts[w], w))[: quality.LISTED]
     for lang, listed in lists.items():
         own = [(i, t) for i, t, k in rows if k == lang and not failed[i]]
         if own:
             n = [sum(x) for x in zip(*(chars(t) for _, t in own))]
-            total, c = sum(len(words[i]) for i, _ in own), Counter(w.lower() for i, _ in own for w in words[i])
+            total, c = sum(len(words[i]) for i, _ in own), Counter(w for i, _ in own for w in words[i])
             reference[lang] = [x / sum(n) for x in n], {w: c[w] / total for w in listed if c[w]}
 
     def distance(p, q):
@@ -281,7 +281,7 @@ def brute_distances(rows):
         best = None
         for lang in sorted(reference):
             shares, listed = reference[lang]
-            c = Counter(x.lower() for x in w)
+            c = Counter(w)
             p, q = [c[x] / max(1, len(w)) for x in listed], list(listed.values())
             d = distance([x / max(1, len(t)) for x in chars(t)], shares), distance([*p, max(0, 1 - sum(p))], [*q, max(0, 1 - sum(q))])
             best = min(best or (9, "", ()), (sum(d), lang, d))
