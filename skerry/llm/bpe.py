@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm import byte_bpe
+from skerry.llm import byte_bpe, words
 
 #: What ``encode`` can return for each text, with its Spark type.
 OUTPUTS = {"ids": "array<int>", "decoded": "string", "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
@@ -28,7 +28,7 @@ def encode(docs: DataFrame, path: str | None = None, outputs: Sequence[str] = ("
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe.load(byte_bpe.resolve(path))
-        for batch in batches:
+        for batch in words.slices(batches):
             columns: dict[str, list] = {k: [] for k in wanted}
             for text in batch.column(1).to_pylist():
                 ids = np.frombuffer(bpe.encode(text), "<u4").tolist()

@@ -26,6 +26,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skerry.llm import words
 from skerry.llm.shared import bounded
 
 WINDOW = 256
@@ -210,7 +211,7 @@ def predict(docs: DataFrame, model: ByteCNN | None, *carried: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         tables = net.pair_tables()
-        for batch in batches:
+        for batch in words.slices(batches):
             texts = batch.column(1 + len(carried)).to_pylist()
             has = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
             label, score = ["und"] * len(texts), np.zeros(len(texts))

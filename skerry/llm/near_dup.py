@@ -61,7 +61,7 @@ _B = _rng.integers(0, 2**63, VALUES, dtype=np.uint64)
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in words.slices(batches):
         for first, raws in words.chunks(batch.column(1).to_pylist()):
             sets = words.shingle_sets(raws)
             sizes = np.array([len(s) for s in sets], np.int64)
@@ -111,7 +111,7 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose full sets have the similarity."""
-    for batch in batches:
+    for batch in words.slices(batches):
         keep = []
         for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
             x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
@@ -125,7 +125,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in words.slices(batches):
         for first, raws in words.chunks(batch.column(1).to_pylist()):
             yield pa.record_batch([batch.column(0).slice(first, len(raws)), pa.array([s.astype("<u8").tobytes() for s in words.shingle_sets(raws)], pa.binary())], names=["doc_id", "set"])
 
@@ -166,7 +166,7 @@ def _bucket(shingles: np.ndarray) -> np.ndarray:
 
 def _loads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many sets hold a shingle of each bucket."""
-    for batch in batches:
+    for batch in words.slices(batches):
         sets = [np.frombuffer(x, "<u8") for x in batch.column(0).to_pylist()]
         if sets:
             bucket, n = np.unique(_bucket(np.concatenate(sets)), return_counts=True)
@@ -177,7 +177,7 @@ def _prefixes(load):
     """The first shingles of each set, the rare ones first, as many as a set as long as it or shorter must share one of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in words.slices(batches):
             reps, parts, found = batch.column(0).to_numpy(), batch.column(1).to_numpy(), []
             for i, x in enumerate(batch.column(2).to_pylist()):
                 x = np.frombuffer(x, "<u8")

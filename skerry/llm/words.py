@@ -66,6 +66,13 @@ def chunks(texts: Sequence[str | None], limit: int = CHUNK_BYTES) -> Iterator[tu
         yield first, run
 
 
+def slices(batches: Iterator, rows: int = 512) -> Iterator:
+    """Arrow batches in parts of ``rows`` rows, so that a worker holds Python objects of one part at a time."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def word_hashes(raws: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and where each text's words begin (one more entry than texts)."""
     joined = np.frombuffer(b"\n".join(raws) + b"\n", np.uint8)
