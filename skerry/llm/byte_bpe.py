@@ -29,7 +29,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: A text that holds one of these isn't cut at blanks: white space in runs, or of other kinds (fixed value of Unicode).
 _UNEVEN = ("  ", " \n", "\n ", "\n\n", *map(chr, (9, 11, 12, 13, 28, 29, 30, 31, 133, 160, 5760, 6158, *range(8192, 8204), 8232, 8233, 8239, 8287, 12288, 65279)))
 #: Entries of a table; the tables of ``ByteBPE`` are smaller, as they share a worker with other stages of a pipeline.
-MAX_PIECES, MAX_OWN_PIECES = 600_000, 100_000
+MAX_PIECES, MAX_OWN_PIECES = 600_000, 40_000
 
 
 def byte_symbols() -> list[str]:

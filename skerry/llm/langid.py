@@ -37,7 +37,7 @@ PAD = 32
 _LETTER = regex.compile(r"\p{L}")
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BLOCK = 1024
+_BLOCK = 256
 
 
 @dataclass
@@ -218,7 +218,7 @@ def predict(docs: DataFrame, model: ByteCNN | None, *carried: str) -> DataFrame:
             a = 0
             while a < len(has):
                 b, size = a, 0
-                while b < len(has) and (b == a or size < 1 << 20):
+                while b < len(has) and (b == a or size < 1 << 18):
                     size += len(texts[has[b]])
                     b += 1
                 x, owner, weight = windows([texts[i].encode("utf-8", "replace") for i in has[a:b]])

@@ -7,12 +7,14 @@ the bits.  All arithmetic is modulo 2**64, over whole arrays.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 
 U64 = np.uint64
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 SHINGLE_WORDS = 5
 
 _rng = np.random.default_rng(20240229)
@@ -67,10 +69,16 @@ def chunks(texts: Sequence[str | None], limit: int = CHUNK_BYTES) -> Iterator[tu
 
 
 def slices(batches: Iterator, rows: int = 512) -> Iterator:
-    """Arrow batches in parts of ``rows`` rows, so that a worker holds Python objects of one part at a time."""
+    """Arrow batches in parts of ``rows`` rows, so that a worker holds Python objects of one part at a time.
+
+    Workers live on between stages; at the end of a task unused memory goes back to the system.
+    """
     for batch in batches:
         for a in range(0, batch.num_rows, rows):
             yield batch.slice(a, rows)
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def word_hashes(raws: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
