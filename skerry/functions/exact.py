@@ -12,6 +12,8 @@ from skerry.functions.special import chi2_tail, normal_cdf, normal_quantile, nor
 
 #: Up to this size the rank tests use exact nulls when there are no ties (scipy's rule of thumb).
 EXACT_MANN_WHITNEY, EXACT_WILCOXON = 8, 50
+#: Greatest n m whose exact Mann-Whitney null is listed; the normal form serves beyond.
+MAX_EXACT_ORDERS = 100_000
 
 
 @functools.lru_cache(maxsize=256)
@@ -30,7 +32,8 @@ def mann_whitney_counts(n: int, m: int) -> tuple[int, ...]:
 def mann_whitney_p(u: float, n: int, m: int, tie_term: float) -> float:
     """Two-sided p; ``tie_term`` is the sum of t^3 - t over tied values."""
     greater = max(u, n * m - u)
-    if tie_term == 0 and min(n, m) <= EXACT_MANN_WHITNEY:
+    if tie_term == 0 and min(n, m) <= EXACT_MANN_WHITNEY and n * m <= MAX_EXACT_ORDERS:
+        n, m = int(n), int(m)
         ways = mann_whitney_counts(n, m)
         return min(1.0, 2 * sum(ways[int(math.ceil(greater)) :]) / math.comb(n + m, n))
     total = n + m

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skerry.functions import exact, special
-from skerry.functions.columns import finite, ratio, running_sum
+from skerry.functions.columns import finite, is_finite, ratio, running_sum
 
 
 def summaries(df: DataFrame, group: str, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -89,12 +89,12 @@ def anova(df: DataFrame, group: str, value: str, by: Sequence[str] = ()) -> Data
     """One-way F with its degrees of freedom, and eta squared (share of the total sum of squares)."""
     s = summaries(df, group, value, by)
     total = s.groupBy(*by).agg(
-        F.count("*").alias("k"), F.sum("n").alias("total"), F.sum(F.col("n") * F.col("mean")).alias("sum"),
-        F.sum(F.col("n") * F.col("mean") * F.col("mean")).alias("sum2"), F.sum((F.col("n") - 1) * F.col("variance")).alias("within"),
+        F.count("*").alias("_k"), F.sum("n").alias("_total"), F.sum(F.col("n") * F.col("mean")).alias("_sum"),
+        F.sum(F.col("n") * F.col("mean") * F.col("mean")).alias("_sum2"), F.sum((F.col("n") - 1) * F.col("variance")).alias("_within"),
     )
-    between = F.col("sum2") - F.col("sum") * F.col("sum") / F.col("total")
-    f = ratio(between / (F.col("k") - 1), F.col("within") / (F.col("total") - F.col("k")))
-    return total.where("k > 1 and total > k").select(*by, (F.col("k") - 1).alias("df_between"), (F.col("total") - F.col("k")).alias("df_within"), f.alias("f"), ratio(between, between + F.col("within"), 0.0).alias("eta_squared"))
+    between = F.col("_sum2") - F.col("_sum") * F.col("_sum") / F.col("_total")
+    f = ratio(between / (F.col("_k") - 1), F.col("_within") / (F.col("_total") - F.col("_k")))
+    return total.where("_k > 1 and _total > _k").select(*by, (F.col("_k") - 1).alias("df_between"), (F.col("_total") - F.col("_k")).alias("df_within"), f.alias("f"), ratio(between, between + F.col("_within"), 0.0).alias("eta_squared"))
 
 
 def t_tests(df: DataFrame, group: str, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -135,10 +135,14 @@ def kruskal(df: DataFrame, group: str, value: str, by: Sequence[str] = ()) -> Da
 
 
 def brown_forsythe(df: DataFrame, group: str, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """One-way F of the distances to the group medians."""
+    """One-way F of the distances to the group medians; a null label is a group of its own."""
     rows = finite(df, value)
-    medians = rows.groupBy(*by, group).agg(F.percentile(value, 0.5).alias("_median"))
-    away = rows.join(medians, [*by, group]).withColumn("_away", F.abs(F.col(value) - F.col("_median")))
+    keys = [*by, group]
+    medians = rows.groupBy(*keys).agg(F.percentile(value, 0.5).alias("_median")).withColumnsRenamed({c: f"_of_{i}" for i, c in enumerate(keys)})
+    match = F.lit(True)
+    for i, c in enumerate(keys):
+        match = match & F.col(c).eqNullSafe(F.col(f"_of_{i}"))
+    away = rows.join(medians, match).withColumn("_away", F.abs(F.col(value) - F.col("_median")))
     return anova(away, group, "_away", by).select(*by, "df_between", "df_within", F.col("f").alias("levene"))
 
 
@@ -163,14 +167,19 @@ def chi_square(df: DataFrame, row: str, column: str) -> DataFrame:
     return s.select("n", "chi2", ((F.col("r") - 1) * (F.col("k") - 1)).alias("df"), "least_expected", v.alias("cramers_v"))
 
 
-def interpret(value: Column, kind: str) -> Column:
-    """The size of an effect in words."""
-    # Strict upper limits of negligible, small and medium.
-    limits = {"d": (0.2, 0.5, 0.8), "g": (0.2, 0.5, 0.8), "r": (0.1, 0.3, 0.5), "eta": (0.01, 0.06, 0.14), "v": (0.1, 0.3, 0.5), "cles": (0.56, 0.64, 0.71)}[kind]
+def interpret(value: Column, kind: str = "hedges_g", low: Column | None = None, high: Column | None = None) -> Column:
+    """The size of an effect in words, with a reservation where its interval holds 0; what isn't finite is not estimable."""
+    # Upper limits of negligible, small and moderate.
+    limits = {
+        "hedges_g": (0.2, 0.5, 0.8), "cohens_d": (0.2, 0.5, 0.8), "eta_squared": (0.01, 0.06, 0.14),
+        "epsilon_squared": (0.01, 0.08, 0.26), "cramers_v": (0.1, 0.3, 0.5), "rank_biserial": (0.1, 0.3, 0.5),
+    }[kind]
     size = F.abs(value)
-    if kind == "cles":
-        size = F.greatest(value, 1 - value)
-    return F.when(size < limits[0], "negligible").when(size < limits[1], "small").when(size < limits[2], "medium").otherwise("large")
+    words = F.when(size < limits[0], "negligible").when(size < limits[1], "small").when(size < limits[2], "moderate").otherwise("large")
+    if low is not None and high is not None:
+        open_ = F.coalesce(is_finite(low) & is_finite(high) & (low * high <= 0), F.lit(False))
+        words = F.when(open_, F.concat(words, F.lit(" here, but the interval holds 0, so the direction is open"))).otherwise(words)
+    return F.when(is_finite(value), words).otherwise("not estimable")
 
 
 def with_p(df: DataFrame, kind: str, *arguments: str, to: str = "p_value") -> DataFrame:

@@ -24,14 +24,14 @@ def query(sql: str | None = None):
 
 
 def _counts(spark: SparkSession, d: str) -> DataFrame:
-    """Line items of each nation's suppliers per brand, those of small quantity only so that rare brands occur."""
-    lines = load(spark, d, "lineitem").where("l_quantity <= 3").select("l_suppkey", "l_partkey")
-    s, p = load(spark, d, "supplier").select("s_suppkey", "s_nationkey"), load(spark, d, "part").select("p_partkey", "p_brand")
+    """Line items of each nation's suppliers per brand and size of the part: fine enough that rare ones occur."""
+    lines = load(spark, d, "lineitem").select("l_suppkey", "l_partkey")
+    s, p = load(spark, d, "supplier").select("s_suppkey", "s_nationkey"), load(spark, d, "part").select("p_partkey", F.concat_ws("-", "p_brand", "p_size").alias("p_brand"))
     j = lines.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(p, F.col("l_partkey") == F.col("p_partkey"))
     return j.groupBy(F.col("s_nationkey").alias("sample"), F.col("p_brand").alias("taxon")).agg(F.count("*").alias("n"))
 
 
-_C = "c AS (SELECT s_nationkey AS sample, p_brand AS taxon, CAST(count(*) AS DOUBLE) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE l_quantity <= 3 GROUP BY 1, 2)"
+_C = "c AS (SELECT s_nationkey AS sample, concat_ws('-', p_brand, p_size) AS taxon, CAST(count(*) AS DOUBLE) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"
 
 
 @query(f"""WITH {_C}, s AS (SELECT sample, count(*) AS observed, sum(n) AS total, sum(n * ln(n)) AS nln, sum(n * n) AS q, count(*) FILTER (n = 1) AS f1, count(*) FILTER (n = 2) AS f2 FROM c GROUP BY 1)
@@ -69,14 +69,14 @@ def jaccard_nation(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {_C}, {_PAIRS}, d AS (SELECT a, b, 1 - coalesce(l, 0) AS d FROM o LEFT JOIN m USING (a, b)),
   g AS (SELECT k.sample, n_regionkey AS level, row_number() OVER (ORDER BY k.sample) AS idx FROM k JOIN nation ON n_nationkey = k.sample), z0 AS (SELECT level, count(*) AS size FROM g GROUP BY 1),
-  r AS (SELECT r.range AS r, sample, row_number() OVER (PARTITION BY r.range ORDER BY CASE WHEN r.range < 0 THEN lpad(CAST(idx AS VARCHAR), 12, '0') ELSE md5(concat_ws('|', '20260901', CAST(r.range AS VARCHAR), CAST(idx AS VARCHAR))) END, idx) AS slot FROM range(-1, 99) r, g),
+  r AS (SELECT r.range AS r, sample, row_number() OVER (PARTITION BY r.range ORDER BY CASE WHEN r.range < 0 THEN lpad(CAST(idx AS VARCHAR), 12, '0') ELSE md5(concat_ws('|', '20260901', CAST(r.range AS VARCHAR), CAST(idx AS VARCHAR))) END, idx) AS slot FROM range(-1, 999) r, g),
   q AS (SELECT r.r, r.sample, g.level FROM r JOIN g ON g.idx = r.slot), w AS (SELECT x.r, sum(d.d * d.d / z0.size) AS w FROM d JOIN q x ON x.sample = d.a JOIN q y ON y.sample = d.b AND y.r = x.r AND y.level = x.level JOIN z0 ON z0.level = x.level GROUP BY 1),
   n AS (SELECT count(*) AS n, count(DISTINCT level) AS k FROM g), t AS (SELECT sum(d * d) / max(n) AS t FROM d, n), f AS (SELECT r, ((t - w) / (k - 1)) / (w / (n - k)) AS f FROM w, t, n), ob AS (SELECT f AS o FROM f WHERE r < 0)
-  SELECT round(max(o), 6) AS pseudo_f, round((count(*) FILTER (r >= 0 AND f >= o - 1e-9) + 1) / 100.0, 6) AS p_value, round(max(o / (o + CAST(n - k AS DOUBLE) / (k - 1))), 6) AS r_squared FROM f, ob, n""")
+  SELECT round(max(o), 6) AS pseudo_f, round((count(*) FILTER (r >= 0 AND f >= o - 1e-9) + 1) / 1000.0, 6) AS p_value, round(max(o / (o + CAST(n - k AS DOUBLE) / (k - 1))), 6) AS r_squared FROM f, ob, n""")
 def permanova_region(spark: SparkSession, d: str) -> DataFrame:
     distances = diversity.beta(_counts(spark, d), "braycurtis")
     labels = _counts(spark, d).select("sample").distinct().join(load(spark, d, "nation"), F.col("sample") == F.col("n_nationkey")).select("sample", F.col("n_regionkey").alias("level"))
-    return rounded(diversity.permanova(distances, labels, 99))
+    return rounded(diversity.permanova(distances, labels))
 
 
 @query()
@@ -122,32 +122,38 @@ def codon_usage_documents(spark: SparkSession, d: str) -> DataFrame:
     return rounded(sequences.codon_usage(_sequences(spark, d), "s", []), digits=9)
 
 
-@query(f"""WITH {_S}, f AS (SELECT doc_id, len(s) AS length, f, CASE WHEN f > 0 THEN s ELSE reverse(translate(s, 'ACGT', 'TGCA')) END AS t FROM s, (VALUES (1), (2), (3), (-1), (-2), (-3)) v(f)),
+_ORFS = f"""{_S}, f AS (SELECT doc_id, len(s) AS length, f, CASE WHEN f > 0 THEN s ELSE reverse(translate(s, 'ACGT', 'TGCA')) END AS t FROM s, (VALUES (1), (2), (3), (-1), (-2), (-3)) v(f)),
   c AS (SELECT doc_id, length, f, i, substr(t, i * 3 + abs(f), 3) AS codon FROM (SELECT *, unnest(range(0, greatest(0, (len(t) - abs(f) + 1) // 3))) AS i FROM f)),
   g AS (SELECT *, codon IN ('TAA', 'TAG', 'TGA') AS stop, coalesce(sum(CASE WHEN codon IN ('TAA', 'TAG', 'TGA') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, f ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM c),
-  o AS (SELECT doc_id, length, f, min(i) FILTER (codon IN ('ATG', 'GTG', 'TTG', 'ATT', 'CTG')) AS a, max(i) FILTER (stop) AS b FROM g GROUP BY doc_id, length, f, seg)
-  SELECT doc_id, CAST(f AS INTEGER) AS frame, CAST(CASE WHEN f > 0 THEN a * 3 + abs(f) ELSE length - (b * 3 + abs(f) + 2) + 1 END AS BIGINT) AS first_base, CAST(CASE WHEN f > 0 THEN b * 3 + abs(f) + 2 ELSE length - (a * 3 + abs(f)) + 1 END AS BIGINT) AS last_base, CAST(b - a AS BIGINT) AS amino_acids FROM o WHERE a IS NOT NULL AND b IS NOT NULL AND b - a >= 30""")
+  o AS (SELECT doc_id, length, f, min(i) FILTER (codon IN ('ATG', 'GTG', 'TTG', 'ATT', 'CTG')) AS a, max(i) FILTER (stop) AS b FROM g GROUP BY doc_id, length, f, seg),
+  r AS (SELECT doc_id, CAST(f AS INTEGER) AS frame, CAST(CASE WHEN f > 0 THEN a * 3 + abs(f) ELSE length - (b * 3 + abs(f) + 2) + 1 END AS BIGINT) AS first_base, CAST(CASE WHEN f > 0 THEN b * 3 + abs(f) + 2 ELSE length - (a * 3 + abs(f)) + 1 END AS BIGINT) AS last_base, CAST(b - a AS BIGINT) AS amino_acids FROM o WHERE a IS NOT NULL AND b IS NOT NULL AND b - a >= 30)"""
+
+
+@query(f"WITH {_ORFS} SELECT * FROM r")
 def orfs_documents(spark: SparkSession, d: str) -> DataFrame:
     r = sequences.orfs(_sequences(spark, d), "s", "doc_id")
     return r.select("doc_id", "frame", *(F.col(c).cast("long") for c in ("first_base", "last_base", "amino_acids")))
 
 
-@query()
+@query(f"""WITH {_ORFS}, n AS (SELECT doc_id, greatest(0, last_base - greatest(first_base - 1, coalesce(max(last_base) OVER (PARTITION BY doc_id ORDER BY first_base, last_base ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS n FROM r)
+  SELECT doc_id, CAST(sum(n) AS BIGINT) AS covered FROM n GROUP BY doc_id""")
 def orf_coverage_documents(spark: SparkSession, d: str) -> DataFrame:
-    return sequences.coverage(sequences.orfs(_sequences(spark, d), "s", "doc_id"), "doc_id")
+    return sequences.coverage(sequences.orfs(_sequences(spark, d), "s", "doc_id"), "doc_id").withColumn("covered", F.col("covered").cast("long"))
 
 
-@query()
+@query(f"WITH {_S} SELECT doc_id, array_to_string(list_transform(range(len(s) // 3), lambda i: CASE substr(s, CAST(i * 3 + 1 AS INTEGER), 3) {_CODE} END), '') AS protein FROM s")
 def proteins_documents(spark: SparkSession, d: str) -> DataFrame:
     return sequences.translate(_sequences(spark, d), "s", 1).select("doc_id", "protein")
 
 
-@query()
+@query(f"""WITH {_S}, w AS (SELECT doc_id, i, substr(s, i + 1, 40) AS w FROM (SELECT doc_id, s, unnest(range(0, len(s) - 39, 10)) AS i FROM s WHERE len(s) >= 40))
+  SELECT doc_id, CAST(i + 20 AS INTEGER) AS position, (40 - len(regexp_replace(w, '[GC]', '', 'g'))) / 40.0::DOUBLE AS gc FROM w""")
 def gc_windows_documents(spark: SparkSession, d: str) -> DataFrame:
     return sequences.gc_windows(_sequences(spark, d), "s", 40, "doc_id")
 
 
-@query()
+@query("""WITH t AS (SELECT doc_id, regexp_replace(text, '\\s', '', 'g') AS raw FROM documents WHERE text IS NOT NULL), c AS (SELECT doc_id, len(raw) AS n, len(regexp_replace(replace(upper(raw), 'U', 'T'), '[^ACGT]', '', 'g')) AS length FROM t)
+  SELECT doc_id, CAST(1 AS BIGINT) AS record, concat('doc', doc_id) AS seq_id, concat('doc', doc_id, ' x') AS description, CAST(length AS INTEGER) AS length, CAST(n - length AS INTEGER) AS non_standard FROM c""")
 def fasta_documents(spark: SparkSession, d: str) -> DataFrame:
     texts = load(spark, d, "documents").select("doc_id", F.concat(F.lit(">doc"), F.col("doc_id").cast("string"), F.lit(" x\n"), "text").alias("fasta"))
     return parse_fasta(texts, "doc_id", "fasta").drop("sequence")

@@ -94,9 +94,11 @@ def compare_groups(df: DataFrame, group: str, value: str, by: Sequence[str] = ()
     Two groups: permutation if robust is preferred, a group has under 10 values or isn't normal; Welch if the
     variances differ; else the pooled t.  More groups: Kruskal-Wallis, Alexander-Govern, one-way F in the same cases.
     """
-    keys = list(by) or ["_all"]
+    keys, kinds = list(by) or ["_all"], dict(df.dtypes)
     if not by:
         df = df.withColumn("_all", F.lit(0))
+    for c in by:  # keys as text, so that a null key is a data set too
+        df = df.withColumn(c, F.to_json(F.struct(F.col(c).alias("v"))))
     s = groups.summaries(df, group, value, keys).persist()
     panel = s.groupBy(*keys).agg(F.count("*").alias("k"), F.min("n").alias("least_n"), F.sum("n").alias("total"), F.min("variance").alias("least_variance"))
     normal = normality(df, group, value, keys).groupBy(*keys).agg(F.min(F.when(~F.isnan("p_normal"), F.col("p_normal"))).alias("p_normal"))
@@ -135,7 +137,7 @@ def compare_groups(df: DataFrame, group: str, value: str, by: Sequence[str] = ()
     for test in tests[1:]:
         found = found.unionByName(test)
     effect = f.select(*keys, "eta_squared")
-    return panel.join(found, keys, "left").join(effect, keys, "left").select(*by, "k", "least_n", "p_normal", "p_variance", "route", "statistic", "p_value", "eta_squared", F.col("route").isNull().alias("refused"), "reason")
+    return panel.join(found, keys, "left").join(effect, keys, "left").select(*(F.from_json(F.col(c), f"v {kinds[c]}")["v"].alias(c) for c in by), "k", "least_n", "p_normal", "p_variance", "route", "statistic", "p_value", "eta_squared", F.col("route").isNull().alias("refused"), "reason")
 
 
 def post_hoc(df: DataFrame, group: str, value: str, by: Sequence[str] = ()) -> DataFrame:

@@ -226,9 +226,18 @@ def compare_groups_by_priority(spark: SparkSession, d: str) -> DataFrame:
     return compare_groups(load(spark, d, "orders"), "o_orderstatus", "o_totalprice", ["o_orderpriority"])
 
 
-@query()
+def t_p(t: str, df: str) -> str:
+    """SQL for the two-sided p of Student's t: one less twice the density's Simpson sum from 0 to |t|."""
+    return f"""greatest(0.0, 1 - 2 * exp(lgamma(({df} + 1) / 2.0) - lgamma({df} / 2.0)) / sqrt({df} * pi()) * abs({t}) / 6000 *
+      list_sum(list_transform(range(2001), lambda i: (CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * pow(1 + pow({t} * i / 2000.0, 2) / {df}, -({df} + 1) / 2.0))))"""
+
+
+@query(f"""WITH {_SUMMARY}, p AS (SELECT a.g AS a_group_label, b.g AS b_group_label, a.m - b.m AS d, a.n AS n, b.n AS k, a.v / a.n AS x, b.v / b.n AS y, sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2)) AS s FROM s a JOIN s b ON a.g < b.g),
+  t AS (SELECT *, d / sqrt(x + y) AS welch_t, (x + y) * (x + y) / (x * x / (n - 1) + y * y / (k - 1)) AS welch_df, d / s * (1 - 3.0 / (4 * (n + k - 2) - 1)) AS hedges_g FROM p), q AS (SELECT *, {t_p('welch_t', 'welch_df')} AS p_value FROM t),
+  h AS (SELECT *, (count(*) OVER () - row_number() OVER (ORDER BY p_value, a_group_label, b_group_label) + 1) * p_value AS raised FROM q)
+  SELECT a_group_label, b_group_label, round(welch_t, 6) AS welch_t, round(welch_df, 6) AS welch_df, round(p_value, 6) AS p_value, round(least(1.0, max(raised) OVER (ORDER BY p_value, a_group_label, b_group_label ROWS UNBOUNDED PRECEDING)), 6) AS p_holm, round(hedges_g, 6) AS hedges_g FROM h""")
 def post_hoc_segments(spark: SparkSession, d: str) -> DataFrame:
-    return post_hoc(load(spark, d, "customer"), "c_mktsegment", "c_acctbal")
+    return rounded(post_hoc(load(spark, d, "customer"), "c_mktsegment", "c_acctbal"))
 
 
 def _two(spark: SparkSession, d: str) -> DataFrame:
@@ -236,22 +245,25 @@ def _two(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH s AS (SELECT CASE WHEN s_nationkey < 12 THEN 'low' ELSE 'high' END AS g, row_number() OVER (PARTITION BY s_nationkey < 12 ORDER BY s_suppkey) - 1 AS slot, count(*) OVER (PARTITION BY s_nationkey < 12) AS size, s_acctbal AS v FROM supplier),
-  d AS (SELECT r.range AS r, g, CAST(concat('0x', substr(md5(concat_ws('|', '20260901', CAST(r.range AS VARCHAR), g, CAST(slot AS VARCHAR))), 1, 8)) AS BIGINT) % size AS slot FROM s, range(300) r),
+  d AS (SELECT r.range AS r, g, CAST(concat('0x', substr(md5(concat_ws('|', '20260901', CAST(r.range AS VARCHAR), g, CAST(slot AS VARCHAR))), 1, 8)) AS BIGINT) % size AS slot FROM s, range(999) r),
   x AS (SELECT r, d.g, count(*) AS n, avg(v) AS m, var_samp(v) AS v FROM d JOIN s USING (g, slot) GROUP BY 1, 2),
   y AS (SELECT a.r, a.n + b.n - 2 AS f, (a.m - b.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2)) AS d FROM x a JOIN x b ON a.r = b.r AND a.g = 'low' AND b.g = 'high'), z AS (SELECT d * (1 - 3.0 / (4 * f - 1)) AS g FROM y)
   SELECT round(quantile_cont(g, 0.025), 6) AS low, round(quantile_cont(g, 0.975), 6) AS high, round(stddev_samp(g), 6) AS se, round(avg(g), 6) AS mean FROM z""")
 def effect_interval_supplier(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(robust.effect_interval(_two(spark, d), "g", "s_acctbal", "low", "high", 300))
+    return rounded(robust.effect_interval(_two(spark, d), "g", "s_acctbal", "low", "high"))
 
 
 @query()
 def stability_supplier(spark: SparkSession, d: str) -> DataFrame:
-    return robust.stability(_two(spark, d), "g", "s_acctbal", 100)
+    return robust.stability(_two(spark, d), "g", "s_acctbal")
 
 
-@query()
+@query(f"""WITH s AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS idx, s_acctbal AS v FROM supplier), n AS (SELECT count(*) AS n, avg(v) AS mean, stddev_samp(v) AS sd FROM s),
+  d AS (SELECT r.range AS r, {_DRAW.format(r='r.range', i='s.idx')} % n AS idx FROM range(999) r, s, n), b AS (SELECT r, avg(v) AS x FROM d JOIN s USING (idx) GROUP BY r),
+  c AS (SELECT quantile_cont(x, 0.025) AS low, quantile_cont(x, 0.975) AS high FROM b), t AS (SELECT *, (mean - 4500) / (sd / sqrt(n)) AS t FROM n, c)
+  SELECT n, round(mean, 6) AS mean, 'ttest' AS route, round(t, 6) AS statistic, round({t_p('t', '(n - 1)')}, 6) AS p_value, round((mean - 4500) / sd, 6) AS cohens_d, round(low, 6) AS low, round(high, 6) AS high, false AS refused FROM t""")
 def one_sample_supplier(spark: SparkSession, d: str) -> DataFrame:
-    return robust.one_sample(_sample(spark, d), "s_acctbal", 4500.0, 200)
+    return rounded(robust.one_sample(_sample(spark, d), "s_acctbal", 4500.0))
 
 
 @query("""WITH e AS (SELECT min(value) AS a, max(value) AS b FROM events), x AS (SELECT CAST(least(39, floor((value - a) / (b - a) * 40)) AS INTEGER) AS bin, a, b FROM events, e)

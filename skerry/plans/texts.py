@@ -47,13 +47,21 @@ def _turns(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "conversations").select("conv_id", "turn", F.concat("text", tail).alias("t"))
 
 
-@query(f"SELECT conv_id, turn, {' + '.join(f'CAST(regexp_matches(t, {_quoted("(?i)" + p)}) AS INTEGER) * {10**i}' for i, p in enumerate(guards.CLAIMS.values()))} AS claims FROM (SELECT conv_id, turn, {_SENTENCES} AS t FROM conversations)")
+_WORDS = f"list_transform(string_split_regex(lower(t), {_quoted(guards.SENTENCE_END)}), lambda s: string_split_regex(s, {_quoted(guards.WORD_END)}))"
+
+
+def _breaks(rule: list[tuple[str, ...]]) -> str:
+    has = " AND ".join(f"list_has_any(w, [{', '.join(map(_quoted, options))}])" for options in rule)
+    return f"CAST(len(list_filter(ws, lambda w: {has})) > 0 AS INTEGER)"
+
+
+@query(f"SELECT conv_id, turn, {' + '.join(f'{_breaks(rule)} * {10**i}' for i, rule in enumerate(guards.CLAIMS.values()))} AS claims FROM (SELECT conv_id, turn, {_WORDS} AS ws FROM (SELECT conv_id, turn, {_SENTENCES} AS t FROM conversations))")
 def claims_conversations(spark: SparkSession, d: str) -> DataFrame:
     found = guards.blocked_claims(F.col("t"))
     return _turns(spark, d).select("conv_id", "turn", sum((F.array_contains(found, k).cast("int") * 10**i for i, k in enumerate(guards.CLAIMS)), F.lit(0)).alias("claims"))
 
 
-@query(f"SELECT conv_id, turn, CAST({' + '.join(f'CAST(regexp_matches(t, {_quoted("(?i)" + p)}) AS INTEGER)' for p in guards.SEARCHING)} AS INTEGER) AS wordings FROM (SELECT conv_id, turn, {_SENTENCES} AS t FROM conversations)")
+@query(f"SELECT conv_id, turn, CAST({' + '.join(map(_breaks, guards.SEARCHING))} AS INTEGER) AS wordings FROM (SELECT conv_id, turn, {_WORDS} AS ws FROM (SELECT conv_id, turn, {_SENTENCES} AS t FROM conversations))")
 def searching_conversations(spark: SparkSession, d: str) -> DataFrame:
     return _turns(spark, d).select("conv_id", "turn", F.size(guards.searching(F.col("t"))).alias("wordings"))
 
@@ -64,7 +72,13 @@ def unverified_numbers(spark: SparkSession, d: str) -> DataFrame:
     return guards.scan_numbers(_turns(spark, d), "conv_id", "t", known)
 
 
-@query()
+@query(f"""WITH l AS (SELECT conv_id, conv_id * 1000 + turn AS row, unnest(string_split(concat_ws(chr(10), text, 'pip install ete3 numpy==1.0', 'import igraph.core'), chr(10))) AS line FROM conversations),
+  w AS (SELECT conv_id, row, string_split_regex(trim(lower(line)), '\\s+') AS w FROM l),
+  i AS (SELECT *, list_filter(range(2, len(w) + 1), lambda i: w[i] IN ('install', 'add') AND w[i - 1] IN ({', '.join(map(_quoted, guards.INSTALLERS))}))[1] AS i FROM w),
+  p AS (SELECT conv_id, row, unnest(list_transform(list_filter(w[i + 1:], lambda x: NOT starts_with(x, '-')), lambda x: regexp_extract(x, '^[a-z0-9._-]*'))) AS package FROM i WHERE i IS NOT NULL
+    UNION ALL SELECT conv_id, row, regexp_extract(coalesce(w[2], ''), '^\\w*') FROM w WHERE w[1] IN ('import', 'from')),
+  known(package, issue) AS (VALUES {', '.join(f"({_quoted(k)}, {_quoted(v)})" for k, v in [(n, 'name') for n in guards.NAME_TRAPS] + list(guards.COPYLEFT.items()))})
+  SELECT conv_id, package, issue FROM (SELECT DISTINCT conv_id, row, package FROM p) JOIN known USING (package)""")
 def package_issues_conversations(spark: SparkSession, d: str) -> DataFrame:
     t = load(spark, d, "conversations").select("conv_id", F.concat_ws("\n", "text", F.lit("pip install ete3 numpy==1.0"), F.lit("import igraph.core")).alias("t"))
     return guards.package_issues(t, "conv_id", "t")
@@ -110,7 +124,7 @@ def closest_columns(spark: SparkSession, d: str) -> DataFrame:
     return validate.closest(names, "name", list(_NAMES))
 
 
-@query()
+@query("SELECT event_id, user_id, event_type, CASE WHEN event_id % 50 <> 0 THEN value END AS value FROM events WHERE event_id % 50 = 0 OR event_id % 51 <> 0")
 def coerced_events(spark: SparkSession, d: str) -> DataFrame:
     return validate.coerce(_event_table(spark, d), ["value"])[0]
 
@@ -135,7 +149,9 @@ def behaviour_orders(spark: SparkSession, d: str) -> DataFrame:
     return rounded(governance.behaviour(_records(spark, d)))
 
 
-@query()
+@query("""WITH r AS (SELECT c_mktsegment, sha256(concat('{"c_custkey":', c_custkey, ',"c_acctbal":', c_acctbal, '}')) AS h FROM customer),
+  s AS (SELECT c_mktsegment, count(*) AS n, sum(CAST(concat('0x', substr(h, 1, 12)) AS BIGINT)) AS x, sum(CAST(concat('0x', substr(h, 13, 12)) AS BIGINT)) AS y FROM r GROUP BY 1)
+  SELECT c_mktsegment, substr(sha256(concat_ws('|', n, x, y)), 1, 32) AS data_id FROM s""")
 def fingerprints_by_segment(spark: SparkSession, d: str) -> DataFrame:
     return governance.fingerprint(load(spark, d, "customer"), "c_custkey", "c_acctbal", by=("c_mktsegment",))
 

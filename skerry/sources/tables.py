@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,11 +32,30 @@ def _record(rows: DataFrame, *carried: str) -> DataFrame:
     ).withColumn("non_standard", F.col("_n") - F.col("length")).drop("_n")
 
 
+def _records_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces (value, file, start of the block) in a file's order, without what stands before the file's first header."""
+    last = None
+    for batch in batches:
+        value, file, start = (c.to_pylist() for c in batch.columns)
+        keep = []
+        for v, block in zip(value, zip(file, start)):
+            keep.append(block == last or block[1] > 0 or v.startswith(">"))
+            last = block
+        yield batch.filter(pa.array(keep, pa.bool_())).select(["value"])
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """FASTA files of any size: each record is one line of the reader, cut at '>' at a line's start."""
-    rows = spark.read.option("lineSep", "\n>").text(path).withColumn("value", F.regexp_replace("value", "^>", "")).where("trim(value) <> ''")
-    head = F.trim(F.substring_index("value", "\n", 1))
-    return rows.select(F.substring_index(head, " ", 1).alias("seq_id"), head.alias("description"), clean(F.expr("substring(value, length(substring_index(value, '\\n', 1)) + 1)")).alias("sequence")).withColumn("length", F.length("sequence"))
+    """FASTA files of any size: each record is one line of the reader, cut at '>' at a line's start.
+
+    Text before a file's first header is ignored; a blank header is named record_ and a hash of its sequence; a record
+    without header and sequence is none.
+    """
+    pieces = spark.read.option("lineSep", "\n>").text(path).select("value", F.input_file_name().alias("file"), F.input_file_block_start().alias("start"))
+    rows = pieces.mapInArrow(_records_only, "value string").withColumn("value", F.regexp_replace("value", "^>", ""))
+    head = F.trim(F.substring_index(F.regexp_replace("value", "\r", ""), "\n", 1))
+    made = rows.select(head.alias("description"), clean(F.expr("substring(value, length(substring_index(value, '\\n', 1)) + 1)")).alias("sequence"))
+    name = F.when(F.col("description") == "", F.concat(F.lit("record_"), F.substring(F.sha2("sequence", 256), 1, 12))).otherwise(F.substring_index("description", " ", 1))
+    return made.where("description <> '' or sequence <> ''").select(name.alias("seq_id"), "description", "sequence").withColumn("length", F.length("sequence"))
 
 
 def write_fasta(sequences: DataFrame, path: str) -> None:
