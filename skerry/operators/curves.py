@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -107,6 +107,19 @@ def fit(df: DataFrame, series: str, x: str, y: str, models: list[str]) -> DataFr
     return df.select(series, x, y).groupBy(series).applyInPandas(run, f"`{series}` {kind}, {_FIT}")
 
 
+def compare_models(df: DataFrame, series: str, x: str, y: str, models: list[str]) -> DataFrame:
+    """Per series and model (a line always among them): AICc, its distance to the best, Akaike weight, and whether the best is worth its curve.
+
+    A curve is worth it if the line's AICc is more than 4 above the best one.
+    """
+    from skerry.operators.series import akaike
+
+    fitted = fit(df, series, x, y, list(dict.fromkeys(["linear", *models]))).select(series, "model", "aicc", "r2", "n").distinct()
+    ranked = akaike(fitted, "aicc", [series])
+    line = F.max(F.when(F.col("model") == "linear", F.col("delta"))).over(Window.partitionBy(series))
+    return ranked.withColumn("best", F.col("delta") == 0).withColumn("worth_it", F.coalesce(line > 4, F.lit(False)))
+
+
 def bootstrap_fit(df: DataFrame, series: str, x: str, y: str, model: str, replicates: int = 200, seed: int = 20260901) -> DataFrame:
     """Percentile intervals of a model's parameters from pair bootstraps, in parallel over (series, replicate).
 

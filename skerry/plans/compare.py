@@ -6,12 +6,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skerry.functions import exact
 from skerry.functions.columns import finite
-from skerry.operators import groups
+from skerry.operators import diversity, groups, series
 
 #: Up to this many values a data set's permutation test is one task; with more, blocks of values are shuffled in tasks of their own.
 MAX_PERMUTED = 400
@@ -94,11 +94,13 @@ def compare_groups(df: DataFrame, group: str, value: str, by: Sequence[str] = ()
     Two groups: permutation if robust is preferred, a group has under 10 values or isn't normal; Welch if the
     variances differ; else the pooled t.  More groups: Kruskal-Wallis, Alexander-Govern, one-way F in the same cases.
     """
-    keys, kinds = list(by) or ["_all"], dict(df.dtypes)
+    kinds = dict(df.dtypes)
     if not by:
         df = df.withColumn("_all", F.lit(0))
-    for c in by:  # keys as text, so that a null key is a data set too
-        df = df.withColumn(c, F.to_json(F.struct(F.col(c).alias("v"))))
+    # keys as text under names of their own, so that a null key is a data set too and no name clashes
+    keys = [f"_by{i}" for i in range(len(by))] or ["_all"]
+    for key, c in zip(keys, by):
+        df = df.withColumn(key, F.to_json(F.struct(F.col(c).alias("v"))))
     s = groups.summaries(df, group, value, keys).persist()
     panel = s.groupBy(*keys).agg(F.count("*").alias("k"), F.min("n").alias("least_n"), F.sum("n").alias("total"), F.min("variance").alias("least_variance"))
     normal = normality(df, group, value, keys).groupBy(*keys).agg(F.min(F.when(~F.isnan("p_normal"), F.col("p_normal"))).alias("p_normal"))
@@ -137,7 +139,7 @@ def compare_groups(df: DataFrame, group: str, value: str, by: Sequence[str] = ()
     for test in tests[1:]:
         found = found.unionByName(test)
     effect = f.select(*keys, "eta_squared")
-    return panel.join(found, keys, "left").join(effect, keys, "left").select(*(F.from_json(F.col(c), f"v {kinds[c]}")["v"].alias(c) for c in by), "k", "least_n", "p_normal", "p_variance", "route", "statistic", "p_value", "eta_squared", F.col("route").isNull().alias("refused"), "reason")
+    return panel.join(found, keys, "left").join(effect, keys, "left").select(*(F.from_json(F.col(key), f"v {kinds[c]}")["v"].alias(c) for key, c in zip(keys, by)), F.col("k").alias("n_groups" if "k" in by else "k"), "least_n", "p_normal", "p_variance", "route", "statistic", "p_value", "eta_squared", F.col("route").isNull().alias("refused"), "reason")
 
 
 def post_hoc(df: DataFrame, group: str, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -146,3 +148,66 @@ def post_hoc(df: DataFrame, group: str, value: str, by: Sequence[str] = ()) -> D
     tests = groups.holm(tests, "p_value", by, ["a_group_label", "b_group_label"])
     g = groups.effects(df, group, value, by).select(*by, "a_group_label", "b_group_label", "hedges_g")
     return tests.join(g, [*by, "a_group_label", "b_group_label"]).select(*by, "a_group_label", "b_group_label", "welch_t", "welch_df", "p_value", "p_holm", "hedges_g")
+
+
+def correlate(df: DataFrame, x: str, y: str, alpha: float = 0.05) -> DataFrame:
+    """One row: the coefficient that the data call for, its p, r squared, and the least-squares line.
+
+    Pearson from 15 pairs on if neither column departs from a normal distribution, else Spearman; under 4 pairs are
+    refused.  Rows with a non-finite member are dropped whole; a constant column has no coefficient.
+    """
+    rows = finite(df.select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")), "_x", "_y")
+    long = rows.select(F.explode(F.array(*(F.struct(F.lit(c).alias("side"), F.col(c).alias("v")) for c in ("_x", "_y")))).alias("s")).select("s.*")
+    normal = normality(long, "side", "v").agg(F.min("p_normal").alias("p_normal"), F.count("*").alias("judged"))
+    one = series.line(rows, "_x", "_y").join(F.broadcast(series.spearman(rows, "_x", "_y").drop("n"))).join(F.broadcast(normal))  # one row each
+    pearson = (F.col("n") >= 15) & (F.col("judged") == 2) & (F.col("p_normal") > alpha)
+    one = one.withColumn("route", F.when(F.col("n") < 4, None).when(pearson, "pearson").otherwise("spearman"))
+    one = one.withColumn("coefficient", F.when(F.col("route") == "pearson", F.col("pearson")).when(F.col("route") == "spearman", F.col("spearman")))
+    rest = 1 - F.col("coefficient") * F.col("coefficient")
+    one = one.withColumn("_t", F.when(rest > 0, F.col("coefficient") * F.sqrt((F.col("n") - 2) / rest)).when(rest <= 0, F.signum("coefficient") * 1e9)).withColumn("_df", F.col("n") - 2)
+    tested = groups.with_p(one, "t", "_t", "_df")
+    return tested.select("n", "route", "coefficient", "p_value", (F.col("coefficient") ** 2).alias("r_squared"), "slope", "intercept", F.col("route").isNull().alias("refused"))
+
+
+def contingency_test(df: DataFrame, row: str, column: str) -> DataFrame:
+    """One row: Fisher's exact test of a 2 x 2 table with an expected count under 5, else chi-square (with Yates' correction at 2 x 2); Cramer's V."""
+    cells = groups.contingency(df, row, column).persist()
+    chi = groups.chi_square(df, row, column)
+    off = F.abs(F.col("observed") - F.col("expected"))
+    yates = cells.agg(
+        F.sum(F.pow(off - F.least(F.lit(0.5), off), 2.0) / F.col("expected")).alias("_yates"),
+        F.transform(F.sort_array(F.collect_list(F.struct("row_label", "col_label", "observed"))), lambda s: s["observed"]).alias("_cells"),  # cells of two category columns
+    )
+    one = chi.join(F.broadcast(yates)).withColumn("_small", (F.col("df") == 1) & (F.col("least_expected") < 5))
+    one = one.withColumn("statistic", F.when(F.col("_small"), None).when(F.col("df") == 1, F.col("_yates")).otherwise(F.col("chi2")))
+    for i, c in enumerate("abcd"):
+        one = one.withColumn(f"_{c}", F.when(F.col("_small"), F.get("_cells", F.lit(i))))
+    one = groups.with_p(groups.with_p(one, "chi2", "statistic", "df", to="_p_chi"), "fisher", "_a", "_b", "_c", "_d", to="_p_fisher")
+    return one.select("n", F.when(F.col("_small"), "fisher").otherwise("chi2").alias("route"), "statistic", "df", F.when(F.col("_small"), F.col("_p_fisher")).otherwise(F.col("_p_chi")).alias("p_value"), "least_expected", "cramers_v")
+
+
+def trend_test(df: DataFrame, order: str, value: str, by: Sequence[str], alpha: float = 0.05) -> DataFrame:
+    """Mann-Kendall with its p, the Theil-Sen slope with its 95 % interval, and the direction; series of at least 4 values."""
+    by = list(by)
+    kendall = groups.with_p(series.mann_kendall(df, order, value, by).where("n >= 4"), "normal", "z")
+    ranked = series.slopes(df, order, value, by).join(kendall.select(*by, "variance"), by)
+    ranked = ranked.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy("slope"))).withColumn("_size", F.count("*").over(Window.partitionBy(*by)))
+    reach = 1.959963984540054 * F.sqrt("variance")
+    low, high = F.greatest(F.lit(1.0), F.bround((F.col("_size") - reach) / 2)), F.least(F.bround((F.col("_size") + reach) / 2), F.col("_size").cast("double"))
+    ends = ranked.groupBy(*by).agg(F.max(F.when(F.col("_rank") == low, F.col("slope"))).alias("low"), F.max(F.when(F.col("_rank") == high, F.col("slope"))).alias("high"))
+    sen = series.theil_sen(df, order, value, by).drop("n")
+    found = kendall.join(sen, by).join(ends, by)
+    direction = F.when(F.col("p_value") >= alpha, "none").when(F.col("z") > 0, "increasing").otherwise("decreasing")
+    return found.select(*by, "n", "score", "z", "p_value", "tau_b", "slope", "intercept", "low", "high", direction.alias("direction"))
+
+
+def compare_composition(counts: DataFrame, labels: DataFrame, metric: str = "braycurtis", replicates: int = 999) -> dict[str, DataFrame]:
+    """Distances of all pairs of samples, their permanova, and Shannon's index compared between the levels of (sample, level).
+
+    Samples without a label are one level, ungrouped.  The index is only tested if every level has 3 samples; otherwise its row is refused.
+    """
+    own = labels.select("sample", F.col("level").cast("string").alias("level"))
+    named = counts.select("sample").distinct().join(own, "sample", "left").withColumn("level", F.coalesce("level", F.lit("ungrouped")))
+    distances = diversity.beta(counts, metric)
+    index = diversity.alpha(counts).select("sample", "shannon").join(named, "sample")
+    return {"distances": distances, "permanova": diversity.permanova(distances, named, replicates), "shannon": compare_groups(index, "level", "shannon")}

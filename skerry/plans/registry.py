@@ -10,6 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from skerry.operators import curves, diversity, groups, lab, neighbours, resample, sequences, series, simulate, validate
+from skerry.plans import compare
 from skerry.plans.compare import compare_groups
 
 
@@ -31,16 +32,16 @@ TOOLS = {
         Tool("describe", "statistics", 5, 12, groups.describe, ("df", "group", "value"), ("by",)),
         Tool("compare_groups", "statistics", 7, 12, compare_groups, ("df", "group", "value"), ("by", "alpha", "prefer_robust"), True),
         Tool("shuffle_test", "statistics", 7, 12, resample.shuffle_test, ("rows", "group", "value", "a", "b", "replicates"), ("seed", "name"), True),
-        Tool("correlate", "statistics", 8, 12, series.line, ("df", "x", "y"), (), True),
-        Tool("contingency", "statistics", 8, 12, groups.chi_square, ("df", "row", "column"), (), True),
-        Tool("trend_test", "statistics", 9, 12, series.mann_kendall, ("df", "order", "value", "by"), (), True),
+        Tool("correlate", "statistics", 8, 12, compare.correlate, ("df", "x", "y"), ("alpha",), True),
+        Tool("contingency", "statistics", 8, 12, compare.contingency_test, ("df", "row", "column"), (), True),
+        Tool("trend_test", "statistics", 9, 12, compare.trend_test, ("df", "order", "value", "by"), ("alpha",), True),
         Tool("bootstrap_ci", "statistics", 6, 12, resample.bootstrap, ("rows", "value", "replicates"), ("name", "seed")),
         Tool("jackknife", "statistics", 8, 12, resample.jackknife, ("rows", "value"), ("name",)),
         Tool("fit_curve", "statistics", 8, 12, curves.fit, ("df", "series", "x", "y", "models")),
-        Tool("compare_models", "statistics", 9, 12, curves.fit, ("df", "series", "x", "y", "models")),
+        Tool("compare_models", "statistics", 9, 12, curves.compare_models, ("df", "series", "x", "y", "models")),
         Tool("fit_growth_curve", "statistics", 9, 12, series.growth, ("df", "time", "density", "by")),
         Tool("alpha_diversity", "diversity", 9, 12, diversity.alpha, ("counts",)),
-        Tool("compare_composition", "diversity", 9, 12, diversity.permanova, ("distances", "labels"), ("replicates", "seed"), True),
+        Tool("compare_composition", "diversity", 9, 12, compare.compare_composition, ("counts", "labels"), ("metric", "replicates"), True),
         Tool("rarefaction_curve", "diversity", 9, 12, diversity.rarefaction, ("counts",), ("points",)),
         Tool("dilution_series", "lab", 5, 12, lab.dilution_series, ("spark",), ("start", "fold", "steps", "transferred", "diluent")),
         Tool("pfu_per_ml", "lab", 8, 12, lab.titre, ("df", "count", "dilution", "volume")),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skerry.operators import groups, resample, robust, series
-from skerry.plans.compare import compare_groups, post_hoc
+from skerry.plans.compare import compare_groups, contingency_test, correlate, post_hoc, trend_test
 from skerry.sources.tables import load
 
 QUERIES: dict = {}
@@ -275,3 +275,74 @@ def histogram_events(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT l_orderkey, series, value FROM (SELECT l_orderkey, 'l_discount' AS series, l_discount AS value FROM lineitem UNION ALL SELECT l_orderkey, 'l_tax', l_tax FROM lineitem)")
 def long_series_lines(spark: SparkSession, d: str) -> DataFrame:
     return robust.long_series(load(spark, d, "lineitem"), "l_orderkey", "l_discount", "l_tax")
+
+
+def _simpson(upper: str, density: str, pieces: int = 2000) -> str:
+    """SQL for the integral from 0 to ``upper`` of a density in ``x``."""
+    at = density.replace("@", f"({upper} * i / {float(pieces)})")
+    return f"{upper} / {3 * pieces} * list_sum(list_transform(range({pieces + 1}), lambda i: (CASE WHEN i IN (0, {pieces}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * ({at})))"
+
+
+def chi2_p(x: str, df: str) -> str:
+    return f"greatest(0.0, 1 - {_simpson(x, f'pow(@, {df} / 2.0 - 1) * exp(-@ / 2)')} / exp(lgamma({df} / 2.0) + {df} / 2.0 * ln(2)))"
+
+
+def f_p(f: str, d1: str, d2: str) -> str:
+    return f"greatest(0.0, 1 - {_simpson(f, f'pow(@, {d1} / 2.0 - 1) * pow(1 + {d1} * @ / {d2}, -({d1} + {d2}) / 2.0)')} * exp(lgamma(({d1} + {d2}) / 2.0) - lgamma({d1} / 2.0) - lgamma({d2} / 2.0)) * pow({d1} / CAST({d2} AS DOUBLE), {d1} / 2.0))"
+
+
+def normal_p(z: str) -> str:
+    return f"greatest(0.0, 1 - 2 * {_simpson(f'least(12.0, abs({z}))', 'exp(-@ * @ / 2)')} / sqrt(2 * pi()))"
+
+
+def _tested(name: str, kind: str, *arguments: str, sql: str) -> None:
+    """A query ``name``_p: the query's rows with the p of its statistic, computed from the rounded columns in both engines."""
+    base = QUERIES[name]
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return groups.with_p(base(spark, d), kind, *arguments).withColumn("p_value", F.round("p_value", 6))
+
+    run.__name__ = f"{name}_p"
+    QUERIES[run.__name__] = run
+    SQL[run.__name__] = f"SELECT *, round({sql}, 6) AS p_value FROM ({SQL[name]})"
+
+
+_SPREAD = "sqrt(CAST(n_a AS DOUBLE) * n_b / 12 * ((n_a + n_b + 1) - tie_term / (CAST(n_a + n_b AS DOUBLE) * (n_a + n_b - 1))))"
+_tested("anova_segment", "f", "f", "df_between", "df_within", sql=f_p("f", "df_between", "df_within"))
+_tested("brown_forsythe_segment", "f", "levene", "df_between", "df_within", sql=f_p("levene", "df_between", "df_within"))
+_tested("kruskal_priority", "chi2", "h", "df", sql=chi2_p("h", "df"))
+_tested("chi_square_status_priority", "chi2", "chi2", "df", sql=chi2_p("chi2", "df"))
+_tested("mann_whitney_events", "mann_whitney", "u", "n_a", "n_b", "tie_term", sql=normal_p(f"((greatest(u, CAST(n_a AS DOUBLE) * n_b - u) - CAST(n_a AS DOUBLE) * n_b / 2 - 0.5) / {_SPREAD})"))
+_tested("wilcoxon_orders", "wilcoxon", "w_plus", "n", "tie_term", sql=normal_p("((w_plus - n * (n + 1) / 4.0) / sqrt(CAST(n AS DOUBLE) * (n + 1) * (2 * n + 1) / 24 - tie_term / 48))"))
+_tested("mann_kendall_hourly", "normal", "z", sql=normal_p("z"))
+_tested("t_tests_events", "t", "welch_t", "welch_df", sql=t_p("welch_t", "welch_df"))
+
+
+@query(f"""WITH x AS (SELECT l_quantity AS a, l_extendedprice AS b FROM lineitem),
+  r AS (SELECT a, b, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS rb FROM x),
+  c AS (SELECT count(*) AS n, corr(CAST(ra AS DOUBLE), CAST(rb AS DOUBLE)) AS r, regr_slope(b, a) AS slope, regr_intercept(b, a) AS intercept FROM r), t AS (SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS t FROM c)
+  SELECT n, 'spearman' AS route, round(r, 6) AS coefficient, round({t_p('least(40.0, t)', '(n - 2)')}, 6) AS p_value, round(r * r, 6) AS r_squared, round(slope, 4) AS slope, round(intercept, 2) AS intercept, false AS refused FROM t""")
+def correlate_quantity_price(spark: SparkSession, d: str) -> DataFrame:
+    r = correlate(load(spark, d, "lineitem"), "l_quantity", "l_extendedprice")
+    return r.select("n", "route", F.round("coefficient", 6).alias("coefficient"), F.round("p_value", 6).alias("p_value"), F.round("r_squared", 6).alias("r_squared"), F.round("slope", 4).alias("slope"), F.round("intercept", 2).alias("intercept"), "refused")
+
+
+@query(f"""WITH x AS (SELECT o_orderstatus = 'F' AS a, o_orderpriority = '1-URGENT' AS b FROM orders), c AS (SELECT a, b, count(*) AS o FROM x GROUP BY 1, 2),
+  t AS (SELECT a, b, o, CAST(sum(o) OVER (PARTITION BY a) AS DOUBLE) * sum(o) OVER (PARTITION BY b) / sum(o) OVER () AS e FROM c),
+  s AS (SELECT CAST(sum(o) AS BIGINT) AS n, sum(power(abs(o - e) - least(0.5, abs(o - e)), 2) / e) AS y, sum((o - e) * (o - e) / e) AS x, min(e) AS least FROM t)
+  SELECT n, 'chi2' AS route, round(y, 6) AS statistic, CAST(1 AS BIGINT) AS df, round({normal_p('sqrt(y)')}, 6) AS p_value, round(least, 6) AS least_expected, round(sqrt(greatest(0.0, x / n - 1.0 / (n - 1)) / (2 - 1.0 / (n - 1) - 1)), 6) AS cramers_v FROM s""")
+def contingency_test_urgent(spark: SparkSession, d: str) -> DataFrame:
+    o = load(spark, d, "orders").select((F.col("o_orderstatus") == "F").alias("a"), (F.col("o_orderpriority") == "1-URGENT").alias("b"))
+    return rounded(contingency_test(o, "a", "b"))
+
+
+@query(f"""WITH {_HOURLY}, s AS (SELECT a.event_type, (b.v - a.v) / CAST(b.t - a.t AS DOUBLE) AS slope, sign(b.v - a.v) AS g FROM x a JOIN x b ON a.event_type = b.event_type AND a.t < b.t),
+  m AS (SELECT event_type, count(*) AS n, quantile_cont(CAST(t AS DOUBLE), 0.5) AS mx, quantile_cont(v, 0.5) AS my FROM x GROUP BY 1), q AS (SELECT event_type, quantile_cont(slope, 0.5) AS slope, CAST(sum(g) AS DOUBLE) AS score, count(*) AS size FROM s GROUP BY 1),
+  c AS (SELECT event_type, v, CAST(count(*) AS DOUBLE) AS t FROM x GROUP BY 1, 2), k AS (SELECT event_type, sum(t) AS k, sum(t * (t - 1) * (2 * t + 5)) AS term, sum(t * (t - 1) / 2) AS p FROM c GROUP BY 1),
+  j AS (SELECT *, (k * (k - 1) * (2 * k + 5) - term) / 18 AS variance FROM q JOIN m USING (event_type) JOIN k USING (event_type)),
+  z AS (SELECT *, (score - sign(score)) / sqrt(variance) AS z, greatest(1.0, round_even((size - 1.959963984540054 * sqrt(variance)) / 2, 0)) AS lo, least(round_even((size + 1.959963984540054 * sqrt(variance)) / 2, 0), size) AS hi FROM j),
+  r AS (SELECT event_type, slope AS e, row_number() OVER (PARTITION BY event_type ORDER BY slope) AS i FROM s), e AS (SELECT r.event_type, max(e) FILTER (i = lo) AS low, max(e) FILTER (i = hi) AS high FROM r JOIN z USING (event_type) GROUP BY 1), p AS (SELECT *, {normal_p('z')} AS p_value FROM z)
+  SELECT event_type, n, score, round(z, 6) AS z, round(p_value, 6) AS p_value, round(score / sqrt((k * (k - 1) / 2 - p) * (k * (k - 1) / 2)), 6) AS tau_b, round(slope, 6) AS slope, round(my - slope * mx, 5) AS intercept, round(low, 6) AS low, round(high, 6) AS high, CASE WHEN p_value >= 0.05 THEN 'none' WHEN z > 0 THEN 'increasing' ELSE 'decreasing' END AS direction FROM p JOIN e USING (event_type)""")
+def trend_test_hourly(spark: SparkSession, d: str) -> DataFrame:
+    r = rounded(trend_test(_daily(spark, d), "t", "v", ["event_type"]), "intercept")
+    return r.withColumn("intercept", F.round("intercept", 5))

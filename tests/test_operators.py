@@ -126,6 +126,16 @@ def test_fasta(spark, tmp_path):
     assert tables.read_delimited(spark, str(tmp_path / "t.txt")).first().asDict() == {"p": "1", "q": "2"}
 
 
+def test_read_fasta_ignores_what_stands_before_the_first_header(spark, tmp_path):
+    from skerry.sources import tables
+
+    (tmp_path / "a.fa").write_text("junk line\n>one first\nACGT\nAC\n>\nGGCC\n")
+    (tmp_path / "b.fa").write_text(">two\nTTuu")
+    got = sorted((r["description"], r["sequence"], r["length"]) for r in tables.read_fasta(spark, str(tmp_path)).collect())
+    assert got == [("", "GGCC", 4), ("one first", "ACGTAC", 6), ("two", "TTTT", 4)]
+    assert all(r["seq_id"] for r in tables.read_fasta(spark, str(tmp_path)).collect())
+
+
 def test_duplicate_vectors_make_no_self_loops(spark):
     v = spark.createDataFrame([(i, [1.0, 0.0] if i < 3 else [0.0, float(i)]) for i in range(6)], "k int, v array<double>")
     pairs = neighbours.cosine_pairs(v, "k", "v")
@@ -160,6 +170,81 @@ def test_guards(spark):
     assert [r["ok"] for r in spark.createDataFrame([(30,), (100,)], "n int").select(guards.sample_size(F.col("n"), "umap", F.lit(60)).alias("ok")).collect()] == [False, True]
 
 
+def test_claims_and_searches(spark):
+    """Unsupported claims and searches for a result are found by the words of a sentence; careful wording passes."""
+    texts = {
+        "The UMAP plot shows these two clusters are far apart, so they are different species.": ["umap_distance", "cluster_reification"],
+        "There is a strong correlation (r = 0.82), therefore temperature causes the growth.": ["causation"],
+        "p = 0.44, which proves there is no difference between the groups.": ["accepting_null"],
+        "k-means confirms there are exactly 3 real types of phage here.": ["cluster_reification"],
+        "The two groups sit in different regions of the UMAP plot, so they are not each other's nearest neighbours. We changed the temperature and held everything else the same, so the difference is attributable to temperature.": [],
+        "We measured a correlation. Heat causes growth.": [],
+        "": [],
+        None: [],
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r["t"]: r["c"] for r in df.select("t", guards.blocked_claims(F.col("t")).alias("c")).collect()} == texts
+    asked = ["can we drop that outlier and try again", "what if we exclude the weird point", "try a few different groupings until it works", "please plot the growth curve"]
+    found = spark.createDataFrame([(t,) for t in asked], "t string").select("t", guards.searching(F.col("t")).alias("s")).collect()
+    assert {r["t"]: len(r["s"]) for r in found} == dict(zip(asked, [1, 1, 2, 0]))
+
+
+def test_numbers_and_their_redaction(spark):
+    rows = [(1, "The difference is clear, t(28) = 2.41, p = .023, with d = 0.91."), (2, "p = 0.0031 and 45 % of 1,250 plates, which is striking"), (3, "There were 4 levels in grade 12, n = 30."), (4, None), (5, "mean 4.56")]
+    df = spark.createDataFrame(rows, "k int, t string")
+    known = spark.createDataFrame([(2, 0.4503), (5, 4.5612), (2, 1250.0)], "k int, value double")
+    got = {(r["k"], r["kind"], r["number"]) for r in guards.scan_numbers(df, "k", "t", known).collect()}
+    assert got == {(1, "test_statistic", 28.0), (1, "test_statistic", 2.41), (1, "p_value", 0.023), (1, "effect_size", 0.91), (2, "p_value", 0.0031)}
+    out = {r["k"]: r for r in guards.redact_numbers(df, "k", "t", known, allowed=(28.0,)).collect()}
+    assert out[1]["redacted"] == "The difference is clear, t(28) = [UNVERIFIED], p = [UNVERIFIED], with d = [UNVERIFIED]." and out[1]["unverified"] == 3
+    assert out[1]["message"] == "3 numbers come from no computation: #.##, .###, #.##"
+    assert out[2]["redacted"].endswith("which is striking") and out[3]["redacted"] == rows[2][1] and out[4]["redacted"] is None and out[5]["message"] is None
+
+
+def test_package_names(spark):
+    df = spark.createDataFrame([(1, "pip install drc jellyfish basico"), (2, "conda install -y pingouin==0.5 giotto-tda[all]"), (3, "from igraph.core import x\nwe install nothing"), (4, None)], "k int, t string")
+    got = sorted((r["k"], r["package"], r["issue"]) for r in guards.package_issues(df, "k", "t").collect())
+    assert got == [(1, "basico", "name"), (1, "drc", "name"), (1, "jellyfish", "name"), (2, "giotto-tda", "AGPL-3"), (2, "pingouin", "GPL-3"), (3, "igraph", "GPL-2")]
+
+
+def test_effects_in_words(spark):
+    df = spark.createDataFrame([(0.1, None, None), (0.25, None, None), (-0.6, -1.0, 0.2), (0.9, 0.1, 1.5), (float("nan"), None, None)], "v double, a double, b double")
+    words = [r["w"] for r in df.select(groups.interpret(F.col("v"), "hedges_g", F.col("a"), F.col("b")).alias("w")).collect()]
+    assert words == ["negligible", "small", "moderate here, but the interval holds 0, so the direction is open", "large", "not estimable"]
+    assert df.select(groups.interpret(F.lit(0.1), "epsilon_squared").alias("w")).first()["w"] == "moderate"
+
+
+def test_null_keys_and_clashing_names(spark):
+    rows = [(k, g, float(v + 3 * (g == "b"))) for k in (None, "x") for g in "ab" for v in (1, 2, 3, 4, 5, 7)]
+    df = spark.createDataFrame(rows, "k string, g string, v double")
+    got = {r["k"]: (r["route"], r["p_value"]) for r in compare.compare_groups(df, "g", "v", ["k"]).collect()}
+    assert got[None] == got["x"] and got["x"][1] is not None
+    assert groups.anova(df, "g", "v", ["k"]).count() == 2
+    labels = df.withColumn("g", F.when(F.col("g") == "a", F.col("g")))
+    assert groups.brown_forsythe(labels, "g", "v").first()["df_between"] == 1
+
+
+def test_correlation_contingency_and_trend(spark):
+    small = spark.createDataFrame([(float(i), float(i * i)) for i in range(6)], "x double, y double")
+    r = compare.correlate(small, "x", "y").first()
+    assert r["route"] == "spearman" and r["coefficient"] == pytest.approx(1) and r["p_value"] < 1e-6
+    assert compare.correlate(small.limit(3), "x", "y").first()["refused"]
+    table = spark.createDataFrame([("a", "x")] * 1 + [("a", "y")] * 4 + [("b", "x")] * 5 + [("b", "y")] * 1, "r string, c string")
+    f = compare.contingency_test(table, "r", "c").first()
+    assert f["route"] == "fisher" and f["p_value"] == pytest.approx(0.0801, abs=1e-3)
+    series = spark.createDataFrame([("up", i, i + (i % 3) * 0.5) for i in range(20)] + [("flat", i, float((i * 7) % 5)) for i in range(20)], "s string, t int, v double")
+    got = {r["s"]: r for r in compare.trend_test(series, "t", "v", ["s"]).collect()}
+    assert got["up"]["direction"] == "increasing" and got["up"]["low"] <= got["up"]["slope"] <= got["up"]["high"] and got["flat"]["direction"] == "none"
+
+
+def test_compare_composition(spark):
+    rows = [(f"s{i}", f"t{j}", (20 + i) if (j < 3) == (i < 5) else 1 + i % 3) for i in range(10) for j in range(6)]
+    counts = spark.createDataFrame(rows, "sample string, taxon string, n int")
+    labels = spark.createDataFrame([(f"s{i}", "left" if i < 5 else "right") for i in range(9)], "sample string, level string")
+    found = compare.compare_composition(counts, labels, replicates=99)
+    assert found["permanova"].first()["p_value"] < 0.05 and found["distances"].count() == 45 and found["shannon"].first()["refused"]
+
+
 def test_lab(spark):
     plates = spark.createDataFrame([("a", 42, 1e5, 0.1), ("a", 5, 1e6, 0.1)], "site string, n int, dilution double, volume double")
     pooled = lab.pooled_titre(plates, "n", "dilution", "volume", ["site"]).first()
