@@ -53,6 +53,7 @@ def signed_rank_counts(n: int) -> tuple[int, ...]:
 
 def wilcoxon_p(w_plus: float, n: int, tie_term: float, zeros: int = 0) -> float:
     """Two-sided p of the signed-rank sum over n non-zero differences."""
+    n = int(n)
     if n == 0:
         return 1.0
     if tie_term == 0 and zeros == 0 and n <= EXACT_WILCOXON:

@@ -89,3 +89,10 @@ def test_extinction_theory_is_a_root():
     a = 0.2 / 0.25
     assert q == pytest.approx((1 - a) + a * q**50, abs=1e-9) and 0 < q < 1
     assert simulate.extinction_theory(1, 1e-3, 200, 0.05, 3) == 1.0
+
+
+def test_wilcoxon_takes_counts_as_floats():
+    from skerry.functions import exact
+
+    assert exact.wilcoxon_p(0.0, 5.0, 0.0) == exact.wilcoxon_p(0, 5, 0) == 0.0625
+    assert exact.mann_whitney_p(0.0, 3.0, 3.0, 0.0) == exact.mann_whitney_p(0, 3, 3, 0) == 0.1
