@@ -51,3 +51,36 @@ b AS (
 i AS (SELECT *, md5(concat_ws('|', record_type, refers_to)) AS h FROM b)
 SELECT page_id, record_type, {_ID.format(h='h')} AS record_id, refers_to, target_uri, source_digest, {_SHA.format(x='block')} AS block_digest, CAST(strlen(block) AS BIGINT) AS content_length FROM i
 """
+
+#: crc32 of a decimal text, byte by byte; ``crcs`` is the table of the 256 remainders.
+_CRC = "xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split({x}, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda r, b: xor(r >> 8, crcs[CAST(xor(r & 255, b) AS INTEGER) + 1])), CAST(4294967295 AS BIGINT))"
+_FIELD = "coalesce(concat(strlen(CAST({x} AS VARCHAR)), ':', CAST({x} AS VARCHAR)), '-')"
+_LEAF = "sha256(concat(" + ", ".join(_FIELD.format(x=c) for c in ("doc_id", "source", "lang", "n_chars", "{t}")) + "))"
+
+
+def op12_merkle() -> str:
+    climb = "SELECT tree, k + 1, i // 16, sha256(string_agg(d, '' ORDER BY i)) FROM (SELECT *, count(*) OVER (PARTITION BY tree, k) AS n FROM {x}) WHERE n > 1 GROUP BY tree, k, i // 16"
+    sides = "SELECT tree, k, i, coalesce(string_agg(d, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before, coalesce(string_agg(d, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after FROM {x} WINDOW w AS (PARTITION BY tree, k, i // 16 ORDER BY i)"
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH RECURSIVE bits(b, r, k) AS (SELECT CAST(range AS BIGINT), CAST(range AS BIGINT), 0 FROM range(256) UNION ALL SELECT b, CASE WHEN r & 1 = 1 THEN xor(r >> 1, CAST(3988292384 AS BIGINT)) ELSE r >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(r ORDER BY b) AS crcs FROM bits WHERE k = 8),
+leaves AS (SELECT doc_id, coalesce(concat('s', source), '') AS tree, {_LEAF.format(t="text")} AS leaf,
+  CASE WHEN {_CRC.format(x="CAST(doc_id AS VARCHAR)")} % 5 = 0 THEN {_LEAF.format(t=lowered)} END AS changed FROM documents, crc),
+placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves),
+low(tree, k, i, d) AS (SELECT tree, 0, pos, leaf FROM placed UNION ALL {climb.format(x="low")}),
+subroots AS (SELECT tree, d AS subroot, row_number() OVER (ORDER BY encode(tree)) - 1 AS pos FROM (SELECT tree, arg_max(d, k) AS d FROM low GROUP BY tree)),
+high(tree, k, i, d) AS (SELECT '', 0, pos, subroot FROM subroots UNION ALL {climb.format(x="high")}),
+sides AS ({sides.format(x="low")}), upper AS ({sides.format(x="high")}),
+tops AS (SELECT max(k) AS top, arg_max(d, k) AS root FROM high),
+heights AS (SELECT tree, max(k) AS height FROM low GROUP BY tree),
+steps AS (
+  SELECT p.doc_id, p.tree, p.pos, s.k AS lev, s.before, s.after FROM placed p JOIN heights h USING (tree) JOIN sides s ON s.tree = p.tree AND s.k < h.height AND s.i = p.pos // CAST(pow(16, s.k) AS BIGINT)
+  UNION ALL
+  SELECT p.doc_id, p.tree, p.pos, h.height + s.k, s.before, s.after FROM placed p JOIN heights h USING (tree) JOIN subroots r USING (tree), upper s, tops t WHERE s.k < t.top AND s.i = r.pos // CAST(pow(16, s.k) AS BIGINT)),
+proofs AS (SELECT tree, pos, sha256(string_agg(concat(before, after), '' ORDER BY lev)) AS proof FROM steps GROUP BY tree, pos),
+fold(tree, pos, lev, d) AS (SELECT tree, pos, CAST(0 AS BIGINT), coalesce(changed, leaf) FROM placed UNION ALL SELECT f.tree, f.pos, f.lev + 1, sha256(concat(s.before, f.d, s.after)) FROM fold f JOIN steps s ON s.tree = f.tree AND s.pos = f.pos AND s.lev = f.lev),
+ends AS (SELECT tree, pos, arg_max(d, lev) AS folded_root FROM fold GROUP BY tree, pos)
+SELECT p.doc_id, p.leaf, r.subroot, t.root, coalesce(q.proof, sha256('')) AS proof_sha256, e.folded_root, e.folded_root = t.root AS verified
+FROM placed p JOIN subroots r USING (tree) JOIN ends e ON e.tree = p.tree AND e.pos = p.pos LEFT JOIN proofs q ON q.tree = p.tree AND q.pos = p.pos, tops t
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm import bpe, langid, mixing, mtree, near_dup, oracles, quality, token_counts, token_files, toxicity, warc
+from skerry.llm import bpe, langid, merkle, mixing, mtree, near_dup, oracles, quality, token_counts, token_files, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,9 +63,15 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs)).select("doc_id", _held_out(4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = merkle.lower_ascii(F.col("text"))
+    touched = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    return merkle.manifest(_table(spark, sf_dir, "documents"), tampered={"text": text}, where=touched)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_near_dup, op3_bpe, op4_quality, op5_token_counts, op6_token_files, op7_mixing, op8_top_k, op9_warc, op10_language)}
+    return {f.__name__: f for f in (op1_toxicity, op2_near_dup, op3_bpe, op4_quality, op5_token_counts, op6_token_files, op7_mixing, op8_top_k, op9_warc, op10_language, op12_merkle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": oracles.OP7_MIXING, "op9_warc": oracles.op9_warc()}
+    return {"op7_mixing": oracles.OP7_MIXING, "op9_warc": oracles.op9_warc(), "op12_merkle": oracles.op12_merkle()}
