@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm import bpe, langid, merkle, mixing, mtree, near_dup, oracles, quality, token_counts, token_files, toxicity, warc
+from skerry.llm import bpe, langid, merkle, mixing, mtree, near_dup, oracles, quality, token_counts, token_files, toxicity, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,8 +69,12 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_table(spark, sf_dir, "documents"), tampered={"text": text}, where=touched)
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_near_dup, op3_bpe, op4_quality, op5_token_counts, op6_token_files, op7_mixing, op8_top_k, op9_warc, op10_language, op12_merkle)}
+    return {f.__name__: f for f in (op1_toxicity, op2_near_dup, op3_bpe, op4_quality, op5_token_counts, op6_token_files, op7_mixing, op8_top_k, op9_warc, op10_language, op12_merkle, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
