@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm import bpe, langid, merkle, mixing, mtree, near_dup, oracles, quality, token_counts, token_files, toxicity, warc, whitening
+from skerry.llm import bpe, langid, merkle, mixing, mtree, near_dup, oracles, privacy, quality, token_counts, token_files, toxicity, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,15 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs)).select("doc_id", _held_out(4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def op11_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = privacy.sanitise(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = F.col("found")
+    return docs.select(
+        "doc_id", *(F.size(found[k]).cast("long").alias(f"n_{k}") for k in privacy.KINDS), F.sha2(privacy.listed(found, privacy.KINDS), 256).alias("base_sha256"),
+        privacy.listed(found, (*privacy.KINDS, "term")).alias("spans"), F.size(found["term"]).cast("long").alias("n_term"), F.sha2(F.col("sanitised"), 256).alias("sanitised_sha256"),
+    )
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = merkle.lower_ascii(F.col("text"))
     touched = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
@@ -74,7 +83,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_near_dup, op3_bpe, op4_quality, op5_token_counts, op6_token_files, op7_mixing, op8_top_k, op9_warc, op10_language, op12_merkle, op13_whitening)}
+    return {f.__name__: f for f in (op1_toxicity, op2_near_dup, op3_bpe, op4_quality, op5_token_counts, op6_token_files, op7_mixing, op8_top_k, op9_warc, op10_language, op11_privacy, op12_merkle, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
