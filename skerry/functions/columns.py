@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skerry.functions.shared import written
+
 INFINITY = float("inf")
 
 
@@ -20,6 +22,11 @@ def finite(df: DataFrame, *columns: str) -> DataFrame:
     return df
 
 
+def once(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once a row, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def ratio(a: Column, b: Column, otherwise: float | None = None) -> Column:
     """a / b, and ``otherwise`` where b is 0."""
     return F.when(b != 0, a / b).otherwise(F.lit(otherwise).cast("double"))
@@ -31,22 +38,53 @@ def draw(*parts: Column | str | int) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *(c.cast("string") for c in columns))), 1, 8), 16, 10).cast("long")
 
 
+def null_safe(pairs: list[tuple[str, str]]) -> Column:
+    """Equality of columns of two tables, by which null keys meet too."""
+    match = F.lit(True)
+    for a, b in pairs:
+        match = match & F.col(a).eqNullSafe(F.col(b))
+    return match
+
+
+def running(df: DataFrame, by: list[str], order: list[str], **columns: tuple[str, Column]) -> DataFrame:
+    """``df`` with running values over this row and those before it within ``by``, in order of ``order``.
+
+    A column is ("sum", amount) or ("last", amount), the latest amount that isn't null.  Rows are written in ranges of
+    the order, a file each; a file is summed up on its own and what stands in the files before it is added, so that a
+    single large ``by`` value uses all tasks, and a range is the same rows however often it is read.  ``order`` must be
+    unique within ``by``; null keys are keys of their own, ``df`` may be empty; names that begin with an underscore and a
+    letter are kept for the working columns.
+    """
+    amounts = {f"_r_{i}": (kind, amount) for i, (kind, amount) in enumerate(columns.values())}
+    ranged = written(df.withColumns({k: a for k, (_, a) in amounts.items()}).repartitionByRange(*(by + order)), "ranges").withColumn("_r_file", F.col("_metadata.file_name"))
+    total = {"sum": lambda c: F.sum(c), "last": lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*order)))}
+    files = ranged.groupBy(*by, "_r_file").agg(F.min(F.struct(*order)).alias("_r_low"), F.max(F.struct(*order)).alias("_r_high"), *(total[kind](k).alias(f"{k}_t") for k, (kind, _) in amounts.items()))
+    before = Window.partitionBy(*by).orderBy("_r_low", "_r_high").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*by, "_r_file").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = {"sum": lambda c: F.sum(c).over(before), "last": lambda c: F.last(c, ignorenulls=True).over(before)}
+    own = {"sum": lambda c: F.sum(c).over(inside), "last": lambda c: F.last(c, ignorenulls=True).over(inside)}
+    keys = [(c, f"_r_k{i}") for i, c in enumerate(by)]
+    offsets = files.select(*(F.col(c).alias(k) for c, k in keys), F.col("_r_file").alias("_r_f"), *(ahead[kind](f"{k}_t").alias(f"{k}_b") for k, (kind, _) in amounts.items()))
+    joined = ranged.withColumns({f"{k}_o": own[kind](k) for k, (kind, _) in amounts.items()}).join(offsets, null_safe([*keys, ("_r_file", "_r_f")]))
+    whole = {"sum": lambda k: F.when(F.col(f"{k}_o").isNull(), F.col(f"{k}_b")).otherwise(F.col(f"{k}_o") + F.coalesce(F.col(f"{k}_b"), F.lit(0))), "last": lambda k: F.coalesce(F.col(f"{k}_o"), F.col(f"{k}_b"))}
+    return joined.select(*df.columns, *(whole[kind](k).alias(to) for to, (k, (kind, _)) in zip(columns, amounts.items())))
+
+
 def running_sum(df: DataFrame, by: list[str], order: list[str], amount: str, to: str) -> DataFrame:
-    """``df`` with the sum of ``amount`` over this row and those before it, within ``by``, in order of ``order``.
+    """``df`` with the sum of ``amount`` over this row and those before it, as ``running`` finds it."""
+    return running(df, by, order, **{to: ("sum", F.col(amount))})
 
-    Rows are dealt by range; each range is summed on its own and the totals of the ranges before it
-    are added, so that a single large ``by`` value is spread over all tasks.  ``order`` must be unique within ``by``.
+
+def as_of(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, **columns: tuple[str, str]) -> DataFrame:
+    """``left`` with the latest values of ``right`` at or before its time: each column is ("last", name) or ("sum", name) of ``right``.
+
+    Both sides stand in one order of time, so that nothing is joined and a hot key is spread over tasks.  Rows without
+    an earlier right row, or with a null time, get nulls; rows of one time count as at that time; null keys meet.
     """
-    part = "_range"
-    ranged = df.repartitionByRange(*by, *order).withColumn(part, F.spark_partition_id()).persist()
-    totals = ranged.groupBy(*by, part).agg(F.sum(amount).alias("_total"))
-    before = Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*by, part, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*by, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # null keys stay: offsets are matched null-safely
-    match = F.lit(True)
-    offsets = offsets.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(by)), F.col(part).alias("_p"), "_before")
-    for i, c in enumerate(by):
-        match = match & F.col(c).eqNullSafe(F.col(f"_k{i}"))
-    joined = ranged.withColumn(to, F.sum(amount).over(inside)).join(offsets, match & (F.col(part) == F.col("_p")))
-    return joined.withColumn(to, F.col(to) + F.col("_before")).select(*df.columns, to)
+    keys = [f"_a_{i}" for i in range(len(by))]
+    row = F.struct(*left.columns)
+    blank = [F.lit(None).cast(right.schema[c].dataType).alias(to) for to, (_, c) in columns.items()]
+    ours = left.select(*(F.col(c).alias(k) for c, k in zip(by, keys)), F.col(left_time).alias("_a_t"), F.lit(1).alias("_a_s"), F.monotonically_increasing_id().alias("_a_i"), row.alias("_a_row"), *blank)
+    theirs = right.where(F.col(right_time).isNotNull()).select(*(F.col(c).alias(k) for c, k in zip(by, keys)), F.col(right_time).alias("_a_t"), F.lit(0).alias("_a_s"), F.monotonically_increasing_id().alias("_a_i"), F.lit(None).cast(ours.schema["_a_row"].dataType).alias("_a_row"), *(F.col(c).alias(to) for to, (_, c) in columns.items()))
+    found = running(ours.unionByName(theirs), keys, ["_a_t", "_a_s", "_a_i"], **{f"_a_{to}": (kind, F.col(to)) for to, (kind, _) in columns.items()})
+    return found.where("_a_s = 1").select("_a_row.*", *(F.col(f"_a_{to}").alias(to) for to in columns))

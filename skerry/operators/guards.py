@@ -1,10 +1,12 @@
 """Text guards: redaction, blocked claims, search for a wished-for result, package names, unverified numbers.
 
-Claims and searches are found by words that stand together in one sentence: a rule is a list of word sets, and a
-sentence that has a word of each set breaks it.  Numbers are found by one form of a number; what it is called by, the
-label before it, says what kind of claim it makes.
+Claims and searches are phrases: sets of words in a fixed order within one sentence, with at most so many other words
+between one set and the next.  A negation between them ("does not prove") breaks the phrase.  A text is brought to one
+form once, its sentences and words apart, and every phrase is looked for in that form.  Numbers are found by one form
+of a number; what it is called by, the label before it, says what kind of claim it makes.
 
-Defined cases: a null text has no claims, packages or numbers and stays null when redacted; repeated rows are judged alike.
+Defined cases: a null text has no claims, packages or numbers and stays null when redacted; an empty table has no rows;
+repeated rows are judged alike, null keys are kept; time is linear in the length of a text, also of a single word.
 """
 
 from __future__ import annotations
@@ -15,30 +17,71 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Personal data in the order in which it is replaced: an address, a pair of precise coordinates, an identity number of
-#: three groups of four, a mobile number of ten digits with or without its country code.
+from skerry.functions.columns import once
+
+#: Personal data in the order in which it is replaced: an address (of at most 64 and 255 characters), a pair of precise
+#: coordinates, an identity number of three groups of four, a mobile number of ten digits with or without its country code.
 PERSONAL = [
-    (r"[^\s@<>,;:()]+@[^\s@<>,;:()]*[A-Za-z0-9]", "[EMAIL]"),
+    (r"[^\s@<>,;:()]{1,64}@[^\s@<>,;:()]{0,254}[A-Za-z0-9]", "[EMAIL]"),
     (r"[-+]?[0-9]{1,3}\.[0-9]{4,}\s*[,;]\s*[-+]?[0-9]{1,3}\.[0-9]{4,}", "[COORDS]"),
     (r"\b[0-9]{4}(?:[ -]?[0-9]{4}){2}\b", "[ID]"),
     (r"(?:(?:\+|\b00)91[ .-]?)?\b[6-9](?:[ -]?[0-9]){9}\b", "[PHONE]"),
 ]
-_PROOF = ("prove", "proves", "proved", "proving", "proof", "confirm", "confirms", "confirmed", "demonstrates", "establishes", "shows", "show", "means")
-#: Word sets of claims that no method supports.
+#: Between sentences, and in place of a negation, stands a mark that no phrase passes.
+SENTENCE_END, BREAK, NEGATION = r"[.!?;]+(?:\s|$)|\n", "\u00b6", "\u00ac"
+NOT_A_WORD = rf"[^a-z0-9.'{BREAK}-]+"
+NEGATIONS = r" (?:not|never|cannot|neither|hardly|[a-z]+n't) "
+
+
+def phrase(*parts: str | int) -> str:
+    """A pattern for word sets ("one/other/stem*", ``#`` for a whole number) with at most so many words between them.
+
+    Sets that follow each other without a number stand side by side.
+    """
+    pattern, gap = "", ""
+    for part in parts:
+        if isinstance(part, int):
+            gap = f"(?:[^ {BREAK}{NEGATION}]+ ){{0,{part}}}"
+            continue
+        words = "|".join(re.escape(w[:-1]) + "[^ ]*" if w.endswith("*") else "[0-9]+" if w == "#" else re.escape(w) for w in part.split("/"))
+        pattern, gap = f"{pattern}{gap}(?:{words}) " if pattern else f" (?:{words}) ", ""
+    return pattern
+
+
+_EMBEDDED, _APART = "umap/tsne/t-sne/pacmap/embedding", "far/farther/further/apart/distant/distance/distances/close/closer/nearer/tightly/separated/gap"
+_PROVE, _SHOW = "prove/proves/proved/proving/proof/confirm/confirms/confirmed/establish/establishes", "show/shows/showed/mean/means/demonstrate/demonstrates/imply/implies/reveal/reveals/tell/tells"
+_UNDECIDED = "p/p-value/significant/non-significant/nonsignificant/insignificant/significance"
+_KINDS = "kind/kinds/type/types/species/group/groups/population/populations/family/families/strain/strains"
+#: Phrases of claims that no method supports.
 CLAIMS = {
-    "umap_distance": [("umap", "tsne", "t-sne", "pacmap"), ("far", "farther", "further", "apart", "close", "closer", "near", "nearer", "distant", "distance", "distances", "separated")],
-    "causation": [("correlate", "correlates", "correlated", "correlation", "correlations", "associated", "association", "associations"), ("cause", "causes", "caused", "causing", "therefore", "hence", "thus", "proves", "drives")],
-    "accepting_null": [("p", "significant", "nonsignificant", "insignificant", "significance"), _PROOF, ("no", "same", "identical", "equal", "equivalent")],
-    "cluster_reification": [("cluster", "clusters", "clustered", "clustering", "kmeans", "k-means"), _PROOF, ("real", "true", "exactly", "types", "kinds", "species")],
+    "umap_distance": [phrase(_EMBEDDED, 12, _APART), phrase(_APART, 8, _EMBEDDED)],
+    "causation": [phrase("correlate*/correlation*/associated/association*", 12, "cause/causes/caused/causing/therefore/hence/thus/drives/proves/proof")],
+    "accepting_null": [
+        phrase(_UNDECIDED, 8, f"{_PROVE}/{_SHOW}", 5, "no/zero", 2, "difference*/effect*/change*/influence/relation*/link"),
+        phrase(_UNDECIDED, 8, f"{_PROVE}/{_SHOW}", 6, "are/is/were/was", 1, "same/identical/equal/equivalent/alike"),
+        phrase(_UNDECIDED, 8, "so/therefore/hence/thus", 5, "are/is/were/was", 1, "same/identical/equal/equivalent/alike"),
+    ],
+    "cluster_reification": [
+        phrase("cluster*/k-means/kmeans", 8, _PROVE, 6, f"real/true/genuine/exactly/{_KINDS}"),
+        phrase("cluster*/k-means/kmeans", 8, _SHOW, 5, "real/true/genuine/exactly/#", 2, _KINDS),
+        phrase("cluster*/k-means/kmeans", 10, "so/therefore/hence/thus", 4, "different/separate/distinct/real/true", 1, _KINDS),
+    ],
 }
-#: Word sets of a search for the specification that gives the wished-for result.
+_MEASURED = "outlier*/point/points/value/values/row/rows/reading/readings/sample/samples/measurement*/tube/tubes/replicate*/plate/plates/datum"
+_ANALYSIS = "test/tests/grouping/groupings/method/methods/model/models/cutoff/cut-off/threshold/analysis/analyses/specification*/subset/subsets/way"
+_OUTCOME = "works/work/significant/passes/agrees/fits/matches"
+#: Phrases of a search for the specification that gives the wished-for result.
 SEARCHING = [
-    [("try", "trying", "use", "run", "pick"), ("different", "another", "other"), ("test", "tests", "grouping", "groupings", "groups", "method", "methods", "analysis", "model", "cutoff", "threshold")],
-    [("drop", "remove", "exclude", "delete", "ignore", "discard", "omit", "without"), ("outlier", "outliers", "point", "points", "value", "values", "row", "rows", "reading", "readings", "sample", "samples", "measurement", "tube", "replicate")],
-    [("until",), ("works", "work", "significant", "passes", "agrees", "fits")],
-    [("make", "making", "get", "getting", "push"), ("significant", "significance", "0.05", ".05")],
-    [("regroup", "regrouped", "regrouping", "rebin", "reclassify")],
-    [("p-hack", "p-hacking", "phacking", "p-hacked")],
+    [phrase("try/trying/use/using/run/running/pick/switch", 3, "different/another/other", 2, _ANALYSIS)],
+    [phrase("drop/dropping/remove/removing/exclude/excluding/delete/deleting/ignore/ignoring/discard/omit", 3, _MEASURED), phrase("leave/leaving/take/taking/throw", 1, "out/away", 3, _MEASURED), phrase("leave/leaving/take/taking/throw", 3, _MEASURED, "out/away")],
+    [phrase("what", "if", "we/i/you", 1, "exclude*/drop*/remove*/ignore*/leave/left/delete*/omit*")],
+    [phrase("until", 3, _OUTCOME)],
+    [phrase("without/minus", 1, "outlier*/weird/odd/strange/bad/annoying")],
+    [phrase("regroup*/re-group*/rebin*/re-bin*/reclassif*/relabel*")],
+    [phrase("make/making/get/getting/push/pushing/bring/bringing", 1, "it/this/that/p/result/difference/effect", 2, "significant/significance"), phrase("get/getting/push/pushing/bring/bringing", 3, "under/below", 1, "0.05/.05/05/5")],
+    [phrase("p-hack*/phack*"), phrase("p", "hack*")],
+    [phrase("uncertainty", 2, "across", 3, "specification*")],
+    [phrase("robust/robustness", 2, "across", 3, "specification*")],
 ]
 # Package names that install something else, and licences that a closed core can't link.
 NAME_TRAPS = ("drc", "jellyfish", "wish", "basico", "graph-tool", "community", "ete3", "dspy-ai", "python-igraph", "tetranucleotide", "tnf", "phage-dynamics")
@@ -49,17 +92,17 @@ COPYLEFT = {
 INSTALLERS, ASKED = ("pip", "pip3", "conda", "mamba", "micromamba", "uv"), ("install", "add")
 # Least sample sizes of kinds of analysis.
 FLOORS = {"machine_learning": 100, "supervised": 100, "clustering": 50, "dimensionality_reduction": 30, "umap": 50, "correlation": 8, "inference": 3, "descriptive": 1}
-#: What the label before a number makes of it; numbers of the last kind are settings, not results.
+# The labels before a number by which a statistic is known, without case; numbers of the last kind are settings, not results.
 LABELS = {
     "p_value": ("p",),
-    "test_statistic": ("t", "f", "h", "u", "w", "z"),
-    "chi_square": ("chi2", "chi-squared", "χ2", "χ²"),
-    "effect_size": ("d", "g", "r", "v", "rho", "tau", "eta2", "ρ", "τ", "η²"),
+    "test_statistic": ("t", "f", "z", "h", "u", "w"),
+    "chi_square": ("chi2", "chi-squared", "χ²", "χ2"),
+    "effect_size": ("d", "g", "eta2", "η²", "r", "rho", "ρ", "tau", "τ", "v"),
     "interval": ("ci", "interval"),
     "setting": ("k", "n", "alpha"),
 }
-#: Words before a number that names or counts something.
-NAMED = ("grade", "class", "year", "step", "stage", "tube", "plate", "day", "week", "page", "figure", "table", "section", "question", "part", "version", "level", "row", "python", "numpy", "scipy")
+# Words before a number that names something and claims nothing.
+NAMED = ("grade", "class", "year", "step", "stage", "tube", "plate", "day", "week", "page", "figure", "table", "section", "question", "part", "version", "python", "scipy", "numpy", "level", "row")
 _KIND = {label: kind for kind, labels in LABELS.items() for label in labels}
 _NUMBER = re.compile(r"(?<![\w.])[-+]?(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)?(?:\.[0-9]+|(?<=[0-9]))(?:[eE][-+]?[0-9]+)?(?!\w)")
 _LABEL = re.compile(r"([^\W\d_][\w²-]*)\s*(?:\([^()]*\))?\s*(?:[=<>:]|\[)\s*\[?\s*$")
@@ -81,34 +124,27 @@ def personal_tags(text: Column) -> Column:
     return F.array_compact(F.array(*(F.when(text.rlike(p), F.lit(t)) for p, t in PERSONAL)))
 
 
-#: Where a sentence ends, and what parts its words.
-SENTENCE_END, WORD_END = r"[.!?;]+(?:\s|$)|\n", r"[^a-z0-9.'-]+"
-
+def spoken(text: Column) -> Column:
+    """One form of a text for phrases: lower-case words with a space around each, marks between sentences and for negations."""
+    text = F.regexp_replace(F.lower(text), SENTENCE_END, f" {BREAK} ")
+    return F.regexp_replace(F.concat(F.lit(" "), F.regexp_replace(text, NOT_A_WORD, " "), F.lit(" ")), NEGATIONS, f" {NEGATION} ")
 
-def sentences(text: Column) -> Column:
-    """The words of each sentence, in lower case."""
-    return F.transform(F.split(F.lower(text), SENTENCE_END), lambda s: F.split(s, WORD_END))
 
-
-def breaks(text: Column, rule: list[tuple[str, ...]]) -> Column:
-    """Whether some sentence has a word of each of the rule's sets."""
-    def has(words: Column) -> Column:
-        found = F.lit(True)
-        for options in rule:
-            found = found & F.arrays_overlap(words, F.array(*map(F.lit, options)))
-        return found
-
-    return F.coalesce(F.exists(sentences(text), has), F.lit(False))
+def _said(form: Column, phrases: list[str]) -> Column:
+    found = F.lit(False)
+    for p in phrases:
+        found = found | form.rlike(p)
+    return found
 
 
 def blocked_claims(text: Column) -> Column:
     """The kinds of unsupported claims in a text."""
-    return F.array_compact(F.array(*(F.when(breaks(text, rule), F.lit(k)) for k, rule in CLAIMS.items())))
+    return once(F.coalesce(spoken(text), F.lit("")), lambda t: F.array_compact(F.array(*(F.when(_said(t, phrases), F.lit(k)) for k, phrases in CLAIMS.items()))))
 
 
 def searching(text: Column) -> Column:
     """Numbers (from 1) of the wordings that search for a wished-for result."""
-    return F.array_compact(F.array(*(F.when(breaks(text, rule), F.lit(i)) for i, rule in enumerate(SEARCHING, 1))))
+    return once(F.coalesce(spoken(text), F.lit("")), lambda t: F.array_compact(F.array(*(F.when(_said(t, phrases), F.lit(i)) for i, phrases in enumerate(SEARCHING, 1)))))
 
 
 def packages(text: Column) -> Column:

@@ -47,21 +47,23 @@ def _turns(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "conversations").select("conv_id", "turn", F.concat("text", tail).alias("t"))
 
 
-_WORDS = f"list_transform(string_split_regex(lower(t), {_quoted(guards.SENTENCE_END)}), lambda s: string_split_regex(s, {_quoted(guards.WORD_END)}))"
+_SPOKEN = f"regexp_replace(concat(' ', regexp_replace(regexp_replace(lower(t), {_quoted(guards.SENTENCE_END)}, ' {guards.BREAK} ', 'g'), {_quoted(guards.NOT_A_WORD)}, ' ', 'g'), ' '), {_quoted(guards.NEGATIONS)}, ' {guards.NEGATION} ', 'g')"
 
 
-def _breaks(rule: list[tuple[str, ...]]) -> str:
-    has = " AND ".join(f"list_has_any(w, [{', '.join(map(_quoted, options))}])" for options in rule)
-    return f"CAST(len(list_filter(ws, lambda w: {has})) > 0 AS INTEGER)"
+def _said(phrases: list[str]) -> str:
+    return "CAST(" + " OR ".join(f"regexp_matches(s, {_quoted(p)})" for p in phrases) + " AS INTEGER)"
 
 
-@query(f"SELECT conv_id, turn, {' + '.join(f'{_breaks(rule)} * {10**i}' for i, rule in enumerate(guards.CLAIMS.values()))} AS claims FROM (SELECT conv_id, turn, {_WORDS} AS ws FROM (SELECT conv_id, turn, {_SENTENCES} AS t FROM conversations))")
+_TURNS_SPOKEN = f"(SELECT conv_id, turn, {_SPOKEN} AS s FROM (SELECT conv_id, turn, {_SENTENCES} AS t FROM conversations))"
+
+
+@query(f"SELECT conv_id, turn, {' + '.join(f'{_said(phrases)} * {10**i}' for i, phrases in enumerate(guards.CLAIMS.values()))} AS claims FROM {_TURNS_SPOKEN}")
 def claims_conversations(spark: SparkSession, d: str) -> DataFrame:
-    found = guards.blocked_claims(F.col("t"))
-    return _turns(spark, d).select("conv_id", "turn", sum((F.array_contains(found, k).cast("int") * 10**i for i, k in enumerate(guards.CLAIMS)), F.lit(0)).alias("claims"))
+    turns = _turns(spark, d).select("conv_id", "turn", guards.blocked_claims(F.col("t")).alias("found"))
+    return turns.select("conv_id", "turn", sum((F.array_contains("found", k).cast("int") * 10**i for i, k in enumerate(guards.CLAIMS)), F.lit(0)).alias("claims"))
 
 
-@query(f"SELECT conv_id, turn, CAST({' + '.join(map(_breaks, guards.SEARCHING))} AS INTEGER) AS wordings FROM (SELECT conv_id, turn, {_WORDS} AS ws FROM (SELECT conv_id, turn, {_SENTENCES} AS t FROM conversations))")
+@query(f"SELECT conv_id, turn, CAST({' + '.join(map(_said, guards.SEARCHING))} AS INTEGER) AS wordings FROM {_TURNS_SPOKEN}")
 def searching_conversations(spark: SparkSession, d: str) -> DataFrame:
     return _turns(spark, d).select("conv_id", "turn", F.size(guards.searching(F.col("t"))).alias("wordings"))
 
