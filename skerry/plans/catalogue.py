@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from skerry.plans import biology, statistics, texts
+from skerry.plans import biology, records, statistics, texts
 
 
 def queries() -> dict:
-    return {**statistics.QUERIES, **biology.QUERIES, **texts.QUERIES}
+    return {**statistics.QUERIES, **biology.QUERIES, **texts.QUERIES, **records.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**statistics.SQL, **biology.SQL, **texts.SQL}
+    return {**statistics.SQL, **biology.SQL, **texts.SQL, **records.SQL}
