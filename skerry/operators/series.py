@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skerry.functions.columns import finite, ratio, running_sum
+from skerry.functions import trends
+from skerry.functions.columns import finite, null_safe, ratio, running_sum
+from skerry.functions.quantiles import quantiles
+from skerry.functions.shared import written
 
 
 def line(df: DataFrame, x: str, y: str, *by: str) -> DataFrame:
@@ -31,33 +34,232 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     return s.select("n", r.alias("spearman"))
 
 
-def slopes(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    """Slopes of all pairs with different x, of one (short) series a ``by`` value."""
-    rows = finite(df, x, y)
-    a = rows.select(*by, F.col(x).alias("_x1"), F.col(y).alias("_y1"))
-    b = rows.select(*by, F.col(x).alias("_x2"), F.col(y).alias("_y2"))
-    return a.join(b, by).where("_x1 < _x2").select(*by, ((F.col("_y2") - F.col("_y1")) / (F.col("_x2") - F.col("_x1"))).alias("slope"))
+#: Points of a series that one task holds; longer ones are counted block by block.
+BLOCK = 65_536
+SAMPLED, MOST_PASSES = 4096, 80
+NORMAL_95 = 1.959963984540054
+_POINT = "_k string, _p int, _kind int, _block long, _range long, _n long, _x double, _y double"
+
+
+def _statistics(n: int, tied_x: int, tied_v: int, tied_both: int, term: int, under: int) -> tuple:
+    """n, pairs with different x, score, variance and tau-b from counts of pairs."""
+    pairs = n * (n - 1) // 2
+    score = pairs - tied_x - (tied_v - tied_both) - 2 * under
+    spread = float(pairs - tied_v) * pairs
+    return n, pairs - tied_x, float(score), (n * (n - 1) * (2 * n + 5) - term) / 18, score / spread**0.5 if spread > 0 else 0.0
+
+
+def _ranks(pairs: int, variance: float) -> list[int]:
+    """Ranks of the two middle slopes and of the ends of the 95 % interval."""
+    reach = NORMAL_95 * max(variance, 0.0) ** 0.5
+    return [(pairs + 1) // 2, pairs // 2 + 1, max(1, round((pairs - reach) / 2)), min(round((pairs + reach) / 2), pairs)]
+
+
+def _short(rows: DataFrame, sloped: bool) -> DataFrame:
+    """Statistics of series that a task holds."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = pdf["_x"].to_numpy(), pdf["_y"].to_numpy()
+        t = np.unique(y, return_counts=True)[1].astype(object)
+        found = _statistics(len(x), trends.tied_pairs(x), trends.tied_pairs(y), trends.tied_pairs(x, y), int((t * (t - 1) * (2 * t + 5)).sum()), trends.discordant(x, y))
+        slopes = trends.select(x, y, _ranks(found[1], found[3])) if sloped and found[1] else [np.nan] * 4
+        return pd.DataFrame([(*key, *found, slopes)], columns=["_k", *_FOUND])
+
+    return rows.groupBy("_k").applyInPandas(run, _SCHEMA)
+
+
+_FOUND = ["n", "pairs", "score", "variance", "tau_b", "slopes"]
+_SCHEMA = "_k string, n long, pairs long, score double, variance double, tau_b double, slopes array<double>"
+
+
+def _under(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """(_k, s, under, near): for each asked value how many slopes are less, and slopes of the data next to it.
+
+    ``rows`` (_k, _x, _y, _block), ``asked`` (_k, n, asked, xs, ys).  Pairs within a block are counted by its task.  Each value
+    cuts z = y - s x into ranges, by the series' sample; pairs of different blocks in one range are counted by that range's
+    task, pairs that differ in both from a table of counts.  A value that many rows share is a range of its own, without
+    discordant pairs, and stays at home.
+    """
+    # names of their own, as both sides of the cogroup come from the same rows
+    blocks = rows.select("_k", "_block").distinct().join(asked, "_k").withColumnsRenamed({"_k": "_key", "_block": "_place"})
+
+    def home(points: pd.DataFrame, task: pd.DataFrame) -> pd.DataFrame:
+        if points.empty or task.empty:
+            return pd.DataFrame(columns=_POINT.replace(",", "").split()[::2])
+        key, block = points["_k"].iloc[0], int(points["_block"].iloc[0])
+        x, y, t, out = points["_x"].to_numpy(), points["_y"].to_numpy(), task.iloc[0], []
+        xs, ys, cuts = np.asarray(t["xs"]), np.asarray(t["ys"]), max(2, 2 * -(-int(t["n"]) // BLOCK))
+        for p, s in enumerate(t["asked"]):
+            z = y - s * x
+            bounds = np.unique(np.quantile(ys - s * xs, np.linspace(0, 1, cuts + 1)[1:-1], method="lower"))
+            at = np.searchsorted(bounds, z)
+            own = 2 * at + (bounds[np.minimum(at, len(bounds) - 1)] == z)
+            ranges, sizes = np.unique(own, return_counts=True)
+            inner = trends.discordant(x, z) if block % 2 == 0 else 0
+            out.append(pd.DataFrame({"_k": key, "_p": p, "_kind": [0] + [1] * len(ranges), "_block": block, "_range": [-1, *ranges], "_n": [inner, *sizes], "_x": np.nan, "_y": np.nan}))
+            far = own % 2 == 0
+            out.append(pd.DataFrame({"_k": key, "_p": p, "_kind": 2, "_block": block, "_range": own[far], "_n": 0, "_x": x[far], "_y": y[far]}))
+        return pd.concat(out, ignore_index=True)
+
+    dealt = written(rows.groupBy("_k", "_block").cogroup(blocks.groupBy("_key", "_place")).applyInPandas(home, _POINT), "trend-points")
+    values = asked.select("_k", F.posexplode("asked").alias("_p", "s"))
+
+    def across(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        # cells of later blocks and lower ranges, by sums over the table of counts
+        b, bi = np.unique(pdf["_block"], return_inverse=True)
+        g, gi = np.unique(pdf["_range"], return_inverse=True)
+        table = np.zeros((len(b), len(g)), np.int64)
+        np.add.at(table, (bi, gi), pdf["_n"].to_numpy())
+        later = np.cumsum(table[::-1], axis=0)[::-1]
+        lower = np.cumsum(later, axis=1)
+        beyond = sum(int(x) for x in (table[:-1, 1:].astype(object) * lower[1:, :-1].astype(object)).ravel()) if len(b) > 1 and len(g) > 1 else 0
+        return pd.DataFrame([(*key, beyond, [])], columns=["_k", "_p", "under", "near"])
+
+    def within(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y, s = pdf["_x"].to_numpy(), pdf["_y"].to_numpy(), pdf["s"].iloc[0]
+        near = trends.neighbours(x, y, s)
+        near = near[np.argsort(np.abs(near - s))[:8]]
+        return pd.DataFrame([(*key[:2], trends.discordant(pdf["_block"].to_numpy(), y - s * x), near.tolist())], columns=["_k", "_p", "under", "near"])
+
+    part = "_k string, _p int, under long, near array<double>"
+    inner = dealt.where("_kind = 0").select("_k", "_p", F.col("_n").alias("under"), F.array().cast("array<double>").alias("near"))
+    crossed = dealt.where("_kind = 1").groupBy("_k", "_p").applyInPandas(across, part)
+    ranged = dealt.where("_kind = 2").join(values, ["_k", "_p"]).groupBy("_k", "_p", "_range").applyInPandas(within, part)
+    total = inner.unionByName(crossed).unionByName(ranged).groupBy("_k", "_p").agg(F.sum("under").alias("under"), F.flatten(F.collect_list("near")).alias("near"))
+    return total.join(values, ["_k", "_p"]).select("_k", "s", "under", "near")
+
+
+def _long(rows: DataFrame, sloped: bool) -> DataFrame:
+    """Statistics of series of any length, by counting passes over their blocks."""
+    tied = lambda *c: rows.groupBy("_k", *c).agg(F.count("*").alias("_c"))
+    c, pairs = F.col("_c").cast("decimal(38,0)"), F.sum(F.expr("cast(_c as decimal(19,0)) * (_c - 1) / 2").cast("decimal(38,0)"))
+    by_x = written(running_sum(tied("_x"), ["_k"], ["_x"], "_c", "_upto"), "trend-order")
+    start = F.col("_upto") - F.col("_c")
+    # a value of x that fills a block by itself has no discordant pairs inside
+    block = 2 * F.floor(start / BLOCK) + (F.col("_c") >= BLOCK).cast("long")
+    placed = written(rows.join(by_x.select(F.col("_k").alias("_k2"), F.col("_x").alias("_x2"), block.alias("_block")), (F.col("_k") == F.col("_k2")) & (F.col("_x") == F.col("_x2"))).select("_k", "_x", "_y", "_block"), "trend-blocks")
+    ties = by_x.groupBy("_k").agg(F.sum("_c").alias("n"), pairs.alias("tx"))
+    for name, columns in (("tv", ["_y"]), ("tb", ["_x", "_y"])):
+        ties = ties.join(tied(*columns).groupBy("_k").agg(pairs.alias(name)), "_k")
+    ties = ties.join(tied("_y").groupBy("_k").agg(F.sum((c * (c - 1)) * (2 * c + 5)).cast("decimal(38,0)").alias("term")), "_k")
+    points = placed.join(ties.select("_k", "n"), "_k").where(F.pmod(F.xxhash64("_x", "_y"), F.greatest(F.lit(1), F.floor(F.col("n") / SAMPLED))) == 0).select("_k", "_x", "_y").distinct()
+    sample = points.groupBy("_k").agg(F.collect_list("_x").alias("xs"), F.collect_list("_y").alias("ys"))
+    known = written(ties.join(sample, "_k", "left"), "trend-series")
+    empty = F.array().cast("array<double>")
+    base = known.select("_k", "n", F.array(F.lit(0.0)).alias("asked"), F.coalesce("xs", empty).alias("xs"), F.coalesce("ys", empty).alias("ys"))
+    level = written(_under(placed, base), "trend-score")
+
+    def judged(pdf: pd.DataFrame) -> list[tuple]:
+        return [_statistics(int(r.n), int(r.tx), int(r.tv), int(r.tb), int(r.term), int(r.under)) for r in pdf.itertuples()]
+
+    def first(batches):
+        for pdf in batches:
+            yield pd.DataFrame([(k, *t, [np.nan] * 4) for k, t in zip(pdf["_k"], judged(pdf))], columns=["_k", *_FOUND])
+
+    text = [F.col(x).cast("string").alias(x) for x in ("tx", "tv", "tb", "term")]
+    scored = written(known.join(level.select("_k", "under"), "_k").select("_k", "n", *text, "under").mapInPandas(first, _SCHEMA), "trend-scores")
+    if not sloped:
+        return scored
+    state_of = "_k string, _rank int, k long, low double, high double, under_low long, under_high long, grain double, near array<double>, asked array<double>, slope double"
+
+    def searches(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                if not r.pairs:
+                    continue
+                xs, ys = np.asarray(r.xs, float), np.asarray(r.ys, float)
+                near, small = trends.drawn(xs, ys), trends.grain(xs, ys)
+                for i, k in enumerate(_ranks(r.pairs, r.variance)):
+                    search = trends.Search(k, r.pairs, small)
+                    out.append((r._1, i, k, search.low, search.high, 0, r.pairs, small, near.tolist(), search.probes(near), None))
+            yield pd.DataFrame(out, columns=state_of.replace(",", "").split()[::2])
+
+    def advance(state: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        seen = {s: int(u) for s, u in zip(counts["s"], counts["under"])}
+        fresh = np.concatenate([np.empty(0), *(np.asarray(x, float) for x in counts["near"])])
+        for r in state.itertuples(index=False):
+            search = trends.Search(r.k, 0, r.grain, r.low, r.high, r.under_low, r.under_high)
+            search.narrow(seen)
+            near = np.concatenate([np.asarray(r.near, float), fresh])
+            near = np.sort(near[(near >= search.low - search.step()) & (near <= search.high + search.step())])
+            slope = search.found(near) if search.done() else None
+            out.append((r[0], r[1], r.k, search.low, search.high, search.under_low, search.under_high, r.grain, near.tolist(), [] if slope is not None else search.probes(near), slope))
+        return pd.DataFrame(out, columns=state_of.replace(",", "").split()[::2])
+
+    begun = scored.drop("n").join(base, "_k")
+    state = written(begun.select("_k", "pairs", "variance", "xs", "ys").withColumnRenamed("_k", "_1").mapInPandas(searches, state_of), "trend-search")
+    finished = None
+    for _ in range(MOST_PASSES):
+        asked = state.where("slope is null").groupBy("_k").agg(F.array_distinct(F.flatten(F.collect_list("asked"))).alias("asked")).join(base.drop("asked"), "_k")
+        counts = _under(placed.join(asked.select("_k"), "_k", "left_semi"), asked)
+        moved = written(state.where("slope is null").groupBy("_k").cogroup(counts.withColumnRenamed("_k", "_key").groupBy("_key")).applyInPandas(advance, state_of), "trend-search")
+        done = moved.where("slope is not null").select("_k", "_rank", "slope")
+        finished = done if finished is None else finished.unionByName(done)
+        state = moved
+        if state.where("slope is null").isEmpty():
+            break
+    else:
+        raise ArithmeticError(f"no slope was found within {MOST_PASSES} passes")
+    slopes = finished.groupBy("_k").agg(F.transform(F.array_sort(F.collect_list(F.struct("_rank", "slope"))), lambda s: s["slope"]).alias("slopes"))
+    return scored.drop("slopes").join(slopes, "_k", "left").select("_k", *_FOUND)
+
+
+def pair_counts(df: DataFrame, order: str, value: str, by: list[str], sloped: bool = True) -> DataFrame:
+    """Per series (by): n, pairs with different ``order``, score, variance, tau_b and, if ``sloped``, four slopes: the two
+    middle ones and the ends of their 95 % interval (an array, null without pairs).
+
+    Nothing is joined with itself: a series of up to ``BLOCK`` points is counted by one task, longer ones by blocks.
+    Non-finite points are dropped, points of one ``order`` make no pair, equal rows count each, a null key is a series;
+    names of columns are free, and an empty table has no series.
+    """
+    key = F.to_json(F.struct(*(F.col(c).alias(f"b{i}") for i, c in enumerate(by))), {"ignoreNullFields": "false"}) if by else F.lit("")
+    rows = finite(df.select(key.alias("_k"), F.struct(*(F.col(c).alias(f"b{i}") for i, c in enumerate(by)), F.lit(0).alias("_")).alias("_by"), F.col(order).cast("double").alias("_x"), F.col(value).cast("double").alias("_y")), "_x", "_y")
+    rows = written(rows, "trend-rows")
+    sizes = rows.groupBy("_k").agg(F.count("*").alias("_size"), F.first("_by").alias("_by"))
+    keys = written(sizes, "trend-keys")
+    rows, longer = rows.drop("_by"), keys.where(F.col("_size") > BLOCK)
+    if longer.isEmpty():
+        found = _short(rows, sloped)
+    else:
+        long_keys = longer.select("_k")
+        found = _short(rows.join(long_keys, "_k", "left_anti"), sloped).unionByName(_long(rows.join(long_keys, "_k", "left_semi"), sloped))
+    return found.join(keys, "_k").select(*(F.col(f"_by.b{i}").alias(c) for i, c in enumerate(by)), *(F.col(c).alias(f"_{c}") for c in _FOUND))
+
+
+def _middle(df: DataFrame, order: str, value: str, by: list[str]) -> DataFrame:
+    """Medians _mx and _my of each series, its keys as _b0, _b1, ..."""
+    rows = finite(df.select(*(F.col(c).alias(f"_b{i}") for i, c in enumerate(by)), F.col(order).alias("_x"), F.col(value).alias("_y")), "_x", "_y")
+    keys = [f"_b{i}" for i in range(len(by))]
+    x, y = quantiles(rows, keys, "_x", [0.5], "_qx"), quantiles(rows, keys, "_y", [0.5], "_qy").withColumnsRenamed({k: f"{k}_y" for k in keys})
+    return x.join(y, null_safe([(k, f"{k}_y") for k in keys])).select(*keys, F.col("_qx")[0].alias("_mx"), F.col("_qy")[0].alias("_my"))
+
+
+def sloped(df: DataFrame, order: str, value: str, by: list[str]) -> DataFrame:
+    """``pair_counts`` with _slope (the median), _intercept, _low and _high."""
+    found = pair_counts(df, order, value, by).join(_middle(df, order, value, by), null_safe([(c, f"_b{i}") for i, c in enumerate(by)]))
+    s = F.col("_slopes")
+    slope = F.when(F.col("_pairs") > 0, s[0] + (s[1] - s[0]) / 2)
+    found = found.withColumn("_slope", slope).withColumns({"_low": F.when(F.col("_pairs") > 0, s[2]), "_high": F.when(F.col("_pairs") > 0, s[3])})
+    return found.withColumn("_intercept", F.col("_my") - F.col("_slope") * F.col("_mx"))
 
 
 def theil_sen(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    """Median of pairwise slopes, and the intercept med(y) - slope med(x)."""
-    middle = finite(df, x, y).groupBy(*by).agg(F.percentile(x, 0.5).alias("_mx"), F.percentile(y, 0.5).alias("_my"), F.count("*").alias("n"))
-    s = slopes(df, x, y, by).groupBy(*by).agg(F.percentile("slope", 0.5).alias("slope"))
-    return s.join(middle, by).select(*by, "n", "slope", (F.col("_my") - F.col("slope") * F.col("_mx")).alias("intercept"))
+    """Median of pairwise slopes, and the intercept med(y) - slope med(x); a series without a pair has none."""
+    found = sloped(df, x, y, list(by)).where("_pairs > 0")
+    return found.select(*by, *(F.col(f"_{c}").alias(c) for c in ("n", "slope", "intercept")))
+
+
+def kendall_z() -> Column:
+    """z of the score with its correction for continuity, from _score and _variance."""
+    return ratio(F.col("_score") - F.signum("_score"), F.sqrt("_variance"), 0.0)
 
 
 def mann_kendall(df: DataFrame, order: str, value: str, by: list[str]) -> DataFrame:
-    """S (score) over the rows' order, its tie-corrected variance, the continuity-corrected z, and tau-b."""
-    rows = finite(df, value).select(*by, F.col(order).alias("_o"), F.col(value).alias("_v"))
-    a, b = rows.withColumnsRenamed({"_o": "_o1", "_v": "_v1"}), rows.withColumnsRenamed({"_o": "_o2", "_v": "_v2"})
-    s = a.join(b, by).where("_o1 < _o2").groupBy(*by).agg(F.sum(F.signum(F.col("_v2") - F.col("_v1"))).alias("score"))
-    tied = rows.groupBy(*by, "_v").agg(F.count("*").cast("double").alias("t"))
-    ties = tied.groupBy(*by).agg(F.sum("t").alias("n"), F.sum(F.col("t") * (F.col("t") - 1) * (2 * F.col("t") + 5)).alias("term"), F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("pairs"))
-    n = F.col("n")
-    j = s.join(ties, by).withColumn("variance", (n * (n - 1) * (2 * n + 5) - F.col("term")) / 18)
-    z = F.when(F.col("score") > 0, F.col("score") - 1).when(F.col("score") < 0, F.col("score") + 1).otherwise(0.0)
-    all_pairs = n * (n - 1) / 2
-    return j.select(*by, n.cast("long").alias("n"), "score", "variance", ratio(z, F.sqrt("variance"), 0.0).alias("z"), ratio(F.col("score"), F.sqrt((all_pairs - F.col("pairs")) * all_pairs), 0.0).alias("tau_b"))
+    """S (score) over the rows' order, its tie-corrected variance, the continuity-corrected z, and tau-b; of series with a pair."""
+    found = pair_counts(df, order, value, list(by), sloped=False).where("_pairs > 0").withColumn("_z", kendall_z())
+    return found.select(*by, *(F.col(f"_{c}").alias(c) for c in ("n", "score", "variance", "z", "tau_b")))
 
 
 def growth(df: DataFrame, time: str, density: str, by: list[str]) -> DataFrame:
@@ -81,13 +283,3 @@ def akaike(df: DataFrame, aicc: str, by: list[str]) -> DataFrame:
     delta = F.col(aicc) - F.min(aicc).over(w)
     rows = df.withColumn("delta", delta)
     return rows.withColumn("weight", F.exp(-F.col("delta") / 2) / F.sum(F.exp(-F.col("delta") / 2)).over(w))
-
-
-def theil_sen_interval(slopes_sorted: pd.Series, n: int, tie_variance: float, confidence: float = 0.95) -> tuple[float, float]:
-    """Order statistics of sorted slopes from the variance of Kendall's S."""
-    from skerry.functions.special import normal_quantile
-
-    z = normal_quantile(0.5 + confidence / 2)
-    size, reach = len(slopes_sorted), z * np.sqrt(tie_variance)
-    low, high = int(np.round((size - reach) / 2)), min(int(np.round((size + reach) / 2)) - 1, size - 1)
-    return float(slopes_sorted.iloc[max(0, low - 1)]), float(slopes_sorted.iloc[high])

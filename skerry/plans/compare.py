@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skerry.functions import exact
@@ -187,18 +187,15 @@ def contingency_test(df: DataFrame, row: str, column: str) -> DataFrame:
 
 
 def trend_test(df: DataFrame, order: str, value: str, by: Sequence[str], alpha: float = 0.05) -> DataFrame:
-    """Mann-Kendall with its p, the Theil-Sen slope with its 95 % interval, and the direction; series of at least 4 values."""
-    by = list(by)
-    kendall = groups.with_p(series.mann_kendall(df, order, value, by).where("n >= 4"), "normal", "z")
-    ranked = series.slopes(df, order, value, by).join(kendall.select(*by, "variance"), by)
-    ranked = ranked.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy("slope"))).withColumn("_size", F.count("*").over(Window.partitionBy(*by)))
-    reach = 1.959963984540054 * F.sqrt("variance")
-    low, high = F.greatest(F.lit(1.0), F.bround((F.col("_size") - reach) / 2)), F.least(F.bround((F.col("_size") + reach) / 2), F.col("_size").cast("double"))
-    ends = ranked.groupBy(*by).agg(F.max(F.when(F.col("_rank") == low, F.col("slope"))).alias("low"), F.max(F.when(F.col("_rank") == high, F.col("slope"))).alias("high"))
-    sen = series.theil_sen(df, order, value, by).drop("n")
-    found = kendall.join(sen, by).join(ends, by)
-    direction = F.when(F.col("p_value") >= alpha, "none").when(F.col("z") > 0, "increasing").otherwise("decreasing")
-    return found.select(*by, "n", "score", "z", "p_value", "tau_b", "slope", "intercept", "low", "high", direction.alias("direction"))
+    """Mann-Kendall with its p, the Theil-Sen slope with its 95 % interval, and the direction; series of at least 4 values.
+
+    A null key is a series of its own; a series without two different places in its order is left out.
+    """
+    found = series.sloped(df, order, value, list(by)).where("_n >= 4 and _pairs > 0").withColumn("_z", series.kendall_z())
+    found = groups.with_p(found, "normal", "_z", to="_p_value")
+    direction = F.when(F.col("_p_value") >= alpha, "none").when(F.col("_z") > 0, "increasing").otherwise("decreasing")
+    names = ("n", "score", "z", "p_value", "tau_b", "slope", "intercept", "low", "high")
+    return found.select(*by, *(F.col(f"_{c}").alias(c) for c in names), direction.alias("direction"))
 
 
 def compare_composition(counts: DataFrame, labels: DataFrame, metric: str = "braycurtis", replicates: int = 999) -> dict[str, DataFrame]:
