@@ -21,8 +21,9 @@ counts left out (on the counted ones if those are of one class), gives the score
 Counts are distinct (expression, history) pairs by groupBy, from every labelled training row; expressions and
 stems are told apart by 64-bit hashes, histories by 32 bits.  The
 model keeps expressions of more than D histories in a class; others need no entry, as their probabilities' ratio
-doesn't depend on them.  Up to ``MAX_BROADCAST_WORDS`` entries it is broadcast; with more, the expressions of all
-texts are joined with it, with the same result.
+doesn't depend on them.  Up to ``MAX_BROADCAST_WORDS`` entries it is broadcast.  With more, each different expression of the corpus is joined with
+it once; the commonest of them, at most ``MAX_BROADCAST_WORDS`` by their share of all texts' expressions, are broadcast and
+summed up where the text is read, and only the rest is shuffled, in which no expression is common.  The result is the same.
 
 Defined cases: a null or empty text, or one without letters, has difference 0 and gets the curve's value there;
 without labelled rows of both classes every score is 0.0; repeated rows are scored alike; rows with a null
@@ -181,40 +182,84 @@ def gathered(tables) -> KneserNey | None:
     return KneserNey(w["word"].to_numpy(), w[["m_o", "m_t"]].to_numpy().T.copy(), w["within"].to_numpy(), s["stem"].to_numpy(), s[["r_o", "r_t"]].to_numpy().T.copy(), left, stem_left)
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Different expressions of each text with their number."""
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Different expressions of each text: (batch, row, word, stem, number)."""
     for batch in batches:
-        for first, raws in words.chunks(batch.column(2).to_pylist()):
+        for first, raws in words.chunks(batch.column(batch.num_columns - 1).to_pylist()):
             word, stem, _, at = expressions(raws)
             owner = np.repeat(np.arange(len(raws)), np.diff(at))
             order = np.lexsort((word, owner))
             word, stem, owner = word[order], stem[order], owner[order]
             cut = np.flatnonzero(np.concatenate(([True], (word[1:] != word[:-1]) | (owner[1:] != owner[:-1])))) if len(word) else np.empty(0, np.int64)
-            n = np.diff(np.append(cut, len(word)))
-            row = pa.array(owner[cut] + first)
-            yield pa.record_batch([batch.column(0).take(row), batch.column(1).take(row), pa.array(word[cut]), pa.array(stem[cut]), pa.array(n)], names=["key", "digest", "word", "stem", "n"])
+            yield batch, owner[cut] + first, word[cut], stem[cut], np.diff(np.append(cut, len(word)))
 
 
-def differences(docs: DataFrame, tables, language: KneserNey | None, *carried: str) -> DataFrame:
-    """``carried`` columns and ``difference`` of every row's text."""
-    if language is not None:
-        shared = docs.sparkSession.sparkContext.broadcast(language)
-        kinds = dict(docs.dtypes)
+def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, stem, texts) of the different expressions of a run of texts."""
+    for _, _, word, stem, _ in _split(batches):
+        order = np.argsort(word, kind="stable")
+        word, stem = word[order], stem[order]
+        cut = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1]))) if len(word) else np.empty(0, np.int64)
+        yield pa.record_batch([pa.array(word[cut]), pa.array(stem[cut]), pa.array(np.diff(np.append(cut, len(word))))], names=["word", "stem", "texts"])
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for first, raws in words.chunks(batch.column(len(carried)).to_pylist()):
-                    yield pa.record_batch([*(batch.column(k).slice(first, len(raws)) for k in range(len(carried))), pa.array(shared.value.differences(raws))], names=[*carried, "difference"])
 
-        return docs.select(*carried, "text").mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in carried), "difference double"]))
+def evidence(docs: DataFrame, tables) -> DataFrame:
+    """(word, texts, e) of every different expression of ``docs``: in how many texts it is, and its share in their differences."""
     word_rows, stem_rows, left, stem_left = tables
-    rows = docs.select(*carried, F.xxhash64("text").alias("_digest"), "text")
-    tokens = rows.select(F.col(carried[0]).cast("long").alias("key"), F.col("_digest").alias("digest"), "text").mapInArrow(_tokens, "key long, digest long, word long, stem long, n long")
+    seen = docs.select("text").mapInArrow(_seen, "word long, stem long, texts long").groupBy("word", "stem").agg(F.sum("texts").alias("texts"))
     p = [F.coalesce(f"m_{c}", F.lit(0.0)) + float(a) * F.coalesce(f"r_{c}", F.lit(float(b))) * F.coalesce("within", F.lit(1.0)) for c, a, b in zip("ot", left, stem_left)]
-    found = tokens.join(word_rows, "word", "left").join(stem_rows, "stem", "left").withColumn("e", F.log1p(TOXIC_SHARE * (p[1] / p[0] - 1)))
-    sums = found.groupBy("key", "digest").agg((F.sum(F.col("n") * F.col("e")) / F.sum("n")).alias("_difference"))
+    found = seen.join(word_rows, "word", "left").join(stem_rows, "stem", "left")
+    return stage(found.select("word", "texts", F.log1p(TOXIC_SHARE * (p[1] / p[0] - 1)).alias("e")), "toxic-evidence")
+
+
+def _joined(docs: DataFrame, tables, *carried: str) -> DataFrame:
+    """``differences`` with a model that is too large to be broadcast."""
+    rows = docs.select(*carried, F.xxhash64("text").alias("_digest"), "text")
+    known = evidence(rows, tables)
+    total = known.agg(F.sum("texts")).first()[0] or 0
+    # at most so many words can have this share of all
+    common = known.where(F.col("texts") * MAX_BROADCAST_WORDS >= total)
+    top = common.select("word", "e").toPandas().sort_values("word")
+    shared = docs.sparkSession.sparkContext.broadcast((top["word"].to_numpy(np.int64), top["e"].to_numpy(float)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed, e = shared.value
+        for batch, row, word, _, n in _split(batches):
+            at = np.minimum(np.searchsorted(listed, word), max(0, len(listed) - 1))
+            hit = listed[at] == word if len(listed) else np.zeros(len(word), bool)
+            texts, owner = np.unique(row, return_inverse=True)
+            size, part = (np.bincount(o, v, len(texts)).astype(float) for o, v in ((owner, n), (owner[hit], n[hit] * e[at[hit]])))
+            rest = row[~hit]
+            key = pa.array(np.concatenate([texts, rest]))
+            absent, none = pa.nulls(len(texts), pa.int64()), pa.array(np.zeros(len(rest)))
+            yield pa.record_batch(
+                [batch.column(0).take(key), batch.column(1).take(key), pa.concat_arrays([absent, pa.array(word[~hit])]), pa.concat_arrays([pa.array(size), none]), pa.concat_arrays([pa.array(part), pa.array(n[~hit].astype(float))])],
+                names=["key", "digest", "word", "size", "part"],
+            )
+
+    tokens = rows.select(F.col(carried[0]).cast("long").alias("key"), F.col("_digest").alias("digest"), "text").mapInArrow(run, "key long, digest long, word long, size double, part double")
+    sums = lambda t, e: t.groupBy("key", "digest").agg(F.sum("size").alias("size"), F.sum(e).alias("part"))
+    rare = known.where(F.col("texts") * MAX_BROADCAST_WORDS < total).select("word", "e")
+    both = stage(tokens, "toxic-tokens")
+    whole = sums(both.where("word is null"), F.col("part")).unionByName(sums(both.where("word is not null").join(rare, "word"), F.col("part") * F.col("e")))
+    found = whole.groupBy("key", "digest").agg((F.sum("part") / F.sum("size")).alias("_difference"))
     match = F.col(carried[0]).eqNullSafe(F.col("key")) & (F.col("_digest") == F.col("digest"))
-    return rows.drop("text").join(sums, match, "left").select(*carried, F.coalesce("_difference", F.lit(0.0)).alias("difference"))
+    return rows.drop("text").join(found, match, "left").select(*carried, F.coalesce("_difference", F.lit(0.0)).alias("difference"))
+
+
+def differences(docs: DataFrame, tables, language: KneserNey | None, *carried: str) -> DataFrame:
+    """``carried`` columns and ``difference`` of every row's text."""
+    if language is None:
+        return _joined(docs, tables, *carried)
+    shared = docs.sparkSession.sparkContext.broadcast(language)
+    kinds = dict(docs.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, raws in words.chunks(batch.column(len(carried)).to_pylist()):
+                yield pa.record_batch([*(batch.column(k).slice(first, len(raws)) for k in range(len(carried))), pa.array(shared.value.differences(raws))], names=[*carried, "difference"])
+
+    return docs.select(*carried, "text").mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in carried), "difference double"]))
 
 
 def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -397,9 +397,15 @@ def test_toxicity_equals_brute_force_kneser_ney(spark, monkeypatch):
 
     expected = {x["doc_id"]: difference(x["text"]) for x in docs.collect()}
     got = {x["doc_id"]: x["difference"] for x in toxicity.differences(docs, model.tables, model.language, "doc_id").collect()}
-    joined = {x["doc_id"]: x["difference"] for x in toxicity.differences(docs, model.tables, None, "doc_id").collect()}
-    assert got.keys() == expected.keys() == joined.keys()
-    assert all(abs(got[i] - expected[i]) < 1e-9 and abs(joined[i] - expected[i]) < 1e-9 for i in expected)
+    assert got.keys() == expected.keys() and all(abs(got[i] - expected[i]) < 1e-9 for i in expected)
+    # without the model in one piece: all expressions common, some, and none
+    for most in (toxicity.MAX_BROADCAST_WORDS, 60, -1):
+        monkeypatch.setattr(toxicity, "MAX_BROADCAST_WORDS", most)
+        known = toxicity.evidence(docs, model.tables).collect()
+        common = sum(x["texts"] * most >= sum(y["texts"] for y in known) for x in known)
+        assert 0 < common < len(known) if most == 60 else common == (len(known) if most > 0 else 0)
+        joined = {x["doc_id"]: x["difference"] for x in toxicity.differences(docs, model.tables, None, "doc_id").collect()}
+        assert joined.keys() == expected.keys() and all(abs(joined[i] - expected[i]) < 1e-9 for i in expected)
     monkeypatch.setattr(toxicity, "MAX_BROADCAST_WORDS", -1)
     large = toxicity.fit(docs, spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int"))
     assert large.language is None and np.allclose(large.weights, model.weights)
