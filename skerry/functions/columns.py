@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import inspect
+from collections.abc import Sequence
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +50,44 @@ def null_safe(pairs: list[tuple[str, str]]) -> Column:
     return match
 
 
+def meet(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join on equal ``keys`` in which null keys meet; the columns of ``a``, then the others of ``b``.
+
+    Without keys ``b`` is one row, which is sent to all.
+    """
+    if not keys:
+        return a.join(F.broadcast(b), how=how) if how == "inner" else a.join(F.broadcast(b), F.lit(True), how)
+    renamed = {k: f"_m_{i}" for i, k in enumerate(keys)}
+    return a.join(b.withColumnsRenamed(renamed), null_safe(list(renamed.items())), how).drop(*renamed.values())
+
+
+def own_names(operator):
+    """An operator whose ``by`` columns may have any names, also those of its results or working columns.
+
+    Inside, keys have names of their own.  A result that is called like a key gets an underscore behind its name.
+    """
+    signature = inspect.signature(operator)
+
+    @wraps(operator)
+    def run(*args, **kwargs):
+        bound = signature.bind(*args, **kwargs)
+        bound.apply_defaults()
+        by, first = list(bound.arguments["by"]), next(iter(bound.arguments))
+        keys = [f"_key_{i}" for i in range(len(by))]
+        bound.arguments[first] = bound.arguments[first].withColumns({k: F.col(c) for c, k in zip(by, keys)})
+        bound.arguments["by"] = keys
+        found = operator(*bound.args, **bound.kwargs)
+        taken, shown = set(by), []
+        for c in found.columns:
+            if c in keys:
+                shown.append(F.col(c).alias(by[keys.index(c)]))
+            elif not c.startswith("_key_"):
+                shown.append(F.col(c).alias(f"{c}_" if c in taken else c))
+        return found.select(*shown)
+
+    return run
+
+
 def running(df: DataFrame, by: list[str], order: list[str], **columns: tuple[str, Column]) -> DataFrame:
     """``df`` with running values over this row and those before it within ``by``, in order of ``order``.
 

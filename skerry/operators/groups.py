@@ -3,6 +3,10 @@
 Input is a long table of one measurement a row.  Non-finite values are dropped first.  Everything is
 reduced to one row a group (or a distinct value) before groups are compared, so pairs of groups are
 joined on compact statistics and never on measurements.  ``by`` names the columns of a data set.
+
+Defined cases: a null key is a data set of its own, a null label a group of its own without pairs; keys may have any
+name (a result of that name gets an underscore); equal rows count each, ties share their rank; an empty table has no
+rows, or one of nulls and zero counts where there is no key.
 """
 
 from __future__ import annotations
@@ -15,9 +19,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skerry.functions import exact, special
-from skerry.functions.columns import finite, is_finite, ratio, running_sum
+from skerry.functions.columns import finite, is_finite, meet, own_names, ratio, running_sum
+from skerry.functions.quantiles import quantiles
 
 
+@own_names
 def summaries(df: DataFrame, group: str, value: str, by: Sequence[str] = ()) -> DataFrame:
     """One row a group: n, mean, variance (n - 1; 0.0 for one value)."""
     rows = finite(df, value)
@@ -26,18 +32,16 @@ def summaries(df: DataFrame, group: str, value: str, by: Sequence[str] = ()) ->
     )
 
 
+@own_names
 def describe(df: DataFrame, group: str, value: str, by: Sequence[str] = ()) -> DataFrame:
     """n, mean, sd, se, median, quartiles (linear), minimum and maximum of each group."""
-    rows = finite(df, value)
-    found = rows.groupBy(*by, F.col(group).alias("group_label")).agg(
-        F.count("*").alias("n"),
-        F.avg(value).alias("mean"),
-        F.coalesce(F.when(F.count("*") > 1, F.stddev_samp(value)), F.lit(0.0)).alias("sd"),
-        F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"),
-        F.min(value).alias("minimum"),
-        F.max(value).alias("maximum"),
+    rows = finite(df, value).select(*by, F.col(group).alias("group_label"), F.col(value).cast("double").alias("_v"))
+    keys = [*by, "group_label"]
+    found = rows.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.avg("_v").alias("mean"), F.coalesce(F.when(F.count("*") > 1, F.stddev_samp("_v")), F.lit(0.0)).alias("sd"), F.min("_v").alias("minimum"), F.max("_v").alias("maximum")
     )
-    return found.select(*by, "group_label", "n", "mean", "sd", (F.col("sd") / F.sqrt("n")).alias("se"), F.col("q")[1].alias("median"), F.col("q")[0].alias("q1"), F.col("q")[2].alias("q3"), "minimum", "maximum")
+    found = meet(found, quantiles(rows, keys, "_v", (0.25, 0.5, 0.75), "_q"), keys)
+    return found.select(*keys, "n", "mean", "sd", (F.col("sd") / F.sqrt("n")).alias("se"), F.col("_q")[1].alias("median"), F.col("_q")[0].alias("q1"), F.col("_q")[2].alias("q3"), "minimum", "maximum")
 
 
 def pairs(stats: DataFrame, by: Sequence[str] = (), label: str = "group_label") -> DataFrame:
@@ -51,18 +55,20 @@ def pairs(stats: DataFrame, by: Sequence[str] = (), label: str = "group_label")
     return a.join(b, match).drop(*(f"_{c}" for c in by))
 
 
+@own_names
 def mid_ranks(df: DataFrame, group: str, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Each group's size and sum of mid-ranks, and the data set's size and tie term (sum of t^3 - t)."""
     rows = finite(df, value).select(*by, F.col(group).alias("group_label"), F.col(value).cast("double").alias("v"))
-    cells = rows.groupBy(*by, "v", "group_label").agg(F.count("*").alias("c")).persist()
+    cells = rows.groupBy(*by, "v", "group_label").agg(F.count("*").alias("c"))
     keys = [*by]
     values = running_sum(cells.groupBy(*keys, "v").agg(F.sum("c").alias("t")), keys, ["v"], "t", "upto")
-    ranked = cells.join(values, [*keys, "v"]).withColumn("rank", F.col("upto") - F.col("t") + (F.col("t") + 1) / 2.0)
+    ranked = meet(cells, values, [*keys, "v"]).withColumn("rank", F.col("upto") - F.col("t") + (F.col("t") + 1) / 2.0)
     groups = ranked.groupBy(*keys, "group_label").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("rank")).alias("rank_sum"))
     ties = values.groupBy(*keys).agg(F.sum("t").alias("total"), F.sum((F.pow("t", F.lit(3.0)) - F.col("t"))).alias("tie_term"))
-    return groups.join(ties, keys) if keys else groups.join(F.broadcast(ties))  # one row without ``by``
+    return meet(groups, ties, keys)
 
 
+@own_names
 def effects(df: DataFrame, group: str, value: str, by: Sequence[str] = ()) -> DataFrame:
     """For each pair of groups: Cohen's d, Hedges' g, Glass's delta against b, the mean difference."""
     p = pairs(summaries(df, group, value, by), by)
@@ -85,6 +91,7 @@ def pairwise_ranks(df: DataFrame, group: str, value: str, a: str, b: str) -> Dat
     return wide.select(F.col("n_a"), F.col("n_b"), u.alias("u"), cles.alias("cles"), (2 * cles - 1).alias("rank_biserial"), "tie_term")
 
 
+@own_names
 def anova(df: DataFrame, group: str, value: str, by: Sequence[str] = ()) -> DataFrame:
     """One-way F with its degrees of freedom, and eta squared (share of the total sum of squares)."""
     s = summaries(df, group, value, by)
@@ -97,6 +104,7 @@ def anova(df: DataFrame, group: str, value: str, by: Sequence[str] = ()) -> Data
     return total.where("_k > 1 and _total > _k").select(*by, (F.col("_k") - 1).alias("df_between"), (F.col("_total") - F.col("_k")).alias("df_within"), f.alias("f"), ratio(between, between + F.col("_within"), 0.0).alias("eta_squared"))
 
 
+@own_names
 def t_tests(df: DataFrame, group: str, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Pooled and Welch t of each pair of groups with their degrees of freedom."""
     p = pairs(summaries(df, group, value, by), by).where("a_n > 1 and b_n > 1")
@@ -110,6 +118,7 @@ def t_tests(df: DataFrame, group: str, value: str, by: Sequence[str] = ()) -> Da
     )
 
 
+@own_names
 def paired_t(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """t of the differences of two columns of one row; rows with a non-finite member are dropped whole."""
     d = finite(df, x, y).withColumn("_d", F.col(x) - F.col(y))
@@ -125,6 +134,7 @@ def signed_ranks(df: DataFrame, x: str, y: str) -> DataFrame:
     return ranked.agg(F.sum("t").alias("n"), F.sum(F.col("plus") * F.col("rank")).alias("w_plus"), F.sum((F.col("t") - F.col("plus")) * F.col("rank")).alias("w_minus"), F.sum(F.pow("t", F.lit(3.0)) - F.col("t")).alias("tie_term"))
 
 
+@own_names
 def kruskal(df: DataFrame, group: str, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Tie-corrected H, its degrees of freedom, and epsilon squared (H - k + 1) / (n - k)."""
     r = mid_ranks(df, group, value, by)
@@ -134,16 +144,13 @@ def kruskal(df: DataFrame, group: str, value: str, by: Sequence[str] = ()) -> Da
     return s.where("k > 1").select(*by, (F.col("k") - 1).alias("df"), h.alias("h"), ratio(h - F.col("k") + 1, n - F.col("k")).alias("epsilon_squared"))
 
 
+@own_names
 def brown_forsythe(df: DataFrame, group: str, value: str, by: Sequence[str] = ()) -> DataFrame:
     """One-way F of the distances to the group medians; a null label is a group of its own."""
-    rows = finite(df, value)
-    keys = [*by, group]
-    medians = rows.groupBy(*keys).agg(F.percentile(value, 0.5).alias("_median")).withColumnsRenamed({c: f"_of_{i}" for i, c in enumerate(keys)})
-    match = F.lit(True)
-    for i, c in enumerate(keys):
-        match = match & F.col(c).eqNullSafe(F.col(f"_of_{i}"))
-    away = rows.join(medians, match).withColumn("_away", F.abs(F.col(value) - F.col("_median")))
-    return anova(away, group, "_away", by).select(*by, "df_between", "df_within", F.col("f").alias("levene"))
+    rows = finite(df, value).select(*by, F.col(group).alias("_g"), F.col(value).cast("double").alias("_v"))
+    keys = [*by, "_g"]
+    away = meet(rows, quantiles(rows, keys, "_v", [0.5], "_median"), keys).withColumn("_away", F.abs(F.col("_v") - F.col("_median")[0]))
+    return anova(away, "_g", "_away", by).select(*by, "df_between", "df_within", F.col("f").alias("levene"))
 
 
 def contingency(df: DataFrame, row: str, column: str) -> DataFrame:

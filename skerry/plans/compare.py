@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skerry.functions import exact
-from skerry.functions.columns import finite
+from skerry.functions.columns import finite, meet, own_names
 from skerry.operators import diversity, groups, series
 
 #: Up to this many values a data set's permutation test is one task; with more, blocks of values are shuffled in tasks of their own.
@@ -142,12 +142,13 @@ def compare_groups(df: DataFrame, group: str, value: str, by: Sequence[str] = ()
     return panel.join(found, keys, "left").join(effect, keys, "left").select(*(F.from_json(F.col(key), f"v {kinds[c]}")["v"].alias(c) for key, c in zip(keys, by)), F.col("k").alias("n_groups" if "k" in by else "k"), "least_n", "p_normal", "p_variance", "route", "statistic", "p_value", "eta_squared", F.col("route").isNull().alias("refused"), "reason")
 
 
+@own_names
 def post_hoc(df: DataFrame, group: str, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Welch t of all pairs with p, Holm's correction within the data set, and Hedges' g."""
+    pair = [*by, "a_group_label", "b_group_label"]
     tests = groups.with_p(groups.t_tests(df, group, value, by), "t", "welch_t", "welch_df")
-    tests = groups.holm(tests, "p_value", by, ["a_group_label", "b_group_label"])
-    g = groups.effects(df, group, value, by).select(*by, "a_group_label", "b_group_label", "hedges_g")
-    return tests.join(g, [*by, "a_group_label", "b_group_label"]).select(*by, "a_group_label", "b_group_label", "welch_t", "welch_df", "p_value", "p_holm", "hedges_g")
+    tests = groups.holm(tests, "p_value", by, pair[len(by) :])
+    return meet(tests, groups.effects(df, group, value, by).select(*pair, "hedges_g"), pair).select(*pair, "welch_t", "welch_df", "p_value", "p_holm", "hedges_g")
 
 
 def correlate(df: DataFrame, x: str, y: str, alpha: float = 0.05) -> DataFrame:
