@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from skerry.functions import exact
 from skerry.functions.columns import finite, meet, own_names
+from skerry.functions.shared import written
 from skerry.operators import diversity, groups, series
+from skerry.operators.robust import sentence
 
 #: Up to this many values a data set's permutation test is one task; with more, blocks of values are shuffled in tasks of their own.
 MAX_PERMUTED = 400
@@ -88,58 +90,90 @@ def _dealt_permutations(df: DataFrame, group: str, value: str, by: Sequence[str]
     return tails.select(*by, F.least(F.lit(1.0), 2 * (F.least("_low", "_high") + 1) / F.lit(shuffles + 1.0)).alias("p_permutation"))
 
 
+def _tested(route: str, df: DataFrame, s: DataFrame, group: str, value: str, keys: list[str]) -> DataFrame:
+    """(keys, statistic, p_value) of data sets that all take one route; ``s`` are their summaries."""
+    named = lambda table, statistic: table.select(*keys, F.col(statistic).alias("statistic"), "p_value")
+    if route == "ttest_ind":
+        return named(groups.with_p(groups.t_tests(df, group, value, keys), "t", "t", "df"), "t")
+    if route == "welch":
+        return named(groups.with_p(groups.t_tests(df, group, value, keys), "t", "welch_t", "welch_df"), "welch_t")
+    if route == "anova":
+        return named(groups.with_p(groups.anova(df, group, value, keys), "f", "f", "df_between", "df_within"), "f")
+    if route == "kruskal":
+        return named(groups.with_p(groups.kruskal(df, group, value, keys), "chi2", "h", "df"), "h")
+    if route == "alexandergovern":
+        # one row a group of a data set
+        govern = s.groupBy(*keys).agg(F.collect_list("n").alias("n"), F.collect_list("mean").alias("m"), F.collect_list("variance").alias("v"))
+
+        @F.pandas_udf("struct<statistic:double,p_value:double>")
+        def alexander(n: pd.Series, m: pd.Series, v: pd.Series) -> pd.DataFrame:
+            return pd.DataFrame([exact.alexander_govern(np.asarray(a, float), np.asarray(b), np.asarray(c)) for a, b, c in zip(n, m, v)], columns=["statistic", "p_value"])
+
+        return govern.withColumn("x", alexander("n", "m", "v")).select(*keys, "x.statistic", "x.p_value")
+    total = s.groupBy(*keys).agg(F.sum("n").alias("_total"))
+    at_once, dealt = (df.join(total.where(size).select(*keys), keys, "left_semi") for size in (F.col("_total") <= MAX_PERMUTED, F.col("_total") > MAX_PERMUTED))
+    p = _permutations(at_once, group, value, keys)
+    if not total.where(F.col("_total") > MAX_PERMUTED).isEmpty():
+        p = p.unionByName(_dealt_permutations(dealt, group, value, keys))
+    difference = groups.effects(df, group, value, keys).select(*keys, F.col("difference").alias("statistic"))
+    return p.withColumnRenamed("p_permutation", "p_value").join(difference, keys).select(*keys, "statistic", "p_value")
+
+
 def compare_groups(df: DataFrame, group: str, value: str, by: Sequence[str] = (), alpha: float = 0.05, prefer_robust: bool = False) -> DataFrame:
-    """Per data set: groups, least size, route, statistic, p, effect size; fewer than 2 groups or 3 values are refused with a reason.
+    """Per data set: groups, least size, route, statistic, p, effect sizes and what they say; fewer than 2 groups or 3 values are refused with a reason.
 
     Two groups: permutation if robust is preferred, a group has under 10 values or isn't normal; Welch if the
     variances differ; else the pooled t.  More groups: Kruskal-Wallis, Alexander-Govern, one-way F in the same cases.
+    Normality is not tested in groups of more than 5 000 values, which count as normal, as in the engine that this follows.
+    The route is chosen first, and each test runs on the data sets that take it.  hedges_g and cles (the chance that a
+    value of the first group, by name, is the greater one) are of two groups, eta_squared of any number.
+
+    Null keys are data sets, columns may have any names, an empty table has no data sets (refused ones have null results).
     """
     kinds = dict(df.dtypes)
-    if not by:
-        df = df.withColumn("_all", F.lit(0))
     # keys as text under names of their own, so that a null key is a data set too and no name clashes
     keys = [f"_by{i}" for i in range(len(by))] or ["_all"]
-    for key, c in zip(keys, by):
-        df = df.withColumn(key, F.to_json(F.struct(F.col(c).alias("v"))))
-    s = groups.summaries(df, group, value, keys).persist()
-    panel = s.groupBy(*keys).agg(F.count("*").alias("k"), F.min("n").alias("least_n"), F.sum("n").alias("total"), F.min("variance").alias("least_variance"))
-    normal = normality(df, group, value, keys).groupBy(*keys).agg(F.min(F.when(~F.isnan("p_normal"), F.col("p_normal"))).alias("p_normal"))
-    levene = groups.with_p(groups.brown_forsythe(df, group, value, keys), "f", "levene", "df_between", "df_within", to="p_variance").select(*keys, "p_variance")
+    named = [F.to_json(F.struct(F.col(c).alias("v"))).alias(k) for k, c in zip(keys, by)] or [F.lit("").alias("_all")]
+    rows = written(finite(df.select(*named, F.col(group).alias("_group"), F.col(value).cast("double").alias("_value")), "_value"), "compared")
+    s = written(groups.summaries(rows, "_group", "_value", keys), "summaries")
+    panel = s.groupBy(*keys).agg(F.count("*").alias("k"), F.min("n").alias("least_n"), F.min("variance").alias("least_variance"))
+    normal = normality(rows, "_group", "_value", keys).groupBy(*keys).agg(F.min(F.when(~F.isnan("p_normal"), F.col("p_normal"))).alias("p_normal"))
+    levene = groups.with_p(groups.brown_forsythe(rows, "_group", "_value", keys), "f", "levene", "df_between", "df_within", to="p_variance").select(*keys, "p_variance")
     panel = panel.join(normal, keys, "left").join(levene, keys, "left")
     doubtful = F.lit(prefer_robust) | (F.col("least_n") < 10) | F.coalesce(F.col("p_normal") <= alpha, F.lit(False))
     unequal = F.coalesce(F.col("p_variance") <= alpha, F.lit(False))
     two = F.col("k") == 2
     route = F.when(F.col("k") < 2, None).when(F.col("least_n") < FLOOR, None).when(two & doubtful, "permutation").when(two & unequal, "welch").when(two, "ttest_ind").when(doubtful, "kruskal").when(unequal & (F.col("least_variance") > 0), "alexandergovern").otherwise("anova")
     panel = panel.withColumn("route", route).withColumn("reason", F.when(F.col("k") < 2, "fewer than 2 groups").when(F.col("least_n") < FLOOR, f"a group has fewer than {FLOOR} values"))
-
-    t = groups.t_tests(df, group, value, keys)
-    f = groups.anova(df, group, value, keys)
-    h = groups.kruskal(df, group, value, keys)
-    routes = panel.select(*keys, "route", "total")
-    pick = lambda table, name: table.join(routes.where(F.col("route") == name).select(*keys), keys, "left_semi")
-    govern = pick(s, "alexandergovern").groupBy(*keys).agg(F.collect_list("n").alias("n"), F.collect_list("mean").alias("m"), F.collect_list("variance").alias("v"))
-
-    @F.pandas_udf("struct<statistic:double,p_value:double>")
-    def alexander(n: pd.Series, m: pd.Series, v: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([exact.alexander_govern(np.asarray(a, float), np.asarray(b), np.asarray(c)) for a, b, c in zip(n, m, v)], columns=["statistic", "p_value"])
-
-    permuted = routes.where("route = 'permutation'")
-    at_once, dealt = (df.join(permuted.where(size).select(*keys), keys, "left_semi") for size in (F.col("total") <= MAX_PERMUTED, F.col("total") > MAX_PERMUTED))
-    p_values = _permutations(at_once, group, value, keys).unionByName(_dealt_permutations(dealt, group, value, keys))
-    difference = groups.effects(df, group, value, keys).select(*keys, "difference")
-    tests = [
-        groups.with_p(pick(t, "ttest_ind"), "t", "t", "df").select(*keys, F.col("t").alias("statistic"), "p_value"),
-        groups.with_p(pick(t, "welch"), "t", "welch_t", "welch_df").select(*keys, F.col("welch_t").alias("statistic"), "p_value"),
-        groups.with_p(pick(f, "anova"), "f", "f", "df_between", "df_within").select(*keys, F.col("f").alias("statistic"), "p_value"),
-        groups.with_p(pick(h, "kruskal"), "chi2", "h", "df").select(*keys, F.col("h").alias("statistic"), "p_value"),
-        govern.withColumn("x", alexander("n", "m", "v")).select(*keys, "x.statistic", "x.p_value"),
-        p_values.join(difference, keys).select(*keys, F.col("difference").alias("statistic"), F.col("p_permutation").alias("p_value")),
-    ]
-    found = tests[0]
-    for test in tests[1:]:
-        found = found.unionByName(test)
-    effect = f.select(*keys, "eta_squared")
-    return panel.join(found, keys, "left").join(effect, keys, "left").select(*(F.from_json(F.col(key), f"v {kinds[c]}")["v"].alias(c) for key, c in zip(keys, by)), F.col("k").alias("n_groups" if "k" in by else "k"), "least_n", "p_normal", "p_variance", "route", "statistic", "p_value", "eta_squared", F.col("route").isNull().alias("refused"), "reason")
+    panel = written(panel, "panel")
+    routes = sorted(r["route"] for r in panel.where("route is not null").select("route").distinct().collect())  # six at most
+    alone = len(routes) == 1 and panel.where("route is null").isEmpty()
+    found = None
+    for name in routes:
+        mine = panel.where(F.col("route") == name).select(*keys)
+        pick = lambda table, mine=mine: table if alone else table.join(mine, keys, "left_semi")
+        test = _tested(name, pick(rows), pick(s), "_group", "_value", keys)
+        found = test if found is None else found.unionByName(test)
+    if found is None:
+        found = panel.select(*keys, F.lit(None).cast("double").alias("statistic"), F.lit(None).cast("double").alias("p_value")).where("false")
+    pairs = panel.where("k = 2 and route is not null").select(*keys)
+    effect = groups.anova(rows, "_group", "_value", keys).select(*keys, "eta_squared")
+    if pairs.isEmpty():
+        panel = panel.withColumns({"hedges_g": F.lit(None).cast("double"), "cles": F.lit(None).cast("double")})
+    else:
+        two_groups = rows.join(pairs, keys, "left_semi")
+        g = groups.effects(two_groups, "_group", "_value", keys).select(*keys, "hedges_g")
+        ranks = groups.mid_ranks(two_groups, "_group", "_value", keys).groupBy(*keys).agg(F.min_by(F.struct("n", "rank_sum"), F.col("group_label").cast("string")).alias("_a"), F.sum("n").alias("_total"))
+        n = F.col("_a.n").cast("double")
+        cles = (F.col("_a.rank_sum") - n * (n + 1) / 2) / (n * (F.col("_total") - n))
+        panel = panel.join(g, keys, "left").join(ranks.select(*keys, cles.alias("cles")), keys, "left")
+    whole = panel.join(found, keys, "left").join(effect, keys, "left")
+    size = F.when(F.col("hedges_g").isNotNull(), groups.interpret(F.col("hedges_g"), "hedges_g")).otherwise(groups.interpret(F.col("eta_squared"), "eta_squared"))
+    said = F.when(F.col("p_value").isNotNull() & ~F.isnan("p_value"), sentence(F.col("p_value"), F.coalesce("hedges_g", "eta_squared"), size, alpha))
+    back = [F.from_json(F.col(k), f"v {kinds[c]}")["v"].alias(c) for k, c in zip(keys, by)]
+    results = [*(F.col(c) for c in ("k", "least_n", "p_normal", "p_variance", "route", "statistic", "p_value", "eta_squared", "hedges_g", "cles")), said.alias("sentence"), F.col("route").isNull().alias("refused"), F.col("reason")]
+    names = ("n_groups" if "k" in by else "k", "least_n", "p_normal", "p_variance", "route", "statistic", "p_value", "eta_squared", "hedges_g", "cles", "sentence", "refused", "reason")
+    return whole.select(*back, *(c.alias(f"{n}_" if n in by else n) for c, n in zip(results, names)))
 
 
 @own_names

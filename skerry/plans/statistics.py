@@ -221,11 +221,6 @@ def shuffle_test_supplier(spark: SparkSession, d: str) -> DataFrame:
     return rounded(resample.shuffle_test(rows, "g", "s_acctbal", "low", "high", 199))
 
 
-@query()
-def compare_groups_by_priority(spark: SparkSession, d: str) -> DataFrame:
-    return compare_groups(load(spark, d, "orders"), "o_orderstatus", "o_totalprice", ["o_orderpriority"])
-
-
 def t_p(t: str, df: str) -> str:
     """SQL for the two-sided p of Student's t: one less twice the density's Simpson sum from 0 to |t|."""
     return f"""greatest(0.0, 1 - 2 * exp(lgamma(({df} + 1) / 2.0) - lgamma({df} / 2.0)) / sqrt({df} * pi()) * abs({t}) / 6000 *
@@ -287,6 +282,28 @@ def chi2_p(x: str, df: str) -> str:
     return f"greatest(0.0, 1 - {_simpson(x, f'pow(@, {df} / 2.0 - 1) * exp(-@ / 2)')} / exp(lgamma({df} / 2.0) + {df} / 2.0 * ln(2)))"
 
 
+@query(f"""WITH x AS (SELECT o_orderpriority AS d, o_orderstatus AS g, o_totalprice AS v FROM orders), s AS (SELECT d, g, count(*) AS n, avg(v) AS m, var_samp(v) AS var FROM x GROUP BY ALL),
+  e AS (SELECT d, count(*) AS k, min(n) AS least_n, sum(n * m * m) - sum(n * m) * sum(n * m) / sum(n) AS between_, sum((n - 1) * var) AS within_ FROM s GROUP BY d),
+  r AS (SELECT d, g, v, rank() OVER (PARTITION BY d ORDER BY v) + (count(*) OVER (PARTITION BY d, v) - 1) / 2.0 AS r FROM x), t AS (SELECT d, sum(power(c, 3) - c) AS ties FROM (SELECT d, count(*) AS c FROM x GROUP BY d, v) GROUP BY d),
+  q AS (SELECT d, sum(n) AS n, sum(s * s / n) AS ss FROM (SELECT d, g, count(*) AS n, CAST(sum(r) AS DOUBLE) AS s FROM r GROUP BY ALL) GROUP BY d),
+  h AS (SELECT d, k, least_n, between_, within_, (12 / (CAST(n AS DOUBLE) * (n + 1)) * ss - 3 * (n + 1)) / (1 - ties / (CAST(n AS DOUBLE) * n * n - n)) AS h FROM q JOIN t USING (d) JOIN e USING (d))
+  SELECT d AS o_orderpriority, k, least_n, 'kruskal' AS route, round(h, 4) AS statistic, round({chi2_p('h', '(k - 1)')}, 6) AS p_value, round(between_ / (between_ + within_), 6) AS eta_squared, false AS refused FROM h""")
+def compare_groups_by_priority(spark: SparkSession, d: str) -> DataFrame:
+    r = compare_groups(load(spark, d, "orders"), "o_orderstatus", "o_totalprice", ["o_orderpriority"], prefer_robust=True)
+    return r.select("o_orderpriority", "k", "least_n", "route", F.round("statistic", 4).alias("statistic"), F.round("p_value", 6).alias("p_value"), F.round("eta_squared", 6).alias("eta_squared"), "refused")
+
+
+@query(f"""WITH x AS (SELECT c_mktsegment AS d, CASE WHEN c_nationkey < 12 THEN 'low' ELSE 'high' END AS g, c_acctbal AS v FROM customer), s AS (SELECT d, g, count(*) AS n, avg(v) AS m, var_samp(v) AS v FROM x GROUP BY ALL),
+  p AS (SELECT a.d, a.n AS n, b.n AS k, a.m - b.m AS diff, ((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2) AS pooled FROM s a JOIN s b ON a.d = b.d AND a.g = 'high' AND b.g = 'low'),
+  r AS (SELECT d, g, rank() OVER (PARTITION BY d ORDER BY v) + (count(*) OVER (PARTITION BY d, v) - 1) / 2.0 AS r FROM x), u AS (SELECT d, CAST(sum(r) AS DOUBLE) AS ra FROM r WHERE g = 'high' GROUP BY d)
+  SELECT d AS c_mktsegment, least(n, k) AS least_n, round(diff / sqrt(pooled) * (1 - 3.0 / (4 * (n + k - 2) - 1)), 6) AS hedges_g, round((ra - n * (n + 1) / 2.0) / (CAST(n AS DOUBLE) * k), 6) AS cles FROM p JOIN u USING (d)""")
+def compared_pairs_segment(spark: SparkSession, d: str) -> DataFrame:
+    c = load(spark, d, "customer").withColumn("g", F.when(F.col("c_nationkey") < 12, "low").otherwise("high"))
+    r = compare_groups(c, "g", "c_acctbal", ["c_mktsegment"])
+    return r.select("c_mktsegment", "least_n", F.round("hedges_g", 6).alias("hedges_g"), F.round("cles", 6).alias("cles"))
+
+
+
 def f_p(f: str, d1: str, d2: str) -> str:
     return f"greatest(0.0, 1 - {_simpson(f, f'pow(@, {d1} / 2.0 - 1) * pow(1 + {d1} * @ / {d2}, -({d1} + {d2}) / 2.0)')} * exp(lgamma(({d1} + {d2}) / 2.0) - lgamma({d1} / 2.0) - lgamma({d2} / 2.0)) * pow({d1} / CAST({d2} AS DOUBLE), {d1} / 2.0))"
 
