@@ -1,12 +1,161 @@
-"""Distances, nearest-neighbour graphs, components over all k, and graph curvature."""
+"""Distances, nearest-neighbour graphs, components over all k, and graph curvature.
+
+Nearest neighbours are found without pairing all rows: pivots cut the sphere into cells, and by the triangle inequality of
+angles a row visits only cells that can hold one of its k nearest.  Components of all k come from one spanning forest.
+
+Defined cases: rows with a null key or vector, or with null or non-finite entries, take no part; shorter vectors count as
+if filled up with zeros; a zero vector is at distance 1 from all others; equal vectors are searched once, rows of one key
+are one node by the first of their vectors in order; ties go to the smaller key; fewer than k others are all returned.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skerry.functions.shared import written
+
+#: Rows of a cell that are searched in one task; pivots that are gathered (a sample of rows, which shapes cells and no result).
+UNIT_ROWS, MOST_PIVOTS, ROWS_PER_PIVOT = 4096, 4096, 512
+#: What rounding can add to an angle.
+MARGIN = 1e-7
+
+
+def nodes_of(vectors: DataFrame, key: str, vector: str) -> DataFrame:
+    """(node, x): one row a key, its vector as doubles, of the rows that take part."""
+    usable = F.forall("x", lambda t: t.isNotNull() & ~F.isnan(t) & (F.abs(t) < F.lit(float("inf"))))
+    rows = vectors.select(F.col(key).alias("node"), F.col(vector).cast("array<double>").alias("x")).where(F.col("node").isNotNull() & F.col("x").isNotNull()).where(usable)
+    rows = written(rows.groupBy("node").agg(F.min("x").alias("x")), "nodes")
+    dim = rows.agg(F.max(F.size("x"))).first()[0] or 0
+    return rows.select("node", F.when(F.size("x") < dim, F.concat("x", F.array_repeat(F.lit(0.0), F.lit(dim) - F.size("x")))).otherwise(F.col("x")).alias("x"))
+
+
+def _classes(rows: DataFrame, k: int) -> DataFrame:
+    """(x, ids): different vectors with the k + 1 least keys of each; copies are thinned out before they are shuffled."""
+    kind = dict(rows.dtypes)["node"]
+
+    def thinned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            same = pdf["x"].map(lambda v: np.asarray(v).tobytes())
+            yield pdf.sort_values("node")[lambda t: t.groupby(same.loc[t.index]).cumcount() <= k]
+
+    few = rows.mapInPandas(thinned, f"node {kind}, x array<double>")
+    return few.groupBy("x").agg(F.slice(F.array_sort(F.collect_list("node")), 1, k + 1).alias("ids"))
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    size = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+
+
+def _angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Angles of unit vectors, from their chords where they are small; a zero vector is at a right angle to all."""
+    dots = a @ b.T
+    chords = np.sqrt(np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None] - 2 * dots, 0))
+    zero = ((a * a).sum(axis=1) == 0)[:, None] | ((b * b).sum(axis=1) == 0)[None]
+    return np.where(zero, np.pi / 2, 2 * np.arcsin(np.minimum(1.0, chords / 2)))
+
+
+def _nearest_of(own: np.ndarray, q: np.ndarray, names: list, others: np.ndarray, held: list, k: int) -> list[list[tuple[float, object]]]:
+    """For each row of ``q`` its k nearest of ``others`` but itself, as (distance, name); ``own`` holds unit vectors of q."""
+    found, order = [], np.argsort(np.array(held, dtype=object), kind="stable")
+    others, held = others[order], [held[i] for i in order]
+    for a in range(0, len(own), 512):
+        d = np.maximum(0.0, 1 - np.minimum(1.0, own[a : a + 512] @ others.T))
+        for name, row in zip(names[a : a + 512], d):
+            if len(row) > 4 * (k + 1):
+                limit = np.partition(row, k)[k]
+                at = np.flatnonzero(row <= limit)
+            else:
+                at = np.arange(len(row))
+            at = at[np.argsort(row[at], kind="stable")]
+            found.append([(float(row[i]), held[i]) for i in at if held[i] != name][:k])
+    return found
+
+
+def nearest(vectors: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+    """(i, j, d, rank): the k nearest others of every row by cosine distance, exactly."""
+    spark, rows = vectors.sparkSession, written(nodes_of(vectors, key, vector), "vectors")
+    kind = dict(rows.dtypes)["node"]
+    classes = written(_classes(rows, k).withColumn("cid", F.col("ids")[0]), "classes")
+    n = classes.count()
+    none = spark.createDataFrame([], f"i {kind}, j {kind}, d double, rank int")
+    if not n:
+        return none
+    drawn = classes.orderBy(F.xxhash64("x"), "cid").limit(max(1, min(MOST_PIVOTS, n // ROWS_PER_PIVOT))).select("x").toPandas()
+    shared = spark.sparkContext.broadcast(_unit(np.stack(drawn["x"].to_numpy()).astype(float)))
+
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                angles = _angles(_unit(np.stack(pdf["x"].to_numpy()).astype(float)), shared.value)
+                yield pd.DataFrame({"cid": pdf["cid"], "x": pdf["x"], "cell": angles.argmin(axis=1), "angle": angles.min(axis=1)})
+
+    settled = written(classes.select("cid", "x").mapInPandas(settle, f"cid {kind}, x array<double>, cell int, angle double"), "cells")
+    cells = settled.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).toPandas()  # at most MOST_PIVOTS rows
+    parts = np.zeros(len(shared.value), int)
+    radius = np.full(len(parts), -np.inf)
+    parts[cells["cell"]], radius[cells["cell"]] = -(-cells["n"].to_numpy() // UNIT_ROWS), cells["radius"]
+    by_cell = spark.sparkContext.broadcast((parts, radius))
+    units = settled.join(F.broadcast(spark.createDataFrame([(i, int(p)) for i, p in enumerate(parts)], "cell int, parts int")), "cell").withColumn("unit", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")).drop("parts")
+    listed = f"array<struct<d:double,j:{kind}>>"
+
+    def home(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        own, names = _unit(np.stack(pdf["x"].to_numpy()).astype(float)), pdf["cid"].tolist()
+        near = _nearest_of(own, own, names, own, names, k)
+        bound = [np.arccos(max(-1.0, 1 - f[-1][0])) if len(f) == k else np.inf for f in near]
+        return pd.DataFrame({"cid": pdf["cid"], "x": pdf["x"], "cell": key[0], "unit": key[1], "bound": bound, "near": [[{"d": d, "j": j} for d, j in f] for f in near]})
+
+    first = written(units.groupBy("cell", "unit").applyInPandas(home, f"cid {kind}, x array<double>, cell int, unit int, bound double, near {listed}"), "near-home")
+
+    def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts, radius = by_cell.value
+        for pdf in batches:
+            for a in range(0, len(pdf), 256):
+                some = pdf.iloc[a : a + 256]
+                angles = _angles(_unit(np.stack(some["x"].to_numpy()).astype(float)), shared.value)
+                bound = some["bound"].to_numpy()[:, None]
+                at, cell = np.nonzero((angles - radius[None] <= bound + MARGIN) & (parts[None] > 0))
+                row, cell, unit = np.repeat(at, parts[cell]), np.repeat(cell, parts[cell]), np.concatenate([np.arange(p) for p in parts[cell]]) if len(cell) else np.empty(0, int)
+                go = ~((cell == some["cell"].to_numpy()[row]) & (unit == some["unit"].to_numpy()[row]))
+                yield pd.DataFrame({"cell": cell[go], "unit": unit[go], "kind": 1, "cid": some["cid"].to_numpy()[row[go]], "x": some["x"].to_numpy()[row[go]]})
+
+    sent = first.select("cid", "x", "cell", "unit", "bound").mapInPandas(visits, f"cell int, unit int, kind int, cid {kind}, x array<double>")
+    waiting = units.select("cell", "unit", F.lit(0).alias("kind"), "cid", "x")
+
+    def pass_by(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows of a unit, then its visitors, searched as they stream past."""
+        at, held, names = None, [], []
+        for pdf in batches:
+            for where, some in pdf.groupby(["cell", "unit"], sort=False):
+                if where != at:
+                    at, held, names = where, [], []
+                own = some[some["kind"] == 0]
+                if len(own):
+                    held.append(_unit(np.stack(own["x"].to_numpy()).astype(float)))
+                    names += own["cid"].tolist()
+                guests = some[some["kind"] == 1]
+                if len(guests):
+                    held = [np.concatenate(held)]
+                    q = _unit(np.stack(guests["x"].to_numpy()).astype(float))
+                    near = _nearest_of(q, q, guests["cid"].tolist(), held[0], names, k)
+                    yield pd.DataFrame({"cid": guests["cid"].to_numpy(), "near": [[{"d": d, "j": j} for d, j in f] for f in near]})
+
+    met = waiting.unionByName(sent).repartition("cell", "unit").sortWithinPartitions("cell", "unit", "kind").mapInPandas(pass_by, f"cid {kind}, near {listed}")
+    merged = first.select("cid", "near").unionByName(met).groupBy("cid").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+    ids = classes.select(F.col("cid").alias("_j"), "ids")
+    spread = merged.select("cid", F.explode("near").alias("e")).join(ids, F.col("e.j") == F.col("_j")).select("cid", F.explode("ids").alias("j"), F.col("e.d").alias("d"))
+    zero = F.forall("x", lambda t: t == 0)
+    same = classes.select("cid", F.explode("ids").alias("j"), F.when(zero, 1.0).otherwise(0.0).alias("d"))
+    options = spread.unionByName(same).groupBy("cid").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "j"))), 1, 2 * k + 1).alias("options"))
+    members = rows.join(classes.select("x", "cid"), "x").select(F.col("node").alias("i"), "cid").join(options, "cid")
+    own = F.slice(F.filter("options", lambda o: o["j"] != F.col("i")), 1, k)
+    return members.select("i", F.posexplode(own).alias("rank", "o")).select("i", F.col("o.j").alias("j"), F.col("o.d").alias("d"), (F.col("rank") + 1).alias("rank"))
+
 
 def cosine_pairs(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     """Cosine distance of all pairs i < j of a bounded set of vectors; a zero vector is at distance 1 from all."""
@@ -28,54 +177,93 @@ def ranked_neighbours(pairs: DataFrame) -> DataFrame:
 
 
 def knn_edges(pairs: DataFrame, k: int, mutual: bool = False) -> DataFrame:
-    """Undirected edges i < j of the k-nearest-neighbour graph: of either side's list, or of both if mutual."""
-    near = ranked_neighbours(pairs).where(F.col("rank") <= k)
+    """``knn_graph`` of a table of all pairs."""
+    return knn_graph(ranked_neighbours(pairs), k, mutual)
+
+
+def knn_graph(near: DataFrame, k: int, mutual: bool = False) -> DataFrame:
+    """Undirected edges i < j of the k-nearest-neighbour graph of (i, j, d, rank): of either side's list, or of both if mutual."""
+    near = near.where(F.col("rank") <= k)
     edges = near.groupBy(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(F.min("d").alias("d"), F.count("*").alias("sides"))
     return (edges.where("sides = 2") if mutual else edges).drop("sides")
 
 
-def least_labels(nodes: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The least node of each node's component: labels spread along all edges at once, then jump to their label's label."""
-    at = np.arange(len(nodes))
-    while True:
-        old = at.copy()
-        low = np.minimum(at[i], at[j])
-        np.minimum.at(at, i, low)
-        np.minimum.at(at, j, low)
-        at = np.minimum(at, at[at])
-        if (at == old).all():
-            return nodes[at]
+def spanning_forest(edges: DataFrame) -> DataFrame:
+    """(i, j, w): a minimum spanning forest of undirected edges (i, j, w), ties by i and j."""
+    return _merged(edges)[0]
 
 
-def components_by_k(pairs: DataFrame, k_min: int, k_max: int, mutual: bool = False) -> DataFrame:
-    """(k, node, label): least node of each node's component, for every k at once, in parallel over k.
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label): the least node of the component of each node of (i, j, w); an edge from a node to itself only names it."""
+    nodes = edges.select(F.explode(F.array("i", "j")).alias("node")).distinct()
+    joined = _merged(edges)[1]
+    if joined is None:
+        return nodes.withColumn("label", F.col("node"))
+    least = joined.groupBy("root").agg(F.min("node").alias("label"))
+    labels = joined.join(least, "root").select(F.col("node").alias("_node"), "label")
+    return nodes.join(labels, F.col("node") == F.col("_node"), "left").select("node", F.coalesce("label", "node").alias("label"))
 
-    An edge of rank r is in the graphs of all k >= r.  ``pairs`` already holds all pairs of a bounded
-    set of nodes, so one k's graph, at most k_max edges a node, fits in a task.
-    """
-    near = ranked_neighbours(pairs).where(F.col("rank") <= k_max)
-    need = (F.max if mutual else F.min)("rank")
-    edges = near.groupBy(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(need.alias("from"), F.count("*").alias("sides"))
-    edges = (edges.where("sides = 2") if mutual else edges).select("i", "j", F.explode(F.sequence(F.greatest(F.col("from"), F.lit(k_min)), F.lit(k_max))).alias("k"))
-    nodes = both_ways(pairs).select("i").distinct().select("i", F.col("i").alias("j"), F.explode(F.sequence(F.lit(k_min), F.lit(k_max))).alias("k"))
-    kind = dict(pairs.dtypes)["i"]
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        names = np.unique(pdf[["i", "j"]].to_numpy())
-        labels = least_labels(names, np.searchsorted(names, pdf["i"]), np.searchsorted(names, pdf["j"]))
-        return pd.DataFrame({"k": key[0], "node": names, "label": labels})
+def _merged(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The forest, and (node, root) of all nodes that an edge joins to another.
 
-    return edges.unionByName(nodes).groupBy("k").applyInPandas(run, f"k int, node {kind}, label {kind}")
+    In each round every component takes its least edge to another one, and components that are joined become one; there
+    are as many rounds as the logarithm of the number of nodes.  Tables are written between steps, so a lost executor
+    costs no round.
+    """
+    edges = written(edges.where("i <> j").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "w"), "forest-edges")
+    live, forest, joined = edges.select("i", "j", "w", F.col("i").alias("a"), F.col("j").alias("b")), None, None
+    while True:
+        both = live.select("a", F.struct("w", "i", "j", F.col("b").alias("to")).alias("e")).unionByName(live.select(F.col("b").alias("a"), F.struct("w", "i", "j", F.col("a").alias("to")).alias("e")))
+        chosen = written(both.groupBy("a").agg(F.min("e").alias("e")), "forest-chosen")
+        if chosen.isEmpty():
+            break
+        taken = chosen.select("e.i", "e.j", "e.w").distinct()
+        forest = taken if forest is None else forest.unionByName(taken)
+        # two components that chose each other: the lesser one is the root
+        other = chosen.select(F.col("a").alias("_t"), F.col("e.to").alias("_back"))
+        up = chosen.join(other, F.col("e.to") == F.col("_t"), "left")
+        up = written(up.select("a", F.when((F.col("_back") == F.col("a")) & (F.col("a") < F.col("e.to")), F.col("a")).otherwise(F.col("e.to")).alias("up")), "forest-up")
+        while True:
+            above = up.select(F.col("a").alias("_a"), F.col("up").alias("_up"))
+            further = written(up.join(above, F.col("up") == F.col("_a"), "left").select("a", F.coalesce("_up", "up").alias("next"), "up"), "forest-up")
+            if further.where("next <> up").isEmpty():
+                break
+            up = further.select("a", F.col("next").alias("up"))
+        roots = up.select(F.col("a").alias("_a"), F.col("up").alias("_up"))
+        joined = up.select(F.col("a").alias("node"), F.col("up").alias("root")) if joined is None else written(joined.join(roots, F.col("root") == F.col("_a"), "left").select("node", F.coalesce("_up", "root").alias("root")), "forest-joined")
+        ends = {c: up.select(F.col("a").alias(f"_{c}"), F.col("up").alias(f"_to_{c}")) for c in "ab"}
+        moved = live.join(ends["a"], F.col("a") == F.col("_a"), "left").join(ends["b"], F.col("b") == F.col("_b"), "left")
+        moved = moved.select("i", "j", "w", F.coalesce("_to_a", "a").alias("a"), F.coalesce("_to_b", "b").alias("b")).where("a <> b")
+        # of parallel edges between two components the least is enough
+        live = written(moved.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min(F.struct("w", "i", "j")).alias("e")).select("e.i", "e.j", "e.w", "a", "b"), "forest-live")
+    return edges.where("false") if forest is None else forest, joined
+
+
+def sweep_of(near: DataFrame, k_min: int = 3, k_max: int = 40, mutual: bool = False) -> DataFrame:
+    """Per k: components, and the run of k with the same partition that it belongs to, of the graphs of (i, j, d, rank).
+
+    An edge is in the graphs from the rank of its nearer end on (of its farther end, if mutual).  The graphs contain each
+    other, so one spanning forest by that rank holds the components of all of them: each forest edge of a rank joins two
+    components, and the partition changes at the ranks that the forest has.
+    """
+    spark = near.sparkSession
+    near = written(near, "near")
+    need = (F.max if mutual else F.min)("rank")
+    edges = near.where(F.col("rank") <= k_max).groupBy(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(need.alias("w"), F.count("*").alias("sides"))
+    forest = spanning_forest((edges.where("sides = 2") if mutual else edges).select("i", "j", "w"))
+    nodes = near.select(F.explode(F.array("i", "j")).alias("node")).agg(F.count_distinct("node").alias("nodes"))
+    joins = forest.groupBy(F.greatest(F.col("w"), F.lit(k_min)).alias("k")).agg(F.count("*").alias("joins"))  # one row a k
+    ks = spark.range(k_min, k_max + 1).select(F.col("id").cast("int").alias("k")).join(joins, "k", "left").join(F.broadcast(nodes))
+    order = Window.orderBy("k")
+    steps = ks.withColumn("components", F.col("nodes") - F.coalesce(F.sum("joins").over(order), F.lit(0)))
+    runs = steps.withColumn("run", F.sum(F.when((F.col("k") > k_min) & F.col("joins").isNotNull(), 1).otherwise(0)).over(order)).where("nodes > 0")
+    return runs.withColumn("run_length", F.count("*").over(Window.partitionBy("run"))).select("k", "components", "run", "run_length")
 
 
 def component_sweep(pairs: DataFrame, k_min: int = 3, k_max: int = 40, mutual: bool = False) -> DataFrame:
-    """Per k: components, and the run of k with the same partition that it belongs to (signature = md5 of sorted labels)."""
-    labels = components_by_k(pairs, k_min, k_max, mutual)
-    per_k = labels.groupBy("k").agg(F.count_distinct("label").alias("components"), F.md5(F.concat_ws(",", F.transform(F.sort_array(F.collect_list(F.struct("node", "label"))), lambda x: x["label"].cast("string")))).alias("signature"))
-    order = Window.orderBy("k")  # one row a k
-    new = (F.col("signature") != F.lag("signature").over(order)).cast("int")
-    runs = per_k.withColumn("run", F.coalesce(F.sum(new).over(order), F.lit(0)))
-    return runs.withColumn("run_length", F.count("*").over(Window.partitionBy("run"))).select("k", "components", "run", "run_length")
+    """``sweep_of`` the neighbours in a table of all pairs."""
+    return sweep_of(ranked_neighbours(pairs), k_min, k_max, mutual)
 
 
 def plateau(sweep: DataFrame) -> dict | None:

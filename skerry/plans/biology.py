@@ -196,6 +196,39 @@ def component_sweep_label_vectors(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.component_sweep(_pairs(spark, d), 3, 8)
 
 
+def _near_embeddings(spark: SparkSession, d: str, k: int) -> DataFrame:
+    return neighbours.nearest(load(spark, d, "embeddings"), "vec_id", "embedding", k)
+
+
+_E = """e AS (SELECT vec_id AS node, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), n AS (SELECT node, x, sqrt(list_inner_product(x, x)) AS n FROM e),
+  r AS (SELECT a.node AS i, b.node AS j, greatest(0.0, 1 - least(1.0, list_inner_product(a.x, b.x) / (a.n * b.n))) AS d FROM n a JOIN n b ON a.node <> b.node QUALIFY row_number() OVER (PARTITION BY a.node ORDER BY d, b.node) <= 8),
+  w AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rank FROM r)"""
+
+
+@query(f"WITH {_E} SELECT i, j, round(d, 9) AS d, CAST(rank AS INTEGER) AS rank FROM w WHERE rank <= 5")
+def nearest_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_near_embeddings(spark, d, 5), digits=9)
+
+
+@query(f"WITH {_E} SELECT least(i, j) AS i, greatest(i, j) AS j, round(min(d), 9) AS d FROM w WHERE rank <= 4 GROUP BY 1, 2")
+def knn_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(neighbours.knn_graph(_near_embeddings(spark, d, 4), 4), digits=9)
+
+
+@query(f"WITH {_E} SELECT least(i, j) AS i, greatest(i, j) AS j, round(min(d), 9) AS d FROM w WHERE rank <= 4 GROUP BY 1, 2 HAVING count(*) = 2")
+def mutual_knn_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(neighbours.knn_graph(_near_embeddings(spark, d, 4), 4, True), digits=9)
+
+
+@query(f"""WITH RECURSIVE {_E}, ed AS (SELECT k.range AS k, least(i, j) AS i, greatest(i, j) AS j FROM w, range(2, 7) k WHERE rank <= k.range GROUP BY ALL HAVING count(*) = 2), bi AS (SELECT k, i, j FROM ed UNION SELECT k, j, i FROM ed),
+  reach(k, a, b) AS (SELECT k.range, node, node FROM n, range(2, 7) k UNION SELECT reach.k, reach.a, bi.j FROM reach JOIN bi ON bi.k = reach.k AND bi.i = reach.b),
+  l AS (SELECT k, a AS node, min(b) AS label FROM reach GROUP BY 1, 2), s AS (SELECT k, count(DISTINCT label) AS components, string_agg(label, ',' ORDER BY node) AS sig FROM l GROUP BY 1),
+  g AS (SELECT k, components, coalesce(sum(x) OVER (ORDER BY k), 0) AS run FROM (SELECT k, components, CASE WHEN sig <> lag(sig) OVER (ORDER BY k) THEN 1 END AS x FROM s))
+  SELECT CAST(k AS INTEGER) AS k, components, CAST(run AS BIGINT) AS run, count(*) OVER (PARTITION BY run) AS run_length FROM g""")
+def component_sweep_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.sweep_of(_near_embeddings(spark, d, 6), 2, 6, mutual=True)
+
+
 @query()
 def curvature_label_vectors(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.ollivier_ricci(neighbours.knn_edges(_pairs(spark, d), 4))

@@ -142,7 +142,7 @@ def test_duplicate_vectors_make_no_self_loops(spark):
     pairs = neighbours.cosine_pairs(v, "k", "v")
     edges = neighbours.knn_edges(pairs, 2).collect()
     assert all(e["i"] < e["j"] for e in edges) and {(0, 1), (0, 2), (1, 2)} <= {(e["i"], e["j"]) for e in edges}
-    assert neighbours.components_by_k(pairs, 2, 2).select("label").distinct().count() == 2
+    assert neighbours.components(neighbours.knn_edges(pairs, 2).withColumn("w", F.lit(1))).select("label").distinct().count() == 2
 
 
 def test_complete_graph_has_positive_curvature(spark):
