@@ -20,7 +20,7 @@ Queries are sent to shards, sorted behind their pages, and searched as they stre
 and one batch of queries.  A shard is copied once for each ``QUERY_BLOCK`` queries that visit it, so copies are
 never larger than the queries themselves.
 
-Scores are exact whole numbers, also beyond 2^53 (in Python's integers); one beyond 64 bits is an error.  Bounds
+Scores are exact whole numbers, also beyond 2^53 (in Python's integers); a component or a score beyond 64 bits is an error.  Bounds
 have a margin for rounding, so every row that can be among the k is scored.
 
 Defined cases: null vectors, or vectors with null or non-finite components, take no part; shorter
@@ -54,7 +54,9 @@ def whole_numbers(vectors: DataFrame, id_column: str, vector_column: str, scale:
     finite = F.forall(vector_column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast("array<double>").alias(vector_column))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col(vector_column).isNotNull() & finite)
-    return rows.select("vec_id", F.transform(vector_column, lambda x: F.floor(x * scale)).alias("v"))
+    # a greater one would be cut to 64 bits before any sum is checked
+    whole = lambda x: F.when(F.abs(x * scale) >= F.lit(2.0**63), F.raise_error(F.lit("a component needs more than 64 bits")).cast("long")).otherwise(F.floor(x * scale))
+    return rows.select("vec_id", F.transform(vector_column, whole).alias("v"))
 
 
 def _matrix(column, dim: int) -> np.ndarray:

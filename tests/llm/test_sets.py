@@ -53,6 +53,8 @@ def test_top_k_of_large_numbers(spark):
     assert got == brute_top(wide)
     with pytest.raises(Exception, match="64 bits"):
         mtree.top_k(df([(0, [1e15]), (1, [1e15])])).collect()
+    with pytest.raises(Exception, match="64 bits"):
+        mtree.top_k(df([(0, [1e17]), (1, [0.004])])).collect()
 
 
 def test_top_k_of_repeated_rows(spark, monkeypatch):
