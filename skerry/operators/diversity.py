@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -110,20 +113,72 @@ def pcoa(distances: DataFrame, axes: int = 3) -> DataFrame:
     return distances.select(F.col("a").cast("string"), F.col("b").cast("string"), "distance", F.lit(0).alias("_all")).groupBy("_all").applyInPandas(run, "sample string, axis int, coordinate double, explained double")  # one dense matrix
 
 
+#: Up to this many factors a share's product is taken factor by factor, beyond through log-gamma.
+MOST_FACTORS = 4_000_000
+
+
+def _absent(total: int, depth: int, most: int) -> Callable[[np.ndarray], np.ndarray]:
+    """How likely ``depth`` individuals of ``total`` hold none of m given ones, for m up to ``most``."""
+    if most <= MOST_FACTORS:
+        t = np.arange(min(most, max(total - depth, 0)))
+        table = np.zeros(most + 1)
+        table[: len(t) + 1] = np.exp(np.concatenate([[0.0], np.cumsum(np.log((total - depth - t) / (total - t)))]))
+        return lambda m: table[m]
+    lg = np.frompyfunc(math.lgamma, 1, 1)
+
+    def share(m: np.ndarray) -> np.ndarray:
+        m = np.asarray(m, float)
+        left = np.maximum(total - depth - m, 0)
+        log = (lg(total - m + 1) - lg(left + 1) - math.lgamma(total + 1) + math.lgamma(total - depth + 1)).astype(float)
+        return np.where(total - depth >= m, np.exp(log), 0.0)
+
+    return share
+
+
 def rarefaction(counts: DataFrame, points: int = 20) -> DataFrame:
-    """Expected taxa at evenly spaced depths: 1 - C(N - n, d) / C(N, d), summed over taxa, through log-gamma."""
+    """(sample, depth, expected, sd, low, high): expected taxa at evenly spaced depths, with a band of 95 %, exactly.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        from math import lgamma
-
-        n = np.array(sorted(pdf["n"].astype(int)))
-        n, total = n[n > 0], int(n.sum())
-        if not total:
-            return pd.DataFrame({"sample": [], "depth": [], "expected": []})
-        choose = lambda a, b: lgamma(a + 1) - lgamma(b + 1) - lgamma(a - b + 1)
-        depths = np.unique(np.linspace(1, total, points).astype(int))
-        values = [sum(1 - (np.exp(choose(total - k, d) - choose(total, d)) if total - k >= d else 0.0) for k in n) for d in depths]
-        return pd.DataFrame({"sample": pdf["sample"].iloc[0], "depth": depths, "expected": values})
-
-    summed = counts.groupBy(F.col("sample").cast("string").alias("sample"), "taxon").agg(F.sum("n").alias("n"))
-    return summed.groupBy("sample").applyInPandas(run, "sample string, depth long, expected double")
+    A subsample lacks a taxon of n individuals with C(N - n, d) / C(N, d), and two taxa with n + m in place of n.  Taxa of
+    the same abundance are one class, at most the root of 2 N of a sample; each class is a row, which meets the others of
+    its sample as an array, so that neither taxa nor classes are joined in pairs.
+
+    Counts of one taxon are added up; null or non-positive ones are left out, a null sample is a sample, and a sample
+    without individuals has no curve.
+    """
+    taxa = counts.groupBy(F.col("sample").cast("string").alias("_s"), "taxon").agg(F.sum("n").cast("long").alias("_n")).where("_n > 0")
+    classes = taxa.groupBy("_s", "_n").agg(F.count("*").alias("_f"))
+    whole = classes.groupBy(F.col("_s").alias("_of")).agg(F.array_sort(F.collect_list(F.struct("_n", "_f"))).alias("_all"))
+
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for sample, a, f, classes in pdf.itertuples(index=False):
+                n, times = (np.array([c[k] for c in classes], np.int64) for k in ("_n", "_f"))
+                total, later = int((n * times).sum()), n > a
+                for depth in np.unique(np.linspace(1, total, points).astype(int)):
+                    share = _absent(total, int(depth), int(2 * n.max()))
+                    q, other = share(np.array([a]))[0], share(n[later])
+                    both = share(n[later] + a) - q * other
+                    spread = f * q * (1 - q) + f * (f - 1) * (share(np.array([2 * a]))[0] - q * q) + 2 * f * float((times[later] * both).sum())
+                    out.append((sample, int(depth), f * (1 - q), spread))
+            yield pd.DataFrame(out, columns=["sample", "depth", "e", "v"])
+
+    rows = classes.join(whole, F.col("_s").eqNullSafe(F.col("_of"))).select("_s", "_n", "_f", "_all")
+    curve = rows.mapInPandas(parts, "sample string, depth long, e double, v double").groupBy("sample", "depth").agg(F.sum("e").alias("expected"), F.sqrt(F.greatest(F.sum("v"), F.lit(0.0))).alias("sd"))
+    reach = F.lit(1.959963984540054) * F.col("sd")
+    return curve.select("sample", "depth", "expected", "sd", F.greatest(F.col("expected") - reach, F.lit(0.0)).alias("low"), (F.col("expected") + reach).alias("high"))
+
+
+def saturation(curve: DataFrame) -> DataFrame:
+    """Per sample of a rarefaction curve: its slope over the last fifth, over the first step, and whether it has levelled off.
+
+    It has if the last slope is under a tenth of the first; a curve of one point has none.
+    """
+    w = Window.partitionBy("sample").orderBy("depth")  # the points of one curve
+    placed = curve.withColumn("_i", F.row_number().over(w)).withColumn("_m", F.count("*").over(Window.partitionBy("sample")))
+    back = F.greatest(F.lit(2), F.floor(F.col("_m") / 5))
+    at = lambda place, c: F.max(F.when(F.col("_i") == place, F.col(c)))
+    s = placed.groupBy("sample", "_m").agg(*(at(place, c).alias(f"_{c}{k}") for k, place in (("a", F.lit(1)), ("b", F.lit(2)), ("y", F.col("_m") - back + 1), ("z", F.col("_m"))) for c in ("depth", "expected")))
+    rise = lambda x, y: (F.col(f"_expected{y}") - F.col(f"_expected{x}")) / F.greatest(F.lit(1), F.col(f"_depth{y}") - F.col(f"_depth{x}"))
+    s = s.where("_m > 1").withColumns({"end_slope": rise("y", "z"), "first_slope": rise("a", "b")})
+    return s.select("sample", "end_slope", "first_slope", (F.col("end_slope") < 0.1 * F.greatest(F.col("first_slope"), F.lit(1e-12))).alias("saturated"))

@@ -3,6 +3,9 @@
 The draws are md5 numbers, so a replicate is the same on every partitioning and in every engine.
 Replicates are aggregated before anything leaves the JVM.  Observations need a dense index 0, 1, ...
 and their number must be small enough to be drawn ``replicates`` times; large data need no resampling.
+
+Defined cases: a table without observations has no replicates and no intervals; values are taken as they are, nulls count
+as observations without a value; equal values are told apart by their index.
 """
 
 from __future__ import annotations
@@ -10,14 +13,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skerry.functions.columns import draw, ratio
+from skerry.functions.columns import draw, ratio, running
 
 SEED = 20260901
 
 
 def indexed(df: DataFrame, key: str, *carried: str) -> DataFrame:
-    """Rows of a bounded sample with a dense index in order of ``key``."""
-    return df.select(key, *carried).withColumn("idx", F.row_number().over(Window.orderBy(key)) - 1)
+    """Rows with a dense index from 0 in order of ``key``, which must be unique; counted over ranges of the key."""
+    rows = df.select(*dict.fromkeys([key, *carried]))
+    return running(rows, [], [key], idx=("sum", F.lit(1))).withColumn("idx", (F.col("idx") - 1).cast("int"))
 
 
 def statistic(name: str, value: str) -> Column:
@@ -31,6 +35,8 @@ def statistic(name: str, value: str) -> Column:
 def bootstrap(rows: DataFrame, value: str, replicates: int, name: str = "mean", seed: int = SEED) -> DataFrame:
     """(replicate, statistic) of ``replicates`` samples with replacement from indexed rows."""
     n = rows.count()
+    if not n:
+        return rows.sparkSession.createDataFrame([], "replicate long, statistic double")
     drawn = rows.sparkSession.range(replicates).select(F.col("id").alias("replicate"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("slot"))
     drawn = drawn.select("replicate", (draw(seed, F.col("replicate"), F.col("slot")) % n).cast("int").alias("idx"))
     return drawn.join(rows.select("idx", value), "idx").groupBy("replicate").agg(statistic(name, value).alias("statistic"))
@@ -62,7 +68,7 @@ def bca_interval(rows: DataFrame, found: DataFrame, value: str, name: str = "mea
 
 
 def jackknife(rows: DataFrame, value: str, name: str = "mean") -> DataFrame:
-    """Each observation's statistic without it, and its influence.  Mean and sd have closed forms; others leave rows out by a join."""
+    """Each observation's statistic without it, and its influence.  Mean and sd have closed forms; median, iqr and extremes follow from a value's place among the sorted ones."""
     if name in ("mean", "sd"):
         s = rows.agg(F.count("*").alias("_n"), F.avg(value).alias("_m"), F.var_pop(value).alias("_var"))
         joined = rows.join(F.broadcast(s))  # one row
@@ -71,10 +77,29 @@ def jackknife(rows: DataFrame, value: str, name: str = "mean") -> DataFrame:
         out = m + (m - x) / (n - 1) if name == "mean" else F.sqrt(F.greatest(left, F.lit(0.0)) / (n - 2))
         whole = m if name == "mean" else F.sqrt(F.col("_var") * n / (n - 1))
         return joined.where("_n > 2").select("idx", value, out.alias("left_out"), (whole - out).alias("influence"))
-    other = rows.select(F.col("idx").alias("_i"), F.col(value).alias("_v"))
-    out = rows.select("idx", value).join(other, F.col("idx") != F.col("_i")).groupBy("idx", value).agg(statistic(name, "_v").alias("left_out"))
-    whole = rows.agg(statistic(name, value).alias("whole"))
-    return out.join(F.broadcast(whole)).select("idx", value, "left_out", (F.col("whole") - F.col("left_out")).alias("influence"))
+    # the j-th value without the one of place r is that of place j, or j + 1 from r on
+    placed = running(rows.where(F.col(value).isNotNull()).select("idx", value, F.col(value).cast("double").alias("_v")), [], ["_v", "idx"], _place=("sum", F.lit(1))).withColumn("_place", F.col("_place") - 1)
+    shares = {"median": [0.5], "minimum": [0.0], "maximum": [1.0], "iqr": [0.75, 0.25]}[name]
+    n = placed.count()
+    if n < 2:
+        return placed.select("idx", value, F.lit(None).cast("double").alias("left_out"), F.lit(None).cast("double").alias("influence")).where("false")
+
+    def ends(share: float, size: int) -> tuple[int, int, float]:
+        at = share * (size - 1)
+        return int(at), min(int(at) + 1, size - 1), at - int(at)
+
+    needed = sorted({j + d for share in shares for j in ends(share, n - 1)[:2] for d in (0, 1)} | {j for share in shares for j in ends(share, n)[:2]})
+    # one row with the few values that any answer needs
+    picked = placed.agg(*(F.max(F.when(F.col("_place") == j, F.col("_v"))).alias(f"_x{j}") for j in needed))
+    without = lambda j: F.when(F.col("_place") <= j, F.col(f"_x{j + 1}")).otherwise(F.col(f"_x{j}"))
+    plain = lambda j: F.col(f"_x{j}")
+
+    def quantile(share: float, size: int, value_of) -> Column:
+        low, high, part = ends(share, size)
+        return value_of(low) if part == 0 else value_of(low) + (value_of(high) - value_of(low)) * part
+
+    out, whole = (quantile(shares[0], size, f) - (quantile(shares[1], size, f) if len(shares) > 1 else F.lit(0.0)) for size, f in ((n - 1, without), (n, plain)))
+    return placed.join(F.broadcast(picked)).select("idx", value, out.alias("left_out"), (whole - out).alias("influence"))
 
 
 def shuffle_test(rows: DataFrame, group: str, value: str, a: str, b: str, replicates: int, seed: int = SEED, name: str = "mean_difference") -> DataFrame:

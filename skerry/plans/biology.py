@@ -84,9 +84,28 @@ def pcoa_nation(spark: SparkSession, d: str) -> DataFrame:
     return diversity.pcoa(diversity.beta(_counts(spark, d), "braycurtis"))
 
 
-@query()
+_CURVE = """x AS (SELECT CAST(sample AS VARCHAR) AS sample, CAST(n AS BIGINT) AS a, count(*) AS f FROM c GROUP BY 1, 2), t AS (SELECT sample, CAST(sum(a * f) AS BIGINT) AS total, 2 * max(a) AS most FROM x GROUP BY 1),
+  dp AS (SELECT DISTINCT sample, total, most, CASE WHEN r.range = 19 THEN total ELSE CAST(floor(r.range * ((total - 1) / 19.0::DOUBLE) + 1) AS BIGINT) END AS depth FROM t, range(20) r),
+  l AS (SELECT sample, depth, total, m.range AS m, sum(CASE WHEN m.range > 0 AND total - depth > m.range - 1 THEN ln((total - depth - m.range + 1) / CAST(total - m.range + 1 AS DOUBLE)) ELSE 0.0 END) OVER (PARTITION BY sample, depth ORDER BY m.range) AS s FROM dp, range(2000) m WHERE m.range <= most),
+  g AS (SELECT sample, depth, m, CASE WHEN total - depth >= m THEN exp(s) ELSE 0.0 END AS q FROM l),
+  one AS (SELECT x.sample, depth, a, f, g.q FROM x JOIN g ON g.sample = x.sample AND g.m = x.a),
+  own AS (SELECT o.sample, o.depth, sum(f * (1 - o.q)) AS e, sum(f * o.q * (1 - o.q) + f * (f - 1) * (g.q - o.q * o.q)) AS v FROM one o JOIN g ON g.sample = o.sample AND g.depth = o.depth AND g.m = 2 * o.a GROUP BY 1, 2),
+  two AS (SELECT p.sample, p.depth, sum(2 * p.f * o.f * (g.q - p.q * o.q)) AS v FROM one p JOIN one o ON o.sample = p.sample AND o.depth = p.depth AND o.a > p.a JOIN g ON g.sample = p.sample AND g.depth = p.depth AND g.m = p.a + o.a GROUP BY 1, 2),
+  curve AS (SELECT sample, depth, e AS expected, sqrt(greatest(own.v + coalesce(two.v, 0), 0.0)) AS sd FROM own LEFT JOIN two USING (sample, depth))"""
+
+
+@query(f"WITH {_C}, {_CURVE} SELECT sample, depth, round(expected, 6) AS expected, round(sd, 4) AS sd, round(greatest(expected - 1.959963984540054 * sd, 0.0), 4) AS low, round(expected + 1.959963984540054 * sd, 4) AS high FROM curve")
 def rarefaction_nation(spark: SparkSession, d: str) -> DataFrame:
-    return diversity.rarefaction(_counts(spark, d))
+    r = rounded(diversity.rarefaction(_counts(spark, d)), "sd", "low", "high")
+    return r.withColumns({c: F.round(c, 4) for c in ("sd", "low", "high")})
+
+
+@query(f"""WITH {_C}, {_CURVE}, w AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY depth) AS i, count(*) OVER (PARTITION BY sample) AS m FROM curve),
+  p AS (SELECT sample, max(m) AS m, max(depth) FILTER (i = 1) AS d1, max(depth) FILTER (i = 2) AS d2, max(expected) FILTER (i = 1) AS e1, max(expected) FILTER (i = 2) AS e2, max(depth) FILTER (i = m - greatest(2, m // 5) + 1) AS d3, max(depth) FILTER (i = m) AS d4, max(expected) FILTER (i = m - greatest(2, m // 5) + 1) AS e3, max(expected) FILTER (i = m) AS e4 FROM w GROUP BY 1),
+  r AS (SELECT sample, (e4 - e3) / greatest(1, d4 - d3) AS end_slope, (e2 - e1) / greatest(1, d2 - d1) AS first_slope FROM p WHERE m > 1)
+  SELECT sample, round(end_slope, 6) AS end_slope, round(first_slope, 6) AS first_slope, end_slope < 0.1 * greatest(first_slope, 1e-12) AS saturated FROM r""")
+def saturation_nation(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(diversity.saturation(diversity.rarefaction(_counts(spark, d))))
 
 
 def _sequences(spark: SparkSession, d: str) -> DataFrame:

@@ -199,10 +199,10 @@ _DRAW = "CAST(concat('0x', substr(md5(concat_ws('|', '20260901', CAST({r} AS VAR
 
 
 @query(f"""WITH s AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS idx, s_acctbal AS v FROM supplier), n AS (SELECT count(*) AS n FROM s),
-  d AS (SELECT r.range AS r, {_DRAW.format(r='r.range', i='s.idx')} % n AS idx FROM range(500) r, s, n), b AS (SELECT r, avg(v) AS x FROM d JOIN s USING (idx) GROUP BY r)
+  d AS (SELECT r.range AS r, {_DRAW.format(r='r.range', i='s.idx')} % n AS idx FROM range(9999) r, s, n), b AS (SELECT r, avg(v) AS x FROM d JOIN s USING (idx) GROUP BY r)
   SELECT round(quantile_cont(x, 0.025), 6) AS low, round(quantile_cont(x, 0.975), 6) AS high, round(stddev_samp(x), 6) AS se, round(avg(x), 6) AS mean FROM b""")
 def bootstrap_mean_supplier(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(resample.percentile_interval(resample.bootstrap(_sample(spark, d), "s_acctbal", 500)))
+    return rounded(resample.percentile_interval(resample.bootstrap(_sample(spark, d), "s_acctbal", 9_999)))
 
 
 @query("""WITH s AS (SELECT CAST(row_number() OVER (ORDER BY s_suppkey) - 1 AS INTEGER) AS idx, s_acctbal AS v FROM supplier), t AS (SELECT count(*) AS n, sum(v) AS sv FROM s)
@@ -211,14 +211,31 @@ def jackknife_supplier(spark: SparkSession, d: str) -> DataFrame:
     return rounded(resample.jackknife(_sample(spark, d), "s_acctbal"), "s_acctbal", digits=5)
 
 
+def _left_out(name: str, statistic: str) -> str:
+    return f"""WITH s AS (SELECT CAST(row_number() OVER (ORDER BY s_suppkey) - 1 AS INTEGER) AS idx, s_acctbal AS v FROM supplier), w AS (SELECT {statistic} AS w FROM s)
+  SELECT a.idx, a.v AS s_acctbal, round({statistic.replace('v,', 'b.v,')}, 5) AS left_out, round(any_value(w) - ({statistic.replace('v,', 'b.v,')}), 5) AS influence FROM s a JOIN s b ON a.idx <> b.idx, w GROUP BY a.idx, a.v"""
+
+
+def _jackknife(name: str, statistic: str) -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return rounded(resample.jackknife(_sample(spark, d), "s_acctbal", name), "s_acctbal", digits=5)
+
+    run.__name__ = f"jackknife_{name}_supplier"
+    QUERIES[run.__name__], SQL[run.__name__] = run, _left_out(name, statistic)
+
+
+_jackknife("median", "quantile_cont(v, 0.5)")
+_jackknife("iqr", "quantile_cont(v, 0.75) - quantile_cont(v, 0.25)")
+
+
 @query(f"""WITH s AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS idx, CASE WHEN s_nationkey < 12 THEN 'low' ELSE 'high' END AS g, s_acctbal AS v FROM supplier), k AS (SELECT count(*) FILTER (g = 'low') AS k FROM s),
   o AS (SELECT avg(v) FILTER (g = 'low') - avg(v) FILTER (g = 'high') AS o FROM s),
-  d AS (SELECT r.range AS r, v, row_number() OVER (PARTITION BY r.range ORDER BY md5(concat_ws('|', '20260901', CAST(r.range AS VARCHAR), CAST(idx AS VARCHAR))), idx) <= k AS f FROM range(199) r, s, k),
+  d AS (SELECT r.range AS r, v, row_number() OVER (PARTITION BY r.range ORDER BY md5(concat_ws('|', '20260901', CAST(r.range AS VARCHAR), CAST(idx AS VARCHAR))), idx) <= k AS f FROM range(9999) r, s, k),
   x AS (SELECT r, avg(v) FILTER (f) - avg(v) FILTER (NOT f) AS x FROM d GROUP BY r)
-  SELECT round(max(o), 6) AS observed, round((count(*) FILTER (abs(x) >= abs(o) - 1e-9) + 1) / 200.0, 6) AS p_value FROM x, o""")
+  SELECT round(max(o), 6) AS observed, round((count(*) FILTER (abs(x) >= abs(o) - 1e-9) + 1) / 10000.0, 6) AS p_value FROM x, o""")
 def shuffle_test_supplier(spark: SparkSession, d: str) -> DataFrame:
     rows = resample.indexed(load(spark, d, "supplier"), "s_suppkey", "s_nationkey", "s_acctbal").withColumn("g", F.when(F.col("s_nationkey") < 12, "low").otherwise("high"))
-    return rounded(resample.shuffle_test(rows, "g", "s_acctbal", "low", "high", 199))
+    return rounded(resample.shuffle_test(rows, "g", "s_acctbal", "low", "high", 9_999))
 
 
 def t_p(t: str, df: str) -> str:

@@ -296,7 +296,12 @@ def test_resampling(spark):
     found = resample.bootstrap(rows, "v", 200)
     low, high = resample.bca_interval(rows, found, "v")
     assert low < 4.5 < high and found.count() == 200
-    assert resample.jackknife(rows, "v", "median").count() == 40
+    assert resample.bootstrap(rows.where("false"), "v", 5).count() == 0 and resample.jackknife(rows.where("false"), "v", "iqr").count() == 0
+    values = [float(i % 10) for i in range(40)]
+    for name, whole in (("median", np.median), ("iqr", lambda x: np.quantile(x, 0.75) - np.quantile(x, 0.25)), ("minimum", np.min), ("maximum", np.max)):
+        left = {r["idx"]: (r["left_out"], r["influence"]) for r in resample.jackknife(rows, "v", name).collect()}
+        want = {i: float(whole(values[:i] + values[i + 1 :])) for i in range(40)}
+        assert {i: x[0] for i, x in left.items()} == pytest.approx(want) and all(x[1] == pytest.approx(float(whole(values)) - want[i]) for i, x in left.items())
     assert 0 < resample.monte_carlo_p([1, 2, 3, 4, 5, 30], "normal", 500) < 0.2
 
 
