@@ -1,4 +1,8 @@
-"""Table validation: all cells as text, unpivoted to (row_num, column_name, raw), rules as projections."""
+"""Table validation: all cells as text, unpivoted to (row_num, column_name, raw), rules as projections.
+
+Defined cases: null cells are missing; a table without rows has too few; equal rows are reported from the second on, with
+null cells equal to each other; columns may have any names; rules for columns that are not there are reported once.
+"""
 
 from __future__ import annotations
 
@@ -53,8 +57,30 @@ def cells(df: DataFrame, key: str) -> DataFrame:
     return df.select((F.col(key) + 2).cast("long").alias("row_num"), F.explode(pairs).alias("x")).select("row_num", "x.*")
 
 
-def validate(df: DataFrame, key: str, rules: list[Rule], least_rows: int = 3) -> DataFrame:
-    """Issues (severity, row_num, column_name, rule): block, warn or info.  The table is valid without a block."""
+#: Shares of numbers between which a column is taken for one of numbers with some text in it; cells of it that are shown.
+MIXED, SHOWN = 0.7, 5
+
+
+def mixed(df: DataFrame, key: str) -> DataFrame:
+    """Issues of a table without rules: the first cells of text in a column that is mostly numbers."""
+    c = cells(df, key).where(~is_missing(F.col("raw"))).withColumn("odd", as_number(F.col("raw")).isNull())
+    share = c.groupBy("column_name").agg(F.avg((~F.col("odd")).cast("double")).alias("share")).where((F.col("share") > MIXED) & (F.col("share") < 1))
+    # only the first rows of each column are ranked, so a window of a column gets few
+    w = Window.partitionBy("column_name").orderBy("row_num")
+    odd = c.where("odd").join(F.broadcast(share), "column_name").withColumn("place", F.row_number().over(w)).where(F.col("place") <= SHOWN)  # one row a column
+    hint = F.format_string("%.0f %% of this column are numbers", F.col("share") * 100)
+    return odd.select(F.lit("block").alias("severity"), "row_num", "column_name", F.lit("not_a_number").alias("rule"), hint.alias("hint"))
+
+
+def validate(df: DataFrame, key: str, rules: list[Rule] | None = None, least_rows: int = 3) -> DataFrame:
+    """Issues (severity, row_num, column_name, rule, hint): block, warn or info.  The table is valid without a block.
+
+    Without rules, columns of mostly numbers are expected to hold numbers.  A missing column's hint is the name that is
+    nearest to it among those that the rules don't know; a number out of range has the limit.
+    """
+    if rules is None:
+        rows = mixed(df, key)
+        return rows.unionByName(_whole_table(df, key, least_rows))
     spark = df.sparkSession
     schema = "column_name string, kind string, required boolean, least double, most double, allowed array<string>"
     known = spark.createDataFrame([(r.name, r.kind, r.required, *(None if x is None else float(x) for x in (r.least, r.most)), list(r.allowed) if r.allowed else None) for r in rules], schema)
@@ -68,17 +94,28 @@ def validate(df: DataFrame, key: str, rules: list[Rule], least_rows: int = 3) ->
         (numeric & (v > F.col("most")), "block", "above_maximum"),
         (~F.col("missing") & F.col("allowed").isNotNull() & ~F.array_contains("allowed", F.trim("raw")), "warn", "not_allowed"),
     ]
-    issues = F.filter(F.array(*(F.when(F.coalesce(test & ~(F.col("missing") & F.lit(name != "missing_value")), F.lit(False)), F.struct(F.lit(s).alias("severity"), F.lit(name).alias("rule"))) for test, s, name in found)), lambda x: x.isNotNull())
-    rows = c.select("row_num", "column_name", F.explode(issues).alias("x")).select("x.severity", "row_num", "column_name", "x.rule")
+    hints = {"below_minimum": F.concat(F.lit("at least "), F.col("least").cast("string")), "above_maximum": F.concat(F.lit("at most "), F.col("most").cast("string")), "not_allowed": F.concat(F.lit("one of "), F.array_join("allowed", ", "))}
+    shown = lambda name: hints.get(name, F.lit(None).cast("string")).alias("hint")
+    issues = F.filter(F.array(*(F.when(F.coalesce(test & ~(F.col("missing") & F.lit(name != "missing_value")), F.lit(False)), F.struct(F.lit(s).alias("severity"), F.lit(name).alias("rule"), shown(name))) for test, s, name in found)), lambda x: x.isNotNull())
+    rows = c.select("row_num", "column_name", F.explode(issues).alias("x")).select("x.severity", "row_num", "column_name", "x.rule", "x.hint")
     none = F.lit(None).cast("long")
     there = [x for x in df.columns if x != key]
     lacking, extra = [r.name for r in rules if r.required and r.name not in there], [x for x in there if x not in {r.name for r in rules}]
     whole = [("block", x, "missing_column") for x in lacking] + [("info", x, "extra_column") for x in extra]
     if whole:
-        rows = rows.unionByName(spark.createDataFrame(whole, "severity string, column_name string, rule string").withColumn("row_num", none).select("severity", "row_num", "column_name", "rule"))
-    few = df.agg(F.count("*").alias("n")).where(F.col("n") < least_rows).select(F.lit("warn").alias("severity"), none.alias("row_num"), F.lit(None).cast("string").alias("column_name"), F.lit("too_few_rows").alias("rule"))
-    copies = duplicates(df, key).select(F.lit("warn").alias("severity"), "row_num", F.lit(None).cast("string").alias("column_name"), F.lit("duplicate_row").alias("rule"))
-    return rows.unionByName(few).unionByName(copies)
+        named = spark.createDataFrame(whole, "severity string, column_name string, rule string")
+        named = closest(named, "column_name", extra, "near") if extra else named.withColumn("near", F.lit(None).cast("string"))
+        hint = F.when((F.col("rule") == "missing_column") & F.col("near").isNotNull(), F.concat(F.lit("is it "), F.col("near"), F.lit("?")))
+        rows = rows.unionByName(named.select("severity", none.alias("row_num"), "column_name", "rule", hint.alias("hint")))
+    return rows.unionByName(_whole_table(df, key, least_rows))
+
+
+def _whole_table(df: DataFrame, key: str, least_rows: int) -> DataFrame:
+    """Issues of rows and not of cells."""
+    none, no_column = F.lit(None).cast("long"), F.lit(None).cast("string")
+    few = df.agg(F.count("*").alias("n")).where(F.col("n") < least_rows).select(F.lit("warn").alias("severity"), none.alias("row_num"), no_column.alias("column_name"), F.lit("too_few_rows").alias("rule"), F.concat(F.lit("at least "), F.lit(str(least_rows))).alias("hint"))
+    again = F.concat(F.lit("as in row "), F.col("first_row").cast("string"))
+    return few.unionByName(duplicates(df, key).select(F.lit("warn").alias("severity"), "row_num", no_column.alias("column_name"), F.lit("duplicate_row").alias("rule"), again.alias("hint")))
 
 
 def duplicates(df: DataFrame, key: str) -> DataFrame:
@@ -96,8 +133,11 @@ def closest(names: DataFrame, name: str, candidates: list[str], to: str = "close
     return names.withColumn(to, F.when(ranked["d"] <= limit, ranked["c"]))
 
 
+MOST_ALLOWED = 12
+
+
 def infer(df: DataFrame, key: str) -> DataFrame:
-    """Per column: kind (integer, number, category or text), observed range, distinct values, allowed values up to 12, share missing."""
+    """Per column: kind (integer, number, category or text), observed range, distinct values, cells missing, and the values that a category of at most 12 allows."""
     c = cells(df, key).withColumn("raw", F.trim("raw")).withColumn("missing", is_missing(F.col("raw")))
     c = c.withColumn("value", F.when(~F.col("missing"), as_number(F.col("raw"))))
     per = c.groupBy("column_name", F.when(~F.col("missing"), F.col("raw")).alias("v")).agg(F.count("*").alias("n"), F.max("value").alias("value"))
@@ -105,10 +145,13 @@ def infer(df: DataFrame, key: str) -> DataFrame:
         F.sum("n").alias("rows"), F.sum(F.when(F.col("v").isNotNull(), F.col("n")).otherwise(0)).alias("present"), F.sum(F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0)).alias("numeric"),
         F.sum(F.when(F.abs(F.col("value") - F.round("value")) <= 1e-9, F.col("n")).otherwise(0)).alias("whole"), F.min("value").alias("minimum"), F.max("value").alias("maximum"), F.count("v").alias("n_distinct"),
     )
+    # the values of columns that have few
+    few = per.join(s.where(F.col("n_distinct") <= MOST_ALLOWED).select("column_name"), "column_name", "left_semi")
+    s = s.join(few.groupBy("column_name").agg(F.array_sort(F.collect_set("v")).alias("_values")), "column_name", "left")
     numeric = (F.col("present") > 0) & (F.col("numeric") == F.col("present"))
     category = F.col("n_distinct") <= F.greatest(F.lit(2), F.floor(F.col("rows") / 3))
     kind = F.when(numeric & (F.col("whole") == F.col("present")), "integer").when(numeric, "number").when(category, "category").otherwise("text")
-    return s.select("column_name", kind.alias("kind"), F.when(numeric, F.col("minimum")).alias("minimum"), F.when(numeric, F.col("maximum")).alias("maximum"), "n_distinct", (F.col("rows") - F.col("present")).alias("missing"))
+    return s.select("column_name", kind.alias("kind"), F.when(numeric, F.col("minimum")).alias("minimum"), F.when(numeric, F.col("maximum")).alias("maximum"), "n_distinct", (F.col("rows") - F.col("present")).alias("missing"), F.when(kind == "category", F.col("_values")).alias("allowed"))
 
 
 def suggest_template(columns: list[str]) -> str | None:

@@ -106,9 +106,15 @@ def validation_events(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH c AS (SELECT 'user_id' AS column_name, CAST(user_id AS VARCHAR) AS raw, CAST(user_id AS DOUBLE) AS v FROM events UNION ALL SELECT 'event_type', event_type, NULL FROM events UNION ALL SELECT 'value', CAST(value AS VARCHAR), value FROM events)
-  SELECT column_name, CASE WHEN column_name = 'event_type' THEN 'category' WHEN count(v) FILTER (v <> round(v)) > 0 THEN 'number' ELSE 'integer' END AS kind, min(v) AS minimum, max(v) AS maximum, count(DISTINCT raw) AS n_distinct, CAST(0 AS BIGINT) AS missing FROM c GROUP BY 1""")
+  SELECT column_name, CASE WHEN column_name = 'event_type' THEN 'category' WHEN count(v) FILTER (v <> round(v)) > 0 THEN 'number' ELSE 'integer' END AS kind, min(v) AS minimum, max(v) AS maximum, count(DISTINCT raw) AS n_distinct, CAST(0 AS BIGINT) AS missing, CASE WHEN column_name = 'event_type' THEN string_agg(DISTINCT raw, ',' ORDER BY raw) END AS allowed FROM c GROUP BY 1""")
 def schema_events(spark: SparkSession, d: str) -> DataFrame:
-    return validate.infer(load(spark, d, "events").select("event_id", "user_id", "event_type", "value"), "event_id")
+    return validate.infer(load(spark, d, "events").select("event_id", "user_id", "event_type", "value"), "event_id").withColumn("allowed", F.array_join("allowed", ","))
+
+
+@query("""WITH w AS (SELECT event_id + 2 AS r, CASE WHEN event_id % 51 = 0 THEN 'high' END AS word FROM events WHERE event_id % 50 <> 0), s AS (SELECT count(*) FILTER (word IS NULL) / CAST(count(*) AS DOUBLE) AS share FROM w)
+  SELECT 'block' AS severity, r AS row_num, 'value' AS column_name, 'not_a_number' AS rule, concat(CAST(round(share * 100) AS INTEGER), ' % of this column are numbers') AS hint FROM w, s WHERE word IS NOT NULL ORDER BY r LIMIT 5""")
+def mixed_columns_events(spark: SparkSession, d: str) -> DataFrame:
+    return validate.mixed(_event_table(spark, d), "event_id")
 
 
 @query("SELECT doc_id + 2 AS row_num, CAST(f AS BIGINT) + 2 AS first_row FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text, lang) AS f FROM documents) WHERE doc_id > f")
