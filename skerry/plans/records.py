@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skerry.functions.shared import new_path
 from skerry.operators import submissions
 from skerry.plans import transcripts
-from skerry.sources.tables import load
+from skerry.sources.cache import Cache, status
+from skerry.sources.tables import cache_key, load
 from skerry.streaming import turns
 
 QUERIES: dict = {}
@@ -126,3 +129,35 @@ def guarded_turns_conversations(spark: SparkSession, d: str) -> DataFrame:
         F.when(turn % 2 == 0, F.array(shown(turn))).alias("numbers"), F.when(F.col("conv_id") % 4 != 0, F.concat(F.lit("d"), (F.col("conv_id") % 4).cast("string"))).alias("data_id"), F.when(turn % 2 == 0, 0.04).alias("p_value"),
     )
     return turns.judged(events).withColumn("reasons", F.array_join("reasons", ","))
+
+
+def ask_upstream(source: str, path: str, params: dict) -> str:
+    """What stands for an upstream source: it fails for every fifth path."""
+    if int(path.rsplit("/", 1)[1]) % 5 == 0:
+        raise OSError("no answer")
+    return f"{source} {path} {params.get('q', '')}"
+
+
+_NOW = datetime(2024, 1, 20, tzinfo=timezone.utc)
+
+
+@query("""WITH a AS (SELECT DISTINCT user_id, event_type FROM events), k AS (SELECT user_id, event_type, max(ts) AS fetched FROM events WHERE user_id % 3 <> 0 GROUP BY ALL),
+  s AS (SELECT a.user_id, a.event_type, k.fetched IS NOT NULL AS known, k.fetched + INTERVAL 7 DAY > TIMESTAMP '2024-01-20 00:00:00' AS fresh FROM a LEFT JOIN k USING (user_id, event_type))
+  SELECT event_type AS source, concat('users/', user_id) AS path, CASE WHEN known AND fresh THEN 'hit' WHEN user_id % 5 <> 0 THEN 'fetched' WHEN known THEN 'stale' ELSE 'failed' END AS state,
+    CASE WHEN known AND (fresh OR user_id % 5 = 0) THEN 'old' WHEN user_id % 5 <> 0 THEN concat(event_type, ' users/', user_id, ' x') END AS body FROM s""")
+def cached_requests_events(spark: SparkSession, d: str) -> DataFrame:
+    e = load(spark, d, "events").select(F.col("event_type").alias("source"), F.concat(F.lit("users/"), F.col("user_id").cast("string")).alias("path"), "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    asked = e.select("source", "path").distinct().withColumn("params", F.create_map(F.lit("q"), F.lit("x"), F.lit("api_key"), F.lit("hidden")))
+    store = Cache(spark, new_path(spark, "cache"), {})
+    key = cache_key(F.col("source"), F.col("path"), F.create_map(F.lit("q"), F.lit("x")))
+    old = e.where("user_id % 3 <> 0").select(key.alias("key"), "source", "path", F.lit("old").alias("body"), F.col("ts").alias("fetched_at"), (F.col("ts") + F.expr("interval 7 days")).alias("expires_at"))
+    old.write.mode("append").parquet(store.folder)
+    return store.fetch(asked, ask_upstream, _NOW).select("source", "path", "state", "body")
+
+
+@query("""WITH c AS (SELECT event_type AS source, user_id, ts FROM events), l AS (SELECT source, user_id, max(ts) AS ts FROM c GROUP BY ALL)
+  SELECT source, count(*) AS keys, count(*) FILTER (ts + INTERVAL 7 DAY > TIMESTAMP '2024-01-20 00:00:00') AS fresh, count(*) FILTER (ts + INTERVAL 7 DAY <= TIMESTAMP '2024-01-20 00:00:00') AS expired, (SELECT count(*) FROM c x WHERE x.source = l.source) AS rows FROM l GROUP BY source""")
+def cache_status_events(spark: SparkSession, d: str) -> DataFrame:
+    e = load(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = e.select(F.concat_ws("|", "event_type", "user_id").alias("key"), F.col("event_type").alias("source"), F.lit("").alias("path"), F.lit("").alias("body"), F.col("ts").alias("fetched_at"), (F.col("ts") + F.expr("interval 7 days")).alias("expires_at"))
+    return status(rows, F.lit(_NOW)).select("source", "keys", "fresh", "expired", "rows")
