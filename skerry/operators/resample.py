@@ -2,7 +2,8 @@
 
 The draws are md5 numbers, so a replicate is the same on every partitioning and in every engine.
 Replicates are aggregated before anything leaves the JVM.  Observations need a dense index 0, 1, ...
-and their number must be small enough to be drawn ``replicates`` times; large data need no resampling.
+Each is drawn ``replicates`` times: draws are spread over tasks by their number, summed up where they are made, and
+are never a side of a join that is sent to all.
 
 Defined cases: a table without observations has no replicates and no intervals; values are taken as they are, nulls count
 as observations without a value; equal values are told apart by their index.
@@ -10,12 +11,73 @@ as observations without a value; equal values are told apart by their index.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skerry.functions.columns import draw, ratio, running
+from skerry.functions.draws import CHUNK, digests
+from skerry.functions.shared import written
 
 SEED = 20260901
+#: Draws of one task; observations that are sent to all tasks to be drawn from (more are shuffled).
+DRAWS, HELD = 2_000_000, 1_000_000
+#: Standard deviations around the expected place of a shuffle's cut within which hashes are put in order.
+REACH = 6.0
+
+
+def tasks_of(n: int, replicates: int) -> int:
+    return max(1, -(-n * replicates // DRAWS))
+
+
+def replicated(rows: DataFrame, replicates: DataFrame) -> DataFrame:
+    """Every row beside every ``replicate``; the replicates are bounded by a parameter, the rows are not."""
+    return rows.crossJoin(F.broadcast(replicates))
+
+
+def numbers(rows: DataFrame, replicates: int) -> DataFrame:
+    return rows.sparkSession.range(replicates).select(F.col("id").alias("replicate"))
+
+
+def blocks_of(replicates: list[int], n: int) -> list[list[int]]:
+    """Replicates that one task draws for a chunk of observations."""
+    size = max(1, min(-(-len(replicates) // 16), DRAWS // max(1, min(n, CHUNK))))
+    return [replicates[i : i + size] for i in range(0, len(replicates), size)]
+
+
+def redrawn_sums(spark: SparkSession, parts: list[tuple[str, np.ndarray, np.ndarray]], replicates: int, seed: int) -> DataFrame:
+    """(replicate, part, n, m, s, q): rows, values, their sum and that of their squares, of samples with replacement within each part.
+
+    A part is what stands before the slot in its draws, its values by slot, and which of them are there: at most ``HELD``.
+    """
+    chunks = [(i, a) for i, (_, v, _) in enumerate(parts) for a in range(0, len(v), CHUNK)]
+    blocks = blocks_of(list(range(replicates)), max(len(v) for _, v, _ in parts))
+    shared = spark.sparkContext.broadcast((parts, chunks, blocks))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts, chunks, blocks = shared.value
+        for pdf in batches:
+            for piece in pdf["id"]:
+                (part, a), block = chunks[piece // len(blocks)], blocks[piece % len(blocks)]
+                label, v, there = parts[part]
+                found = np.zeros((4, len(block)))
+                for i, at, words in digests(np.arange(a, min(a + CHUNK, len(v))), [f"{seed}|{r}|{label}" for r in block]):
+                    drawn = words[0].astype(np.int64) % len(v)
+                    x = v[drawn]
+                    found[:, i] += len(at), np.count_nonzero(there[drawn]), x.sum(), (x * x).sum()
+                yield pd.DataFrame({"replicate": block, "part": part, "n": found[0].astype(int), "m": found[1].astype(int), "s": found[2], "q": found[3]})
+
+    pieces = len(chunks) * len(blocks)
+    found = spark.range(0, pieces, 1, min(pieces, 4096)).mapInPandas(run, "replicate long, part int, n long, m long, s double, q double")
+    return found.groupBy("replicate", "part").agg(*(F.sum(c).alias(c) for c in "nmsq"))
+
+
+def looked_up(drawn: DataFrame, held: DataFrame, key: str, n: int) -> DataFrame:
+    """Draws with what was drawn; of the two sides only the ``n`` observations are ever built into a table."""
+    return drawn.join(F.broadcast(held) if n <= HELD else held.hint("shuffle_hash"), key)
 
 
 def indexed(df: DataFrame, key: str, *carried: str) -> DataFrame:
@@ -37,9 +99,13 @@ def bootstrap(rows: DataFrame, value: str, replicates: int, name: str = "mean",
     n = rows.count()
     if not n:
         return rows.sparkSession.createDataFrame([], "replicate long, statistic double")
-    drawn = rows.sparkSession.range(replicates).select(F.col("id").alias("replicate"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("slot"))
-    drawn = drawn.select("replicate", (draw(seed, F.col("replicate"), F.col("slot")) % n).cast("int").alias("idx"))
-    return drawn.join(rows.select("idx", value), "idx").groupBy("replicate").agg(statistic(name, value).alias("statistic"))
+    if name == "mean" and n <= HELD:
+        held = rows.select("idx", F.col(value).cast("double").alias("v"), F.col(value).isNotNull().alias("there")).toPandas().sort_values("idx")
+        found = redrawn_sums(rows.sparkSession, [("", held["v"].where(held["there"], 0.0).to_numpy(float), held["there"].to_numpy(bool))], replicates, seed)
+        return found.select("replicate", ratio(F.col("s"), F.col("m")).alias("statistic"))
+    slots = rows.sparkSession.range(0, n, 1, tasks_of(n, replicates)).select(F.col("id").alias("slot"))
+    drawn = replicated(slots, numbers(rows, replicates)).select("replicate", (draw(seed, F.col("replicate"), F.col("slot")) % n).cast("int").alias("idx"))
+    return looked_up(drawn, rows.select("idx", value), "idx", n).groupBy("replicate").agg(statistic(name, value).alias("statistic"))
 
 
 def percentile_interval(found: DataFrame, confidence: float = 0.95) -> DataFrame:
