@@ -171,20 +171,66 @@ def jackknife(rows: DataFrame, value: str, name: str = "mean") -> DataFrame:
 def shuffle_test(rows: DataFrame, group: str, value: str, a: str, b: str, replicates: int, seed: int = SEED, name: str = "mean_difference") -> DataFrame:
     """Observed statistic and p of label shuffles: two-sided, (count + 1) / (replicates + 1), centre 1 for ratios, else 0."""
     two = rows.where(F.col(group).isin(a, b)).select("idx", group, value)
-    n_a = two.where(F.col(group) == a).count()
+    n, n_a = two.agg(F.count("*"), F.count_if(F.col(group) == a)).first()
     combine = {
         "mean_difference": lambda p, q: F.avg(p) - F.avg(q), "median_difference": lambda p, q: F.percentile(p, 0.5) - F.percentile(q, 0.5), "ratio_of_means": lambda p, q: ratio(F.avg(p), F.avg(q)),
     }[name]
     centre = 1.0 if name == "ratio_of_means" else 0.0
     observed = two.agg(combine(F.when(F.col(group) == a, F.col(value)), F.when(F.col(group) == b, F.col(value))).alias("observed"))
-    shuffled = rows.sparkSession.range(replicates).select(F.col("id").alias("replicate")).join(two.select("idx", value))  # bounded: replicates of a small sample
-    order = Window.partitionBy("replicate").orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("idx").cast("string"))), "idx")
-    shuffled = shuffled.withColumn("first", F.row_number().over(order) <= n_a)
-    null = shuffled.groupBy("replicate").agg(combine(F.when(F.col("first"), F.col(value)), F.when(~F.col("first"), F.col(value))).alias("null"))
+    share, whole = n_a / max(n, 1), 1 << 32
+    reach = REACH * (share * (1 - share) / max(n, 1)) ** 0.5
+    ends = (0, whole) if name == "median_difference" else (max(0, int((share - reach) * whole)), min(whole, int((share + reach) * whole) + 1))
+    null = written(_shuffled(two, value, list(range(replicates)), n, n_a, name, ends, seed), "shuffles")
+    missed = [r["replicate"] for r in null.where("not settled").select("replicate").collect()]  # as a rule none
+    if missed:
+        null = null.where("settled").unionByName(_shuffled(two, value, missed, n, n_a, name, (0, whole), seed))
     extreme = F.abs(F.col("null") - centre) >= F.abs(F.col("observed") - centre) - 1e-9
     return null.join(F.broadcast(observed)).groupBy("observed").agg(((F.count_if(extreme) + 1) / F.lit(float(replicates + 1))).alias("p_value"))
 
 
+def _shuffled(two: DataFrame, value: str, replicates: list[int], n: int, n_a: int, name: str, ends: tuple[int, int], seed: int) -> DataFrame:
+    """(replicate, null, settled): the statistic with the ``n_a`` least hashes as first group.
+
+    Rows whose hash begins below ``ends`` are summed up as first, those above as second; only the others are put in
+    order.  A replicate whose cut is not between them is not settled.
+    """
+    blocks, (low, high) = blocks_of(replicates, n), ends
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        block, ids, v, there = blocks[key[1]], pdf["idx"].to_numpy(np.int64), pdf["v"].to_numpy(float), pdf["m"].to_numpy(bool)
+        v, sums, near = np.where(there, v, 0.0), np.zeros((len(block), 3, 3)), []
+        for i, at, words in digests(ids, [f"{seed}|{r}|" for r in block]):
+            side = (words[0] >= low).astype(int) + (words[0] >= high)
+            for k in (0, 2):
+                own = at[side == k]
+                sums[i, k] += len(own), np.count_nonzero(there[own]), v[own].sum()
+            some = np.flatnonzero(side == 1)
+            hi, lo = (((words[k][some].astype(np.uint64) << np.uint64(32) | words[k + 1][some]) ^ np.uint64(1 << 63)).view(np.int64) for k in (0, 2))
+            own = at[some]
+            near.append((np.full(len(own), block[i]), hi, lo, ids[own], there[own].astype(int), v[own]))
+        r, hi, lo, idx, m, x = (np.concatenate(c) for c in zip(*near))
+        parts = [pd.DataFrame({"replicate": r, "side": 1, "hi": hi, "lo": lo, "idx": idx, "n": 1, "m": m, "s": x})]
+        for k in (0, 2):
+            parts.append(pd.DataFrame({"replicate": block, "side": k, "hi": 0, "lo": 0, "idx": 0, "n": sums[:, k, 0].astype(int), "m": sums[:, k, 1].astype(int), "s": sums[:, k, 2]}))
+        return pd.concat(parts, ignore_index=True)
+
+    rows = two.select("idx", F.col(value).cast("double").alias("v"), F.col(value).isNotNull().alias("m"), F.floor(F.col("idx") / CHUNK).alias("chunk"))
+    blocked = rows.crossJoin(F.broadcast(two.sparkSession.range(len(blocks)).select(F.col("id").alias("block"))))
+    pieces = min(4096, (n // CHUNK + 1) * len(blocks))
+    cells = blocked.repartition(pieces, "chunk", "block").groupBy("chunk", "block").applyInPandas(run, "replicate long, side int, hi long, lo long, idx long, n long, m long, s double")
+    order = Window.partitionBy("replicate").orderBy("side", "hi", "lo", "idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cells = cells.withColumn("first", (F.sum("n").over(order) <= n_a) & (F.col("side") < 2))
+    first, second = (lambda c: F.when(F.col("first"), F.col(c))), (lambda c: F.when(~F.col("first"), F.col(c)))
+    if name == "median_difference":
+        values = cells.where("n > 0").withColumn("v", F.when(F.col("m") > 0, F.col("s")))
+        found, cells = F.percentile(first("v"), 0.5) - F.percentile(second("v"), 0.5), values
+    else:
+        p, q = (ratio(F.sum(side("s")), F.sum(side("m"))) for side in (first, second))
+        found = ratio(p, q) if name == "ratio_of_means" else p - q
+    settled = (F.coalesce(F.sum(first("n")), F.lit(0)) == n_a) & (F.coalesce(F.sum(F.when(F.col("side") == 0, F.col("n"))), F.lit(0)) <= n_a)
+    return cells.groupBy("replicate").agg(found.alias("null"), settled.alias("settled"))
+
+
 def monte_carlo_p(values: list[float], null: str = "normal", replicates: int = 9_999, seed: int = SEED) -> float:
     """Two-sided p of the sample's skewness against simulated normal, Poisson or uniform samples."""
     import numpy as np

@@ -6,27 +6,41 @@ group in the JVM; only one row a replicate meets Python, for its p-value.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skerry.functions.columns import draw, finite, ratio
+from skerry.functions.columns import draw, finite, meet, ratio, running
+from skerry.functions.shared import written
 from skerry.operators.groups import signed_ranks, with_p
-from skerry.operators.resample import SEED, bootstrap, percentile_interval
+from skerry.operators.resample import HELD, SEED, bootstrap, indexed, numbers, percentile_interval, redrawn_sums, replicated, tasks_of
 
 
 def _slots(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """Rows with their place and the size within their group."""
-    w = Window.partitionBy("group_label")
+    """Rows with their place and the size within their group; places are counted over ranges, written once."""
     named = rows.select(F.col(group).alias("group_label"), "idx", F.col(value).cast("double").alias("v"))
-    return named.withColumn("slot", F.row_number().over(w.orderBy("idx")) - 1).withColumn("size", F.count("*").over(w))
+    sizes = named.groupBy("group_label").agg(F.count("*").alias("size"))
+    placed = running(named, ["group_label"], ["idx"], slot=("sum", F.lit(1))).withColumn("slot", F.col("slot") - 1)
+    return written(meet(placed, sizes, ["group_label"]), "slots")
 
 
 def redrawn(rows: DataFrame, group: str, value: str, replicates: int, seed: int = SEED) -> DataFrame:
-    """Sums (replicate, group_label, n, s, q) of samples with replacement within each group."""
-    slots = _slots(rows, group, value).persist()
-    drawn = slots.select("group_label", "slot", "size", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    drawn = drawn.withColumn("slot", (draw(seed, F.col("replicate"), F.col("group_label"), F.col("slot")) % F.col("size")).cast("int"))
-    found = drawn.select("replicate", "group_label", "slot").join(slots.select("group_label", "slot", "v"), ["group_label", "slot"])
+    """Sums (replicate, group_label, n, s, q) of samples with replacement within each group; rows without a group take no part."""
+    return _redrawn(_slots(rows, group, value), replicates, seed)
+
+
+def _redrawn(slots: DataFrame, replicates: int, seed: int) -> DataFrame:
+    spark, slots, kind = slots.sparkSession, slots.where("group_label is not null"), slots.schema["group_label"].dataType
+    n = slots.count()
+    if 0 < n <= HELD:
+        held = slots.select(F.col("group_label").cast("string").alias("label"), "slot", F.coalesce("v", F.lit(0.0)).alias("v"), F.col("v").isNotNull().alias("there")).toPandas().sort_values(["label", "slot"])
+        parts = [(f"{label}|", g["v"].to_numpy(float), g["there"].to_numpy(bool)) for label, g in held.groupby("label")]
+        labels = F.array(*(F.lit(label[:-1]) for label, _, _ in parts))
+        found = redrawn_sums(spark, parts, replicates, seed)
+        value = lambda c: F.when(F.col("m") > 0, F.col(c)).alias(c)
+        return found.select("replicate", F.get(labels, F.col("part")).cast(kind).alias("group_label"), "n", value("s"), value("q"))
+    spread = slots.select("group_label", "slot", "size").repartition(tasks_of(n, replicates), "group_label", "slot")
+    drawn = replicated(spread, numbers(slots, replicates)).select("replicate", "group_label", (draw(seed, F.col("replicate"), F.col("group_label"), F.col("slot")) % F.col("size")).alias("slot"))
+    found = drawn.join(slots.select("group_label", "slot", "v").hint("shuffle_hash"), ["group_label", "slot"])
     return found.groupBy("replicate", "group_label").agg(F.count("*").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
 
 
@@ -54,14 +68,14 @@ def stability(rows: DataFrame, group: str, value: str, replicates: int = 400, al
     block if leaving out one observation flips the verdict or under 70 % of the replicates agree, warn below 90 %.
     Constant replicates have no F and are skipped.
     """
-    slots = _slots(rows, group, value).persist()
+    slots = _slots(rows, group, value)
     sums = slots.groupBy("group_label").agg(F.count("*").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
     labels = sums.withColumnsRenamed({"group_label": "g"})
     out = slots.select("idx", "group_label", "v").join(F.broadcast(labels))  # groups of one comparison
     own = (F.col("group_label") == F.col("g")).cast("int")
     out = out.select(F.col("idx").alias("replicate"), (F.col("n") - own).alias("n"), (F.col("s") - own * F.col("v")).alias("s"), (F.col("q") - own * F.col("v") * F.col("v")).alias("q")).where("n > 0")
     parts = _f(sums.withColumn("replicate", F.lit(0)), "replicate").withColumn("kind", F.lit("full"))
-    parts = parts.unionByName(_f(out, "replicate").withColumn("kind", F.lit("left_out"))).unionByName(_f(redrawn(rows, group, value, replicates, seed), "replicate").withColumn("kind", F.lit("redrawn")))
+    parts = parts.unionByName(_f(out, "replicate").withColumn("kind", F.lit("left_out"))).unionByName(_f(_redrawn(slots, replicates, seed), "replicate").withColumn("kind", F.lit("redrawn")))
     tests = with_p(parts.where("f is not null"), "f", "f", "d1", "d2").withColumn("verdict", F.col("p_value") < alpha)
     full = tests.where("kind = 'full'").select(F.col("verdict").alias("full_verdict"), F.col("p_value").alias("full_p"))
     t = tests.where("kind <> 'full'").join(F.broadcast(full)).withColumn("agrees", F.col("verdict") == F.col("full_verdict"))
@@ -74,7 +88,7 @@ def stability(rows: DataFrame, group: str, value: str, replicates: int = 400, al
 
 def one_sample(rows: DataFrame, value: str, mu: float = 0.0, replicates: int = 999) -> DataFrame:
     """Wilcoxon against ``mu`` below 10 values, else t; Cohen's d and a bootstrap interval of the mean.  Under 3 values are refused."""
-    x = finite(rows, value)
+    x = indexed(finite(rows, value).withColumnRenamed("idx", "_at"), "_at", value)
     s = x.agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
     t = with_p(s.withColumn("t", ratio(F.col("mean") - mu, F.col("sd") / F.sqrt("n"))).withColumn("df", F.col("n") - 1), "t", "t", "df", to="p_t")
     w = with_p(signed_ranks(x.select(F.col(value).cast("double").alias("x"), F.lit(float(mu)).alias("m")), "x", "m"), "wilcoxon", "w_plus", "n", "tie_term", to="p_w").select("w_plus", "p_w")
