@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from skerry.functions.columns import draw, finite, meet, ratio, running
 from skerry.functions.shared import written
 from skerry.operators.groups import signed_ranks, with_p
-from skerry.operators.resample import HELD, SEED, bootstrap, indexed, numbers, percentile_interval, redrawn_sums, replicated, tasks_of
+from skerry.operators.resample import HELD, SEED, bootstrap, numbers, percentile_interval, redrawn_sums, replicated, tasks_of
 
 
 def _slots(rows: DataFrame, group: str, value: str) -> DataFrame:
@@ -75,7 +75,7 @@ def stability(rows: DataFrame, group: str, value: str, replicates: int = 400, al
     own = (F.col("group_label") == F.col("g")).cast("int")
     out = out.select(F.col("idx").alias("replicate"), (F.col("n") - own).alias("n"), (F.col("s") - own * F.col("v")).alias("s"), (F.col("q") - own * F.col("v") * F.col("v")).alias("q")).where("n > 0")
     parts = _f(sums.withColumn("replicate", F.lit(0)), "replicate").withColumn("kind", F.lit("full"))
-    parts = parts.unionByName(_f(out, "replicate").withColumn("kind", F.lit("left_out"))).unionByName(_f(_redrawn(slots, replicates, seed), "replicate").withColumn("kind", F.lit("redrawn")))
+    parts = parts.unionByName(_f(out, "replicate").withColumn("kind", F.lit("left_out"))).unionByName(_f(redrawn(rows, group, value, replicates, seed), "replicate").withColumn("kind", F.lit("redrawn")))
     tests = with_p(parts.where("f is not null"), "f", "f", "d1", "d2").withColumn("verdict", F.col("p_value") < alpha)
     full = tests.where("kind = 'full'").select(F.col("verdict").alias("full_verdict"), F.col("p_value").alias("full_p"))
     t = tests.where("kind <> 'full'").join(F.broadcast(full)).withColumn("agrees", F.col("verdict") == F.col("full_verdict"))
@@ -88,7 +88,7 @@ def stability(rows: DataFrame, group: str, value: str, replicates: int = 400, al
 
 def one_sample(rows: DataFrame, value: str, mu: float = 0.0, replicates: int = 999) -> DataFrame:
     """Wilcoxon against ``mu`` below 10 values, else t; Cohen's d and a bootstrap interval of the mean.  Under 3 values are refused."""
-    x = indexed(finite(rows, value).withColumnRenamed("idx", "_at"), "_at", value)
+    x = finite(rows, value)
     s = x.agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
     t = with_p(s.withColumn("t", ratio(F.col("mean") - mu, F.col("sd") / F.sqrt("n"))).withColumn("df", F.col("n") - 1), "t", "t", "df", to="p_t")
     w = with_p(signed_ranks(x.select(F.col(value).cast("double").alias("x"), F.lit(float(mu)).alias("m")), "x", "m"), "wilcoxon", "w_plus", "n", "tie_term", to="p_w").select("w_plus", "p_w")
