@@ -171,3 +171,12 @@ def test_lanczos_restarts_and_breakdown():
         assert np.allclose(got, values[:4], rtol=1e-12)
         assert np.allclose(np.abs(np.sum(axes * turn[:, :4], axis=0)), 1, atol=1e-12) and len(passes) < 200
         assert np.linalg.norm(dense @ axes - axes * got, axis=0).max() < 2e-13 * got[0]
+
+
+def test_listed_words_are_counted_over_all_documents(spark):
+    """Words of a language's list come from all words of all its documents, not from a sample that proposes them."""
+    from skerry.llm import quality
+
+    texts = [" ".join([*(f"c{j}" for j in range(45)), *(f"r{i}_{j}" for j in range(10)), *(["late"] * (i % 3 == 0))]) for i in range(60)] + ["short late"] * 50
+    docs = spark.createDataFrame([(t, lang) for t in texts for lang in ("x", None)], "text string, lang string")
+    assert quality.word_lists(docs) == {"x": sorted(f"c{j}" for j in range(45))[:40]}
