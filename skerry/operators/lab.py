@@ -23,14 +23,14 @@ def wilson(successes: Column, n: Column, z: float = 1.96) -> tuple[Column, Colum
     return middle - reach, middle + reach
 
 
-def poisson_interval(counts: Column) -> Column:
-    """Exact interval (low, high) of Poisson counts, one row a plate."""
+def _intervals(counts: pd.Series) -> pd.DataFrame:
+    found = {x: special.poisson_interval(int(x)) for x in counts.unique()}
+    return pd.DataFrame([found[x] for x in counts], columns=["low", "high"])
 
-    @F.pandas_udf("struct<low:double,high:double>")
-    def run(c: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([special.poisson_interval(int(x)) for x in c], columns=["low", "high"])
 
-    return run(counts)
+def poisson_interval(counts: Column) -> Column:
+    """Exact interval (low, high) of Poisson counts, one row a plate; equal counts of a batch are worked out once."""
+    return F.pandas_udf(_intervals, "struct<low:double,high:double>")(counts)
 
 
 def titre(df: DataFrame, count: str, dilution: str, volume: str) -> DataFrame:
