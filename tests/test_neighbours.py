@@ -51,6 +51,28 @@ def test_nearest_equals_all_pairs(spark, monkeypatch, unit_rows):
         assert [x[1] for x in near] == [j for j, _ in want[i]] or len({round(x[2], 9) for x in near}) < 4, (i, near, want[i])
 
 
+def test_rows_without_near_cells_are_sent_once_a_shard(spark, monkeypatch):
+    """Noise, of which every cell may hold a near row: what is sent grows with rows times shards, not times cells; small batches."""
+    monkeypatch.setattr(neighbours, "ROWS_PER_PIVOT", 25)
+    x = np.random.default_rng(3).normal(0, 1, (1500, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "n long, v array<double>")
+    sent, sort = [], type(df).sortWithinPartitions
+    monkeypatch.setattr(type(df), "sortWithinPartitions", lambda self, *by: sent.append(self) or sort(self, *by))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = {}
+        for e in neighbours.nearest(df, "n", "v", 3).orderBy("i", "rank").collect():
+            got.setdefault(e["i"], []).append((e["j"], e["d"]))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d = 1 - u @ u.T
+    np.fill_diagonal(d, 9)
+    assert [[j for j, _ in got[i]] for i in range(1500)] == np.argsort(d, axis=1)[:, :3].tolist()
+    assert [[y for _, y in got[i]] for i in range(1500)] == [pytest.approx(r, abs=1e-12) for r in np.sort(d, axis=1)[:, :3]]
+    assert sum(s.count() for s in sent) <= 1500 * (16 + 4)
+
+
 def test_nearest_of_few_rows(spark):
     schema = "k string, x array<double>"
     assert neighbours.nearest(spark.createDataFrame([], schema), "k", "x", 3).count() == 0
