@@ -25,14 +25,17 @@ def normality(df: DataFrame, group: str, value: str, by: Sequence[str] = ()) ->
     """Shapiro-Wilk of each group of 3 to 5 000 values; others have null."""
     rows = finite(df, value).select(*by, F.col(group).alias("group_label"), F.col(value).cast("double").alias("v"))
     keys = [*by, "group_label"]
-    small = rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n between 3 and 5000")
+    for c in keys:
+        rows = rows.where(F.col(c).isNotNull())
+    # rows of large groups stay where they are; there is at most one large group for 5 000 rows
+    large = rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 5000").select(*keys)
     kinds = dict(rows.dtypes)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        w, p = exact.shapiro(pdf["v"].to_numpy())
-        return pd.DataFrame([(*key, w, p)], columns=[*keys, "w", "p_normal"])
+        judged = [(*key, *exact.shapiro(pdf["v"].to_numpy()))] if len(pdf) >= 3 else []
+        return pd.DataFrame(judged, columns=[*keys, "w", "p_normal"])
 
-    return rows.join(small.select(*keys), keys).groupBy(*keys).applyInPandas(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "w double", "p_normal double"]))
+    return rows.join(F.broadcast(large), keys, "left_anti").groupBy(*keys).applyInPandas(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "w double", "p_normal double"]))
 
 
 def _permutations(df: DataFrame, group: str, value: str, by: Sequence[str]) -> DataFrame:

@@ -275,6 +275,16 @@ def test_correlation_contingency_and_trend(spark):
     assert got["up"]["direction"] == "increasing" and got["up"]["low"] <= got["up"]["slope"] <= got["up"]["high"] and got["flat"]["direction"] == "none"
 
 
+def test_normality_leaves_large_groups_where_they_are(spark):
+    """Groups of 2, 3, 5 000 and 5 001 values and without a name; a group that is not judged is not shuffled by its name."""
+    r = np.random.default_rng(8)
+    rows = [(g, float(r.normal())) for g, n in (("two", 2), ("three", 3), ("whole", 5000), ("large", 5001), (None, 9)) for _ in range(n)]
+    found = compare.normality(spark.createDataFrame(rows, "g string, v double"), "g", "v")
+    assert {x["group_label"] for x in found.collect()} == {"three", "whole"}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_compare_composition(spark):
     rows = [(f"s{i}", f"t{j}", (20 + i) if (j < 3) == (i < 5) else 1 + i % 3) for i in range(10) for j in range(6)]
     counts = spark.createDataFrame(rows, "sample string, taxon string, n int")
