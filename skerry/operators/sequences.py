@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 # The standard genetic code in the order of bases T, C, A, G; usual bacterial start codons.
 BASES = "TCAG"
@@ -14,6 +18,11 @@ STARTS = ("ATG", "GTG", "TTG", "ATT", "CTG")
 
 CODE = dict(zip(map("".join, product(BASES, repeat=3)), AMINO_ACIDS))
 STOPS = tuple(k for k, v in CODE.items() if v == "*")
+# codons as numbers of base 5, where 4 is any other letter: 1 marks stops, 2 starts
+_ORDER, _PAIRED, _KINDS = np.full(256, 4, np.uint8), np.array([2, 3, 0, 1, 4], np.uint8), np.zeros(125, np.uint8)
+_ORDER[[ord(c) for c in BASES]] = range(4)
+for _codons, _mark in ((STOPS, 1), (STARTS, 2)):
+    _KINDS[[25 * BASES.index(k[0]) + 5 * BASES.index(k[1]) + BASES.index(k[2]) for k in _codons]] = _mark
 
 
 def clean(s: Column) -> Column:
@@ -70,23 +79,47 @@ def codon_usage(df: DataFrame, sequence: str, by: list[str], frame: int = 1) ->
     return rows.where("amino_acid <> 'X'").withColumn("rscu", F.col("n") * F.count("*").over(w) / F.sum("n").over(w).cast("double"))
 
 
+def _frames(sequence: str, least: int) -> np.ndarray:
+    """Rows of (frame, first_base, last_base, amino_acids) of one sequence; other letters are in no codon that is looked for."""
+    bases = _ORDER[np.frombuffer(sequence.encode("ascii", "replace"), np.uint8)]  # one byte a letter
+    found = [np.empty((0, 4), int)]
+    # T and A, C and G are two apart in BASES
+    for sign, strand in ((1, bases), (-1, _PAIRED[bases][::-1])):
+        kinds = _KINDS[strand[:-2] * 25 + strand[1:-1] * 5 + strand[2:]]
+        for skip in range(3):
+            kind = kinds[skip::3]
+            stops = np.flatnonzero(kind == 1)
+            if not len(stops):
+                continue
+            starts = np.flatnonzero(kind == 2)
+            at = np.searchsorted(starts, np.append(-1, stops[:-1]), side="right")
+            first = np.append(starts, len(kinds))[at]
+            amino_acids = stops - first
+            kept = (amino_acids > 0) & (amino_acids >= least)
+            a, b = first[kept] * 3 + skip + 1, stops[kept] * 3 + skip + 3
+            ends = (a, b) if sign > 0 else (len(bases) - b + 1, len(bases) - a + 1)
+            found.append(np.stack([np.full(len(a), sign * (skip + 1)), *ends, amino_acids[kept]], axis=1))
+    return np.concatenate(found)
+
+
 def orfs(df: DataFrame, sequence: str, key: str, least: int = 30) -> DataFrame:
     """Open reading frames of all six frames: from the first start after a stop to the next stop, unterminated ones left out.
 
-    Codons fall into segments by the running number of stops, so each frame is one window and one aggregation.
+    A sequence is read where it lies; codons are neither listed as rows nor shuffled.
     Positions are 1-based on the given strand; ``least`` is in amino acids without the stop.
     """
-    frames = F.array(*(F.struct(F.lit(f).alias("frame"), codons(F.col(sequence), f).alias("codons")) for f in (1, 2, 3, -1, -2, -3)))
-    rows = df.select(key, F.length(sequence).alias("length"), F.explode(frames).alias("f")).select(key, "length", "f.frame", F.posexplode("f.codons").alias("i", "codon"))
-    stop = F.col("codon").isin(*STOPS)
-    w = Window.partitionBy(key, "frame").orderBy("i")
-    rows = rows.withColumn("stop", stop).withColumn("segment", F.coalesce(F.sum(stop.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    found = rows.groupBy(key, "length", "frame", "segment").agg(F.min(F.when(F.col("codon").isin(*STARTS), F.col("i"))).alias("first"), F.max(F.when(F.col("stop"), F.col("i"))).alias("last"))
-    found = found.where("first is not null and last is not null").withColumn("amino_acids", F.col("last") - F.col("first")).where(F.col("amino_acids") >= least)
-    skip = F.abs("frame") - 1
-    a, b = F.col("first") * 3 + skip + 1, F.col("last") * 3 + skip + 3
-    forward = F.col("frame") > 0
-    return found.select(key, "frame", F.when(forward, a).otherwise(F.col("length") - b + 1).alias("first_base"), F.when(forward, b).otherwise(F.col("length") - a + 1).alias("last_base"), "amino_acids")
+    columns = ("frame", "first_base", "last_base", "amino_acids")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                found = [_frames(s or "", least) for s in some[1].to_pylist()]
+                rows = np.concatenate(found).astype(np.int32)
+                of = np.repeat(np.arange(len(found)), [len(f) for f in found])
+                yield pa.RecordBatch.from_arrays([some[0].take(pa.array(of)), *(pa.array(np.ascontiguousarray(c)) for c in rows.T)], [key, *columns])
+
+    return df.select(key, F.col(sequence).cast("string")).mapInArrow(run, StructType([df.schema[key], *(StructField(c, IntegerType()) for c in columns)]))
 
 
 def coverage(intervals: DataFrame, key: str) -> DataFrame:

@@ -275,6 +275,27 @@ def test_correlation_contingency_and_trend(spark):
     assert got["up"]["direction"] == "increasing" and got["up"]["low"] <= got["up"]["slope"] <= got["up"]["high"] and got["flat"]["direction"] == "none"
 
 
+def test_orfs_of_all_frames_without_a_shuffle(spark):
+    """Against a plain loop: random texts, other letters, a null and texts that are too short."""
+    r = np.random.default_rng(5)
+    texts = ["".join(r.choice(list("ACGT"), n)) for n in (900, 700, 401, 2, 0)] + ["".join(r.choice(list("ACGTNaé𝄞"), 600, p=[0.24] * 4 + [0.01] * 4))]
+    found = sequences.orfs(spark.createDataFrame([*enumerate(texts), (9, None)], "id long, s string"), "s", "id", 5)
+    want = set()
+    for key, text in enumerate(texts):
+        for frame in (1, 2, 3, -1, -2, -3):
+            strand, first = text if frame > 0 else text.translate(str.maketrans("ACGT", "TGCA"))[::-1], None
+            for i in range(abs(frame) - 1, len(strand) - 2, 3):
+                codon = strand[i : i + 3]
+                if codon in sequences.STOPS:
+                    if first is not None and (i - first) // 3 >= 5:
+                        want.add((key, frame, *((first + 1, i + 3) if frame > 0 else (len(text) - i - 2, len(text) - first)), (i - first) // 3))
+                    first = None
+                elif codon in sequences.STARTS and first is None:
+                    first = i
+    assert {tuple(x) for x in found.collect()} == want and len(want) > 20
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_normality_leaves_large_groups_where_they_are(spark):
     """Groups of 2, 3, 5 000 and 5 001 values and without a name; a group that is not judged is not shuffled by its name."""
     r = np.random.default_rng(8)
