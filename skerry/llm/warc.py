@@ -28,11 +28,11 @@ ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'"
 def digest(block: Column) -> Column:
     """``sha1:`` and the SHA-1 in base 32."""
     def base32(hexes: Column) -> Column:
-        five = lambda i: F.conv(F.substring(hexes, (F.floor(i / 4) * 5 + 1).cast("int"), F.lit(5)), 16, 10).cast("int")
-        digit = lambda i: F.substring(F.lit(BASE32), F.try_mod(F.floor(five(i) / F.pow(F.lit(2.0), 15 - 5 * (i % 4))).cast("int"), F.lit(32)) + 1, F.lit(1))
-        return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), digit), "")
+        # 40 bits at a time, in the digits 0-9 and A-V of conv
+        eight = [F.lpad(F.conv(F.substring(hexes, i, 10), 16, 32), 8, "0") for i in (1, 11, 21, 31)]
+        return F.translate(F.concat(*eight), "0123456789ABCDEFGHIJKLMNOPQRSTUV", BASE32)
 
-    # bound once: the lambda over digits would hash the block for each of them
+    # bound once: the block would be hashed for each piece
     return F.concat(F.lit("sha1:"), let(F.sha1(F.encode(block, "UTF-8")), base32))
 
 

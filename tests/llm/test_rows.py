@@ -1,5 +1,6 @@
 """Manifest, whitening and sanitisation against brute force, with defined edge cases."""
 
+import base64
 import hashlib
 import math
 import zlib
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skerry.llm import merkle, queries, whitening
+from skerry.llm import merkle, queries, warc, whitening
 from tests.llm.test_texts import EDGES, SCHEMA, invented
 
 
@@ -180,3 +181,11 @@ def test_listed_words_are_counted_over_all_documents(spark):
     texts = [" ".join([*(f"c{j}" for j in range(45)), *(f"r{i}_{j}" for j in range(10)), *(["late"] * (i % 3 == 0))]) for i in range(60)] + ["short late"] * 50
     docs = spark.createDataFrame([(t, lang) for t in texts for lang in ("x", None)], "text string, lang string")
     assert quality.word_lists(docs) == {"x": sorted(f"c{j}" for j in range(45))[:40]}
+
+
+def test_digests_are_converted_piece_by_piece(spark):
+    texts = ["", "a", "é𝄞\n", *(str(i) * i for i in range(300))]
+    column = warc.digest(F.col("t"))
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", column.alias("d")).collect()
+    assert {r["t"]: r["d"] for r in got} == {t: "sha1:" + base64.b32encode(hashlib.sha1(t.encode()).digest()).decode() for t in texts}
+    assert str(column).count("conv(") <= 4 and "sequence" not in str(column)
