@@ -46,6 +46,8 @@ PERCENT = 75
 #: Equal signature values that a pair needs: 0.75 less 4.5 standard deviations.
 LEAST_EQUAL = int(VALUES * (0.75 - 4.5 * (0.75 * 0.25 / VALUES) ** 0.5))
 NEIGHBOURS = 8
+#: Classes of a region that begin with so many equal values stand in one range, or in ranges side by side.
+RANGED = (3 * FIRST, 8 * FIRST, VALUES)
 SMALL_REGION = 64
 ROUNDS = 3
 #: Rows of a block; two blocks are in one task.
@@ -53,6 +55,8 @@ BLOCK_ROWS = 1024
 TILE = 32
 #: Shingles are counted in so many buckets to put the rare ones first; any order finds all pairs.
 BUCKET_BITS = 20
+#: So many buckets come to the driver as one row of a byte each.
+PACKED = 1024
 MAX_BROADCAST_IDS = 1_000_000
 
 _rng = np.random.default_rng(19970501)
@@ -173,6 +177,23 @@ def _loads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(bucket.astype(np.int32)), pa.array(n)], names=["bucket", "n"])
 
 
+def _packed(table: pa.Table) -> pa.Table:
+    """The buckets of a part as a byte each: eighths of doublings of the count, as only the order of counts matters."""
+    levels = np.zeros(PACKED, np.uint8)  # buckets without a shingle are never asked for
+    levels[table.column("bucket").to_numpy() % PACKED] = np.minimum(1 + 8 * np.log2(table.column("n").to_numpy()), 255)
+    return pa.table({"part": table.column("part").slice(0, 1), "levels": pa.array([levels.tobytes()], pa.binary())})
+
+
+def loads(sets: DataFrame) -> np.ndarray:
+    """How full the bucket of each shingle is among the ``set`` column, in levels; the driver gets a byte a bucket."""
+    counted = sets.select("set").mapInArrow(_loads, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    parts = counted.withColumn("part", F.floor(F.col("bucket") / PACKED).cast("int")).groupBy("part").applyInArrow(_packed, "part int, levels binary")
+    load = np.zeros(1 << BUCKET_BITS, np.uint8)
+    for r in parts.collect():
+        load[r["part"] * PACKED : (r["part"] + 1) * PACKED] = np.frombuffer(r["levels"], np.uint8)
+    return load
+
+
 def _prefixes(load):
     """The first shingles of each set, the rare ones first, as many as a set as long as it or shorter must share one of."""
 
@@ -294,7 +315,9 @@ class Forest:
         """Pairs of different components and like signatures that stand near each other in some tree's order, within a region beyond the window."""
         order = _prefix(F.col("tree"), VALUES)
         placed = self.placed().where(F.col("size") > NEIGHBOURS + 1).join(self.classes.select("rep", "sig"), "rep").select("tree", order.alias("order"), "region", "rep", "component")
-        ordered = placed.repartitionByRange("tree", "order").sortWithinPartitions("tree", "order", "rep")
+        # ranges go by hashes of ever longer beginnings: Spark samples their keys to the driver, where whole orders would be eight times as large
+        ranges = ["region", *(F.xxhash64(F.substring("order", 1, 4 * n)) for n in RANGED)]
+        ordered = placed.repartitionByRange(*ranges).sortWithinPartitions("tree", "order", "rep")
         # pairs over the border of two ranges are left to the last step
         return ordered.select("region", "rep", "component", "order").mapInArrow(_like_rows(NEIGHBOURS, likest=True), "a long, b long").distinct()
 
@@ -317,10 +340,7 @@ class Forest:
         members = stage(large.select("rep", "component").distinct(), "crowded")
         held = self.docs.join(bounded(members.select(F.col("rep").alias("doc_id")), MAX_BROADCAST_IDS), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, set binary")
         sets = stage(members.join(held.where("length(set) > 0").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep"), "rep"), "crowded-sets")
-        got = sets.select("set").mapInArrow(_loads, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most 2 ** BUCKET_BITS rows
-        load = np.zeros(1 << BUCKET_BITS, np.int64)
-        load[got["bucket"].to_numpy()] = got["n"].to_numpy()
-        rows = sets.select("rep", "component", "set").mapInArrow(_prefixes(spark.sparkContext.broadcast(load)), "shingle long, rep long, component long, n int, place int")
+        rows = sets.select("rep", "component", "set").mapInArrow(_prefixes(spark.sparkContext.broadcast(loads(sets))), "shingle long, rep long, component long, n int, place int")
         rows = stage(rows, "prefixes")
         own = F.col("n") - F.ceil(2 * PERCENT * F.col("n") / (100.0 + PERCENT)) + 1
         lists = rows.groupBy("shingle").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.max((F.col("place") < own).cast("int")).alias("first"))

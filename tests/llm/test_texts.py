@@ -500,3 +500,35 @@ def test_near_duplicates_among_texts_with_a_common_frame(spark):
     truth = {i: c for i, (_, c) in brute_components(texts).items()}
     forest_pairs = {x["doc_id"]: x["component_id"] for x in near_dup.near_duplicates(documents(spark, texts)).collect()}
     assert forest_pairs == truth and sum(i != c for i, c in truth.items()) == 70
+
+
+def test_near_duplicates_send_little_to_the_driver(spark, monkeypatch):
+    """Bucket counts come as a byte each, and the keys that Spark samples for ranges are numbers."""
+    kind, keys = type(spark.range(0)), []
+    plain = kind.repartitionByRange
+
+    def ranged(self, *by):
+        keys.append([t for _, t in self.select(*(c for c in by if not isinstance(c, int))).dtypes])
+        return plain(self, *by)
+
+    def whole(self):
+        raise AssertionError("a table goes to the driver")
+
+    monkeypatch.setattr(kind, "repartitionByRange", ranged)
+    monkeypatch.setattr(kind, "toPandas", whole)
+    r = random.Random(8)
+    frame = [f"f{i}" for i in range(330)]
+    texts = [" ".join(frame + [f"o{i}x{k}" for k in range(70)]) for i in range(160)]
+    texts += [" ".join(frame + [f"o{i}x{k}" for k in range(52)] + [f"p{i}x{k}" for k in range(18)]) for i in range(0, 160, 10)]
+    r.shuffle(texts)
+    got = {x["doc_id"]: x["component_id"] for x in near_dup.near_duplicates(documents(spark, texts)).collect()}
+    assert got == {i: c for i, (_, c) in brute_components(texts).items()}
+    assert keys and all(t == "bigint" for by in keys for t in by)
+
+
+def test_loads_are_levels_in_the_order_of_counts(spark):
+    sets = [np.arange(1, 1 + 3 * k, dtype="<u8") for k in range(1, 40)]
+    load = near_dup.loads(spark.createDataFrame([(bytearray(s.tobytes()),) for s in sets], "set binary").repartition(3))
+    counts = np.bincount(near_dup._bucket(np.concatenate(sets)), minlength=1 << near_dup.BUCKET_BITS)
+    assert load.dtype == np.uint8 and len(load) == 1 << near_dup.BUCKET_BITS
+    assert ((load > 0) == (counts > 0)).all() and (np.diff(load[np.argsort(counts, kind="stable")].astype(int)) >= 0).all()
