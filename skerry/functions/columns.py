@@ -93,21 +93,25 @@ def running(df: DataFrame, by: list[str], order: list[str], **columns: tuple[str
 
     A column is ("sum", amount) or ("last", amount), the latest amount that isn't null.  Rows are written in ranges of
     the order, a file each; a file is summed up on its own and what stands in the files before it is added, so that a
-    single large ``by`` value uses all tasks, and a range is the same rows however often it is read.  ``order`` must be
-    unique within ``by``; null keys are keys of their own, ``df`` may be empty; names that begin with an underscore and a
+    single large ``by`` value uses all tasks, and a range is the same rows however often it is read.  Only the keys at a
+    file's ends can have rows in others; these few are summed up and sent to all tasks.  ``order`` must be unique within ``by``; null keys are keys of their own, ``df`` may be empty; names that begin with an underscore and a
     letter are kept for the working columns.
     """
     amounts = {f"_r_{i}": (kind, amount) for i, (kind, amount) in enumerate(columns.values())}
     ranged = written(df.withColumns({k: a for k, (_, a) in amounts.items()}).repartitionByRange(*(by + order)), "ranges").withColumn("_r_file", F.col("_metadata.file_name"))
     total = {"sum": lambda c: F.sum(c), "last": lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*order)))}
-    files = ranged.groupBy(*by, "_r_file").agg(F.min(F.struct(*order)).alias("_r_low"), F.max(F.struct(*order)).alias("_r_high"), *(total[kind](k).alias(f"{k}_t") for k, (kind, _) in amounts.items()))
+    keys = [(c, f"_r_k{i}") for i, c in enumerate(by)]
+    key = F.struct(F.lit(0).alias("_r_all"), *(F.col(c).alias(k) for c, k in keys))
+    ends = ranged.groupBy("_r_file").agg(F.min(key).alias("low"), F.max(key).alias("high")).select(F.col("_r_file").alias("_r_f"), F.explode(F.array_distinct(F.array("low", "high"))).alias("_r_key"))
+    # at most two rows a file
+    shared = ends.withColumn("_r_n", F.count("*").over(Window.partitionBy("_r_key"))).where("_r_n > 1").select("_r_f", "_r_key.*")
+    files = ranged.join(F.broadcast(shared), null_safe([*keys, ("_r_file", "_r_f")]), "left_semi").groupBy(*by, "_r_file").agg(F.min(F.struct(*order)).alias("_r_low"), F.max(F.struct(*order)).alias("_r_high"), *(total[kind](k).alias(f"{k}_t") for k, (kind, _) in amounts.items()))
     before = Window.partitionBy(*by).orderBy("_r_low", "_r_high").rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy(*by, "_r_file").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ahead = {"sum": lambda c: F.sum(c).over(before), "last": lambda c: F.last(c, ignorenulls=True).over(before)}
     own = {"sum": lambda c: F.sum(c).over(inside), "last": lambda c: F.last(c, ignorenulls=True).over(inside)}
-    keys = [(c, f"_r_k{i}") for i, c in enumerate(by)]
     offsets = files.select(*(F.col(c).alias(k) for c, k in keys), F.col("_r_file").alias("_r_f"), *(ahead[kind](f"{k}_t").alias(f"{k}_b") for k, (kind, _) in amounts.items()))
-    joined = ranged.withColumns({f"{k}_o": own[kind](k) for k, (kind, _) in amounts.items()}).join(offsets, null_safe([*keys, ("_r_file", "_r_f")]))
+    joined = ranged.withColumns({f"{k}_o": own[kind](k) for k, (kind, _) in amounts.items()}).join(F.broadcast(offsets), null_safe([*keys, ("_r_file", "_r_f")]), "left")
     whole = {"sum": lambda k: F.when(F.col(f"{k}_o").isNull(), F.col(f"{k}_b")).otherwise(F.col(f"{k}_o") + F.coalesce(F.col(f"{k}_b"), F.lit(0))), "last": lambda k: F.coalesce(F.col(f"{k}_o"), F.col(f"{k}_b"))}
     return joined.select(*df.columns, *(whole[kind](k).alias(to) for to, (k, (kind, _)) in zip(columns, amounts.items())))
 
@@ -117,16 +121,18 @@ def running_sum(df: DataFrame, by: list[str], order: list[str], amount: str, to:
     return running(df, by, order, **{to: ("sum", F.col(amount))})
 
 
-def as_of(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, **columns: tuple[str, str]) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, order: Sequence[str] = (), own: dict[str, tuple[str, Column]] | None = None, **columns: tuple[str, str]) -> DataFrame:
     """``left`` with the latest values of ``right`` at or before its time: each column is ("last", name) or ("sum", name) of ``right``.
 
     Both sides stand in one order of time, so that nothing is joined and a hot key is spread over tasks.  Rows without
     an earlier right row, or with a null time, get nulls; rows of one time count as at that time; null keys meet.
+    ``own`` are running values of ``left`` itself, as of ``running``, in order of its time and then of its columns ``order``.
     """
+    own, tie = own or {}, [f"_a_o{i}" for i in range(len(order))]
     keys = [f"_a_{i}" for i in range(len(by))]
     row = F.struct(*left.columns)
     blank = [F.lit(None).cast(right.schema[c].dataType).alias(to) for to, (_, c) in columns.items()]
-    ours = left.select(*(F.col(c).alias(k) for c, k in zip(by, keys)), F.col(left_time).alias("_a_t"), F.lit(1).alias("_a_s"), F.monotonically_increasing_id().alias("_a_i"), row.alias("_a_row"), *blank)
-    theirs = right.where(F.col(right_time).isNotNull()).select(*(F.col(c).alias(k) for c, k in zip(by, keys)), F.col(right_time).alias("_a_t"), F.lit(0).alias("_a_s"), F.monotonically_increasing_id().alias("_a_i"), F.lit(None).cast(ours.schema["_a_row"].dataType).alias("_a_row"), *(F.col(c).alias(to) for to, (_, c) in columns.items()))
-    found = running(ours.unionByName(theirs), keys, ["_a_t", "_a_s", "_a_i"], **{f"_a_{to}": (kind, F.col(to)) for to, (kind, _) in columns.items()})
-    return found.where("_a_s = 1").select("_a_row.*", *(F.col(f"_a_{to}").alias(to) for to in columns))
+    ours = left.select(*(F.col(c).alias(k) for c, k in zip(by, keys)), F.col(left_time).alias("_a_t"), F.lit(1).alias("_a_s"), *(F.col(c).alias(o) for c, o in zip(order, tie)), F.monotonically_increasing_id().alias("_a_i"), row.alias("_a_row"), *blank, *(amount.alias(f"_a_own_{to}") for to, (_, amount) in own.items()))
+    theirs = right.where(F.col(right_time).isNotNull()).select(*(F.col(c).alias(k) for c, k in zip(by, keys)), F.col(right_time).alias("_a_t"), F.lit(0).alias("_a_s"), *(F.lit(None).cast(ours.schema[o].dataType).alias(o) for o in tie), F.monotonically_increasing_id().alias("_a_i"), F.lit(None).cast(ours.schema["_a_row"].dataType).alias("_a_row"), *(F.col(c).alias(to) for to, (_, c) in columns.items()), *(F.lit(None).cast(ours.schema[f"_a_own_{to}"].dataType).alias(f"_a_own_{to}") for to in own))
+    found = running(ours.unionByName(theirs), keys, ["_a_t", "_a_s", *tie, "_a_i"], **{f"_a_{to}": (kind, F.col(to)) for to, (kind, _) in columns.items()}, **{f"_a_{to}": (kind, F.col(f"_a_own_{to}")) for to, (kind, _) in own.items()})
+    return found.where("_a_s = 1").select("_a_row.*", *(F.col(f"_a_{to}").alias(to) for to in [*own, *columns]))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skerry.functions.columns import as_of, running
+from skerry.functions.columns import as_of
 from skerry.operators import governance, guards
 
 #: From so many tests of the same data on, a reviewer is told.
@@ -28,9 +28,9 @@ def history(tests: DataFrame, predictions: DataFrame) -> DataFrame:
     A prediction is in force in its latest version before the test; ``amendments`` counts the versions before that one.
     """
     counted = (F.col("error").isNull() & F.col("p_value").isNotNull() & F.col("data_id").isNotNull()).cast("long")
-    ordered = running(tests, ["data_id"], ["at", "transcript_id"], test_no=("sum", counted))
     notes = predictions.where("data_id is not null").select("data_id", "created_at", "prediction", F.lit(1).alias("_one"))
-    seen = as_of(ordered, notes, ["data_id"], "at", "created_at", prediction=("last", "prediction"), _versions=("sum", "_one"))
+    # tests and predictions are put in order once, for both
+    seen = as_of(tests, notes, ["data_id"], "at", "created_at", ["transcript_id"], {"test_no": ("sum", counted)}, prediction=("last", "prediction"), _versions=("sum", "_one"))
     return seen.withColumn("amendments", F.greatest(F.coalesce("_versions", F.lit(0)) - 1, F.lit(0))).drop("_versions")
 
 
@@ -61,10 +61,12 @@ def flags(submissions: DataFrame, tests: DataFrame, numbers: DataFrame, exclusio
         F.when(F.col("test_no") >= MANY_TESTS, F.struct(F.lit("multiple_comparisons").alias("kind"), F.lit("warn").alias("severity"), F.concat(F.col("test_no").cast("string"), F.lit(" tests on these data by then")).alias("detail"))),
     )
     found = mine.select("item_id", "transcript_id", F.explode(F.array_compact(by_test)).alias("f")).select("item_id", "f.kind", "f.severity", "transcript_id", none.alias("data_id"), "f.detail")
-    data = mine.where("data_id is not null").groupBy("item_id", "data_id").agg(F.max("submitted_at").alias("submitted_at"), F.count_if(F.col("prediction").isNull()).alias("unforeseen"))
+    data = mine.where("data_id is not null").groupBy("item_id", "data_id").agg(F.count_if(F.col("prediction").isNull()).alias("unforeseen"))
     found = found.unionByName(told(data.where("unforeseen > 0"), "no_prediction", F.lit("warn"), F.concat(F.col("unforeseen").cast("string"), F.lit(" tests before any prediction was written")), none, F.col("data_id")))
     wrong = governance.exclusions(exclusions).where("not accepted and data_id is not null").select("data_id", "at", F.lit(1).alias("_one"))
-    dropped = as_of(data, wrong, ["data_id"], "submitted_at", "at", excluded=("sum", "_one")).where("excluded > 0")
+    # exclusions need no history of the tests
+    held = listed.join(tests.where("data_id is not null").select("transcript_id", "data_id"), "transcript_id").groupBy("item_id", "data_id").agg(F.max("submitted_at").alias("submitted_at"))
+    dropped = as_of(held, wrong, ["data_id"], "submitted_at", "at", excluded=("sum", "_one")).where("excluded > 0")
     found = found.unionByName(told(dropped, "exclusion_justified_by_result", F.lit("block"), F.concat(F.col("excluded").cast("string"), F.lit(" exclusions for a reason about the result")), none, F.col("data_id")))
     known = listed.join(numbers.select("transcript_id", F.col("number").alias("value")), "transcript_id").select("item_id", "value").distinct()
     off = guards.scan_numbers(submissions.select("item_id", "claim"), "item_id", "claim", known).groupBy("item_id").agg(F.count("*").alias("off"))

@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from skerry.functions import columns
 from skerry.operators import submissions
 
 DAY = [datetime(2026, 5, 1) + timedelta(days=i) for i in range(12)]
@@ -49,3 +50,24 @@ def test_children(spark):
     got = submissions.children(spark.createDataFrame([("x",), ("x",), ("z",), (None,)], "w string"), rows, "w", "k", "at", page=3)
     assert [(r["w"], r["k"], r["place"], r["n"]) for r in got.orderBy("place").collect()] == [("x", 9, 1, 12), ("x", 4, 2, 12), ("x", 8, 3, 12)]
     assert got.where(F.col("place") > 3).count() == 0
+
+
+def test_history_orders_its_rows_once(spark, monkeypatch):
+    """Tests and predictions are written in ranges once, and no row is shuffled to meet what stands in other ranges."""
+    plain, tables = columns.written, []
+    monkeypatch.setattr(columns, "written", lambda df, name: tables.append(name) or plain(df, name))
+    tests = [(f"t{i:03}", None if i % 7 == 0 else "hot" if i % 3 else f"d{i % 5}", DAY[i * 5 % 12], 0.1 if i % 4 else None, None, None, None) for i in range(400)]
+    notes = [(None if i % 9 == 0 else "hot" if i % 2 else f"d{i % 5}", DAY[i * 7 % 12], f"p{i}") for i in range(1, 40)]
+    data = frames(spark, tests, [], predictions=notes)
+    seen = submissions.history(data["tests"], data["predictions"])
+    assert tables == ["ranges"]
+    got = {r["transcript_id"]: (r["test_no"], r["prediction"] is None, r["amendments"]) for r in seen.collect()}
+    plan = seen._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+    def told(name, of, at):
+        no = sum(p is not None and d == of and (t, n) <= (at, name) for n, d, t, p, *_ in tests) if of else 0
+        by = sum(d == of and t <= at for d, t, _ in notes) if of else 0
+        return no, by == 0, max(by - 1, 0)
+
+    assert got == {n: told(n, d, t) for n, d, t, *_ in tests}
